@@ -140,3 +140,17 @@ def shingles(words: Words, size: int, short: bool = True) -> tuple[np.ndarray, n
         order = np.argsort(of, kind="stable")
         out, of = out[order], of[order]
     return out, of
+
+
+def runs(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of ``size`` consecutive words of one text, and the place of each one's first word."""
+    h, n = words.hashes, len(words.hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    counts = np.diff(words.first)
+    text = np.repeat(np.arange(len(counts)), counts)
+    out = np.zeros(n, np.uint64)
+    for i in range(size):
+        out = (out ^ h[i : i + n]) * np.uint64(0xFF51AFD7ED558CCD) + np.uint64(i + 1)
+    at = np.flatnonzero(text[:n] == text[size - 1 :])
+    return mix(out[at]), at

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .decontamination import op7_benchmark_decontamination
 from .jaccard_join import op9_ngram_jaccard_join
 
 QUERIES = {
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
