@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .chat_format import OP5_SQL, op5_chat_formatting
 from .decontamination import op7_benchmark_decontamination
 from .jaccard_join import op9_ngram_jaccard_join
+from .licences import op3_license_scans
+from .line_dedup import OP1_SQL, op1_line_dedup
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op3_license_scans": op3_license_scans,
+    "op5_chat_formatting": op5_chat_formatting,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op5_chat_formatting": OP5_SQL}
