@@ -3,8 +3,8 @@
 Documents are sets of five-word shingles (64-bit hashes). All shingles follow one order, rarest
 first by a fixed-size frequency sketch of the whole corpus. If two sets share at least T elements,
 the first ``n - T + l`` elements of each share at least ``l``; so a document's prefix may be made
-longer if correspondingly more shared elements are then asked for. Each document picks the ``l``
-that its estimated candidate cost makes cheapest.
+longer if correspondingly more shared elements are then asked for. Each document
+picks its ``l`` by estimated candidate cost, and a pair has to share the smaller of its two.
 
 The join returns components, not pairs: identical sets are one node before any join, and within a
 posting list only pairs with a pivot are compared while that still merges members; pairs already in
@@ -28,10 +28,10 @@ from .shared import materialise, read, slim
 
 WIDTH = 5
 NUM, DEN = 75, 100  # link: DEN * |x & y| >= NUM * |x | y|
-MOST = 4  # longest l a document may choose
-SKETCH_BITS = 21  # the sketch has this many cells at every size of input
-_SEGMENTS = 256
-IDS_TO_BROADCAST = 2_000_000  # 16 MB of ids; beyond it the texts are shuffled
+LEAST, MORE = 20, 10  # l is a twentieth of the set, or a tenth where candidates are estimated to be dear
+SKETCH_BITS = 23  # the sketch has this many cells at every size of input
+_SEGMENTS = 1024
+IDS_TO_BROADCAST = 2_000_000  # 16 MB of ids; beyond it both sides are shuffled
 
 
 def _cells(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -48,10 +48,19 @@ def frequency_classes(docs: DataFrame, bits: int = SKETCH_BITS, width: int = WID
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.uint32)
+        held: list[np.ndarray] = []
+
+        def pour() -> None:
+            np.add(total, np.bincount(np.concatenate(held), minlength=1 << bits), out=total, casting="unsafe")
+            held.clear()
+
         for batch in batches:
             for _, _, data, at in chunks(batch.column(0)):
-                found, _ = shingles(find_words(data, at, BLANK), width)
-                total += np.bincount(_cells(found, bits), minlength=1 << bits).astype(np.uint32)
+                held.append(_cells(shingles(find_words(data, at, BLANK), width)[0], bits))
+                if sum(map(len, held)) > 1 << 22:
+                    pour()
+        if held:
+            pour()
         packed = [zlib.compress(total[i * part : (i + 1) * part].tobytes(), 1) for i in range(_SEGMENTS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(_SEGMENTS), pa.int32()), pa.array(packed, pa.binary())], ["segment", "counts"])
 
@@ -79,21 +88,23 @@ def least_overlap(n):
     return -(-NUM * n // DEN)
 
 
-def choose_matches(frequency: np.ndarray, n: int, most: int = MOST, check: float = 4.0) -> int:
-    """The l in 1..most with the least estimated cost for a document whose ordered elements have these frequencies.
+def matches(n, share: int):
+    return np.maximum(1, -(-n // share))
+
 
-    Reading an element's postings costs its frequency; a candidate costs ``check`` postings, and
-    asking for l shared elements leaves about 1 / l**2 of those met.
+def choose_matches(frequency: np.ndarray, n: int, check: float = 4.0) -> int:
+    """The l with the less estimated cost for a document whose ordered elements have these frequencies.
+
+    Reading an element's postings costs its frequency. A candidate costs ``check`` postings, and
+    of the candidates met about one in l shares l elements.
     """
     base = n - least_overlap(n)
     upto = np.cumsum(frequency)
-    best, least = 1, np.inf
-    for l in range(1, min(most, least_overlap(n)) + 1):
+    cost = {}
+    for l in (int(matches(n, LEAST)), int(matches(n, MORE))):
         met = upto[min(base + l, n) - 1]
-        cost = met + check * met / l**2
-        if cost < least * 0.9:  # a longer prefix has to pay clearly
-            best, least = l, cost
-    return best
+        cost[l] = met + check * (met - base - l) * n / l
+    return min(cost, key=lambda l: (cost[l], l))
 
 
 def _unsigned(x: np.ndarray) -> np.ndarray:
@@ -109,8 +120,8 @@ def _sets(batch: pa.RecordBatch, text: int, width: int = WIDTH) -> Iterator[tupl
             yield row + i, np.unique(found[first[i] : first[i + 1]])
 
 
-def signatures(docs: DataFrame, levels: np.ndarray, most: int = MOST) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit fingerprint of the set, the longest prefix in order, and l.
+def signatures(docs: DataFrame, levels: np.ndarray) -> DataFrame:
+    """doc_id, n_shingles, a 128-bit fingerprint of the set, the prefix in order, and l.
 
     Only the first of identical sets in a task carries its prefix; the others are known by fingerprint.
     """
@@ -138,8 +149,8 @@ def signatures(docs: DataFrame, levels: np.ndarray, most: int = MOST) -> DataFra
                 seen.add((a, b))
                 c = level[_cells(s, bits)]
                 order = np.argsort(c, kind="stable")  # s is sorted, so ties are in order of hash
-                l = choose_matches(np.maximum(2.0 ** (c[order] / 4.0) - 1 - noise, 1.0), n, most)
-                prefix.append(_unsigned(s[order[: min(n, n - least_overlap(n) + most)]]))
+                l = choose_matches(np.maximum(2.0 ** (c[order] / 4.0) - 1 - noise, 1.0), n)
+                prefix.append(_unsigned(s[order[: min(n, n - least_overlap(n) + l)]]))
                 match.append(l)
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(n_, pa.int32()), pa.array(_unsigned(np.array(hi, np.uint64))), pa.array(_unsigned(np.array(lo, np.uint64))), pa.array(prefix, pa.list_(pa.int64())), pa.array(match, pa.int32())],
@@ -181,22 +192,24 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(exact, "a long, b long").distinct()
 
 
-def _enough_matches(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Keeps a pair if the l-prefixes share l elements; l is the choice of the larger set (ties: larger id).
+def _enough_matches(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """Keeps a pair if its prefixes share the smaller l of the two. Columns: a, b, na, nb, la, lb."""
+    return (
+        pairs.join(shared.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a")
+        .join(shared.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
+        .filter(F.size(F.array_intersect("ta", "tb")) >= F.least("la", "lb"))
+        .select("a", "b")
+    )
 
-    Pairs with l = 1 share an element already. Columns: a, b, na, nb, la, lb.
+
+def _worthwhile(buckets: DataFrame) -> DataFrame:
+    """Without documents whose shared elements are too few for any partner.
+
+    A partner has at least NUM / DEN of the document's size, so the pair's l is at least that share of
+    the document's own least l.
     """
-    probe = F.struct("na", "a") >= F.struct("nb", "b")
-    pairs = pairs.withColumn("l", F.when(probe, F.col("la")).otherwise(F.col("lb")))
-    one, more = pairs.filter("l <= 1").select("a", "b"), pairs.filter("l > 1")
-    cut = lambda p, n: F.slice(p, F.lit(1), n - F.ceil(n * NUM / DEN).cast("int") + F.col("l"))
-    p = prefixes.select("doc_id", "prefix")
-    more = (
-        more.join(p.select(F.col("doc_id").alias("a"), F.col("prefix").alias("pa")), "a")
-        .join(p.select(F.col("doc_id").alias("b"), F.col("prefix").alias("pb")), "b")
-        .filter(F.size(F.array_intersect(cut(F.col("pa"), F.col("na")), cut(F.col("pb"), F.col("nb")))) >= F.col("l"))
-    )
-    return one.unionByName(more.select("a", "b"))
+    held = F.count("*").over(Window.partitionBy("doc_id"))
+    return buckets.withColumn("held", held).filter(DEN * LEAST * F.col("held") >= NUM * F.col("n")).drop("held")
 
 
 _SIZES_FIT = f"{NUM} * greatest(na, nb) <= {DEN} * least(na, nb)"
@@ -224,11 +237,11 @@ def _all_pairs(buckets: DataFrame) -> DataFrame:
     )
 
 
-def _mixed(buckets: DataFrame) -> DataFrame:
-    """Only lists that still hold two components."""
+def _mixed(buckets: DataFrame, by: str = "comp") -> DataFrame:
+    """Only lists that hold two components (or documents)."""
     w = Window.partitionBy("token")
     return (
-        buckets.withColumn("low", F.min("comp").over(w)).withColumn("high", F.max("comp").over(w))
+        buckets.withColumn("low", F.min(by).over(w)).withColumn("high", F.max(by).over(w))
         .filter("low != high").drop("low", "high")
     )
 
@@ -259,21 +272,22 @@ def near_duplicates(docs: DataFrame, rounds: int = 8) -> DataFrame:
         "groups",
     )
     carrying = known.filter("prefix is not null and doc_id is not null")
-    extra = carrying.select("doc_id", "hi", "lo").join(groups.select("hi", "lo", F.col("rep")), ["hi", "lo"]).filter("doc_id != rep")
-    reps = carrying.join(extra.select("doc_id", "hi", "lo"), ["doc_id", "hi", "lo"], "left_anti")
-
-    lists = reps.select(
-        F.explode(F.slice("prefix", F.lit(1), F.col("n_shingles") - F.ceil(F.col("n_shingles") * NUM / DEN).cast("int") + 1)).alias("token"),
-        "doc_id", F.col("doc_id").alias("comp"), F.col("n_shingles").alias("n"), F.col("matches").alias("l"),
-    )
-    buckets = materialise(_mixed(lists), "buckets")
-    wanted = materialise(buckets.select("doc_id").distinct(), "wanted")
-    sets = materialise(_full_sets(docs, wanted), "sets")
+    extra = carrying.select("doc_id", "hi", "lo").join(groups.select("hi", "lo", "rep"), ["hi", "lo"]).filter("doc_id != rep").select("doc_id", "hi", "lo")
+    extra = materialise(extra, "extra")
+    reps = carrying.join(F.broadcast(extra) if extra.count() <= IDS_TO_BROADCAST else extra, ["doc_id", "hi", "lo"], "left_anti")
+
+    lists = reps.select(F.explode("prefix").alias("token"), "doc_id", F.col("n_shingles").alias("n"), F.col("matches").alias("l"))
+    buckets = materialise(_mixed(lists, "doc_id"), "buckets")
+    for _ in range(2):
+        buckets = materialise(_mixed(_worthwhile(buckets), "doc_id"), "buckets")
+    shared = materialise(buckets.groupBy("doc_id").agg(F.collect_set("token").alias("tokens")), "shared")
+    sets = materialise(_full_sets(docs, shared.select("doc_id")), "sets")
+    buckets = buckets.withColumn("comp", F.col("doc_id"))
 
     links = None
     for _ in range(rounds):
         pairs, rest = _pivot_pairs(buckets)
-        found = materialise(_verify(_enough_matches(pairs, reps), sets), "links")
+        found = materialise(_verify(_enough_matches(pairs, shared), sets), "links")
         links = found if links is None else links.unionByName(found)
         roots = materialise(components(links), "roots")
         # components are kept on document ids, so labels are taken from the ids themselves
@@ -287,7 +301,7 @@ def near_duplicates(docs: DataFrame, rounds: int = 8) -> DataFrame:
         if not left[0] or left[0] <= 8 * left[1]:
             break
     if left[0]:
-        found = materialise(_verify(_enough_matches(_all_pairs(buckets), reps), sets), "links")
+        found = materialise(_verify(_enough_matches(_all_pairs(buckets), shared), sets), "links")
         links = links.unionByName(found)
         roots = materialise(components(links), "roots")
 
