@@ -7,10 +7,12 @@ from .decontamination import op7_benchmark_decontamination
 from .jaccard_join import op9_ngram_jaccard_join
 from .licences import op3_license_scans
 from .line_dedup import OP1_SQL, op1_line_dedup
+from .pieces import op2_sentencepiece_encoding
 from .token_file import op4_token_binary_output
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_sentencepiece_encoding": op2_sentencepiece_encoding,
     "op3_license_scans": op3_license_scans,
     "op4_token_binary_output": op4_token_binary_output,
     "op5_chat_formatting": op5_chat_formatting,
