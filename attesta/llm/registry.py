@@ -9,6 +9,7 @@ from .licences import op3_license_scans
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .pieces import op2_sentencepiece_encoding
 from .token_file import op4_token_binary_output
+from .topk import OP8_SQL, op8_exact_topk
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -17,7 +18,8 @@ QUERIES = {
     "op4_token_binary_output": op4_token_binary_output,
     "op5_chat_formatting": op5_chat_formatting,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_exact_topk": op8_exact_topk,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op5_chat_formatting": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op5_chat_formatting": OP5_SQL, "op8_exact_topk": OP8_SQL}
