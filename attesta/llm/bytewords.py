@@ -58,15 +58,23 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of consecutive texts. ``first[i]:first[i + 1]`` are the words of text i."""
 
-    def __init__(self, hashes, first, starts, ends, data):
-        self.hashes, self.first, self.starts, self.ends, self.data = hashes, first, starts, ends, data
+    def __init__(self, hashes, first, starts, ends, total=None):
+        self.hashes, self.first, self.starts, self.ends, self._total = hashes, first, starts, ends, total
+
+    def prefix(self, size: int) -> np.ndarray:
+        """Hashes of the words' first ``size`` bytes; 0 for shorter words."""
+        own = self.ends - self.starts >= size
+        s = self.starts[own]
+        out = np.zeros(len(self.starts), np.uint64)
+        out[own] = mix((self._total[s + size] - self._total[s]) * _powers[1][s] + np.uint64(size))
+        return out
 
 
 def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none, data)
+        return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none, np.zeros(1, np.uint64))
     folded = table[data]
     inside = folded != 0
     begins = inside.copy()
@@ -81,7 +89,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Word
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[folded] * power[:n], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    return Words(hashes, np.searchsorted(starts, offsets), starts, ends, data)
+    return Words(hashes, np.searchsorted(starts, offsets), starts, ends, total)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -78,7 +78,7 @@ class Windows:
         count = self.length[own] - size + 1
         window = np.repeat(own, count)
         place = np.arange(len(window)) - np.repeat(np.cumsum(count) - count, count)
-        all_ = Words(self.words, np.array([0, len(self.words)]), None, None, None)
+        all_ = Words(self.words, np.array([0, len(self.words)]), None, None)
         hashes, _ = runs(all_, size)  # an element never leaves its item, so hashes across items are not read
         return window, place, hashes[self.start[window] + place] if len(window) else np.zeros(0, np.uint64)
 

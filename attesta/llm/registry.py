@@ -8,6 +8,7 @@ from .jaccard_join import op9_ngram_jaccard_join
 from .licences import op3_license_scans
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .pieces import op2_sentencepiece_encoding
+from .quality import op10_quality_classifier
 from .token_file import op4_token_binary_output
 from .topk import OP8_SQL, op8_exact_topk
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_exact_topk": op8_exact_topk,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op5_chat_formatting": OP5_SQL, "op8_exact_topk": OP8_SQL}
