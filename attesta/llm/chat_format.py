@@ -47,9 +47,9 @@ def chosen_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     jumps = [up := materialise(up, "jumps")]
     while up.filter("up is not null").limit(1).count():
         above = up.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("s"), F.col("depth").alias("d"))
-        met = up.join(above, ["tree", "up"], "left")
+        met = up.filter("up is not null").join(above, ["tree", "up"], "left")  # a node that has reached its root is done
         up = materialise(
-            met.select("tree", "node", F.col("next").alias("up"), (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth")),
+            up.filter("up is null").unionByName(met.select("tree", "node", F.col("next").alias("up"), (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"))),
             "jumps",
         )
         jumps.append(up)
