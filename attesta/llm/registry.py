@@ -11,6 +11,7 @@ from .pieces import op2_sentencepiece_encoding
 from .quality import op10_quality_classifier
 from .token_file import op4_token_binary_output
 from .topk import OP8_SQL, op8_exact_topk
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_license_scans": op3_license_scans,
     "op4_token_binary_output": op4_token_binary_output,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_toxicity": op6_toxicity,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_exact_topk": op8_exact_topk,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
