@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import retrieval_queries
+
+_MODULES = [retrieval_queries]
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.ORACLES.items()}
