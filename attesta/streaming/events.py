@@ -123,7 +123,7 @@ def task_states(events: DataFrame, most: int = 3, base: float = 1.0, visible: fl
             row = _advance(row, e, t, most, base)
         return pd.DataFrame([{"task_id": pdf["task_id"].iloc[0], "state": row["state"], "attempt": row["attempt"], "due": row["due"]}])
 
-    return events.groupBy("task_id").applyInPandas(fold, "task_id long, state string, attempt long, due double")
+    return events.groupBy("task_id").applyInPandas(fold, "task_id string, state string, attempt long, due double")
 
 
 # research phases, fixed order
