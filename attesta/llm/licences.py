@@ -90,9 +90,10 @@ def scan(docs: DataFrame) -> DataFrame:
     places: label, base, start of the key phrase, and share of the template's words found, for every
     verified place in order. score: 1 where a base phrase stands, else the best share, else 0. A null
     or empty text has no words and no places. Rows are scanned one by one, so repeated rows and ids
-    keep their own results; an empty table gives an empty result.
+    keep their own results; columns that are called n_words, places or score are replaced; an empty
+    table gives an empty result.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), words(F.col("text")).alias("words"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_words", "places", "score")]).alias("row"), words(F.col("text")).alias("words"))
     weights = word_weights(rows)
     templates = F.array(*_index(weights))
     rare = F.array(*map(F.lit, sorted({_rarest(_split(key), weights)[1] for _, _, key, _, _ in TEMPLATES})))
