@@ -26,11 +26,12 @@ from .bytewords import chunks, mix
 from .shared import read, slim
 
 SPACE = "\u2581"
-MEMO_UNITS = 500_000  # units whose ids a worker remembers
+MEMO_UNITS = 1_000_000  # units whose ids a worker remembers
 _ROWS = 1 << 14  # words searched at once
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _NONE = np.int64(-1)
 _BITS = 22
+_PAIRS = 1 << 20  # pairs whose stability is remembered, one a slot
 
 
 def _char(c: np.ndarray) -> np.ndarray:
@@ -93,8 +94,12 @@ class Pieces:
         keys = mix(self.hash)
         order = np.argsort(keys)
         self.keys, self.key_number = keys[order], order
-        self.table = np.zeros(1 << _BITS, bool)
-        self.table[(keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        slot = (keys >> np.uint64(64 - _BITS)).astype(np.int64)
+        self.table = np.full(1 << _BITS, _NONE, np.int32)  # piece of a slot; -1: none, -2: more than one
+        self.table[slot] = np.arange(len(keys))
+        self.table[np.flatnonzero(np.bincount(slot, minlength=1 << _BITS) > 1)] = -2
+        self.key = keys
+        self.pair_keys, self.pair_stable = np.full(_PAIRS, _NONE), np.zeros(_PAIRS, bool)
         self.left = np.arange(len(strings))
         self.right = np.arange(len(strings))
         self.reachable = np.ones(len(strings), bool)
@@ -106,8 +111,9 @@ class Pieces:
                     self.reachable[i] = len(parts) == 2 and None not in (number.get(parts[0]), number.get(parts[1]))
                     if self.reachable[i]:
                         self.left[i], self.right[i] = number[parts[0]], number[parts[1]]
-        cut = "".join(c for c in map(chr, range(32)) if c not in self.charset)
-        self.units = re.compile(f"{SPACE}*[^{SPACE}{re.escape(cut)}]+|{SPACE}+|[{re.escape(cut)}]+")
+        # units end where no piece goes on: at control characters and before spaces
+        cut = re.escape("".join(c for c in map(chr, range(32)) if c not in self.charset))
+        self.units = re.compile(f"{SPACE}*[^{SPACE}{cut}]+|{SPACE}+|[{cut}]+")
 
     @staticmethod
     def _merge(x: str, number: dict[str, int], below: int) -> list[str]:
@@ -123,13 +129,13 @@ class Pieces:
 
     def cut(self, text: str) -> list[str]:
         """Units of a text: no piece lies across the border of two."""
+        units = self.units.findall((SPACE * self.prefix + text).replace(" ", SPACE)) if text else []
+        if not units or max(map(len, units)) <= 64:
+            return units
         out = []
-        for unit in self.units.findall((SPACE * self.prefix + text).replace(" ", SPACE)) if text else []:
-            if len(unit) <= 64:
-                out.append(unit)
-                continue
+        for unit in units:
             at = 0
-            for i in range(1, len(unit)):
+            for i in range(1, len(unit) if len(unit) > 64 else 0):
                 if unit[i - 1 : i + 1] not in self.pairs:
                     out.append(unit[at:i])
                     at = i
@@ -139,17 +145,39 @@ class Pieces:
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Number of the piece with each hash, or -1."""
         keys = mix(hashes)
-        out = np.full(keys.shape, _NONE)
-        maybe = self.table[(keys >> np.uint64(64 - _BITS)).astype(np.int64)]
-        k = keys[maybe]
-        at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
-        out[maybe] = np.where(self.keys[at] == k, self.key_number[at], _NONE)
+        out = self.table[(keys >> np.uint64(64 - _BITS)).astype(np.int64)]
+        some = np.flatnonzero(out.ravel() != _NONE)
+        if len(some):
+            flat, k = out.ravel(), keys.ravel()[some]
+            number = flat[some]
+            many = np.flatnonzero(number == -2)
+            if len(many):
+                number[many] = self.key_number[np.minimum(np.searchsorted(self.keys, k[many]), len(self.keys) - 1)]
+            flat[some] = np.where(self.key[number] == k, number, _NONE)
+            out = flat.reshape(out.shape)
         return out
 
     def stable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether the merges leave pieces a and b side by side when their texts are joined.
+        """Whether the merges leave pieces a and b side by side when their texts are joined."""
+        pair = a * len(self.key) + b
+        slot = (mix(pair.astype(np.uint64)) & np.uint64(_PAIRS - 1)).astype(np.int64)
+        new = np.flatnonzero(self.pair_keys[slot] != pair)
+        out = self.pair_stable[slot]
+        if len(new):
+            out[new] = self._stable(a[new], b[new])
+            self.pair_keys[slot[new]], self.pair_stable[slot[new]] = pair[new], out[new]
+            # of two pairs in one slot either may have won; the slot then holds that one's result
+            self.pair_stable[slot[new]] = self._winner(slot[new], pair[new], out[new])
+        return out
 
-        Both pieces are taken apart, the later merge first; if the ends that face each other would have
+    def _winner(self, slot: np.ndarray, pair: np.ndarray, stable: np.ndarray) -> np.ndarray:
+        held = self.pair_keys[slot] == pair
+        order = np.argsort(slot[held], kind="stable")
+        first = np.searchsorted(slot[held][order], slot)
+        return stable[held][order][np.minimum(first, len(order) - 1)]
+
+    def _stable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Both pieces are taken apart, the later merge first; if the ends that face each other would have
         merged before the last merge undone, the pair never comes to stand.
         """
         ok = np.ones(len(a), bool)
@@ -180,7 +208,7 @@ class Pieces:
         chars = _char(codes)
         for j in range(n):
             prefix[:, j + 1] = prefix[:, j] * _BASE + chars[:, j]
-        found = np.full((n + 1, rows, self.longest), _NONE, np.int32)  # by end, word and length - 1
+        found = np.full((n + 1, rows, min(n, self.longest)), _NONE, np.int32)  # by end, word and length - 1
         for size in range(1, min(n, self.longest) + 1):
             piece = self.find(prefix[:, size:] - prefix[:, : n + 1 - size] * self.power[size])
             found[size:, :, size - 1] = np.where((piece >= 0) & self.reachable[piece], piece, _NONE).T
@@ -198,7 +226,7 @@ class Pieces:
                 keep = np.ones(len(row), bool)
                 keep[pair] = self.stable(before[pair], piece[pair].astype(np.int64))
                 row, size, piece, start = row[keep], size[keep], piece[keep], start[keep]
-            score = np.full((rows, self.longest), -np.inf)
+            score = np.full((rows, found.shape[2]), -np.inf)
             score[row, size] = best[row, start] + self.score[piece]
             size = score.argmax(axis=1)
             best[:, j], back[:, j] = score[every, size], size + 1
@@ -221,9 +249,12 @@ class Pieces:
             step = max(1, min(_ROWS, (1 << 17) // width))
             for at in range(0, len(own), step):
                 some = own[at : at + step]
-                codes = np.full((len(some), width), 0x110000, np.uint32)
-                for k, i in enumerate(some):
-                    codes[k, : len(units[i])] = np.frombuffer(units[i].encode("utf-32-le"), "<u4")
+                if width <= 32:
+                    codes = np.frombuffer("".join([units[i] for i in some]).encode("utf-32-le"), "<u4").reshape(len(some), width)
+                else:
+                    codes = np.full((len(some), width), 0x110000, np.uint32)
+                    for k, i in enumerate(some):
+                        codes[k, : len(units[i])] = np.frombuffer(units[i].encode("utf-32-le"), "<u4")
                 back, last = self.search(codes)
                 for k, ids in enumerate(self._paths(back, last, [units[i] for i in some])):
                     out[some[k]] = ids
