@@ -106,3 +106,24 @@ def missing_gold(gold: DataFrame, available: DataFrame) -> DataFrame:
 def budget_matrix(paths: list[str], ratios: list[float], window: int) -> list[tuple]:
     """Rows (path, ratio, input_tokens) of a stress run, for ``budget.context_budget``."""
     return [(p, r, int(window * r)) for p in paths for r in ratios]
+
+
+def group_support(cases: DataFrame, documents: DataFrame) -> DataFrame:
+    """(case_id, groups, matched, cited, supported) of answers against their required term groups.
+
+    ``cases``: case_id, answer, required_term_groups; ``documents``: case_id, citation_id, content. A group is
+    matched by a sentence with one of its terms, cited if such a sentence has a mark ``[[n]]``, supported if a
+    cited document holds one of its terms. Marks behind a full stop belong to the sentence before it.
+    """
+    attached = F.regexp_replace(text.blank(F.col("answer")), r"([。！？.!?])[ \t]*((?:\[\[\d+\]\][ \t]*)+)", "$2$1")
+    groups = cases.select("case_id", F.posexplode("required_term_groups").alias("g", "terms"), attached.alias("answer"))
+    low = F.transform("terms", F.lower)
+    has = lambda body: F.exists("low", lambda t: F.contains(F.lower(body), t))
+    sentences_ = groups.withColumn("low", low).select("case_id", "g", "low", F.explode_outer(text.sentences(F.col("answer"))).alias("s"))
+    met = sentences_.withColumn("hit", F.coalesce(has(F.col("s")), F.lit(False))).withColumn("marks", F.when(F.col("hit"), F.regexp_extract_all("s", F.lit(r"\[\[(\d+)\]\]"), 1)).otherwise(F.array().cast("array<string>")))
+    own = met.groupBy("case_id", "g", "low").agg(F.max("hit").alias("matched"), F.array_distinct(F.flatten(F.collect_list("marks"))).alias("marks"))
+    cited = own.select("case_id", "g", "low", F.explode("marks").alias("citation_id")).withColumn("citation_id", F.col("citation_id").cast("int")).join(documents, ["case_id", "citation_id"])
+    supported = cited.filter(has(F.col("content"))).select("case_id", "g").distinct().withColumn("supported", F.lit(True))
+    return own.join(supported, ["case_id", "g"], "left").groupBy("case_id").agg(
+        F.count("*").alias("groups"), F.count_if("matched").alias("matched"), F.count_if(F.col("matched") & (F.size("marks") > 0)).alias("cited"), F.count_if(F.coalesce("supported", F.lit(False))).alias("supported")
+    )

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import budget, chunking, dense, evaluation, fusion, governance, lexical
+from ..functions import queryplan, text
+from ..operators import budget, chunking, dense, evaluation, fusion, governance, ingest, lexical
 from ..sources.tables import table
 
 TOKENS = r"regexp_extract_all(lower({}), '[a-z0-9]+(?:[._/-][a-z0-9]+)*')"
@@ -193,15 +193,55 @@ def pairwise_cosine(spark: SparkSession, d: str) -> DataFrame:
     return dense.mean_cosine(table(spark, d, "embeddings"), "label")
 
 
+def page_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' texts as pages of markdown."""
+    return table(spark, d, "documents").select("doc_id", ingest.to_markdown("text").alias("markdown"))
+
+
+def query_plans(spark: SparkSession, d: str) -> DataFrame:
+    """Sub-queries of the passages, with the passages' own frequent words as the glossary."""
+    return queryplan.query_plans(_questions(spark, d), pairs=[("the", ["article"]), ("of", ["genitive", "part"]), ("and", ["conjunction"])])
+
+
+def digest_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.with_digest_vectors(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", dense.norm(F.col("embedding")).alias("norm"))
+
+
+def word_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Word similarity of each user turn and the assistant turn after it."""
+    c = table(spark, d, "conversations")
+    asks = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("a"))
+    says = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
+    return asks.join(says, ["conv_id", "turn"]).select("conv_id", "turn", F.round(text.jaccard(text.word_set(F.col("a")), text.word_set(F.col("b"))), 9).alias("similarity"))
+
+
+def support_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Lexical support of each assistant turn by the user turn before it."""
+    c = table(spark, d, "conversations")
+    asks = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("a"))
+    says = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
+    return asks.join(says, ["conv_id", "turn"]).select("conv_id", "turn", F.round(text.lexical_support(F.col("b"), F.col("a")), 9).alias("support"))
+
+
 QUERIES = {f.__name__: f for f in (
     lexical_topk, bm25_topk, dense_topk, rrf_fusion, fused_score, doc_admission, neighbor_expand, chunk_fixed, chunk_text, chunk_markdown, content_hash_dedup, normalised_hash,
     question_trigram_dup, gold_contamination, label_prevalence, html_to_text, url_domain_stats, session_budget, session_last_n, memory_trigger, context_pack_greedy, facet_selection,
-    mrr_ndcg, vector_audit, pairwise_cosine,
+    mrr_ndcg, vector_audit, pairwise_cosine, page_markdown, query_plans, digest_vectors, word_jaccard_pairs, support_scores,
 )}
 
 _TOKENS3 = "CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE greatest(1, length(text) // 3) END"
 
+_TURNS = """SELECT a.conv_id, a.turn, a.text AS a, b.text AS b FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+    WHERE a.role = 'user' AND b.role = 'assistant'"""
+_STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
+_SUPPORT = "list_distinct(list_filter(" + TOKENS + ", lambda t: length(t) >= 2 AND t NOT IN (" + _STOP + ")))"
+
 ORACLES = {
+    "word_jaccard_pairs": rf"""WITH t AS ({_TURNS}), w AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(a), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS a,
+          list_distinct(list_filter(regexp_split_to_array(lower(b), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS b FROM t)
+        SELECT conv_id, turn, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 9) AS similarity FROM w""",
+    "support_scores": f"""WITH t AS ({_TURNS}), s AS (SELECT conv_id, turn, {_SUPPORT.format('a')} AS a, {_SUPPORT.format('b')} AS b FROM t)
+        SELECT conv_id, turn, round(CASE WHEN len(b) > 0 THEN len(list_intersect(a, b)) / len(b) ELSE 0 END, 9) AS support FROM s""",
     "lexical_topk": f"WITH {_COVER} SELECT query_id, chunk_id, score, rank FROM {_rank('(SELECT * FROM cover WHERE score >= 0.18)', 5)}",
     "bm25_topk": f"WITH {_COVER}, {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM {_rank('bm', 5)}",
     "dense_topk": """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS score
