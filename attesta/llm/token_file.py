@@ -13,6 +13,7 @@ lost executor's blocks appear once, and a block is found by its place without re
 from __future__ import annotations
 
 import bisect
+import operator
 import os
 import re
 import zlib
@@ -26,11 +27,13 @@ from pyspark.sql import functions as F
 
 from .bytewords import chunks
 from .shared import read, slim, table_path
+from .worker import keep
 
 MAGIC = b"DAC1"
 RANK_STEP = 512
 BLOCK_TOKENS = 1 << 18  # a block is closed once it holds so many; a longer document is a block by itself
-MEMO_WORDS = 500_000  # words whose ids a worker remembers
+MEMO_WORDS = 1_200_000  # words whose ids a worker remembers
+MEMO_STEMS = 1_000_000  # and lower-case stems
 END_ID = 2
 
 _LAYOUT = "part int, block long, first_doc long, last_doc long, n_docs long, within long, n_tokens long, payload binary"
@@ -43,14 +46,14 @@ def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, known: np.nd
     """A block: header, documents (ids, first tokens, ids that are null), then chunks, bitmap and ranks of every level."""
     known = np.ones(len(doc_ids), bool) if known is None else known
     out = []
-    values, levels = ids.astype(np.uint64), 0
+    values, levels = ids.astype(np.uint32), 0
     while True:
         goes_on = values > 255
         bits = np.packbits(goes_on, bitorder="little")
         ranks = np.r_[0, np.cumsum(np.add.reduceat(goes_on, np.arange(0, len(goes_on), RANK_STEP), dtype=np.int64))] if len(values) else np.zeros(1, np.int64)
-        out += [np.int64(len(values)).tobytes(), (values & np.uint64(255)).astype(np.uint8).tobytes(), bits.tobytes(), ranks.astype("<u4").tobytes()]
+        out += [np.int64(len(values)).tobytes(), values.astype(np.uint8).tobytes(), bits.tobytes(), ranks.astype("<u4").tobytes()]
         levels += 1
-        values = values[goes_on] >> np.uint64(8)
+        values = values[goes_on] >> np.uint32(8)
         if not len(values):
             break
     head = MAGIC + np.array([levels, len(doc_ids), len(ids)], "<i8").tobytes()
@@ -110,11 +113,12 @@ class WordMemo:
     """Ids of space-separated words by the tokenizers library, each distinct word encoded once in a while.
 
     The tokenizer drops white space before it splits words, so a text's ids are its words' ids in order.
-    Words of plain letters, with or without closing marks, have a known number of pre-tokens; they go
-    through the library joined by spaces, and are cut apart where a token ends a pre-token.
+    A word of plain letters with or without closing marks is two pre-tokens, its lower-case stem and the
+    marks, whose ids follow each other. Stems go through the library joined by spaces, and their ids are cut
+    apart where a token ends a pre-token.
     """
 
-    _plain = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?|%$&*#]*)")
+    _plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|%$&*#]*)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -126,36 +130,46 @@ class WordMemo:
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {"": b""}
 
-    def _each(self, words: list[bytes]) -> None:
-        for word, e in zip(words, self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self.known[word] = np.array(e.ids, "<u4").tobytes()
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
-    def _joined(self, words: list[bytes], counts: list[int]) -> None:
-        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        upto = np.cumsum(counts)
-        if len(ends) != upto[-1]:
+    def _joined(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cut = np.r_[0, np.flatnonzero(self.ends[ids]) + 1]
+        if len(cut) != len(words) + 1:
             return self._each(words)
-        cut = np.r_[0, ends[upto - 1]] * 4
-        data = ids.tobytes()
-        for i, word in enumerate(words):
-            self.known[word] = data[cut[i] : cut[i + 1]]
+        cut, data = (cut * 4).tolist(), ids.tobytes()
+        return [data[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) + len(words) > MEMO_WORDS:
             self.known.clear()
-        plain, counts, other = [], [], []
-        for w in words:
-            if (m := self._plain.fullmatch(w.decode())) and len(w) < 200:
+        if len(self.stems) > MEMO_STEMS:
+            self.stems = {"": b""}
+        if not words:
+            return
+        plain, heads, tails, other = [], [], [], []
+        match = self._plain.fullmatch
+        for w, text in zip(words, b"\n".join(words).decode().split("\n"), strict=True):
+            if len(w) < 200 and (m := match(text)):
+                head, tail = m.groups()
                 plain.append(w)
-                counts.append(1 + (m.end(1) > m.start(1)))
+                heads.append(head)
+                tails.append(tail)
             else:
                 other.append(w)
-        for i in range(0, len(plain), 2000):
-            self._joined(plain[i : i + 2000], counts[i : i + 2000])
-        for i in range(0, len(other), 2000):
-            self._each(other[i : i + 2000])
+        heads = "\n".join(heads).lower().split("\n") if heads else []
+        stems = self.stems
+        new = list(set(heads).difference(stems))
+        for i in range(0, len(new), 500):
+            stems.update(zip(new[i : i + 500], self._joined(new[i : i + 500]), strict=True))
+        marks = list(set(tails).difference(stems))
+        stems.update(zip(marks, self._each(marks), strict=True))
+        get = stems.__getitem__
+        self.known.update(zip(plain, map(operator.add, map(get, heads), map(get, tails)), strict=False))
+        self.known.update(zip(other, self._each([w.decode() for w in other]), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -169,13 +183,8 @@ class WordMemo:
         return [b"".join(map(get, words)) for words in split]
 
 
-_memos: dict[str, WordMemo] = {}  # of this worker
-
-
 def _memo(path: str) -> WordMemo:
-    if path not in _memos:
-        _memos[path] = WordMemo(path)
-    return _memos[path]
+    return keep(("words", path), lambda: WordMemo(path))
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> str:
