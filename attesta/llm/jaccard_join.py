@@ -3,13 +3,13 @@
 Documents are sets of five-word shingles (64-bit hashes). All shingles follow one order, rarest
 first by a fixed-size frequency sketch of the whole corpus. If two sets share at least T elements,
 the first ``n - T + l`` elements of each share at least ``l``; so a document's prefix may be made
-longer if correspondingly more shared elements are then asked for. Each document
-picks its ``l`` by estimated candidate cost, and a pair has to share the smaller of its two.
+longer if correspondingly more shared elements are then asked for. Each document picks its ``l`` by
+estimated candidate cost, and a pair has to share the smaller of its two.
 
-The join returns components, not pairs: identical sets are one node before any join, and within a
-posting list only pairs with a pivot are compared while that still merges members; pairs already in
-one component are never enumerated. Whatever remains is compared in full, so no link between
-different components is missed.
+The join returns components, not pairs: identical sets are one node before any join. Posting lists
+of much the same documents are gathered, cut into blocks of a bounded size, and every two blocks of
+a gathering meet in one task, which compares two documents only while no verified links join them
+already. So no pair is ever a row, and no link between different components is missed.
 """
 
 from __future__ import annotations
@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 from .bytewords import BLANK, chunks, find_words, mix, shingles
 from .components import components
 from .shared import materialise, read, slim
+from .worker import release
 
 WIDTH = 5
 NUM, DEN = 75, 100  # link: DEN * |x & y| >= NUM * |x | y|
 LEAST, MORE = 20, 10  # l is a twentieth of the set, or a tenth where candidates are estimated to be dear
 SKETCH_BITS = 23  # the sketch has this many cells at every size of input
 _SEGMENTS = 1024
-IDS_TO_BROADCAST = 2_000_000  # 16 MB of ids; beyond it both sides are shuffled
+BLOCK = 1 << 20  # shingles of a block: 8 MB
+IDS_TO_BROADCAST = 2_000_000  # rows of ids, 16 to 80 MB; beyond it both sides are shuffled
 
 
 def _cells(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -47,20 +49,11 @@ def frequency_classes(docs: DataFrame, bits: int = SKETCH_BITS, width: int = WID
     part = 1 << bits - _SEGMENTS.bit_length() + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total = np.zeros(1 << bits, np.uint32)
-        held: list[np.ndarray] = []
-
-        def pour() -> None:
-            np.add(total, np.bincount(np.concatenate(held), minlength=1 << bits), out=total, casting="unsafe")
-            held.clear()
-
         for batch in batches:
             for _, _, data, at in chunks(batch.column(0)):
-                held.append(_cells(shingles(find_words(data, at, BLANK), width)[0], bits))
-                if sum(map(len, held)) > 1 << 22:
-                    pour()
-        if held:
-            pour()
+                np.add.at(total, _cells(shingles(find_words(data, at, BLANK), width)[0], bits), np.uint32(1))
         packed = [zlib.compress(total[i * part : (i + 1) * part].tobytes(), 1) for i in range(_SEGMENTS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(_SEGMENTS), pa.int32()), pa.array(packed, pa.binary())], ["segment", "counts"])
 
@@ -120,6 +113,19 @@ def _sets(batch: pa.RecordBatch, text: int, width: int = WIDTH) -> Iterator[tupl
             yield row + i, np.unique(found[first[i] : first[i + 1]])
 
 
+def _noise(levels: np.ndarray) -> float:
+    return 2.0 ** (float(np.median(levels)) / 4) - 1
+
+
+def _prefix(s: np.ndarray, levels: np.ndarray, noise: float) -> tuple[np.ndarray, int]:
+    """Places of the first ``n - T + l`` elements of a sorted set in order of rarity (ties in order of hash), and l."""
+    n = len(s)
+    c = levels[_cells(s, len(levels).bit_length() - 1)]
+    order = np.argsort(c, kind="stable")
+    l = choose_matches(np.maximum(2.0 ** (c[order] / 4.0) - 1 - noise, 1.0), n)
+    return order[: min(n, n - least_overlap(n) + l)], l
+
+
 def signatures(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """doc_id, n_shingles, a 128-bit fingerprint of the set, the prefix in order, and l.
 
@@ -127,30 +133,29 @@ def signatures(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(levels)  # 2 ** bits bytes
-    bits = len(levels).bit_length() - 1
-    noise = 2.0 ** (float(np.median(levels)) / 4) - 1
+    noise = _noise(levels)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         level = held.value
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             ids = batch.column(0)
             n_, hi, lo, prefix, match = [], [], [], [], []
-            for _, s in _sets(batch, 1):
+            named = ids.is_valid().to_pylist()
+            for row, s in _sets(batch, 1):
                 n = len(s)
                 a, b = int(mix(s).sum(dtype=np.uint64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
                 n_.append(n)
                 hi.append(a)
                 lo.append(b)
-                if not n or (a, b) in seen:
+                if not n or not named[row] or (a, b) in seen:
                     prefix.append(None)
                     match.append(0)
                     continue
                 seen.add((a, b))
-                c = level[_cells(s, bits)]
-                order = np.argsort(c, kind="stable")  # s is sorted, so ties are in order of hash
-                l = choose_matches(np.maximum(2.0 ** (c[order] / 4.0) - 1 - noise, 1.0), n)
-                prefix.append(_unsigned(s[order[: min(n, n - least_overlap(n) + l)]]))
+                p, l = _prefix(s, level, noise)
+                prefix.append(_unsigned(s[p]))
                 match.append(l)
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(n_, pa.int32()), pa.array(_unsigned(np.array(hi, np.uint64))), pa.array(_unsigned(np.array(lo, np.uint64))), pa.array(prefix, pa.list_(pa.int64())), pa.array(match, pa.int32())],
@@ -162,44 +167,26 @@ def signatures(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     )
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and packed sorted shingle set of the documents in ``wanted`` (distinct ids)."""
+def _full_sets(docs: DataFrame, wanted: DataFrame, levels: np.ndarray) -> DataFrame:
+    """doc_id, packed sorted shingle set, a bit for each that is in the prefix, and l of the documents in ``wanted`` (distinct ids)."""
+    held = docs.sparkSession.sparkContext.broadcast(levels)
+    noise = _noise(levels)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [s.tobytes() for _, s in _sets(batch, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "shingles"])
+            packed, prefixes, ls = [], [], []
+            for _, s in _sets(batch, 1):
+                prefix, l = _prefix(s, held.value, noise)
+                inside = np.zeros(len(s), bool)
+                inside[prefix] = True
+                packed.append(s.tobytes())
+                prefixes.append(np.packbits(inside).tobytes())
+                ls.append(l)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(ls, pa.int32())], ["doc_id", "shingles", "prefix", "l"])
 
     wanted = F.broadcast(wanted) if wanted.count() <= IDS_TO_BROADCAST else wanted
     text = slim(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return text.join(wanted, "doc_id", "left_semi").mapInArrow(pack, "doc_id long, shingles binary")
-
-
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose exact similarity reaches the threshold."""
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(exact, "a long, b long").distinct()
-
-
-def _enough_matches(pairs: DataFrame, shared: DataFrame) -> DataFrame:
-    """Keeps a pair if its prefixes share the smaller l of the two. Columns: a, b, na, nb, la, lb."""
-    return (
-        pairs.join(shared.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a")
-        .join(shared.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
-        .filter(F.size(F.array_intersect("ta", "tb")) >= F.least("la", "lb"))
-        .select("a", "b")
-    )
+    return text.join(wanted, "doc_id", "left_semi").mapInArrow(pack, "doc_id long, shingles binary, prefix binary, l int")
 
 
 def _worthwhile(buckets: DataFrame) -> DataFrame:
@@ -212,55 +199,109 @@ def _worthwhile(buckets: DataFrame) -> DataFrame:
     return buckets.withColumn("held", held).filter(DEN * LEAST * F.col("held") >= NUM * F.col("n")).drop("held")
 
 
-_SIZES_FIT = f"{NUM} * greatest(na, nb) <= {DEN} * least(na, nb)"
-
-
-def _pivot_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each list's smallest id with members of other components, and the lists without that row."""
-    pivot = F.min(F.struct(F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("l").alias("la"))).over(Window.partitionBy("token"))
-    met = buckets.withColumn("p", pivot)
-    pairs = (
-        met.filter("comp != p.ca")
-        .select("p.a", F.col("doc_id").alias("b"), "p.na", F.col("n").alias("nb"), "p.la", F.col("l").alias("lb"))
-        .filter(_SIZES_FIT).distinct()
-    )
-    return pairs, met.filter("doc_id != p.a").drop("p")
-
-
-def _all_pairs(buckets: DataFrame) -> DataFrame:
-    """All pairs of different components within the remaining lists."""
-    side = lambda s, o: buckets.select("token", F.col("doc_id").alias(o), F.col("comp").alias(f"c{o}"), F.col("n").alias(f"n{o}"), F.col("l").alias(f"l{o}"))
-    return (
-        side(0, "a").join(side(1, "b"), "token")
-        .filter("a < b and ca != cb").filter(_SIZES_FIT)
-        .select("a", "b", "na", "nb", "la", "lb").distinct()
-    )
-
-
-def _mixed(buckets: DataFrame, by: str = "comp") -> DataFrame:
-    """Only lists that hold two components (or documents)."""
+def _mixed(lists: DataFrame) -> DataFrame:
+    """Only lists that hold two documents."""
     w = Window.partitionBy("token")
-    return (
-        buckets.withColumn("low", F.min(by).over(w)).withColumn("high", F.max(by).over(w))
-        .filter("low != high").drop("low", "high")
-    )
+    return lists.withColumn("low", F.min("doc_id").over(w)).withColumn("high", F.max("doc_id").over(w)).filter("low != high").drop("low", "high")
 
 
-def _relabel(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    return (
-        buckets.join(roots.select(F.col("node").alias("comp"), "root"), "comp", "left")
-        .withColumn("comp", F.coalesce("root", "comp")).drop("root")
-    )
+def _neighbourhoods(lists: DataFrame) -> DataFrame:
+    """(hood, doc_id, n): documents of every list that holds two, under the list's document of least hash.
 
+    Lists of much the same documents fall together, and two documents of a list share a hood.
+    """
+    first = F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("hood"))).over(Window.partitionBy("token"))
+    return _mixed(lists.withColumn("first", first)).select("first.hood", "doc_id", "n").distinct()
+
+
+def _block_pairs(hoods: DataFrame) -> DataFrame:
+    """(hood, i, j, block, doc_id): hoods cut into blocks of about ``BLOCK`` shingles, each two of which meet once."""
+    size = hoods.groupBy("hood").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = hoods.join(size, "hood").withColumn("block", F.pmod(F.xxhash64("doc_id", "hood"), F.col("blocks")).cast("int"))
+    met = dealt.select("hood", "doc_id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return met.select("hood", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id")
+
+
+class _Meeting:
+    """Documents that meet: finds verified links that join all that belong together, without comparing what is joined."""
+
+    def __init__(self, ids: list[int], blocks: np.ndarray, sets: list[np.ndarray], prefixes: list[np.ndarray], l: np.ndarray):
+        self.ids, self.blocks, self.l = ids, blocks, l
+        self.n = np.array([len(x) for x in sets])
+        number = np.unique(np.concatenate(sets), return_inverse=True)
+        self.all, self.at = number[1], np.r_[0, np.cumsum(self.n)]
+        self.first = np.searchsorted(number[0], np.concatenate(prefixes))
+        self.first_at = np.r_[0, np.cumsum([len(x) for x in prefixes])]
+        self.mark = np.zeros(len(number[0]), bool)
+        self.label = np.arange(len(ids))
+
+    def _overlaps(self, a: int, others: np.ndarray, elements: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Shared elements of document ``a`` with each of ``others``."""
+        own = elements[at[a] : at[a + 1]]
+        self.mark[own] = True
+        length = at[others + 1] - at[others]
+        begin = np.cumsum(length) - length
+        place = np.repeat(at[others] - begin, length) + np.arange(length.sum())
+        hit = np.r_[0, np.cumsum(self.mark[elements[place]])]
+        self.mark[own] = False
+        return hit[begin + length] - hit[begin]
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        two = self.blocks.min() != self.blocks.max()
+        for a in range(len(self.ids)):
+            if two and self.blocks[a] != self.blocks[0]:
+                continue
+            others = np.arange(len(self.ids)) if two else np.arange(a + 1, len(self.ids))
+            if two:
+                others = others[self.blocks[others] != self.blocks[a]]
+            small, large = np.minimum(self.n[others], self.n[a]), np.maximum(self.n[others], self.n[a])
+            others = others[(self.label[others] != self.label[a]) & (NUM * large <= DEN * small)]
+            if len(others):
+                others = others[self._overlaps(a, others, self.first, self.first_at) >= np.minimum(self.l[others], self.l[a])]
+            if len(others):
+                both = self._overlaps(a, others, self.all, self.at)
+                for b in others[DEN * both >= NUM * (self.n[a] + self.n[others] - both)]:
+                    if self.label[b] != self.label[a]:
+                        self.label[self.label == self.label[b]] = self.label[a]
+                        yield self.ids[a], self.ids[b]
+
+
+def _meet(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join all linked documents of every two blocks that meet."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def close() -> pa.RecordBatch:
+            found = []
+            if len(rows) > 1:
+                ids, blocks, s, p, l = zip(*rows, strict=True)
+                found = list(_Meeting(list(ids), np.array(blocks), list(s), list(p), np.array(l)).links())
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-def near_duplicates(docs: DataFrame, rounds: int = 8) -> DataFrame:
+        for batch in batches:
+            hood, i, j, block, doc, l = (batch.column(c).to_pylist() for c in (0, 1, 2, 3, 4, 7))
+            for r in range(batch.num_rows):
+                if (hood[r], i[r], j[r]) != key:
+                    yield close()
+                    key, rows = (hood[r], i[r], j[r]), []
+                s = np.frombuffer(batch.column(5)[r].as_buffer(), np.uint64).copy()
+                inside = np.unpackbits(np.frombuffer(batch.column(6)[r].as_buffer(), np.uint8), count=len(s)).astype(bool)
+                rows.append((doc[r], block[r], s, s[inside], l[r]))
+        yield close()
+
+    pairs = F.broadcast(pairs) if pairs.count() <= IDS_TO_BROADCAST else pairs
+    together = sets.join(pairs, "doc_id").select("hood", "i", "j", "block", "doc_id", "shingles", "prefix", "l")
+    return together.repartition("hood", "i", "j").sortWithinPartitions("hood", "i", "j", "doc_id").mapInArrow(compare, "a long, b long").filter("a != b").distinct()
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id.
 
     ``docs`` needs doc_id and text; other columns are ignored. A null or blank text has no shingles
     and is its own component; a text of fewer than five words is one shingle. Rows that share a
     doc_id are one node: links of any of them count, and each gets a row. A null doc_id is compared
-    with exact copies only. An empty table gives an empty result. ``rounds`` bounds only how often
-    pivots are tried before the remaining pairs are all compared.
+    with exact copies only. An empty table gives an empty result.
     """
     levels = frequency_classes(docs)
     signs = materialise(signatures(docs, levels), "signatures")
@@ -276,34 +317,12 @@ def near_duplicates(docs: DataFrame, rounds: int = 8) -> DataFrame:
     extra = materialise(extra, "extra")
     reps = carrying.join(F.broadcast(extra) if extra.count() <= IDS_TO_BROADCAST else extra, ["doc_id", "hi", "lo"], "left_anti")
 
-    lists = reps.select(F.explode("prefix").alias("token"), "doc_id", F.col("n_shingles").alias("n"), F.col("matches").alias("l"))
-    buckets = materialise(_mixed(lists, "doc_id"), "buckets")
-    for _ in range(2):
-        buckets = materialise(_mixed(_worthwhile(buckets), "doc_id"), "buckets")
-    shared = materialise(buckets.groupBy("doc_id").agg(F.collect_set("token").alias("tokens")), "shared")
-    sets = materialise(_full_sets(docs, shared.select("doc_id")), "sets")
-    buckets = buckets.withColumn("comp", F.col("doc_id"))
-
-    links = None
-    for _ in range(rounds):
-        pairs, rest = _pivot_pairs(buckets)
-        found = materialise(_verify(_enough_matches(pairs, shared), sets), "links")
-        links = found if links is None else links.unionByName(found)
-        roots = materialise(components(links), "roots")
-        # components are kept on document ids, so labels are taken from the ids themselves
-        rest = rest.withColumn("comp", F.col("doc_id"))
-        buckets = materialise(_mixed(_relabel(rest, roots)), "buckets")
-        left = (
-            buckets.groupBy("token", "comp").count().groupBy("token")
-            .agg((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))).alias("twice"), F.sum("count").alias("rows"))
-            .agg(F.sum("twice"), F.sum("rows")).first()
-        )
-        if not left[0] or left[0] <= 8 * left[1]:
-            break
-    if left[0]:
-        found = materialise(_verify(_enough_matches(_all_pairs(buckets), shared), sets), "links")
-        links = links.unionByName(found)
-        roots = materialise(components(links), "roots")
+    lists = reps.select(F.explode("prefix").alias("token"), "doc_id", F.col("n_shingles").alias("n"))
+    lists = materialise(_mixed(lists), "lists")
+    hoods = materialise(_neighbourhoods(_worthwhile(lists)), "hoods")
+    sets = materialise(_full_sets(docs, hoods.select("doc_id").distinct(), levels), "sets")
+    links = materialise(_meet(_block_pairs(hoods), sets), "links")
+    roots = materialise(components(links), "roots")
 
     lows = (
         groups.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
@@ -320,14 +339,16 @@ def near_duplicates(docs: DataFrame, rounds: int = 8) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without near duplicates of a smaller id; repeated rows of an id count once.
 
-    Documents without words all stay.
+    Documents without words or without an id all stay.
     """
     found = materialise(near_duplicates(docs), "components")
     kept = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id")))
     total, distinct = kept.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     ids = kept.select("doc_id").distinct()
     out = docs.join(F.broadcast(ids) if distinct <= IDS_TO_BROADCAST else ids, "doc_id", "left_semi")
-    return out.dropDuplicates(["doc_id"]) if total != distinct else out
+    out = out.dropDuplicates(["doc_id"]) if total != distinct else out
+    unnamed = found.filter("doc_id is null").limit(1).count()
+    return out.unionByName(docs.filter("doc_id is null")) if unnamed else out
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

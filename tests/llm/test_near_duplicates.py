@@ -90,6 +90,13 @@ def test_edges(spark, make):
     assert jaccard_join.near_duplicates(make([(1, "a")]).filter("doc_id < 0")).count() == 0
 
 
+def test_copies_of_a_row_without_id(spark, make):
+    w = [f"c{i}" for i in range(60)]
+    rows = [(None, " ".join(w)), (7, " ".join(w)), (5, " ".join(["x", *w[1:]]))]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(make(rows).coalesce(1)).collect()}
+    assert got == {7: 5, 5: 5, None: 5}
+
+
 def test_chain(spark, make):
     """a links b and b links c, a does not link c: one component."""
     w = [f"c{i}" for i in range(100)]
@@ -98,8 +105,8 @@ def test_chain(spark, make):
 
 
 def test_keep_one(spark, make):
-    kept = jaccard_join.keep_one(make([r for r in EDGES if r[0] is not None]))
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 4, 6, 7, 8]
+    kept = jaccard_join.keep_one(make(EDGES))
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 2, 3, 4, 6, 7, 8, None]
     assert kept.columns == make([(1, "a")]).columns
 
 
