@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import ALNUM, Words, chunks, find_words, mix, runs
 from .shared import materialise, read, slim
+from .worker import release
 
 WINDOW = 13
 SHINGLE = 3
@@ -115,6 +116,7 @@ def _rarity(docs: DataFrame, windows: Windows) -> dict[int, np.ndarray]:
     held = docs.sparkSession.sparkContext.broadcast(keys)  # a block at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         probes = {size: _Filter(k) for size, k in held.value.items()}
         total = {size: np.zeros(len(k), np.int64) for size, k in held.value.items()}
         for batch in batches:
@@ -182,8 +184,8 @@ def _occurrences(w: Words, windows: Windows, prefixes: dict, probes: dict) -> tu
     return np.concatenate(starts), np.concatenate(which)
 
 
-def mark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """row (all columns of ``docs`` as one struct), n_words, n_hit, items (ids with an occurring window, sorted), contaminated.
+def mark(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """row (a struct of the columns ``carry``, or else of all), n_words, n_hit, items (ids with an occurring window, sorted), contaminated.
 
     A word is hit if it lies inside any occurrence of a window; a document is contaminated if at
     least one word in twenty is hit. Null and empty texts have no words and are never contaminated;
@@ -191,7 +193,9 @@ def mark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     judged one by one, so repeated rows and repeated ids keep their own results. An empty benchmark
     marks nothing; an empty document table gives an empty result.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text").withColumns(
+    carry = carry or docs.columns
+    own = "text" not in carry  # else the text is in the row already
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), *(["text"] if own else [])).withColumns(
         {"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "hit": F.lit(None).cast("binary")}
     )
     schema = rows.schema
@@ -202,30 +206,30 @@ def mark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         held = spark.sparkContext.broadcast((windows, prefixes))  # a block at most
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            release()
             windows, prefixes = held.value
             probes = {size: _Filter(p[0]) for size, p in prefixes.items()}
             for batch in batches:
-                for row, end, w in _column_words(batch.column(1)):
+                whole = batch.column("row")
+                for row, end, w in _column_words(batch.column("text") if own else whole.field(whole.type.get_field_index("text"))):
                     part = batch.slice(row, end - row)
                     start, win = _occurrences(w, windows, prefixes, probes)
                     n = len(w.hashes)
                     edge = np.bincount(start, minlength=n + 1)[: n + 1] - np.bincount(start + windows.length[win], minlength=n + 1)[: n + 1]
                     inside = np.cumsum(edge)[:n] > 0
-                    before, items = part.column(5), part.column(4).to_pylist()
+                    before, items = part.column("hit"), part.column("items").to_pylist()
                     for i in range(end - row):
                         if before[i].is_valid:
-                            own = slice(w.first[i], w.first[i + 1])
-                            inside[own] |= np.unpackbits(np.frombuffer(before[i].as_buffer(), np.uint8), count=own.stop - own.start).astype(bool)
+                            span = slice(w.first[i], w.first[i + 1])
+                            inside[span] |= np.unpackbits(np.frombuffer(before[i].as_buffer(), np.uint8), count=span.stop - span.start).astype(bool)
                     upto = np.r_[0, np.cumsum(inside)]
                     n_hit = upto[w.first[1:]] - upto[w.first[:-1]]
                     of = np.searchsorted(w.first, start, "right") - 1
                     for i, v in set(zip(of.tolist(), win.tolist(), strict=True)):
                         items[i] = [*items[i], *windows.items[v]]
                     bits = [np.packbits(inside[w.first[i] : w.first[i + 1]]).tobytes() if n_hit[i] else None for i in range(end - row)]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0), part.column(1), pa.array(np.diff(w.first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(bits, pa.binary())],
-                        ["row", "text", "n_words", "n_hit", "items", "hit"],
-                    )
+                    new = {"n_words": pa.array(np.diff(w.first), pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "items": pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), "hit": pa.array(bits, pa.binary())}
+                    yield pa.RecordBatch.from_arrays([new[c] if c in new else part.column(c) for c in batch.schema.names], batch.schema.names)
 
         rows = rows.mapInArrow(scan, schema)
     return rows.select("row", "n_words", "n_hit", F.array_sort("items").alias("items")).withColumn(
@@ -240,7 +244,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = slim(read(spark, sf_dir, "documents"), "doc_id", "text")
-    return mark(docs, read(spark, sf_dir, "benchmark")).select(
+    return mark(docs, read(spark, sf_dir, "benchmark"), ["doc_id"]).select(
         "row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated",
     )

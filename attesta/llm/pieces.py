@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import chunks, mix
 from .shared import read, slim
+from .worker import keep
 
 SPACE = "\u2581"
 MEMO_UNITS = 1_000_000  # units whose ids a worker remembers
@@ -320,13 +321,8 @@ class Encoder:
         return [b"".join(map(get, units)) for units in split]
 
 
-_encoders: dict[str, Encoder] = {}  # of this worker
-
-
 def _encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return keep(("pieces", path), lambda: Encoder(path))
 
 
 def tokenise(docs: DataFrame, model: str) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from .bytewords import BLANK, chunks, find_words
 from .linear import Logistic, sigmoid
 from .shared import read, slim
+from .worker import release
 
 LABELLED = 6000  # labelled rows that are fitted on, at most
 UNLABELLED = 6000  # unlabelled rows that co-training may label, at most
@@ -106,6 +107,7 @@ def _sample(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray, np
     """Labels (-1: none) and both views of the documents with ``ids`` (id, label): bounded by the caller."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for row, end, a, b in features(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 yield pa.RecordBatch.from_arrays(
@@ -174,19 +176,25 @@ def judge(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) ->
     fitted = fit(docs, labels)
     held = docs.sparkSession.sparkContext.broadcast(fitted)  # about 350 weights a view
 
+    carry = carry or docs.columns
+    own = "text" not in carry  # else the text is in the row already
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         m = held.value
         for batch in batches:
-            for row, end, a, b in features(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            whole = batch.column("row")
+            text = batch.column("text") if own else whole.field(whole.type.get_field_index("text"))
+            for row, end, a, b in features(text, batch.column("source").to_pylist(), batch.column("lang").to_pylist()):
                 if m is None:
                     pa_ = pb = s = np.full(end - row, 0.5)
                 else:
                     la = m["platt"][0].logit(m["models"][0].logit(a)[:, None])
                     lb = m["platt"][1].logit(m["models"][1].logit(b)[:, None])
                     pa_, pb, s = sigmoid(la), sigmoid(lb), sigmoid(m["both"].logit(np.c_[la, lb]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(pa_), pa.array(pb), pa.array(s)], ["row", "p_text", "p_page", "score"])
+                yield pa.RecordBatch.from_arrays([whole.slice(row, end - row), pa.array(pa_), pa.array(pb), pa.array(s)], ["row", "p_text", "p_page", "score"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"), "text", _column(docs, "source"), _column(docs, "lang"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), *(["text"] if own else []), _column(docs, "source"), _column(docs, "lang"))
     schema = T.StructType([rows.schema["row"], *[T.StructField(c, T.DoubleType()) for c in ("p_text", "p_page", "score")]])
     return rows.mapInArrow(score, schema).withColumn("keep", F.col("score") >= KEEP_FROM)
 
