@@ -28,15 +28,19 @@ def memory_due(messages: DataFrame, tokens: int = MEMORY_TOKENS) -> DataFrame:
     return messages.groupBy("conv_id").agg(total.alias("tokens")).withColumn("due", F.col("tokens") > tokens)
 
 
-def pack(candidates: DataFrame, tokens: int = CONTEXT_TOKENS, most: int = MOST_DOCS, considered: int = 200) -> DataFrame:
+def pack(candidates: DataFrame, tokens: int = CONTEXT_TOKENS, most: int = MOST_DOCS) -> DataFrame:
     """Greedy packing in order of weight: a document that does not fit is passed over and smaller ones still count.
 
-    ``candidates``: group_id, doc_id, weight, tokens. The choice is a fold over each group's first
-    ``considered`` candidates by weight; (group_id, doc_id, position) comes back.
+    ``candidates``: group_id, doc_id, weight, tokens (0 or more); (group_id, doc_id, position) comes back. The choice
+    is a fold over each group's candidates of at most ``tokens``, of each number of tokens the first ``most``. That is
+    exact: had a later one fitted, so had those before it of the same size, and the places would have been full. A
+    group is thus folded over ``most`` rows for each number of tokens up to the budget, however many candidates it has.
     """
     order = Window.partitionBy("group_id").orderBy(F.desc("weight"), "doc_id")
-    first = candidates.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= considered)
-    rows = first.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("n", "doc_id", F.col("tokens").cast("long").alias("tokens")))).alias("rows"))
+    alike = Window.partitionBy("group_id", "tokens").orderBy(F.desc("weight"), "doc_id")
+    fitting = candidates.select("group_id", "doc_id", "weight", F.col("tokens").cast("long").alias("tokens")).filter(F.col("tokens") <= tokens)
+    first = fitting.withColumn("n", F.row_number().over(alike)).filter(F.col("n") <= most).withColumn("n", F.row_number().over(order))
+    rows = first.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("n", "doc_id", "tokens"))).alias("rows"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"))
 
     def step(s, r):

@@ -46,6 +46,23 @@ def test_pack_equals_fold(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("sizes", [(100, 3000), (500, 700), (0, 40)])
+def test_pack_past_oversize_documents(spark, sizes):
+    """More than 200 candidates that never fit come first, then more than 200 that might."""
+    rnd = random.Random(5)
+    rows = [(g, d, 1 + rnd.random(), rnd.randint(6001, 20_000)) for g in range(3) for d in range(250)]
+    rows += [(g, d, round(rnd.random(), 2), rnd.randint(*sizes)) for g in range(3) for d in range(250, 900)]
+    got = {(r["group_id"], r["doc_id"]): r["position"] for r in budget.pack(spark.createDataFrame(rows, "group_id long, doc_id long, weight double, tokens long")).collect()}
+    want = {}
+    for g in range(3):
+        used, n = 0, 0
+        for _, d, _, t in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1])):
+            if n < 10 and used + t <= 6000:
+                used, n = used + t, n + 1
+                want[g, d] = n
+    assert got == want and {g for g, _ in got} == {0, 1, 2}
+
+
 def test_suffix_budget(spark):
     df = spark.createDataFrame([(1, t, "x" * 30) for t in range(10)], "conv_id long, turn long, text string")
     assert sorted(r["turn"] for r in budget.suffix(df, 35).collect()) == [7, 8, 9]
