@@ -3,8 +3,8 @@
 Within a host, a line is boilerplate if it stands on more than ``RATIO`` of the host's pages, and
 on ``MIN_PAGES`` at least so that small hosts are left alone. Pages are counted by content: exact
 copies of a page are one page, so a much-copied page does not turn its own lines into boilerplate.
-A page that would lose more than half of its characters is a copy rather than a page with a frame
-around it; it is left to the near-duplicate operator and stays unchanged.
+The pipeline and ``op1_line_dedup_full`` drop every such line. ``op1_line_dedup`` spares, as its SQL
+says, a page that would lose more than ``LOSS`` percent of its characters.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from .shared import materialise, read, slim
 
 RATIO = 5  # percent of a host's pages
 MIN_PAGES = 5
-LOSS = 50  # percent of a page's characters that it may lose
+LOSS = 50  # percent of a page's characters that it may lose in op1_line_dedup
 LINES_TO_BROADCAST = 200_000  # boilerplate lines of all hosts, 12 bytes each; beyond it they are joined
 
 
@@ -48,9 +48,11 @@ def boilerplate(docs: DataFrame, host: str = "source") -> DataFrame:
     return holding.join(total, "host").filter(100 * F.col("holding") > RATIO * F.col("total")).select("host", "key")
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source") -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", loss: int | None = LOSS) -> DataFrame:
     """``docs`` with boilerplate lines out of text; adds n_lines and n_dropped.
 
+    A page that would lose more than ``loss`` percent of its characters stays whole; with None none does.
+
     Only ``text`` and the host column are read. A null text stays null with 0 lines; an empty text is
     one blank line; blank lines are never dropped; rows without a host are one host of their own.
     Repeated rows are judged alike. An empty table gives an empty result. Lines are compared whole,
@@ -77,7 +79,9 @@ def drop_boilerplate(docs: DataFrame, host: str = "source") -> DataFrame:
         ),
     )
     chars = lambda a: F.length(F.array_join(a, ""))
-    whole = (F.size("kept") == F.size("lines")) | (100 * chars(F.col("kept")) < (100 - LOSS) * chars(F.col("lines")))
+    whole = F.size("kept") == F.size("lines")
+    if loss is not None:
+        whole = whole | (100 * chars(F.col("kept")) < (100 - loss) * chars(F.col("lines")))
     out = cut.withColumn("whole", whole)
     names = {c: (F.col(f"row.`{c}`") if c in keep else F.when(F.col("whole"), F.col("text")).otherwise(F.array_join("kept", "\n"))) for c in docs.columns if c in keep or c == "text"}
     return out.select(
@@ -88,8 +92,8 @@ def drop_boilerplate(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The documents with boilerplate lines out, in the columns they came with."""
-    out = drop_boilerplate(docs)
+    """The documents with every boilerplate line out, in the columns they came with."""
+    out = drop_boilerplate(docs, loss=None)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -100,6 +104,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(docs).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op1_line_dedup_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = slim(read(spark, sf_dir, "documents"), "doc_id", "source", "text")
+    return drop_boilerplate(docs, loss=None).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 OP1_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, text, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT host, text, unnest(list_distinct(list_transform(lines, lambda x: trim(x, ' ')))) AS line FROM d),
@@ -118,3 +127,19 @@ SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines,
        CASE WHEN whole THEN text ELSE array_to_string(kept, chr(10)) END AS text
 FROM w
 """
+
+OP1_FULL_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, text, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT host, text, unnest(list_distinct(list_transform(lines, lambda x: trim(x, ' ')))) AS line FROM d),
+c AS (SELECT host, line, count(DISTINCT text) AS holding FROM l WHERE line <> '' GROUP BY host, line),
+p AS (SELECT host, count(DISTINCT text) AS total FROM d GROUP BY host),
+b AS (SELECT c.host, list(c.line) AS drops FROM c JOIN p ON c.host = p.host
+      WHERE holding >= {MIN_PAGES} AND 100 * holding > {RATIO} * total GROUP BY c.host),
+k AS (SELECT d.doc_id, d.text, d.lines,
+             CASE WHEN b.drops IS NULL THEN d.lines
+                  ELSE list_filter(d.lines, lambda x: trim(x, ' ') = '' OR NOT list_contains(b.drops, trim(x, ' '))) END AS kept
+      FROM d LEFT JOIN b ON d.host = b.host)
+SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(lines) - len(kept), 0)::BIGINT AS n_dropped,
+       array_to_string(kept, chr(10)) AS text
+FROM k
+"""

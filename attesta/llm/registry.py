@@ -6,7 +6,7 @@ from .chat_format import OP5_SQL, op5_chat_formatting
 from .decontamination import op7_benchmark_decontamination
 from .jaccard_join import op9_ngram_jaccard_join
 from .licences import op3_license_scans
-from .line_dedup import OP1_SQL, op1_line_dedup
+from .line_dedup import OP1_FULL_SQL, OP1_SQL, op1_line_dedup, op1_line_dedup_full
 from .pieces import op2_sentencepiece_encoding
 from .quality import op10_quality_classifier
 from .token_file import op4_token_binary_output
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
+    "op1_line_dedup_full": op1_line_dedup_full,
 }
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op5_chat_formatting": OP5_SQL, "op8_exact_topk": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op5_chat_formatting": OP5_SQL, "op8_exact_topk": OP8_SQL, "op1_line_dedup_full": OP1_FULL_SQL}

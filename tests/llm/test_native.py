@@ -68,6 +68,31 @@ def test_line_dedup_sql(spark, sf, duck):
     assert frame_rows(line_dedup.op1_line_dedup(spark, sf).toPandas()) == frame_rows(duck.execute(line_dedup.OP1_SQL).fetchdf())
 
 
+@pytest.mark.parametrize("limit", [200_000, -1])
+def test_every_line_over_the_ratio_goes(spark, make, monkeypatch, limit):
+    """Also from pages that are mostly frame, in the pipeline and in op1_line_dedup_full."""
+    monkeypatch.setattr(line_dedup, "LINES_TO_BROADCAST", limit)
+    frame = "a frame that is longer than what most of the pages of its host have to say"
+    rows = [(i, f"own {i}\n{frame}", "s") for i in range(20)] + [(20, frame, "s"), (21, None, "s"), (22, f"own\n{frame}", "t")]
+    want = {i: f"own {i}" for i in range(20)} | {20: "", 21: None, 22: f"own\n{frame}"}
+    assert {r["doc_id"]: r["text"] for r in line_dedup.clean(make(rows)).collect()} == want
+    got = line_dedup.drop_boilerplate(make(rows), loss=None).collect()
+    assert {r["doc_id"]: r["n_dropped"] for r in got} == {i: int(i < 21) for i in range(23)}
+    assert not any(r["n_dropped"] for r in line_dedup.drop_boilerplate(make(rows)).collect())
+
+
+def test_line_dedup_full_sql(spark, make, tmp_path):
+    import duckdb
+
+    frame = "a frame that is longer than what most of the pages of its host have to say"
+    rows = [(i, f"own {i}\n {frame}", "s") for i in range(20)] + [(20, frame, "s"), (21, None, "s"), (22, "", None)]
+    make(rows, clash=False).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(line_dedup.OP1_FULL_SQL).fetchdf()
+    assert frame_rows(line_dedup.op1_line_dedup_full(spark, str(tmp_path)).toPandas()) == frame_rows(want) and want["n_dropped"].sum() == 21
+
+
 # licences
 
 BASE = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
