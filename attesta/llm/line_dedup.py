@@ -3,7 +3,8 @@
 Within a host, a line is boilerplate if it stands on more than ``RATIO`` of the host's pages, and
 on ``MIN_PAGES`` at least so that small hosts are left alone. Pages are counted by content: exact
 copies of a page are one page, so a much-copied page does not turn its own lines into boilerplate.
-The pipeline and ``op1_line_dedup_full`` drop every such line. ``op1_line_dedup`` spares, as its SQL
+The pipeline and ``op1_line_dedup_full`` drop every such line, and of lines over ``LONG_WORDS`` words,
+which pages share by copying rather than by chance, also those on more than ``LONG_RATIO``. ``op1_line_dedup`` spares, as its SQL
 says, a page that would lose more than ``LOSS`` percent of its characters.
 """
 
@@ -16,6 +17,7 @@ from .shared import materialise, read, slim
 
 RATIO = 5  # percent of a host's pages
 MIN_PAGES = 5
+LONG_WORDS, LONG_RATIO = 50, 5  # words; in 10,000 of a host's pages
 LOSS = 50  # percent of a page's characters that it may lose in op1_line_dedup
 LINES_TO_BROADCAST = 200_000  # boilerplate lines of all hosts, 12 bytes each; beyond it they are joined
 
@@ -29,6 +31,10 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def _long(line: Column) -> Column:
+    return (F.length(line) > 2 * LONG_WORDS) & (F.size(F.split(F.trim(line), " +")) > LONG_WORDS)
+
+
 def _host_and_page(docs: DataFrame, host: str) -> DataFrame:
     return docs.select(
         F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), "text",
@@ -36,29 +42,31 @@ def _host_and_page(docs: DataFrame, host: str) -> DataFrame:
     ).filter("text is not null")
 
 
-def boilerplate(docs: DataFrame, host: str = "source") -> DataFrame:
-    """(host, key) of every boilerplate line."""
+def boilerplate(docs: DataFrame, host: str = "source", passages: bool = False) -> DataFrame:
+    """(host, key) of every boilerplate line; with ``passages`` the ratio is lower for long lines."""
     pages = _host_and_page(docs, host)
-    own = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _key))
+    long = _long if passages else lambda x: F.lit(False)
+    own = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), lambda x: F.struct(_key(x).alias("key"), long(x).alias("long"))))
     holding = (
-        pages.select("host", "page", F.explode(own).alias("key")).distinct()
-        .groupBy("host", "key").agg(F.count("*").alias("holding")).filter(F.col("holding") >= MIN_PAGES)
+        pages.select("host", "page", F.explode(own).alias("line")).select("host", "page", "line.key", "line.long").distinct()
+        .groupBy("host", "key", "long").agg(F.count("*").alias("holding")).filter(F.col("holding") >= MIN_PAGES)
     )
     total = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("total"))
-    return holding.join(total, "host").filter(100 * F.col("holding") > RATIO * F.col("total")).select("host", "key")
+    over = 10_000 * F.col("holding") > F.when(F.col("long"), LONG_RATIO).otherwise(100 * RATIO) * F.col("total")
+    return holding.join(total, "host").filter(over).select("host", "key")
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", loss: int | None = LOSS) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", loss: int | None = LOSS, passages: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines out of text; adds n_lines and n_dropped.
 
-    A page that would lose more than ``loss`` percent of its characters stays whole; with None none does.
+    A page that would lose more than ``loss`` percent of its characters stays whole; with None none does. ``passages``: as in boilerplate().
 
     Only ``text`` and the host column are read. A null text stays null with 0 lines; an empty text is
     one blank line; blank lines are never dropped; rows without a host are one host of their own.
     Repeated rows are judged alike. An empty table gives an empty result. Lines are compared whole,
     without the spaces around them. Existing columns named n_lines or n_dropped are replaced.
     """
-    lines = materialise(boilerplate(docs, host), "boilerplate")
+    lines = materialise(boilerplate(docs, host, passages), "boilerplate")
     keep = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text"),
@@ -93,7 +101,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", loss: int | None = L
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents with every boilerplate line out, in the columns they came with."""
-    out = drop_boilerplate(docs, loss=None)
+    out = drop_boilerplate(docs, loss=None, passages=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -106,7 +114,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_line_dedup_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = slim(read(spark, sf_dir, "documents"), "doc_id", "source", "text")
-    return drop_boilerplate(docs, loss=None).select("doc_id", "n_lines", "n_dropped", "text")
+    return drop_boilerplate(docs, loss=None, passages=True).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 OP1_SQL = f"""
@@ -134,7 +142,7 @@ l AS (SELECT host, text, unnest(list_distinct(list_transform(lines, lambda x: tr
 c AS (SELECT host, line, count(DISTINCT text) AS holding FROM l WHERE line <> '' GROUP BY host, line),
 p AS (SELECT host, count(DISTINCT text) AS total FROM d GROUP BY host),
 b AS (SELECT c.host, list(c.line) AS drops FROM c JOIN p ON c.host = p.host
-      WHERE holding >= {MIN_PAGES} AND 100 * holding > {RATIO} * total GROUP BY c.host),
+      WHERE holding >= {MIN_PAGES} AND 10000 * holding > CASE WHEN len(regexp_split_to_array(c.line, ' +')) > {LONG_WORDS} THEN {LONG_RATIO} ELSE {100 * RATIO} END * total GROUP BY c.host),
 k AS (SELECT d.doc_id, d.text, d.lines,
              CASE WHEN b.drops IS NULL THEN d.lines
                   ELSE list_filter(d.lines, lambda x: trim(x, ' ') = '' OR NOT list_contains(b.drops, trim(x, ' '))) END AS kept

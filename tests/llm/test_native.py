@@ -93,6 +93,22 @@ def test_line_dedup_full_sql(spark, make, tmp_path):
     assert frame_rows(line_dedup.op1_line_dedup_full(spark, str(tmp_path)).toPandas()) == frame_rows(want) and want["n_dropped"].sum() == 21
 
 
+@pytest.mark.parametrize("n, gone", [(4, False), (5, True), (12, True)])
+def test_passage_in_a_hot_host(spark, make, tmp_path, n, gone):
+    """A long passage on far less than one page in twenty goes; a short line on as many pages stays."""
+    import duckdb
+
+    passage, near, short = " ".join(f"w{i}" for i in range(51)), " ".join(f"v{i}" for i in range(50)), "a short line"
+    rows = [(i, f"own {i}\n{passage}\n{near}\n{short}" if i < n else f"own {i}", "hot") for i in range(3000)] + [(3000, f"own\n{passage}", "cool")]
+    docs = make(rows, clash=False)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.clean(docs).collect()}
+    assert got == {i: t.replace(f"\n{passage}", "") if gone and s == "hot" else t for i, t, s in rows}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert frame_rows(line_dedup.op1_line_dedup_full(spark, str(tmp_path)).toPandas()) == frame_rows(con.execute(line_dedup.OP1_FULL_SQL).fetchdf())
+
+
 # licences
 
 BASE = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
