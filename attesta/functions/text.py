@@ -255,14 +255,15 @@ def collection_base(c: Column, default: str = "knowledge_base") -> Column:
     return F.when(base == "", F.lit(default)).otherwise(base)
 
 
-def html_to_text(c: Column, most: int = 12000) -> Column:
-    """The pattern tier: no scripts and styles, tags to spaces, five entities, white space collapsed."""
+def html_to_text(c: Column, most: int | None = None) -> Column:
+    """The pattern tier: no scripts and styles, tags to spaces, five entities, white space collapsed; the first ``most`` characters, if given."""
     out = F.regexp_replace(blank(c), r"(?is)<script[^>]*>.*?</script>", " ")
     out = F.regexp_replace(out, r"(?is)<style[^>]*>.*?</style>", " ")
     out = F.regexp_replace(out, r"(?s)<[^>]+>", " ")
     for a, b in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.substring(F.trim(F.regexp_replace(out, r"\s+", " ")), 1, most)
+    out = F.trim(F.regexp_replace(out, r"\s+", " "))
+    return out if most is None else F.substring(out, 1, most)
 
 
 def numeric_units(c: Column) -> Column:

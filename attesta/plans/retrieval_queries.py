@@ -141,6 +141,11 @@ def label_prevalence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
+    """Pages' texts for a model's prompt, cut as their SQL says; ``html_full_text`` has them whole."""
+    return table(spark, d, "pages").select("page_id", text.html_to_text(F.col("html"), 12000).alias("content"))
+
+
+def html_full_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.html_to_text(F.col("html")).alias("content"))
 
 
@@ -225,7 +230,7 @@ def support_scores(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     lexical_topk, bm25_topk, dense_topk, rrf_fusion, fused_score, doc_admission, neighbor_expand, chunk_fixed, chunk_text, chunk_markdown, content_hash_dedup, normalised_hash,
-    question_trigram_dup, gold_contamination, label_prevalence, html_to_text, url_domain_stats, session_budget, session_last_n, memory_trigger, context_pack_greedy, facet_selection,
+    question_trigram_dup, gold_contamination, label_prevalence, html_to_text, html_full_text, url_domain_stats, session_budget, session_last_n, memory_trigger, context_pack_greedy, facet_selection,
     mrr_ndcg, vector_audit, pairwise_cosine, page_markdown, query_plans, digest_vectors, word_jaccard_pairs, support_scores,
 )}
 
@@ -271,6 +276,8 @@ ORACLES = {
         u AS (SELECT lang, count(*) AS unlabelled FROM documents ANTI JOIN labels USING (doc_id) GROUP BY lang) SELECT * FROM k FULL JOIN u USING (lang)""",
     "html_to_text": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'gs') AS t FROM pages)
         SELECT page_id, substr(trim(regexp_replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '), 1, 12000) AS content FROM a""",
+    "html_full_text": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'gs') AS t FROM pages)
+        SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS content FROM a""",
     "url_domain_stats": r"""WITH h AS (SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host FROM pages)
         SELECT array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS site, count(*) AS pages, count(DISTINCT host) AS hosts,
                count(*) FILTER (WHERE host = 'example.com' OR host LIKE '%.example.com') AS allowed FROM h GROUP BY 1""",

@@ -86,6 +86,16 @@ def test_html(one):
     assert one(text.html_to_text(C("v")), v="<p>a&amp;b</p><script>x</script>\n<b>c</b>") == "a&b c"
 
 
+def test_html_whole_text(one, spark, tmp_path):
+    page = "<p>" + "word&nbsp;" * 6000 + "end</p>"
+    assert one(text.html_to_text(C("v")), v=page) == "word " * 6000 + "end"
+    from attesta.plans import catalog
+
+    spark.createDataFrame([(1, page)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {n: catalog.queries()[n](spark, str(tmp_path)).first()["content"] for n in ("html_to_text", "html_full_text")}
+    assert got == {"html_to_text": ("word " * 6000)[:12000], "html_full_text": "word " * 6000 + "end"}
+
+
 def test_citations(one):
     assert one(text.strip_citations(C("t"), C("n")), t="a [[1]] b [[9]]", n=2) == "a [[1]] b "
     assert one(text.citation_markers(C("t")), t="a [[E1]] b [E2]") == ["E1", "E2"]
