@@ -11,7 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20  # bytes of text whose arrays are held at once; a longer text is a chunk by itself
+CHUNK = 1 << 20  # bytes of text that are worked on together; a longer text is a chunk by itself
+_SEGMENT = 1 << 19  # bytes whose arrays are held at once; a longer word is a segment by itself
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -42,54 +43,77 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK + 1)
-        for i, base in enumerate((_BASE, _BASE_INV)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+    """The first ``n`` powers of the base and of its inverse; those of a segment are kept, more are made for a longer word only."""
+    if _powers and n <= len(_powers[0][0]):
+        return _powers[0]
+    size = max(n, _SEGMENT + 1)
+    made = []
+    for base in (_BASE, _BASE_INV):
+        p = np.full(size, base, np.uint64)
+        p[0] = 1
+        made.append(np.multiply.accumulate(p))
+    if size == _SEGMENT + 1:
+        _powers[:] = [tuple(made)]
+    return made[0], made[1]
 
 
 class Words:
-    """Words of consecutive texts. ``first[i]:first[i + 1]`` are the words of text i."""
-
-    def __init__(self, hashes, first, starts, ends, total=None):
-        self.hashes, self.first, self.starts, self.ends, self._total = hashes, first, starts, ends, total
-
-    def prefix(self, size: int) -> np.ndarray:
-        """Hashes of the words' first ``size`` bytes; 0 for shorter words."""
-        own = self.ends - self.starts >= size
-        s = self.starts[own]
-        out = np.zeros(len(self.starts), np.uint64)
-        out[own] = mix((self._total[s + size] - self._total[s]) * _powers[1][s] + np.uint64(size))
-        return out
-
-
-def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
-    n = len(data)
-    if not n:
-        none = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none, np.zeros(1, np.uint64))
-    folded = table[data]
+    """Words of consecutive texts. ``first[i]:first[i + 1]`` are the words of text i; ``prefixes`` has, for each size
+    asked for, the hashes of the words' first bytes, 0 for shorter words."""
+
+    def __init__(self, hashes, first, starts, ends, prefixes=None):
+        self.hashes, self.first, self.starts, self.ends, self.prefixes = hashes, first, starts, ends, prefixes or {}
+
+
+def _segment(folded: np.ndarray, edge: np.ndarray, prefixes: tuple[int, ...]) -> list[np.ndarray]:
+    """Hashes, starts and ends of words, then a row for each prefix size; a word ends at each of ``edge`` too."""
+    n = len(folded)
     inside = folded != 0
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     stops = inside.copy()
     stops[:-1] &= ~inside[1:]
-    edge = offsets[(offsets > 0) & (offsets < n)]  # a word ends where its text ends
     begins[edge] = inside[edge]
     stops[edge - 1] = inside[edge - 1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     power, inverse = _pow(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[folded] * power[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    return Words(hashes, np.searchsorted(starts, offsets), starts, ends, total)
+    out = [mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts, ends]
+    for size in prefixes:
+        own = ends - starts >= size
+        s = starts[own]
+        row = np.zeros(len(starts), np.uint64)
+        row[own] = mix((total[s + size] - total[s]) * inverse[s] + np.uint64(size))
+        out.append(row)
+    return out
+
+
+def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, prefixes: tuple[int, ...] = ()) -> Words:
+    """Words of the texts ``data[offsets[i]:offsets[i + 1]]``, found segment by segment: a segment ends between words."""
+    parts, at, n = [], 0, len(data)
+    while at < n:
+        end = min(n, at + _SEGMENT)
+        folded = table[data[at:end]]
+        while end < n and folded.all():
+            more = table[data[end : end + _SEGMENT]]
+            folded, end = np.concatenate([folded, more]), end + len(more)
+        if end < n:
+            end = at + int(np.flatnonzero(folded == 0)[-1]) + 1
+            folded = folded[: end - at]
+        found = _segment(folded, offsets[(offsets > at) & (offsets < end)] - at, prefixes)
+        found[1] += at
+        found[2] += at
+        parts.append(found)
+        at = end
+    if not parts:
+        parts = [[np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2, *[np.zeros(0, np.uint64)] * len(prefixes)]]
+    hashes, starts, ends, *rows = (np.concatenate(x) for x in zip(*parts, strict=True)) if len(parts) > 1 else parts[0]
+    return Words(hashes, np.searchsorted(starts, offsets), starts, ends, dict(zip(prefixes, rows, strict=True)))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

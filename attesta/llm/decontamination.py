@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import ALNUM, Words, chunks, find_words, mix, runs
-from .shared import materialise, read, slim
+from .shared import in_arrow, materialise, read, slim
 from .worker import release
 
 WINDOW = 13
@@ -101,7 +101,7 @@ def _blocks(benchmark: DataFrame) -> list[Windows]:
 
     spark = benchmark.sparkSession
     hashed = materialise(
-        benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(words, "item_id string, words binary, n long"), "benchmark"
+        benchmark.select(F.col("item_id").cast("string"), "text").transform(in_arrow, words, "item_id string, words binary, n long"), "benchmark"
     ).filter("n > 0")
     total = hashed.agg(F.sum("n")).first()[0] or 0
     count = max(1, -(-total // BLOCK_WORDS))
@@ -128,7 +128,7 @@ def _rarity(docs: DataFrame, windows: Windows) -> dict[int, np.ndarray]:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size), pa.int32()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["size", "key", "n"])
 
-    found = slim(docs, "text").mapInArrow(count, "size int, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n")).collect()
+    found = slim(docs, "text").transform(in_arrow, count, "size int, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n")).collect()
     out = {size: np.zeros(len(k), np.int64) for size, k in keys.items()}
     for r in found:
         out[r["size"]][r["key"]] = r["n"]
@@ -231,7 +231,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None)
                     new = {"n_words": pa.array(np.diff(w.first), pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "items": pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), "hit": pa.array(bits, pa.binary())}
                     yield pa.RecordBatch.from_arrays([new[c] if c in new else part.column(c) for c in batch.schema.names], batch.schema.names)
 
-        rows = rows.mapInArrow(scan, schema)
+        rows = rows.transform(in_arrow, scan, schema)
     return rows.select("row", "n_words", "n_hit", F.array_sort("items").alias("items")).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     )

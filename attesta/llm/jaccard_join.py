@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import BLANK, chunks, find_words, mix, shingles
 from .components import components
-from .shared import materialise, read, slim
+from .shared import in_arrow, materialise, read, slim
 from .worker import release
 
 WIDTH = 5
@@ -67,8 +67,8 @@ def frequency_classes(docs: DataFrame, bits: int = SKETCH_BITS, width: int = WID
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["segment", "levels"])
 
     rows = (
-        slim(docs, "text").mapInArrow(count, "segment int, counts binary")
-        .repartition("segment").mapInArrow(add, "segment int, levels binary").collect()
+        slim(docs, "text").transform(in_arrow, count, "segment int, counts binary")
+        .repartition("segment").transform(in_arrow, add, "segment int, levels binary").collect()
     )  # 2 ** bits bytes
     out = np.zeros(1 << bits, np.uint8)
     for r in rows:
@@ -162,7 +162,7 @@ def signatures(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                 ["doc_id", "n_shingles", "hi", "lo", "prefix", "matches"],
             )
 
-    return slim(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    return slim(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").transform(in_arrow,
         sign, "doc_id long, n_shingles int, hi long, lo long, prefix array<long>, matches int"
     )
 
@@ -186,7 +186,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, levels: np.ndarray) -> DataFr
 
     wanted = F.broadcast(wanted) if wanted.count() <= IDS_TO_BROADCAST else wanted
     text = slim(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return text.join(wanted, "doc_id", "left_semi").mapInArrow(pack, "doc_id long, shingles binary, prefix binary, l int")
+    return text.join(wanted, "doc_id", "left_semi").transform(in_arrow, pack, "doc_id long, shingles binary, prefix binary, l int")
 
 
 def _worthwhile(buckets: DataFrame) -> DataFrame:
@@ -292,7 +292,7 @@ def _meet(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     pairs = F.broadcast(pairs) if pairs.count() <= IDS_TO_BROADCAST else pairs
     together = sets.join(pairs, "doc_id").select("hood", "i", "j", "block", "doc_id", "shingles", "prefix", "l")
-    return together.repartition("hood", "i", "j").sortWithinPartitions("hood", "i", "j", "doc_id").mapInArrow(compare, "a long, b long").filter("a != b").distinct()
+    return together.repartition("hood", "i", "j").sortWithinPartitions("hood", "i", "j", "doc_id").transform(in_arrow, compare, "a long, b long").filter("a != b").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

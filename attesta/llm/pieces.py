@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import chunks, mix
-from .shared import read, slim
+from .shared import in_arrow, read, slim
 from .worker import keep
 
 SPACE = "\u2581"
-MEMO_UNITS = 1_000_000  # units whose ids a worker remembers
-_ROWS = 1 << 14  # words searched at once
+MEMO_UNITS = 250_000  # units of a generation of the memo, two of which a worker holds: about 80 MB
+_ROWS = 1 << 13  # words searched at once
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _NONE = np.int64(-1)
 _BITS = 22
@@ -114,7 +114,7 @@ class Pieces:
                         self.left[i], self.right[i] = number[parts[0]], number[parts[1]]
         # units end where no piece goes on: at control characters and before spaces
         cut = re.escape("".join(c for c in map(chr, range(32)) if c not in self.charset))
-        self.units = re.compile(f"{SPACE}*[^{SPACE}{cut}]+|{SPACE}+|[{cut}]+")
+        self.units = re.compile(f" *[^ {cut}]+| +|[{cut}]+")
 
     @staticmethod
     def _merge(x: str, number: dict[str, int], below: int) -> list[str]:
@@ -129,15 +129,15 @@ class Pieces:
         return parts
 
     def cut(self, text: str) -> list[str]:
-        """Units of a text: no piece lies across the border of two."""
-        units = self.units.findall((SPACE * self.prefix + text).replace(" ", SPACE)) if text else []
+        """Units of a text, in which the model's space character is a plain space: no piece lies across the border of two."""
+        units = self.units.findall((" " * self.prefix + text).replace(SPACE, " ")) if text else []
         if not units or max(map(len, units)) <= 64:
             return units
         out = []
         for unit in units:
             at = 0
             for i in range(1, len(unit) if len(unit) > 64 else 0):
-                if unit[i - 1 : i + 1] not in self.pairs:
+                if unit[i - 1 : i + 1].replace(" ", SPACE) not in self.pairs:
                     out.append(unit[at:i])
                     at = i
             out.append(unit[at:])
@@ -241,6 +241,7 @@ class Pieces:
 
     def encode_units(self, units: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each unit."""
+        units = [u.replace(" ", SPACE) for u in units]
         out: list[bytes] = [b""] * len(units)
         by: dict[int, list[int]] = {}
         for i, u in enumerate(units):
@@ -300,24 +301,31 @@ class Pieces:
 
 
 class Encoder:
-    """Pieces with the ids of units it has met."""
+    """Pieces with the ids of units met lately.
+
+    The memo has two generations. A full young one becomes the old one, whose units move back to the young one
+    when they are met again; so frequent units stay, rare ones go, and there are never more than twice ``MEMO_UNITS``
+    of them and those of one chunk of texts.
+    """
 
     def __init__(self, path: str):
         self.pieces = Pieces(path)
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         p = self.pieces
         split = [p.cut(t) for t in texts]
-        met = set().union(*split)
-        missing = met.difference(self.known)
+        missing = set().union(*split).difference(self.young)
         if missing:
-            if len(self.known) + len(missing) > MEMO_UNITS:
-                self.known.clear()
-                missing = met
-            units = list(missing)
-            self.known.update(zip(units, p.encode_units(units), strict=True))
-        get = self.known.__getitem__
+            if len(self.young) + len(missing) > MEMO_UNITS:
+                self.young, self.old = {}, self.young
+                missing = set().union(*split)
+            again = missing.intersection(self.old)
+            self.young.update((u, self.old[u]) for u in again)
+            new = list(missing.difference(again))
+            self.young.update(zip(new, p.encode_units(new), strict=True))
+        get = self.young.__getitem__
         return [b"".join(map(get, units)) for units in split]
 
 
@@ -349,7 +357,7 @@ def tokenise(docs: DataFrame, model: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids", "ids_crc32", "round_trip"],
                 )
 
-    return slim(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    return slim(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").transform(in_arrow,
         encode, "doc_id long, n_tokens long, ids array<int>, ids_crc32 long, round_trip boolean"
     )
 

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .bytewords import BLANK, chunks, find_words
 from .linear import Logistic, sigmoid
-from .shared import read, slim
+from .shared import in_arrow, read, slim
 from .worker import release
 
 LABELLED = 6000  # labelled rows that are fitted on, at most
@@ -115,7 +115,7 @@ def _sample(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray, np
                 )
 
     own = docs.select(F.col("doc_id").alias("id"), "text", _column(docs, "source"), _column(docs, "lang"))
-    rows = own.join(F.broadcast(ids), "id").select("label", "text", "source", "lang").mapInArrow(pack, "label int, a binary, b binary").toPandas()
+    rows = own.join(F.broadcast(ids), "id").select("label", "text", "source", "lang").transform(in_arrow, pack, "label int, a binary, b binary").toPandas()
     matrix = lambda c: np.array([np.frombuffer(x, np.float32) for x in rows[c]], np.float64)
     return rows["label"].to_numpy(), matrix("a"), matrix("b")
 
@@ -196,7 +196,7 @@ def judge(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) ->
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), *(["text"] if own else []), _column(docs, "source"), _column(docs, "lang"))
     schema = T.StructType([rows.schema["row"], *[T.StructField(c, T.DoubleType()) for c in ("p_text", "p_page", "score")]])
-    return rows.mapInArrow(score, schema).withColumn("keep", F.col("score") >= KEEP_FROM)
+    return rows.transform(in_arrow, score, schema).withColumn("keep", F.col("score") >= KEEP_FROM)
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,6 +44,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = 4 << 20  # of an Arrow batch on its way to a Python worker
+
+
+def in_arrow(rows: DataFrame, function: Callable, schema: str | T.StructType) -> DataFrame:
+    """``rows.mapInArrow``, with the session's bound on a batch's bytes lowered to ``BATCH_BYTES``: a batch of long texts else takes
+    tens of MB on either side of every task."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) != f"{BATCH_BYTES}b":
+        conf.set(key, f"{BATCH_BYTES}b")
+    return rows.mapInArrow(function, schema)
+
+
 def slim(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that clashing or extra columns never reach an operator."""
     return docs.select(*[F.col(c) for c in columns])

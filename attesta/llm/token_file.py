@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import chunks
-from .shared import read, slim, table_path
+from .shared import in_arrow, read, slim, table_path
 from .worker import keep
 
 MAGIC = b"DAC1"
@@ -224,7 +224,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> str:
             yield close()
 
     ordered = slim(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(blocks, _LAYOUT).write.option("compression", "none").parquet(path)
+    ordered.transform(in_arrow, blocks, _LAYOUT).write.option("compression", "none").parquet(path)
     return path
 
 
@@ -262,7 +262,7 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     starts = _placed(spark, path).select("start", "payload")
-    return starts.mapInArrow(documents, schema)
+    return starts.transform(in_arrow, documents, schema)
 
 
 def read_at(spark: SparkSession, path: str, places: list[int]) -> dict[int, int]:

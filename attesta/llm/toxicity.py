@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import ALNUM, Words, chunks, find_words, mix, shingles
 from .linear import Logistic, sigmoid
-from .shared import materialise, read, slim
+from .shared import in_arrow, materialise, read, slim
 
 CHAIN = 64
 SAMPLE = 8000  # labelled documents that are fitted on, at most
@@ -38,7 +38,7 @@ _TEMPLATES = 1 + len(_PREFIXES) + 2
 
 def attributes(w: Words) -> np.ndarray:
     """Hashes of each word and of its beginnings, a row for each kind; 0: none."""
-    return np.stack([w.hashes, *[w.prefix(k) for k in _PREFIXES]])
+    return np.stack([w.hashes, *[w.prefixes[k] for k in _PREFIXES]])
 
 
 def buckets(w: Words) -> np.ndarray:
@@ -153,7 +153,7 @@ def document_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _words(column: pa.Array) -> Iterator[tuple[int, int, Words, np.ndarray, np.ndarray]]:
     for row, end, data, at in chunks(column):
-        yield row, end, find_words(data, at, ALNUM), data, at
+        yield row, end, find_words(data, at, ALNUM, _PREFIXES), data, at
 
 
 def held_out(doc_id):
@@ -180,7 +180,7 @@ def _sample(docs: DataFrame, labels: DataFrame, target: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out.view(np.int64)), part.column(2)], ["id", "label", "least", "text"])
 
     text = docs.select(F.col("doc_id").alias("id"), "text")
-    marked = text.join(F.broadcast(known), "id").select("id", "label", "text").mapInArrow(least, "id long, label int, least long, text string")
+    marked = text.join(F.broadcast(known), "id").select("id", "label", "text").transform(in_arrow, least, "id long, label int, least long, text string")
     return materialise(marked.dropDuplicates(["least"]).select("id", "label", "text"), "toxic-sample")
 
 
@@ -203,7 +203,7 @@ def _cues(sample: DataFrame) -> np.ndarray:
 
     total = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, other = total.get(1, 0), total.get(0, 0)
-    counts = sample.select("label", "text").mapInArrow(own, "kind long, toxic long, all long").groupBy("kind").agg(F.sum("toxic").alias("t"), F.sum("all").alias("a"))
+    counts = sample.select("label", "text").transform(in_arrow, own, "kind long, toxic long, all long").groupBy("kind").agg(F.sum("toxic").alias("t"), F.sum("all").alias("a"))
     found = counts.filter((F.col("t") >= CUE_DOCS) & (F.col("t") * other >= CUE_LIFT * (F.col("a") - F.col("t") + 0.5) * toxic)).select("kind").collect()
     return np.unique(np.array([r[0] for r in found], np.int64).view(np.uint64))
 
@@ -227,7 +227,7 @@ def _training_chains(sample: DataFrame, cues: np.ndarray) -> tuple[list, list]:
                     ["some", "features", "tags"],
                 )
 
-    rows = sample.select("label", "text").mapInArrow(chains, "some boolean, features binary, tags binary")
+    rows = sample.select("label", "text").transform(in_arrow, chains, "some boolean, features binary, tags binary")
     order = Window.partitionBy("some").orderBy(F.xxhash64("features"), "features")
     rows = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= CHAINS).select("features", "tags").toPandas()
     return [np.frombuffer(x, np.int32).reshape(_TEMPLATES, -1) for x in rows["features"]], [np.frombuffer(x, bool) for x in rows["tags"]]
@@ -249,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> tuple[Fiel
                 x = document_features(held.value.tag(w), w.first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array([v.tobytes() for v in x], pa.binary())], ["label", "x"])
 
-    rows = sample.select("label", "text").mapInArrow(describe, "label int, x binary").toPandas()
+    rows = sample.select("label", "text").transform(in_arrow, describe, "label int, x binary").toPandas()
     x = np.array([np.frombuffer(v) for v in rows["x"]])
     order = np.lexsort(x.T)
     return field, Logistic(0.1).fit(x[order], rows["label"].to_numpy()[order])
@@ -291,7 +291,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 )
 
     rows = slim(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    judged = rows.mapInArrow(judge, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int>>")
+    judged = rows.transform(in_arrow, judge, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int>>")
     return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
 
 
