@@ -36,16 +36,25 @@ def chosen_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     """(tree, node, leaf, rank, depth) of every node on the ``paths`` best root-to-leaf paths of each tree.
 
     ``nodes``: tree, node, parent (null: root), score. A path's score is the sum over its nodes (null: 0);
-    ties go to the longer path, then to the smaller leaf. A parent that is absent makes its child a root.
+    ties go to the longer path, then to the smaller leaf. A parent that is absent makes its child a root. Of
+    repeated rows of a node the one with the least parent counts (null first), then the one with the largest
+    score. Nodes whose way up never ends, because parents run in a cycle, are on no path. Without nodes there
+    are no paths.
     """
-    own = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    score = F.coalesce(F.col("score").cast("double"), F.lit(0.0))
+    own = nodes.groupBy("tree", "node").agg(F.min(F.struct(F.col("parent").isNotNull().alias("has"), "parent", (-score).alias("less"))).alias("m")).select(
+        "tree", "node", F.col("m.parent").alias("parent"), (-F.col("m.less")).alias("score")
+    )
     real = own.select("tree", F.col("node").alias("parent"))
     up = own.join(real.withColumn("real", F.lit(True)), ["tree", "parent"], "left").select(
         "tree", "node", F.when(F.col("real"), F.col("parent")).alias("up"), "score", F.lit(1).cast("long").alias("depth")
     )
-    parents = up.filter("up is not null").select("tree", F.col("up").alias("node")).distinct()
     jumps = [up := materialise(up, "jumps")]
-    while up.filter("up is not null").limit(1).count():
+    parents = up.filter("up is not null").select("tree", F.col("up").alias("node")).distinct()
+    most = up.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range((most - 1).bit_length() if most else 0):  # no way up within a tree of so many nodes is longer
+        if not up.filter("up is not null").limit(1).count():
+            break
         above = up.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("s"), F.col("depth").alias("d"))
         met = up.filter("up is not null").join(above, ["tree", "up"], "left")  # a node that has reached its root is done
         up = materialise(
@@ -53,6 +62,7 @@ def chosen_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
             "jumps",
         )
         jumps.append(up)
+    up = up.filter("up is null")
     best = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("depth"), "node")
     leaves = up.join(parents, ["tree", "node"], "left_anti").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= paths)
     path = leaves.select("tree", "node", F.col("node").alias("leaf"), "rank")
@@ -99,20 +109,21 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     Rows go by turn (nulls first), then role and text; every row is one turn, repeated rows too. Rows
     without a conv_id are one conversation whose conv_id is null. An empty table gives an empty result.
     """
-    none = -(1 << 63)
+    own = F.struct(F.col("conv_id").isNull().alias("none"), F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("id"))
     order = Window.partitionBy("tree").orderBy("turn", "role", "text")
-    flat = slim(rows, "conv_id", "turn", "role", "text").withColumn("tree", F.coalesce(F.col("conv_id").cast("long"), F.lit(none)))
+    flat = slim(rows, "conv_id", "turn", "role", "text").withColumn("tree", own)
     flat = materialise(flat.select("tree", F.row_number().over(order).cast("long").alias("node"), "role", "text"), "turns")
     nodes = flat.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"))
     on_path = chosen_paths(nodes).select("tree", "node", "depth")
     out = format_turns(flat.join(on_path, ["tree", "node"]), ["tree"])
-    return out.select(F.when(F.col("tree") != none, F.col("tree")).alias("conv_id"), "formatted", "loss")
+    return out.select(F.when(~F.col("tree.none"), F.col("tree.id")).alias("conv_id"), "formatted", "loss")
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = slim(read(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
-    said = "\\### Assistant: </turn> ok"
-    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    said = F.lit("\\### Assistant: </turn> ok")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), said.alias("text"))
     back = format_conversations(rows.unionByName(probe)).select("conv_id", "formatted", "loss", parse(F.col("formatted")).alias("turns"))
     said_back = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     masked = F.array_join(F.transform("loss", lambda s: unescape(F.substr(F.col("formatted"), s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")))), "")

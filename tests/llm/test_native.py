@@ -38,8 +38,7 @@ def lines_brute(rows):
     for i, t, s in rows:
         own = t.split("\n") if t is not None else []
         kept = [x for x in own if not x.strip(" ") or x.strip(" ") not in drop[s]]
-        whole = len(kept) == len(own) or 100 * len("".join(kept)) < 50 * len("".join(own))
-        out.append((i, t if whole else "\n".join(kept), len(own), 0 if whole else len(own) - len(kept)))
+        out.append((i, t if len(kept) == len(own) else "\n".join(kept), len(own), len(own) - len(kept)))
     return sorted(out, key=str)
 
 
@@ -70,15 +69,17 @@ def test_line_dedup_sql(spark, sf, duck):
 
 @pytest.mark.parametrize("limit", [200_000, -1])
 def test_every_line_over_the_ratio_goes(spark, make, monkeypatch, limit):
-    """Also from pages that are mostly frame, in the pipeline and in op1_line_dedup_full."""
+    """Also from pages that are mostly frame; a table's own n_lines and n_dropped stay in the pipeline and are replaced by the counts."""
     monkeypatch.setattr(line_dedup, "LINES_TO_BROADCAST", limit)
     frame = "a frame that is longer than what most of the pages of its host have to say"
     rows = [(i, f"own {i}\n{frame}", "s") for i in range(20)] + [(20, frame, "s"), (21, None, "s"), (22, f"own\n{frame}", "t")]
     want = {i: f"own {i}" for i in range(20)} | {20: "", 21: None, 22: f"own\n{frame}"}
     assert {r["doc_id"]: r["text"] for r in line_dedup.clean(make(rows)).collect()} == want
-    got = line_dedup.drop_boilerplate(make(rows), loss=None).collect()
+    got = line_dedup.drop_boilerplate(make(rows)).collect()
     assert {r["doc_id"]: r["n_dropped"] for r in got} == {i: int(i < 21) for i in range(23)}
-    assert not any(r["n_dropped"] for r in line_dedup.drop_boilerplate(make(rows)).collect())
+    clash = make(rows, clash=False).withColumns({"n_lines": F.lit("own"), "n_dropped": F.lit("mine")})
+    assert {(r["n_lines"], r["n_dropped"]) for r in line_dedup.clean(clash).collect()} == {("own", "mine")}
+    assert {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_boilerplate(clash).collect()} == {i: int(i < 21) for i in range(23)}
 
 
 def test_line_dedup_full_sql(spark, make, tmp_path):
@@ -202,6 +203,19 @@ def test_reply_tree(spark):
     assert {(1, 1, 4), (1, 2, 5), (2, 1, 4), (2, 2, 2)} <= two
 
 
+def test_cycles_and_repeated_nodes(spark):
+    rows = [(1, 1, 2, 0.0), (1, 2, 1, 0.0), (1, 3, 2, 1.0), (2, 1, 1, 0.0), (3, 1, None, 0.0), (3, 2, 1, 1.0), (3, 2, 1, 3.0), (3, 2, 1, 1.0), (3, 1, None, 0.0), (3, 3, 1, 2.0)]
+    got = chat_format.chosen_paths(spark.createDataFrame(rows, "tree long, node long, parent long, score double")).collect()
+    assert sorted((r["tree"], r["node"], r["leaf"], r["depth"]) for r in got) == [(3, 1, 2, 1), (3, 2, 2, 2)]
+    assert chat_format.chosen_paths(spark.createDataFrame([], "tree long, node long, parent long, score double")).count() == 0
+
+
+def test_conversations_of_any_id(spark):
+    rows = [(None, 0, "user", "a"), (-(1 << 63), 0, "user", "b"), (0, None, None, None), (0, None, None, None)]
+    got = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((str(r["conv_id"]), r["formatted"].count("</turn>")) for r in got) == [("-9223372036854775808", 1), ("0", 2), ("None", 1)]
+
+
 def test_minus_seven(spark, sf):
     r = chat_format.op5_chat_formatting(spark, sf).filter("conv_id = -7").first()
     said = "\\### Assistant: </turn> ok"
