@@ -9,7 +9,9 @@ a calibrated function of the marginals alone, and runs of likely words are its o
 
 Only fitting is on a sample: ``SAMPLE`` labelled documents at most, in order of a hash of their id
 and one for each least shingle (so that copies do not vote), and ``CHAINS`` chains of each kind at
-most. Every document is scored from its whole text, in one pass and without a shuffle.
+most, in order of a hash of what they hold. An id with labels that differ counts as toxic; of rows with
+one least shingle the one with the smallest id and then text is kept: a fit is the same at every run.
+Every document is scored from its whole text, in one pass and without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import ALNUM, Words, chunks, find_words, mix, shingles
@@ -165,7 +167,7 @@ def _sample(docs: DataFrame, labels: DataFrame, target: str) -> DataFrame:
     """(label, text): at most ``SAMPLE`` labelled documents outside the held-out fold, one for each least shingle."""
     known = (
         labels.select(F.col("doc_id").alias("id"), F.col(target).cast("int").alias("label"))
-        .filter(F.col("label").isin(0, 1) & ~held_out(F.col("id"))).dropDuplicates(["id"])
+        .filter(F.col("label").isin(0, 1) & ~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     )
 
@@ -181,7 +183,7 @@ def _sample(docs: DataFrame, labels: DataFrame, target: str) -> DataFrame:
 
     text = docs.select(F.col("doc_id").alias("id"), "text")
     marked = text.join(F.broadcast(known), "id").select("id", "label", "text").transform(in_arrow, least, "id long, label int, least long, text string")
-    return materialise(marked.dropDuplicates(["least"]).select("id", "label", "text"), "toxic-sample")
+    return materialise(marked.groupBy("least").agg(F.min(F.struct("id", "text", "label")).alias("m")).select("m.id", "m.label", "m.text"), "toxic-sample")
 
 
 def _cues(sample: DataFrame) -> np.ndarray:
@@ -220,17 +222,16 @@ def _training_chains(sample: DataFrame, cues: np.ndarray) -> tuple[list, list]:
                 b = buckets(w).astype(np.int32)
                 starts, lengths = cut_chains(w.first)
                 some = [tags[s : s + n].any() for s, n in zip(starts, lengths, strict=True)]
-                keep = np.array(some, bool) | (mix(w.hashes[starts]) % np.uint64(16) == 0)
-                starts, lengths, some = starts[keep], lengths[keep], np.array(some, bool)[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some), pa.array([b[:, s : s + n].tobytes() for s, n in zip(starts, lengths, strict=True)], pa.binary()), pa.array([tags[s : s + n].tobytes() for s, n in zip(starts, lengths, strict=True)], pa.binary())],
+                    [pa.array(some, pa.bool_()), pa.array([b[:, s : s + n].tobytes() for s, n in zip(starts, lengths, strict=True)], pa.binary()), pa.array([tags[s : s + n].tobytes() for s, n in zip(starts, lengths, strict=True)], pa.binary())],
                     ["some", "features", "tags"],
                 )
 
     rows = sample.select("label", "text").transform(in_arrow, chains, "some boolean, features binary, tags binary")
-    order = Window.partitionBy("some").orderBy(F.xxhash64("features"), "features")
-    rows = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= CHAINS).select("features", "tags").toPandas()
-    return [np.frombuffer(x, np.int32).reshape(_TEMPLATES, -1) for x in rows["features"]], [np.frombuffer(x, bool) for x in rows["tags"]]
+    rows = materialise(rows, "toxic-chains")
+    of = lambda kind: rows.filter(F.col("some") == kind).orderBy(F.xxhash64("features"), "features", "tags").limit(CHAINS).select("features", "tags")
+    held = [r for kind in (True, False) for r in of(kind).collect()]  # 2 * CHAINS at most
+    return [np.frombuffer(bytes(r[0]), np.int32).reshape(_TEMPLATES, -1) for r in held], [np.frombuffer(bytes(r[1]), bool) for r in held]
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> tuple[Field, Logistic] | None:
