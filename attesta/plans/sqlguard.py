@@ -1,8 +1,16 @@
-"""A guard for read-only SQL: lexical checks, then Spark's own parser and analyser decide what a statement is and reads."""
+"""A guard for read-only SQL over views with allowed columns only.
+
+The allowed tables are narrowed to their allowed columns and put, under their own names, into a session of the
+guard's. A statement is parsed, analysed and run there: what the narrowed views do not have does not exist for it,
+whatever its form. The analysed plan must have no other leaves and call no function that reaches beyond its rows.
+The caller's session and its views are never touched.
+"""
 
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,112 +19,157 @@ from pyspark.sql import DataFrame, SparkSession
 FORBIDDEN = [
     "INFORMATION_SCHEMA", "PG_CATALOG", "PG_STAT", "PG_CLASS", "PG_ROLES", "PG_SLEEP", "PG_READ_FILE", "PG_WRITE_FILE", "WAITFOR", "BENCHMARK(", "DBMS_", "UTL_HTTP", "LOAD_FILE", "OUTFILE",
 ]
+#: expressions that reach beyond a row, by class name; besides these only the engine's own are let through
+BEYOND_ROWS = [
+    "CallMethodViaReflection", "TryReflect", "InputFileName", "InputFileBlockStart", "InputFileBlockLength", "CurrentUser", "SessionUser", "CurrentDatabase", "CurrentCatalog", "SparkVersion",
+]
+_OWN = ("org.apache.spark.sql.catalyst.", "org.apache.spark.sql.internal.")
+_LEAVES = ["OneRowRelation", "LocalRelation", "CTERelationRef", "Range", "UnionLoopRef"]
 _LITERAL = r"'(?:''|[^'])*'|\"(?:\\.|[^\"\\])*\"|`[^`]*`"
 _DML = ("Insert", "Update", "Delete", "Merge", "Truncate")
 _PROCEDURE = ("Call", "Set", "CompoundBody", "ExecuteImmediate")
+_DDL = ("Create", "Drop", "Alter", "Replace", "Cache", "Uncache", "Refresh", "Show", "Use", "Rename", "Add", "Repair", "Analyze", "Load")
 ROW_CAP = 1000
 
 
-def _bare(sql: str) -> str:
-    """The statement without its literals and quoted names."""
-    return re.sub(_LITERAL, " ", sql)
+class Refused(ValueError):
+    """A statement that the guard does not let through: ``code`` and ``detail``."""
 
+    def __init__(self, code: str, detail: str = ""):
+        super().__init__(f"{code}: {detail}")
+        self.code, self.detail = code, detail
 
-def _names(plan, found: list[str]) -> list[str]:
-    found.append(plan.nodeName())
-    children = plan.children()
-    for i in range(children.size()):
-        _names(children.apply(i), found)
-    inner = plan.innerChildren()
-    for i in range(inner.size()):
-        if hasattr(inner.apply(i), "nodeName"):
-            _names(inner.apply(i), found)
-    return found
 
+def _each(seq) -> Iterator:
+    return (seq.apply(i) for i in range(seq.size()))
 
-def check(spark: SparkSession, sql: str | None, allowed: dict[str, list[str]], cap: int = ROW_CAP) -> tuple[str, str]:
-    """(code, detail) for a statement over the views ``allowed`` (name to columns); code OK lets it through.
 
-    Columns are checked after resolution, for aliases, joined tables, common table expressions and union branches alike.
-    """
+def _nodes(plan, below_views: bool = True) -> Iterator:
+    """A plan's nodes, with common table expressions and the plans of subqueries."""
+    yield plan
+    if not below_views and plan.nodeName() == "View":
+        return
+    inner = [x for x in _each(plan.innerChildren()) if plan.nodeName() == "UnresolvedWith" and hasattr(x, "nodeName")]
+    for x in [*_each(plan.children()), *inner, *_each(plan.subqueries())]:
+        yield from _nodes(x, below_views)
+
+
+def _expressions(expression) -> Iterator:
+    yield expression
+    for x in _each(expression.children()):
+        yield from _expressions(x)
+
+
+def _parsed(guard: SparkSession, sql: str | None) -> str:
+    """The one statement of a text, after the lexical checks and those of its parsed form."""
     if not sql or not sql.strip():
-        return "EMPTY", ""
-    bare = _bare(sql)
+        raise Refused("EMPTY")
+    bare = re.sub(_LITERAL, " ", sql)
     if "--" in bare or "/*" in bare:
-        return "COMMENT_DENIED", ""
+        raise Refused("COMMENT_DENIED")
     if any(t in bare.upper() for t in FORBIDDEN):
-        return "SYSTEM_SCHEMA_DENIED", ""
+        raise Refused("SYSTEM_SCHEMA_DENIED")
     if ";" in bare.strip().rstrip(";").strip():
-        return "MULTI_STATEMENT", ""
-    one = sql.strip().rstrip(";").strip()
+        raise Refused("MULTI_STATEMENT")
     if re.match(r"(?i)\s*copy\b", bare):
-        return "COPY_DENIED", ""
-    session = spark._jsparkSession
+        raise Refused("COPY_DENIED")
+    one = sql.strip().rstrip(";").strip()
     try:
-        plan = session.sessionState().sqlParser().parsePlan(one)
-    except (ParseException, Exception) as e:  # the parser's errors come through the gateway in several classes
-        if isinstance(e, ParseException) or "Parse" in str(e):
-            return "PARSE_FAIL", ""
-        raise
-    names = _names(plan, [])
+        names = [n.nodeName() for n in _nodes(guard._jsparkSession.sessionState().sqlParser().parsePlan(one))]
+    except ParseException:
+        raise Refused("PARSE_FAIL") from None
+    except Exception as e:  # the parser's errors come through the gateway in several classes
+        if "Parse" not in str(e):
+            raise
+        raise Refused("PARSE_FAIL") from None
     top = names[0]
     if "Explain" in top or "Describe" in top:
-        return "EXPLAIN_DENIED", top
+        raise Refused("EXPLAIN_DENIED", top)
     if top.startswith(_DML):
-        return "DML_DENIED", top
+        raise Refused("DML_DENIED", top)
     if top.startswith(_PROCEDURE):
-        return "PROCEDURAL_DENIED", top
-    if "Command" in top or top.startswith(("Create", "Drop", "Alter", "Replace", "Cache", "Uncache", "Refresh", "Show", "Use", "Rename", "Add", "Repair", "Analyze", "Load")):
-        return "DDL_DENIED", top
-    if any(n in ("Intersect", "Except", "IntersectAll", "ExceptAll") or n.startswith(("Intersect", "Except")) for n in names):
-        return "DDL_DENIED", "set operation"
-    try:
-        analysed = spark.sql(one)._jdf.queryExecution().analyzed()
-    except AnalysisException as e:
-        code = e.getCondition() or ""
-        if "TABLE_OR_VIEW" in code:
-            return "TABLE_NOT_ALLOWED", code
-        return ("COLUMN_NOT_ALLOWED" if "COLUMN" in code else "PARSE_FAIL"), code
-    low = {t.lower(): {c.lower() for c in cs} for t, cs in allowed.items()}
-    text = analysed.toString()
-    for table in re.findall(r"SubqueryAlias ([\w.`]+)", text):
-        name = table.replace("`", "").split(".")[-1].lower()
-        if spark.catalog.tableExists(name) and name not in low:
-            return "TABLE_NOT_ALLOWED", name
-    for name in re.findall(r"(?:UnresolvedRelation|Relation) (?:spark_catalog\.)?([\w.]+)\[", text):
-        if name.split(".")[-1].lower() not in low and name not in ("parquet",):
-            return "TABLE_NOT_ALLOWED", name
-    if bad := _columns(spark, one, low):
-        return "COLUMN_NOT_ALLOWED", bad
-    if m := re.search(r"(?i)\blimit\s+(\d+)\s*$", bare.strip().rstrip(";").strip()):
-        if int(m[1]) > cap:
-            return "ROW_CAP_EXCEEDED", m[1]
-    return "OK", ""
+        raise Refused("PROCEDURAL_DENIED", top)
+    if "Command" in top or top.startswith(_DDL):
+        raise Refused("DDL_DENIED", top)
+    if any(n.startswith(("Intersect", "Except")) for n in names):
+        raise Refused("DDL_DENIED", "set operation")
+    return one
+
+
+def _top_limit(plan) -> int | None:
+    """The number of rows that the outermost LIMIT of an analysed statement lets through."""
+    while True:
+        name = plan.nodeName()
+        if name == "GlobalLimit":
+            return int(plan.limitExpr().eval(None))
+        if name == "WithCTE":
+            plan = list(_each(plan.children()))[-1]
+        elif name in ("Offset", "LocalLimit"):
+            plan = plan.child()
+        else:
+            return None
 
 
-def _columns(spark: SparkSession, sql: str, allowed: dict[str, set[str]]) -> str | None:
-    """The first column a statement cannot do without that its table does not allow: it is analysed again over views
-    that have the allowed columns only, under the same names."""
-    kept = {}
+def _guarded(spark: SparkSession, sql: str | None, allowed: dict[str, list[str]], cap: int) -> DataFrame:
+    """The statement's rows from the guard's session, or Refused."""
+    guard = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            guard.conf.set(key, value)
+    one = _parsed(guard, sql)
+    passed = []
     try:
-        for t, columns in allowed.items():
-            if not spark.catalog.tableExists(t):
-                continue
-            kept[t] = spark.table(t)
-            kept[t].select(*[c for c in kept[t].columns if c.lower() in columns]).createOrReplaceTempView(t)
-        spark.sql(sql)
-        return None
-    except AnalysisException as e:
-        return e.getCondition() or "unknown"
+        for name, columns in allowed.items():
+            if spark.catalog.tableExists(name):
+                table, low = spark.table(name), {c.lower() for c in columns}
+                passed.append(f"guard_{uuid.uuid4().hex}")
+                table.select(*[f"`{c}`" for c in table.columns if c.lower() in low]).createGlobalTempView(passed[-1])
+                guard.sql(f"CREATE TEMPORARY VIEW `{name}` AS SELECT * FROM global_temp.{passed[-1]}")
+        try:
+            df = guard.sql(one)
+            plan = df._jdf.queryExecution().analyzed()
+        except AnalysisException as e:
+            code = e.getCondition() or ""
+            if "TABLE_OR_VIEW" in code:
+                raise Refused("TABLE_NOT_ALLOWED", code) from None
+            if "ROUTINE" in code:
+                raise Refused("SYSTEM_SCHEMA_DENIED", code) from None
+            raise Refused("COLUMN_NOT_ALLOWED" if "COLUMN" in code else "PARSE_FAIL", code) from None
+        names = {n.lower() for n in allowed}
+        for node in _nodes(plan, below_views=False):
+            if node.nodeName() == "View":
+                view = node.desc().identifier()
+                if not node.isTempView() or view.table().lower() not in names:
+                    raise Refused("TABLE_NOT_ALLOWED", view.table())
+            elif not node.children().size() and node.nodeName() not in _LEAVES:
+                raise Refused("TABLE_NOT_ALLOWED", node.nodeName())
+            for root in _each(node.expressions()):
+                for x in _expressions(root):
+                    kind = x.getClass().getName()
+                    if kind.split(".")[-1].rstrip("$") in BEYOND_ROWS or not kind.startswith(_OWN):
+                        raise Refused("SYSTEM_SCHEMA_DENIED", kind.split(".")[-1])
+        limit = _top_limit(plan)
     finally:
-        for t, df in kept.items():
-            df.createOrReplaceTempView(t)
+        for name in passed:
+            spark.catalog.dropGlobalTempView(name)
+    if limit is not None and limit > cap:
+        raise Refused("ROW_CAP_EXCEEDED", str(limit))
+    return df if limit is not None else df.limit(cap)
+
+
+def check(spark: SparkSession, sql: str | None, allowed: dict[str, list[str]], cap: int = ROW_CAP) -> tuple[str, str]:
+    """(code, detail) for a statement over the views ``allowed`` (name to columns); code OK lets it through.
+
+    Columns are checked by resolution: stars, aliases, joined tables, subqueries, common table expressions and union
+    branches see the allowed ones only.
+    """
+    try:
+        _guarded(spark, sql, allowed, cap)
+    except Refused as e:
+        return e.code, e.detail
+    return "OK", ""
 
 
 def query(spark: SparkSession, sql: str, allowed: dict[str, list[str]], cap: int = ROW_CAP) -> DataFrame:
     """Runs a statement that the guard lets through, with the row cap where it has no limit of its own."""
-    code, detail = check(spark, sql, allowed, cap)
-    if code != "OK":
-        raise ValueError(f"{code}: {detail}")
-    df = spark.sql(sql.strip().rstrip(";"))
-    return df if re.search(r"(?i)\blimit\s+\d+\s*$", _bare(sql).strip().rstrip(";").strip()) else df.limit(cap)
+    return _guarded(spark, sql, allowed, cap)

@@ -240,6 +240,24 @@ def test_guard_rejects(guarded, sql, code):
     assert sqlguard.check(guarded, sql, ALLOWED)[0] == code
 
 
+@pytest.mark.parametrize("sql, code", [
+    ("SELECT * FROM parquet.`/root/testdata/sf0.001/lineitem.parquet`", "TABLE_NOT_ALLOWED"), ("SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SYSTEM_SCHEMA_DENIED"),
+    ("SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SYSTEM_SCHEMA_DENIED"), ("SELECT try_reflect('java.lang.System', 'getProperty', 'user.home') FROM guard_a", "SYSTEM_SCHEMA_DENIED"),
+    ("SELECT x, input_file_name() FROM guard_a", "SYSTEM_SCHEMA_DENIED"), ("SELECT x FROM guard_a LIMIT 1000 + 5000", "ROW_CAP_EXCEEDED"),
+    ("SELECT x FROM guard_a LIMIT 5000 OFFSET 0", "ROW_CAP_EXCEEDED"), ("SELECT (SELECT max(secret) FROM guard_a)", "COLUMN_NOT_ALLOWED"), ("SELECT * FROM global_temp.anything", "TABLE_NOT_ALLOWED"),
+    ("WITH secret AS (SELECT * FROM secret) SELECT * FROM secret", "TABLE_NOT_ALLOWED"), ("SELECT x FROM guard_a WHERE EXISTS (SELECT 1 FROM parquet.`/root/testdata/sf0.001/region.parquet`)", "TABLE_NOT_ALLOWED"),
+])
+def test_guard_sees_the_analysed_plan(guarded, sql, code):
+    assert sqlguard.check(guarded, sql, ALLOWED)[0] == code
+
+
+def test_guard_narrows(guarded):
+    before = guarded.table("guard_a").columns
+    for sql in ("SELECT * FROM guard_a", "SELECT c.* FROM guard_a c", "SELECT t.* FROM (SELECT * FROM guard_a) t", "WITH w AS (SELECT * FROM guard_a) SELECT * FROM w"):
+        assert set(sqlguard.query(guarded, sql, ALLOWED).columns) == set(ALLOWED["guard_a"])
+    assert guarded.table("guard_a").columns == before and sqlguard.query(guarded, "SELECT x FROM guard_a", ALLOWED, 1).count() <= 1
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.md").write_text("---\ntitle: \"T\"\nyear: 2024\n---\nbody\n", encoding="utf-8")
     (tmp_path / "b.bin").write_bytes(b"%PDF-1.7")
