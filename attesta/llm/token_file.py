@@ -12,7 +12,6 @@ lost executor's blocks appear once, and a block is found by its place without re
 
 from __future__ import annotations
 
-import bisect
 import operator
 import os
 import re
@@ -190,8 +189,8 @@ def _memo(path: str) -> WordMemo:
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> str:
     """Encodes ``docs`` (doc_id, text) and writes the token file; returns its path.
 
-    A null or empty text has the end id alone. Documents go by doc_id, nulls first, rows of one id by
-    text. An empty table writes a file without blocks.
+    A null or empty text has the end id alone. Documents go by doc_id, nulls first, rows of one id by a hash of
+    their text and then by text, so that many rows of one id can be parted. An empty table writes a file without blocks.
     """
     path = table_path(docs.sparkSession, "tokens")
     end = np.array([end_id], "<u4").tobytes()
@@ -223,7 +222,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> str:
         if held:
             yield close()
 
-    ordered = slim(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = slim(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     ordered.transform(in_arrow, blocks, _LAYOUT).write.option("compression", "none").parquet(path)
     return path
 
@@ -241,7 +241,7 @@ def _placed(spark: SparkSession, path: str) -> DataFrame:
     """The blocks with ``start``, the number of ids before each in the file."""
     rows = list(_starts(spark, path).items())
     before = spark.createDataFrame(rows, "part int, before long")
-    return spark.read.schema(_LAYOUT).parquet(path).join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("within"))
+    return spark.read.schema(_LAYOUT).parquet(path).join(before, "part").withColumn("start", F.col("before") + F.col("within"))
 
 
 def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -266,17 +266,24 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
 
 
 def read_at(spark: SparkSession, path: str, places: list[int]) -> dict[int, int]:
-    """The ids at some places of the file: only the blocks that hold them are read, and not decoded."""
-    index = sorted((r["start"], r["part"], r["block"]) for r in _placed(spark, path).select("start", "part", "block").collect())
-    wanted: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for p in places:
-        start, part, block = index[bisect.bisect_right(index, (p, 1 << 62, 0)) - 1]
-        wanted.setdefault((part, block), []).append((p, p - start))
-    out = {}
-    for (part, block), own in wanted.items():
-        b = Block(bytes(spark.read.schema(_LAYOUT).parquet(path).filter((F.col("part") == part) & (F.col("block") == block)).select("payload").first()[0]))
-        out |= {p: b.token(i) for p, i in own}
-    return out
+    """The ids at some places of the file, in one job: only the blocks that hold them are read, and not decoded.
+
+    A place outside the file, as any of an empty file, is not in the result; a place asked for twice is there once.
+    """
+    size = BLOCK_TOKENS
+    wanted = spark.createDataFrame([(p,) for p in sorted(set(places))], "place long").withColumn("stretch", F.floor(F.col("place") / size))
+    end = F.col("start") + F.col("n_tokens")
+    blocks = _placed(spark, path).select("start", "n_tokens", "payload")
+    dealt = blocks.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((end - 1) / size))))
+    met = dealt.join(wanted, "stretch").filter((F.col("place") >= F.col("start")) & (F.col("place") < end))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [Block(payload.as_buffer().to_pybytes()).token(i) for payload, i in zip(batch.column(0), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(ids, pa.int64())], ["place", "id"])
+
+    found = met.select("payload", (F.col("place") - F.col("start")).alias("i"), "place").transform(in_arrow, look, "place long, id long")
+    return {r["place"]: r["id"] for r in found.collect()}  # a row for each place asked for
 
 
 def op4_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from attesta.llm import pieces, token_file, topk
 
@@ -88,7 +89,8 @@ def test_token_file(spark, make, monkeypatch):
     tokenizer = Tokenizer.from_file(WORDS)
     rows = [(i * 3, t) for i, t in enumerate(ODD)] + [r for r in EDGES if r[0] != 5] + [(5, "b"), (5, "a")]
     want, ids = [], []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+    hashed = {r["text"]: r["h"] for r in make(rows).select("text", F.xxhash64("text").alias("h")).collect()}
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]], r[1] is not None, (r[1] or "").encode())):
         own = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((i, len(ids), len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
         ids += own
@@ -98,8 +100,9 @@ def test_token_file(spark, make, monkeypatch):
     back = token_file.read_documents(spark, path, with_ids=True).orderBy("start").collect()
     assert [x for r in back for x in r["ids"]] == ids
     places = [0, 1, len(ids) // 2, len(ids) - 1]
-    assert token_file.read_at(spark, path, places) == {p: ids[p] for p in places}
-    assert token_file.read_documents(spark, token_file.write_tokens(make(rows).limit(0), WORDS)).count() == 0
+    assert token_file.read_at(spark, path, [*places, 1, -1, len(ids)]) == {p: ids[p] for p in places}
+    empty = token_file.write_tokens(make(rows).limit(0), WORDS)
+    assert token_file.read_documents(spark, empty).count() == 0 and token_file.read_at(spark, empty, [0]) == {}
 
 
 def brute_topk(rows, every, k):
