@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
@@ -14,8 +13,8 @@ from pyspark.sql import types as T
 ASCII_TOKEN = r"([a-z0-9]+(?:[._/-][a-z0-9]+)*)"
 ANY_TOKEN = r"([A-Za-z0-9]+(?:[._/-][A-Za-z0-9]+)*)"
 CJK_RUN = r"([\x{4e00}-\x{9fff}]+)"
-STOPWORDS = "the and or a an of to in for with is are be by that this from as can will it its on".split()
-STOP_BIGRAMS = "因为 所以 可以 通过 进行 一个 这种 具有 用于 以及 需要 能够 实现 其中 相关 系统".split()
+STOPWORDS = ["the", "and", "or", "a", "an", "of", "to", "in", "for", "with", "is", "are", "be", "by", "that", "this", "from", "as", "can", "will", "it", "its", "on"]
+STOP_BIGRAMS = ["因为", "所以", "可以", "通过", "进行", "一个", "这种", "具有", "用于", "以及", "需要", "能够", "实现", "其中", "相关", "系统"]
 ANCHORS = ["2.5d", "3d", "键合", "检测", "市场", "财务", "国产", "政策"]
 COMPANIES = ["长电科技", "通富微电", "中微公司", "北方华创"]
 NEWS_CATEGORIES = [
@@ -163,6 +162,12 @@ def normalise_lower(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(blank(c)), r"\s+", " "))
 
 
+@F.pandas_udf(T.StringType())
+def nfkc(c: pd.Series) -> pd.Series:
+    """Compatibility characters in their plain form; null is empty."""
+    return c.fillna("").map(lambda x: unicodedata.normalize("NFKC", x))
+
+
 @F.pandas_udf(T.StringType())
 def normalise_text(c: pd.Series) -> pd.Series:
     """NFKC, case folding, white space collapsed and trimmed; null is empty."""
@@ -330,10 +335,14 @@ def snippet_date(c: Column) -> Column:
     return F.when(year.between(2020, 2030), date)
 
 
-def strip_citations(text: Column, references: Column) -> Column:
-    """Removes ``[[n]]`` marks outside 1..references."""
-    @F.pandas_udf(T.StringType())
-    def strip(t: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([re.sub(r"\[\[(\d+)\]\]", lambda m: m[0] if 1 <= int(m[1]) <= (k or 0) else "", x or "") for x, k in zip(t, n, strict=True)])
+def replace_each(source: Column, found: Column, by) -> Column:
+    """``source`` with every one of the literal strings ``found`` replaced by what ``by`` makes of it."""
+    return F.aggregate(F.array_distinct(found), blank(source), lambda out, x: F.replace(out, x, by(x)))
+
 
-    return strip(text, references)
+def strip_citations(source: Column, references: Column) -> Column:
+    """Removes ``[[n]]`` marks outside 1..references."""
+    marks = F.regexp_extract_all(blank(source), F.lit(r"(\[\[\d+\]\])"), 1)
+    number = lambda m: F.regexp_extract(m, r"\d+", 0).try_cast("long")
+    bad = F.filter(marks, lambda m: ~F.coalesce(number(m).between(1, F.coalesce(references, F.lit(0))), F.lit(False)))
+    return replace_each(source, bad, lambda m: F.lit(""))

@@ -6,11 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .evaluation import order_statistics
+
 DIGITS = 6
+MOMENT_DIGITS = 4
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """(column, non_null, distinct_values, least, most, mean, deviation) of every column; moments of numeric ones only. One pass."""
+    """(column, non_null, distinct_values, least, most, mean, deviation) of every column; moments of numeric ones only. One pass.
+
+    Mean and deviation have ``MOMENT_DIGITS`` places: sums of doubles depend on the order of rows in their last digits.
+    """
     own, names = [], []
     for c in df.schema:
         names.append((c.name, isinstance(c.dataType, T.NumericType)))
@@ -18,7 +24,7 @@ def profile(df: DataFrame) -> DataFrame:
         number = x.cast("double") if names[-1][1] else F.lit(None).cast("double")
         own.append(F.struct(
             F.lit(c.name).alias("column"), F.count(x).alias("non_null"), F.count_distinct(x.cast("string")).alias("distinct_values"),
-            F.min(number).alias("least"), F.max(number).alias("most"), F.round(F.avg(number), DIGITS).alias("mean"), F.round(F.stddev_samp(number), DIGITS).alias("deviation"),
+            F.min(number).alias("least"), F.max(number).alias("most"), F.round(F.avg(number), MOMENT_DIGITS).alias("mean"), F.round(F.stddev_samp(number), MOMENT_DIGITS).alias("deviation"),
         ))
     return df.agg(F.array(*own).alias("p")).select(F.inline("p"))
 
@@ -40,8 +46,10 @@ def distribution(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Count, range, mean, sum, median, deviation and values above mean plus two deviations, for each group."""
     stats = df.groupBy(*by).agg(
         F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.sum(value).alias("total"),
-        F.median(value).alias("median"), F.stddev_samp(value).alias("deviation"),
+        F.stddev_samp(value).alias("deviation"),
     )
+    middle = {"_a": (0.5, F.floor((F.col("n") + 1) / 2)), "_b": (0.5, F.floor(F.col("n") / 2) + 1)}
+    stats = stats.join(order_statistics(df, by, value, middle).select(*by, ((F.col("_a") + F.col("_b")) / 2).alias("median")), by)
     above = df.join(stats.select(*by, "mean", "deviation"), by).groupBy(*by).agg(F.count_if(F.col(value) > F.col("mean") + 2 * F.col("deviation")).alias("outliers"))
     return stats.join(above, by).select(*by, "n", "least", "most", F.round("mean", 4).alias("mean"), F.round("total", 2).alias("total"), F.round("median", 4).alias("median"), F.round("deviation", 4).alias("deviation"), "outliers")
 

@@ -117,12 +117,17 @@ def plan_tools(question: Column, tools: list = TOOLS) -> Column:
 def retrieve_by_tool(questions: DataFrame, sources: DataFrame, limits: dict = LIMITS) -> DataFrame:
     """(question_id, tool, source_id, score, rank) of each planned tool's best sources with a score above 0.
 
-    ``sources``: source_id, channel, haystack. Questions meet only sources of a planned channel that share a term.
+    ``sources``: source_id, channel, haystack, source_kind. Questions meet only sources of a planned channel that share
+    a term. A question about policy takes policies alone from the news, if there are any.
     """
     asks = questions.select("question_id", "question", F.explode(plan_tools(F.col("question"))).alias("tool"))
     q = asks.select("question_id", "question", "tool", F.explode(text.source_terms(F.col("question"))).alias("term"))
     s = sources.select("source_id", F.col("channel").alias("tool"), F.explode(text.source_terms(F.col("haystack"))).alias("term"))
     met = q.join(s, ["tool", "term"]).select("question_id", "question", "tool", "source_id").distinct().join(sources.select("source_id", "haystack"), "source_id")
+    policies = sources.filter((F.col("channel") == "news_search") & (F.col("source_kind") == "policy")).select("source_id").distinct()
+    about = (F.col("tool") == "news_search") & F.contains("question", F.lit("政策"))
+    if policies.limit(1).count():
+        met = met.join(policies.withColumn("policy", F.lit(True)), "source_id", "left").filter(~about | F.coalesce("policy", F.lit(False))).drop("policy")
     scored = met.withColumn("score", F.round(text.source_score(F.col("question"), F.col("haystack")), 9)).filter("score > 0")
     most = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("tool")]
     w = Window.partitionBy("question_id", "tool").orderBy(F.desc("score"), "source_id")

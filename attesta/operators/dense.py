@@ -29,7 +29,8 @@ def cosine_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, block: int =
     """(query_id, chunk_id, score, rank) of the k most similar chunks, ties to the smaller id.
 
     Both inputs have an id and ``embedding``. Every block of queries meets every block of chunks in one
-    matrix product; the k best of each meeting are merged.
+    matrix product for each length of vectors; the k best of each meeting are merged. Vectors of different lengths,
+    empty ones, zero vectors and those with a component that is null or not finite score 0; null vectors take no part.
     """
     nq, nc = max(1, -(-queries.count() // block)), max(1, -(-chunks.count() // block))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -42,11 +43,20 @@ def cosine_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, block: int =
         asks, held = pdf[pdf["asks"]], pdf[~pdf["asks"]]
         if not len(asks) or not len(held):
             return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1)
-        q, c = (unit(np.stack([np.asarray(v, np.float64) for v in x["embedding"]])) for x in (asks, held))
+
+        def unit(vectors: list) -> np.ndarray:
+            m = np.array([np.asarray(v, np.float64) for v in vectors])
+            m[~np.isfinite(m).all(axis=1)] = 0
+            return m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1)
+
+        scores = np.zeros((len(asks), len(held)))
+        lengths = [np.array([len(v) for v in x["embedding"]]) for x in (asks, held)]
+        for n in set(lengths[0]) & set(lengths[1]) - {0}:
+            i, j = (np.flatnonzero(x == n) for x in lengths)
+            scores[np.ix_(i, j)] = unit([asks["embedding"].iloc[k] for k in i]) @ unit([held["embedding"].iloc[k] for k in j]).T
         ids = held["id"].to_numpy()
         out = []
-        for i, s in enumerate(np.round(q @ c.T, SCORE_DIGITS)):
+        for i, s in enumerate(np.round(scores, SCORE_DIGITS)):
             near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
             near = near[np.lexsort((ids[near], -s[near]))][:k]
             out.append(pd.DataFrame({"query_id": asks["id"].iloc[i], "chunk_id": ids[near], "score": s[near]}))

@@ -10,21 +10,50 @@ from ..functions import text
 DIGITS = 9
 
 
+SHARE = 0.0005  # of a group's rows on either side of a wanted place that are put in order; the sketch errs by a fifth of it
+_ACCURACY = 10_000
+
+
+def order_statistics(df: DataFrame, by: list[str], value: str, wanted: dict[str, tuple[float, Column]]) -> DataFrame:
+    """(by, n, and a column for each of ``wanted``): values at exact places of each group's ascending order.
+
+    ``wanted`` has the share of the group where a value lies and its place from 1, a Column of ``n``, the number of
+    the group's values. A quantile sketch brackets each place; values below a bracket are counted and only those
+    within it are put in order, so that a large group, or a table that is one group, is never sorted in one task.
+    A bracket that misses its place, as that of a value repeated many times cannot, is widened to the whole group.
+    """
+    names = list(wanted)
+    rows = df.select(*by, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    sketch = lambda q: F.percentile_approx("_v", F.lit(min(1.0, max(0.0, q))), F.lit(_ACCURACY))
+    ends = [F.struct(sketch(q - SHARE).alias("a"), sketch(q + SHARE).alias("b")).alias(f"_{i}") for i, (q, _) in enumerate(wanted.values())]
+    groups = rows.groupBy(*by).agg(F.count("*").alias("n"), *ends).filter("n > 0")
+    near = rows.join(groups, by) if by else rows.join(F.broadcast(groups))  # one row
+    below = near.groupBy(*by).agg(*[F.count_if(F.col("_v") < F.col(f"_{i}.a")).alias(f"_l{i}") for i in range(len(names))], *[F.count_if(F.col("_v") <= F.col(f"_{i}.b")).alias(f"_u{i}") for i in range(len(names))])
+    met = groups.join(below, by) if by else groups.join(F.broadcast(below))
+    for i, (_, place) in enumerate(wanted.values()):
+        inside = (F.col(f"_l{i}") < place) & (place <= F.col(f"_u{i}"))
+        met = met.withColumn(f"_p{i}", place - F.when(inside, F.col(f"_l{i}")).otherwise(0)).withColumn(f"_{i}", F.when(inside, F.col(f"_{i}")))
+    facts = met.select(*by, "n", *[c for i in range(len(names)) for c in (f"_{i}", f"_p{i}")])
+    held = rows.join(facts, by) if by else rows.join(F.broadcast(facts))
+    hits = F.array(*[F.when(F.col(f"_{i}").isNull() | F.col("_v").between(F.col(f"_{i}.a"), F.col(f"_{i}.b")), F.struct(F.lit(i).alias("i"), F.col(f"_p{i}").alias("p"))) for i in range(len(names))])
+    few = held.select(*by, "n", "_v", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("x")).select(*by, "n", "_v", "x.i", "x.p")
+    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy(*by, "i").orderBy("_v"))).filter("r = p")
+    return ranked.groupBy(*by, "n").agg(*[F.max(F.when(F.col("i") == i, F.col("_v"))).alias(name) for i, name in enumerate(names)])
+
+
 def nearest_rank(df: DataFrame, by: list[str], value: str, quantiles: list[float]) -> DataFrame:
     """(by, q, value): the ``ceil(q * n)``-th smallest value of each group, the first at least."""
-    w = Window.partitionBy(*by)
-    ranked = df.filter(F.col(value).isNotNull()).withColumn("r", F.row_number().over(w.orderBy(value))).withColumn("c", F.count("*").over(w))
-    hit = F.explode(F.filter(F.array(*[F.lit(q) for q in quantiles]), lambda q: F.greatest(F.lit(1), F.ceil(q * F.col("c"))) == F.col("r"))).alias("q")
-    return ranked.select(*by, hit, F.col(value).alias("value"))
+    wanted = {f"v{i}": (q, F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("n")))) for i, q in enumerate(quantiles)}
+    found = order_statistics(df, by, value, wanted)
+    return found.select(*by, F.inline(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"v{i}").alias("value")) for i, q in enumerate(quantiles)])))
 
 
 def answer_latency(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """p50 at place ``(n - 1) // 2`` and p95 at place ``int(n * 0.95 + 0.999) - 1``, places from 0."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumn("r", F.row_number().over(w.orderBy(value)) - 1).withColumn("c", F.count("*").over(w))
-    p50 = F.max(F.when(F.col("r") == F.floor((F.col("c") - 1) / 2), F.col(value))).alias("p50")
-    p95 = F.max(F.when(F.col("r") == F.greatest(F.lit(0), F.floor(F.col("c") * 0.95 + 0.999) - 1), F.col(value))).alias("p95")
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), p50, p95)
+    """p50 at place ``(n - 1) // 2`` and p95 at place ``int(n * 0.95 + 0.999) - 1``, places from 0; nulls count and come first."""
+    low = F.lit(float("-inf"))
+    places = {"p50": (0.5, F.floor((F.col("n") - 1) / 2) + 1), "p95": (0.95, F.greatest(F.lit(1), F.floor(F.col("n") * 0.95 + 0.999)))}
+    found = order_statistics(df.withColumn(value, F.coalesce(F.col(value).cast("double"), low)), by, value, places)
+    return found.select(*by, "n", *[F.nullif(F.col(c), low).alias(c) for c in places])
 
 
 def ranking_metrics(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
@@ -82,9 +111,8 @@ def load_summary(requests: DataFrame, seconds: Column) -> DataFrame:
         F.count("*").alias("n"), F.round(F.avg((~F.col("ok")).cast("double")), DIGITS).alias("error_rate"), F.round(F.avg(F.col("good").cast("double")), DIGITS).alias("quality_rate"),
         F.round(F.count("*") / seconds, DIGITS).alias("throughput"), F.round(F.avg("latency"), DIGITS).alias("mean"),
     )
-    q = nearest_rank(requests.withColumn("_all", F.lit(1)), ["_all"], "latency", [0.5, 0.95, 0.99])
-    wide = q.groupBy("_all").pivot("q", [0.5, 0.95, 0.99]).agg(F.first("value")).select(F.col("`0.5`").alias("p50"), F.col("`0.95`").alias("p95"), F.col("`0.99`").alias("p99"))
-    return stats.join(F.broadcast(wide))  # one row each
+    places = {f"p{int(100 * q)}": (q, F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("n")))) for q in (0.5, 0.95, 0.99)}
+    return stats.join(F.broadcast(order_statistics(requests, [], "latency", places).drop("n")))  # one row each
 
 
 def distribution_faults(cases: DataFrame, expected: DataFrame, by: str) -> DataFrame:
@@ -92,9 +120,9 @@ def distribution_faults(cases: DataFrame, expected: DataFrame, by: str) -> DataF
     return cases.groupBy(by).agg(F.count("*").alias("n")).join(expected, by, "full_outer").filter(~F.col("n").eqNullSafe(F.col("expected")))
 
 
-def leaked_fields(rows: DataFrame, private: list[str]) -> list[str]:
-    """Private fields among the columns of a public table."""
-    return sorted(set(private) & set(rows.columns))
+def leaked_fields(rows: DataFrame, private: DataFrame) -> DataFrame:
+    """(field): private fields (field) among the columns of a public table."""
+    return private.select("field").distinct().filter(F.col("field").isin(rows.columns))
 
 
 def missing_gold(gold: DataFrame, available: DataFrame) -> DataFrame:
@@ -103,9 +131,10 @@ def missing_gold(gold: DataFrame, available: DataFrame) -> DataFrame:
     return lost.groupBy("case_id", "kind").agg(F.sort_array(F.collect_set("evidence_id")).alias("missing"))
 
 
-def budget_matrix(paths: list[str], ratios: list[float], window: int) -> list[tuple]:
-    """Rows (path, ratio, input_tokens) of a stress run, for ``budget.context_budget``."""
-    return [(p, r, int(window * r)) for p in paths for r in ratios]
+def budget_matrix(paths: DataFrame, ratios: list[float], window: int) -> DataFrame:
+    """(path, ratio, input_tokens): every path (path) at every ratio of the window, for ``budget.context_budget``."""
+    at = F.explode(F.array(*map(F.lit, ratios))).alias("ratio")
+    return paths.select("path", at).withColumn("input_tokens", F.floor(F.lit(window) * F.col("ratio")))
 
 
 def group_support(cases: DataFrame, documents: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions import text
 KINDS = ["document", "news", "policy", "bidding", "sql_row", "market_quote", "web_search"]
 TIERS = ["official", "primary", "secondary", "unknown"]
 STANDARD_BODIES = ["IEEE", "JEDEC", "NIST", "ISO", "IEC", "SEMI"]
-GOVERNMENT = ["国务院", "工信部", "发改委", "科技部", "财政部", "商务部", "海关总署", "市场监管总局", "政府", "人民银行", "证监会", "统计局", "能源局", "工业和信息化部", "国家发展改革委"]
+GOVERNMENT = ["国务院", "工信部", "发改委", "科技部", "财政部", "住建部", "公安部", "交通运输部", "自然资源部", "工业和信息化部", "国家发展改革委", "交通运输厅", "政府", "部委", "中共中央"]
 LOCATOR = [
     ("page", "int"), ("chunk_index", "int"), ("doc_id", "string"), ("kb_name", "string"), ("news_id", "string"), ("notice_id", "string"), ("notice_type", "string"),
     ("province", "string"), ("city", "string"), ("row_id", "string"), ("table_name", "string"), ("columns", "array<string>"), ("sql_hash", "string"),
@@ -55,7 +55,7 @@ def from_news(rows: DataFrame) -> DataFrame:
     """News (id, title, content, source, source_url, category, department, publish_time, collected_at)."""
     kind = F.when(F.col("category").isin("政策", "纪要"), "policy").otherwise("news")
     publisher = F.coalesce(F.nullif("department", F.lit("")), F.nullif("source", F.lit("")), F.lit("unknown"))
-    tier = F.when(_any(publisher, GOVERNMENT), "official").when(kind == "policy", "primary").otherwise("secondary")
+    tier = F.when(F.col("category") == "政策", "official").when(_any(publisher, GOVERNMENT), "official").when(F.col("category") == "研报", "secondary").otherwise("unknown")
     return make(rows, kind, F.col("title"), publisher, F.coalesce("content", "title"), tier, locator(news_id=F.col("id")), url=F.col("source_url"), published_at=F.col("publish_time"), retrieved_at=F.col("collected_at"))
 
 
@@ -80,10 +80,34 @@ def from_rows(rows: DataFrame, table: str, title: Column | None = None, publishe
 
 
 def from_quotes(rows: DataFrame) -> DataFrame:
-    """Quotes (name, gid, nowPri, increPer, as_of, provider)."""
+    """Quotes (name, gid, nowPri, increPer, as_of, provider): of a third party, so secondary."""
     content = F.concat_ws("; ", *[F.concat(F.lit(f"{c}="), F.col(c)) for c in ("name", "nowPri", "increPer")])
     where = locator(stock_code=F.col("gid"), data_provider=F.col("provider"), data_type=F.lit("quote"))
-    return make(rows, F.lit("market_quote"), F.col("name"), F.coalesce("provider", F.lit("unknown")), content, F.lit("primary"), where, as_of=F.col("as_of"))
+    return make(rows, F.lit("market_quote"), F.col("name"), F.coalesce("provider", F.lit("unknown")), content, F.lit("secondary"), where, as_of=F.col("as_of"))
+
+
+def from_data_points(rows: DataFrame, now: Column) -> DataFrame:
+    """Market figures (name, value, unit, source) as of ``now``; a figure without name, value and unit is left out."""
+    content = F.concat(text.blank(F.col("name")), F.lit(": "), text.blank(F.col("value").cast("string")), F.lit(" "), text.blank(F.col("unit")))
+    own = rows.filter(F.concat_ws("", "name", F.col("value").cast("string"), "unit") != "")
+    return make(own, F.lit("market_quote"), F.coalesce(F.nullif("name", F.lit("")), F.lit("market data")), F.coalesce("source", F.lit("unknown")), content, F.lit("secondary"), locator(data_type=F.lit("data_point")), as_of=now.cast("string"))
+
+
+def from_web(rows: DataFrame, engine: str) -> DataFrame:
+    """Web results (title, url, summary, snippet, site, date); nothing is known of their quality."""
+    return make(
+        rows, F.lit("web_search"), F.coalesce(F.nullif("title", F.lit("")), F.lit("untitled")), F.coalesce(F.nullif("site", F.lit("")), F.lit("unknown")),
+        F.coalesce(F.nullif("summary", F.lit("")), F.col("snippet")), F.lit("unknown"), locator(search_engine=F.lit(engine)), url=F.nullif("url", F.lit("")), published_at=F.nullif("date", F.lit("")),
+    )
+
+
+def usability(e: DataFrame) -> DataFrame:
+    """(evidence_id, timely, can_locate, short_ref): has a time; its place is a page, chunk or notice; a reference for a report."""
+    l = F.col("locator")
+    place = F.coalesce(l["page"] != 0, F.lit(False)) | l["chunk_index"].isNotNull() | (text.blank(l["notice_id"]) != "")
+    year, link = F.substring("published_at", 1, 4), F.substring("url", 1, 60)
+    parts = [F.when(F.col("publisher") != "", F.col("publisher")).otherwise(F.col("title")), F.when(text.blank(F.col("published_at")) != "", year), F.when(text.blank(F.col("url")) != "", link)]
+    return e.select("evidence_id", (F.col("published_at").isNotNull() | F.col("as_of").isNotNull()).alias("timely"), F.coalesce(place, F.lit(False)).alias("can_locate"), F.concat_ws(" | ", *parts).alias("short_ref"))
 
 
 def issues(e: DataFrame) -> DataFrame:

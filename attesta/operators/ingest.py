@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -17,72 +16,74 @@ from ..functions import text
 
 # page text
 
-KEEP_HYPHEN = "cross end full high in low multi next non real self state well".split()  # fixed values: a hyphen after these stays
+# fixed values: a hyphen after these stays
+KEEP_HYPHEN = ["cross", "end", "full", "high", "in", "low", "multi", "next", "non", "real", "self", "state", "well"]
 MARGIN, SHORT, FULL_PAGE = 2, 120, 7  # lines at each margin, longest repeated line, lines of a full page
+_BREAK = "\r\n|[\n\r\u000b\u001c-\u001e\u0085\u2028\u2029]"
 
 
-def _shape(line: str) -> str:
-    """A line with numbers and spaces levelled."""
-    return " ".join(re.sub(r"\b\d+\b", "#", line.strip().casefold()).split())
+def page_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, page, at, line) of every line of documents (doc_id, text) whose pages are parted by form feeds; white space is levelled, blank pages are left out."""
+    pages = docs.select("doc_id", F.posexplode(F.split(text.blank(F.col("text")), r"\f+")).alias("page", "body")).filter(F.col("body").rlike(r"\S"))
+    lines = pages.select("doc_id", "page", F.posexplode(F.split("body", _BREAK)).alias("at", "line"))
+    return lines.withColumn("line", F.trim(F.regexp_replace("line", r"(?U)\s+", " ")))
 
 
-def _margins(page: list[str]) -> set[int]:
-    held = [i for i, x in enumerate(page) if x.strip()]
-    return {*held[:MARGIN], *held[-MARGIN:]} if len(held) >= FULL_PAGE else set()
+def running_lines(lines: DataFrame) -> DataFrame:
+    """Adds ``edge``, whether a line is at a full page's margin, and ``often``, whether its shape stands at the margins of half the pages, three at least.
 
-
-def _is_heading(line: str) -> bool:
-    letters = [c for c in line if c.isalpha()]
-    if not line or len(line) > 140 or line[-1] in ".;,":
-        return False
-    return bool(re.match(r"[A-Z][.)]\s+\S", line)) or (len(letters) >= 4 and not any(c.islower() for c in letters))
-
-
-def pages_to_markdown(source: str | None) -> str:
-    """Text of pages parted by form feeds as markdown: repeated page margins, page numbers and contents lines
-    go, words broken at a line's end are joined, likely titles become headings."""
-    pages = [p for p in (x.splitlines() for x in re.split(r"\f+", source or "")) if any(y.strip() for y in p)]
-    seen: Counter = Counter()
-    for page in pages:
-        seen.update({_shape(page[i]) for i in _margins(page) if len(page[i].strip()) <= SHORT})
-    often = {x for x, n in seen.items() if len(pages) >= 3 and n >= max(3, (len(pages) + 1) // 2)}
-    blocks: list[str] = []
-    open_ = False  # whether the last block takes another line
-    for page in pages:
-        edge = _margins(page)
-        for i, raw in enumerate(page):
-            line = " ".join(raw.split())
-            if i in edge and (_shape(line) in often or re.fullmatch(r"(?i)(page\s+)?\d+", line)):
-                continue
-            if re.search(r"(?:\.\s*){4,}\d+$", line):
-                continue
-            if not line:
-                open_ = False
-            elif re.match(r"([-*•]|\d+[.)])\s+", line):
-                blocks.append(re.sub(r"^•\s*", "- ", line))
-                open_ = True
-            elif _is_heading(line):
-                follows = not open_ and blocks and blocks[-1].startswith("## ") and not re.match(r"CHAPTER\b|[A-Z][.)]\s", line) and not blocks[-1].startswith("## CHAPTER")
-                if follows:
-                    blocks[-1] += f" {line}"
-                else:
-                    blocks.append(f"## {line}")
-                open_ = False
-            elif open_ and re.search("[A-Za-z]-$", blocks[-1]) and line[0].islower():
-                stays = re.search("([A-Za-z]+)-$", blocks[-1])[1].casefold() in KEEP_HYPHEN
-                blocks[-1] = blocks[-1][: None if stays else -1] + line
-            elif open_:
-                blocks[-1] += f" {line}"
-            else:
-                blocks.append(line)
-                open_ = True
-        open_ = False
-    return "\n\n".join(re.sub(r"^# (?=\S)", r"\\# ", b) for b in blocks)
-
-
-@F.pandas_udf(T.StringType())
-def to_markdown(pages: pd.Series) -> pd.Series:
-    return pages.map(pages_to_markdown)
+    A line's shape has its numbers levelled, so that a page number does not make a header another line.
+    """
+    page = Window.partitionBy("doc_id", "page")
+    held = F.count_if(F.col("line") != "")
+    above, below = held.over(page.orderBy("at")), held.over(page.orderBy(F.desc("at")))
+    shape = F.regexp_replace(F.lower("line"), r"\b\d+\b", "#")
+    own = lines.withColumn("edge", (F.col("line") != "") & (held.over(page) >= FULL_PAGE) & ((above <= MARGIN) | (below <= MARGIN))).withColumn("shape", shape)
+    pages = lines.select("doc_id", "page").distinct().groupBy("doc_id").agg(F.count("*").alias("pages"))
+    seen = own.filter(F.col("edge") & (F.length("line") <= SHORT)).select("doc_id", "page", "shape").distinct().groupBy("doc_id", "shape").agg(F.count("*").alias("n"))
+    least = F.greatest(F.lit(3), F.floor((F.col("pages") + 1) / 2))
+    often = seen.join(pages, "doc_id").filter(F.col("n") >= least).select("doc_id", "shape", F.lit(True).alias("often"))
+    return own.join(often, ["doc_id", "shape"], "left").withColumn("often", F.coalesce("often", F.lit(False))).drop("shape")
+
+
+def line_kind(line: Column) -> Column:
+    """blank, item, heading or plain."""
+    letters = F.length(F.regexp_replace(line, r"\P{L}", ""))
+    titled = line.rlike(r"^[A-Z][.)]\s+\S") | ((letters >= 4) & ~line.rlike(r"\p{Ll}"))
+    heading = (F.length(line) <= 140) & ~line.rlike(r"[.;,]$") & titled
+    return F.when(line == "", "blank").when(line.rlike(r"^([-*•]|\d+[.)])\s+"), "item").when(heading, "heading").otherwise("plain")
+
+
+def _joined(lines: Column) -> Column:
+    """A block's lines as one text; a word that a line's end broke is whole again."""
+    broken = lambda a, b: a.rlike("[A-Za-z]-$") & b.rlike(r"^\p{Ll}")
+    stem = lambda a: F.lower(F.regexp_extract(a, "([A-Za-z]+)-$", 1))
+    bare = lambda a: F.when(stem(a).isin(KEEP_HYPHEN), a).otherwise(F.regexp_replace(a, "-$", ""))
+    rest = F.slice(lines, 2, F.size(lines))
+    return F.aggregate(rest, F.get(lines, F.lit(0)), lambda a, b: F.when(broken(a, b), F.concat(bare(a), b)).otherwise(F.concat(a, F.lit(" "), b)))
+
+
+def pages_to_markdown(docs: DataFrame) -> DataFrame:
+    """(doc_id, markdown) of documents (doc_id, text): repeated page margins, page numbers and lines of contents go, broken words
+    are joined, likely titles become headings. A document without lines has an empty text; ids are taken to be distinct.
+
+    Lines are dealt into blocks by a running count of the lines that start one: an item, a plain line that follows no
+    open item or paragraph of its page, and a heading unless it goes on from the heading before it.
+    """
+    lines = running_lines(page_lines(docs)).withColumn("kind", line_kind(F.col("line")))
+    number, contents = F.col("line").rlike(r"(?i)^(page\s+)?\d+$"), F.col("line").rlike(r"(?:\.\s*){4,}\d+$")
+    kept = lines.filter(~((F.col("edge") & (F.col("often") | number)) | contents))
+    order = Window.partitionBy("doc_id").orderBy("page", "at")
+    held = kept.withColumn("open", (F.lag("page").over(order) == F.col("page")) & F.lag("kind").over(order).isin("item", "plain")).filter("kind != 'blank'")
+    goes_on = (F.lag("kind").over(order) == "heading") & ~F.lag("line").over(order).startswith("CHAPTER") & ~F.col("line").rlike(r"^(CHAPTER\b|[A-Z][.)]\s)")
+    starts = F.when(F.col("kind") == "item", True).when(F.col("kind") == "plain", ~F.coalesce("open", F.lit(False))).otherwise(~F.coalesce(goes_on, F.lit(False)))
+    dealt = held.withColumn("block", F.sum(starts.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    line = F.when(F.col("kind") == "item", F.regexp_replace("line", r"^•\s*", "- ")).otherwise(F.col("line"))
+    blocks = dealt.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("page", "at", line.alias("line")))).alias("l"), F.min_by("kind", F.struct("page", "at")).alias("kind"))
+    lined = F.transform("l", lambda x: x["line"])
+    body = F.when(F.col("kind") == "heading", F.concat(F.lit("## "), F.array_join(lined, " "))).otherwise(F.regexp_replace(_joined(lined), r"^# (?=\S)", r"\\# "))
+    texts = blocks.select("doc_id", "block", body.alias("body")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "body"))), lambda x: x["body"]), "\n\n").alias("markdown"))
+    return docs.select("doc_id").join(texts, "doc_id", "left").select("doc_id", F.coalesce("markdown", F.lit("")).alias("markdown"))
 
 
 # uploads
@@ -213,17 +214,15 @@ def with_digest_vectors(rows: DataFrame, column: str, dim: int = 64) -> DataFram
 
 def safe_markdown(body: Column, urls: Column, charts: Column) -> Column:
     """Removes links outside ``urls`` (their labels stay) and images outside ``charts``."""
-
-    @F.pandas_udf(T.StringType())
-    def clean(b: pd.Series, u: pd.Series, c: pd.Series) -> pd.Series:
-        out = []
-        for x, links, images in zip(b, u, c, strict=True):
-            links, images = set(links if links is not None else []), set(images if images is not None else [])
-            x = re.sub(r"!\[([^\]]*)\]\(([^)]+)\)", lambda m: m[0] if m[2].strip() in images else (f"[{m[1]}]" if m[1] else ""), x or "")  # noqa: B023
-            out.append(re.sub(r"(?<!!)\[([^\]]+)\]\(([^)]+)\)", lambda m: m[0] if m[2].strip() in links else m[1], x))  # noqa: B023
-        return pd.Series(out)
-
-    return clean(body, urls, charts)
+    none = F.array().cast("array<string>")
+    target = lambda x: F.trim(F.regexp_extract(x, r"\(([^)]+)\)$", 1))
+    image, link = r"(!\[[^\]]*\]\([^)]+\))", r"(?<!!)(\[[^\]]+\]\([^)]+\))"
+    label = lambda x: F.regexp_extract(x, r"^!?\[([^\]]*)\]", 1)
+    images = F.filter(F.regexp_extract_all(text.blank(body), F.lit(image), 1), lambda x: ~F.array_contains(F.coalesce(charts, none), target(x)))
+    out = text.replace_each(body, images, lambda x: F.when(label(x) != "", F.concat(F.lit("["), label(x), F.lit("]"))).otherwise(""))
+    links = F.filter(F.regexp_extract_all(out, F.lit(link), 1), lambda x: ~F.array_contains(F.coalesce(urls, none), target(x)))
+    escaped = lambda x: F.regexp_replace(label(x), r"([\\$])", r"\\$1")
+    return F.aggregate(F.array_distinct(links), out, lambda o, x: F.regexp_replace(o, F.concat(F.lit(r"(?<!!)\Q"), x, F.lit(r"\E")), escaped(x)))
 
 
 def cell(column: Column, kind: T.DataType) -> Column:

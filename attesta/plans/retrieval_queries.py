@@ -200,7 +200,7 @@ def pairwise_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 def page_markdown(spark: SparkSession, d: str) -> DataFrame:
     """Documents' texts as pages of markdown."""
-    return table(spark, d, "documents").select("doc_id", ingest.to_markdown("text").alias("markdown"))
+    return ingest.pages_to_markdown(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def query_plans(spark: SparkSession, d: str) -> DataFrame:

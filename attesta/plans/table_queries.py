@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -160,10 +158,10 @@ def cross_source_inference(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entity_resolver(spark: SparkSession, d: str) -> DataFrame:
-    """The longest word pair of benchmark passages' openings that occurs in each document."""
-    names = table(spark, d, "benchmark").select(F.array_join(F.slice(F.split(F.regexp_replace(F.lower("text"), r"(?U)[^\w]+", " "), " "), 1, 2), " ").alias("name")).distinct()
+    """The longest word pair of benchmark passages' openings that occurs anywhere in each document, both in lower case with levelled spaces."""
+    names = table(spark, d, "benchmark").select(F.array_join(F.slice(F.split(text.normalise_lower(F.col("text")), " "), 1, 2), " ").alias("name")).distinct()
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text")
-    return governance.longest_entity(docs, names)
+    return governance.longest_entity(docs, names, text.normalise_lower)
 
 
 def source_dedup_quality(spark: SparkSession, d: str) -> DataFrame:
@@ -231,12 +229,8 @@ def tumbling_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def tumbling_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same counts from a stream of the table in complete mode: equal to the table's."""
-    schema = table(spark, d, "events").schema
-    name = "tumbling_" + next(tempfile._get_candidate_names()).replace("-", "_")
-    stream = streams.read_events(spark, f"{d}/events.parquet*", schema)
-    run = streams.tumbling_counts(stream, "event_type", "value").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    stream = streams.read_events(spark, f"{d}/events.parquet*", table(spark, d, "events").schema)
+    return streams.complete_table(streams.tumbling_counts(stream, "event_type", "value"), tables.scratch(spark, "tumbling"))
 
 
 def event_sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -298,7 +292,7 @@ ORACLES = {
     "messages_per_session": "SELECT conv_id, count(*) FILTER (WHERE role = 'system') AS n FROM conversations GROUP BY conv_id",
     "latest_order": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "profile_columns": " UNION ALL ".join(
-        f"SELECT '{c}' AS column, count({c}) AS non_null, count(DISTINCT {c}) AS distinct_values, min({v})::DOUBLE AS least, max({v})::DOUBLE AS most, round(avg({v}), 6) AS mean, round(stddev_samp({v}), 6) AS deviation FROM lineitem"
+        f"SELECT '{c}' AS column, count({c}) AS non_null, count(DISTINCT {c}) AS distinct_values, min({v})::DOUBLE AS least, max({v})::DOUBLE AS most, round(avg({v}), 4) AS mean, round(stddev_samp({v}), 4) AS deviation FROM lineitem"
         for c, v in (("l_quantity", "l_quantity"), ("l_discount", "l_discount"), ("l_returnflag", "NULL::DOUBLE"), ("l_linenumber", "l_linenumber"))
     ),
     "trend": """WITH m AS (SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS month, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2),
@@ -332,9 +326,9 @@ ORACLES = {
     "missing_sources": """WITH d AS (SELECT source || ':' || doc_id % 40 AS case_id, lang FROM documents), g AS (SELECT case_id, bool_or(lang = 'fr') AS fr, bool_or(lang IN ('de', 'es')) AS x FROM d GROUP BY 1)
         SELECT case_id AS subject, 'fr' AS detail, 'block' AS severity FROM g WHERE NOT fr UNION ALL SELECT case_id, 'de|es', 'block' FROM g WHERE NOT x""",
     "cross_source_inference": "SELECT doc_id AS draft_id, array_to_string(list_sort(['E1', 'E' || doc_id % 3]), ',') AS ids FROM documents WHERE doc_id % 3 <> 1",
-    "entity_resolver": r"""WITH n AS (SELECT DISTINCT array_to_string(list_slice(string_split(regexp_replace(lower(text), '[^\pL\pM\pN_]+', ' ', 'g'), ' '), 1, 2), ' ') AS name FROM benchmark),
-        t AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\pL\pM\pN_]+', ' ', 'g')) || ' ' AS t FROM documents)
-        SELECT doc_id AS text_id, name AS entity FROM t JOIN n ON contains(t, ' ' || name || ' ') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(name) DESC, name) = 1""",
+    "entity_resolver": r"""WITH n AS (SELECT DISTINCT array_to_string(list_slice(string_split(trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '), ' '), 1, 2), ' ') AS name FROM benchmark),
+        t AS (SELECT doc_id, trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS t FROM documents)
+        SELECT doc_id AS text_id, name AS entity FROM t JOIN n ON contains(t, name) WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(name) DESC, name) = 1""",
     "source_dedup_quality": r"""WITH q AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
           least(100, [30, 8, 24][page_id % 3 + 1] + CASE WHEN page_id % 2 = 0 THEN 10 ELSE 0 END + CASE WHEN page_id % 5 = 0 THEN 25 ELSE 5 END + CASE WHEN url LIKE 'https://%' THEN 5 ELSE 0 END)::BIGINT AS quality FROM pages)
         SELECT page_id, quality FROM q QUALIFY row_number() OVER (PARTITION BY host ORDER BY quality DESC, page_id) = 1""",

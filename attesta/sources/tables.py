@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the folder that the cluster shares (spark.checkpoint.dir), else in the warehouse."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """path, name, text of every file with a text suffix; bytes that are not UTF-8 become replacement characters."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(TEXT_SUFFIXES) + "}").option("recursiveFileLookup", "true").load(path)

@@ -153,17 +153,17 @@ def phase_machine(events: DataFrame, iterations: int = 3) -> DataFrame:
     return events.groupBy("session_id").applyInPandas(fold, "session_id long, phase string, iteration long")
 
 
-def into_table(stream: DataFrame, key: list[str], path: str, checkpoint: str):
-    """Writes each micro-batch's new keys to a Parquet folder: at-least-once delivery, each key once."""
-    spark = stream.sparkSession
-
-    def write(batch: DataFrame, _: int) -> None:
-        rows = batch.dropDuplicates(key)
-        try:
-            rows = rows.join(spark.read.parquet(path).select(*key), key, "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        rows.write.mode("append").parquet(path)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def into_table(stream: DataFrame, key: list[str], path: str, checkpoint: str, late: str = "1 day", time: str = "ts"):
+    """Writes each key of a stream once to a Parquet folder. What has been written is the stream's own state, as far back as ``late``; the folder is never read."""
+    once = stream.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
+    return once.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def complete_table(counts: DataFrame, path: str) -> DataFrame:
+    """Runs an aggregation over all that its stream has and gives its last complete result, from a Parquet folder under ``path``."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/table")
+
+    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return counts.sparkSession.read.schema(counts.schema).parquet(f"{path}/table")

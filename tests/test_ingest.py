@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 from attesta.functions import queryplan
 from attesta.operators import evaluation, ingest
 
-PAIRS = queryplan.glossary()
+def planned(spark, question):
+    rows = queryplan.query_plans(spark.createDataFrame([(1, question)], "query_id long, question string")).orderBy("variant").collect()
+    return [(r["query"], r["focus"]) for r in rows]
 
 
-def test_glossary():
-    assert len(PAIRS) == 66
-    assert queryplan.expansions("低翘曲怎么办", PAIRS) == ["low warpage"]
-    assert queryplan.expansions("人才与劳动力", PAIRS) == ["workforce"]
+def test_glossary(spark):
+    assert len(queryplan.GLOSSARY) == 66
+    own = lambda q: spark.range(1).select(queryplan.expansions(F.lit(q), queryplan.GLOSSARY)).first()[0]
+    assert own("低翘曲怎么办") == ["low warpage"] and own("人才与劳动力") == ["workforce"] and own("none") == []
 
 
-def test_plan():
-    assert queryplan.plan("翘曲", PAIRS) == [("翘曲", [])]
-    assert [q for q, _ in queryplan.plan("DRC 翘曲", PAIRS)] == ["DRC 翘曲", "DRC warpage", "DRC 翘曲 Technical terms: warpage"]
-    many = queryplan.plan("供应链, 基础设施, 人才, 网络安全, 纯度, 颗粒, 供应商", PAIRS)
+def test_plan(spark):
+    assert planned(spark, "翘曲") == [("翘曲", [])] and planned(spark, None) == []
+    assert [q for q, _ in planned(spark, "DRC 翘曲")] == ["DRC 翘曲", "DRC warpage", "DRC 翘曲 Technical terms: warpage"]
+    many = planned(spark, "供应链, 基础设施, 人才, 网络安全, 纯度, 颗粒, 供应商")
     assert len(many) == 6 and [len(f) for _, f in many] == [0, 2, 2, 1, 1, 1] and many[1][0].startswith("供应链 ")
 
 
@@ -30,12 +32,15 @@ def test_plans_of_a_table(spark):
     assert df.select(queryplan.explain_identifier(F.lit("SP-800"))).first()[0].count("SP-800") == 1
 
 
-def test_pages():
+def test_pages(spark):
     page = lambda n: "\n".join(["ACME Report", "Draft", "", "INTRODUCTION", f"line one of page {n} is manu-", "factured here.", "More text", "• item", "and more", "", f"body {n} ends", "Draft", f"Page {n}"])
-    got = ingest.pages_to_markdown("\f".join(page(n) for n in range(1, 5)))
-    assert "ACME" not in got and "Page 1" not in got
-    assert "manufactured here." in got and "## INTRODUCTION" in got and "- item and more" in got
-    assert ingest.pages_to_markdown(None) == "" and ingest.pages_to_markdown("# include <x>") == "\\# include <x>"
+    texts = ["\f".join(page(n) for n in range(1, 5)), None, "# include <x>", "A. ONE\n\nTWO THREE\nCHAPTER 1\nFOUR FIVE\nSIX SEVEN\n\nself-\nmade in-\nline re-\nmade\nContents . . . . 3\n1) x\n\fnext page"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["markdown"] for r in ingest.pages_to_markdown(rows).collect()}
+    assert "ACME" not in got[0] and "Page 1" not in got[0]
+    assert "manufactured here." in got[0] and "## INTRODUCTION" in got[0] and "- item and more" in got[0]
+    assert got[1] == "" and got[2] == "\\# include <x>"
+    assert got[3] == "## A. ONE TWO THREE\n\n## CHAPTER 1\n\n## FOUR FIVE SIX SEVEN\n\nself-made in-line remade\n\n1) x\n\nnext page"
 
 
 def test_uploads(spark):

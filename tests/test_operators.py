@@ -110,9 +110,51 @@ def test_longest_entity(spark):
     assert [tuple(r) for r in governance.longest_entity(texts, names).collect()] == [(1, "big red fox")]
 
 
+@pytest.mark.parametrize("limit", [200_000, -1])
+def test_entities_in_texts_without_spaces(spark, monkeypatch, limit):
+    monkeypatch.setattr(governance, "NAMES_TO_BROADCAST", limit)
+    texts = spark.createDataFrame([(1, "请问长电科技股份和Ａ.Ｂ．公司如何"), (2, "none"), (3, None)], "text_id long, text string")
+    registry = spark.createDataFrame([("长电", "sh1"), ("长电科技", "sh2"), ("a.b.", "sz3"), (" ", "x")], "name string, stock_code string")
+    got = {r["text_id"]: (r["entity"], r["stock_code"], r["matched"], r["candidates"]) for r in governance.resolve_entities(texts, registry).collect()}
+    assert got == {1: ("a.b.", "sz3", True, 3), 2: (None, None, False, 0), 3: (None, None, False, 0)}
+    assert {r["entity"] for r in governance.entity_hits(texts, registry).collect()} == {"长电", "长电科技", "a.b."}
+
+
+def test_parties(spark):
+    blob = "采购人: （某）甲乙 公司，中标人：乙，供应商:丙丁有限公司；"
+    assert tuple(spark.range(1).select(governance.parties(F.lit(blob)).alias("p")).first()[0]) == ("甲乙", "丙丁有限公司")
+    own = lambda x: spark.range(1).select(governance.party_key(F.lit(x))).first()[0]
+    assert [own(x) for x in ("北方 (华创) 集团有限公司", "公司", "有限公司", "X公司公司", None)] == ["北方 集团", "公司", "有限", "x", ""]
+
+
+def test_candidate_rules(spark):
+    rows = [("t", ["packaging_testing"], "blocked", "metadata_only", "pdf", None, "https://a"), ("t", ["packaging_testing"], "link_only", "pending", "pdf", None, None), ("t", [], "blocked", "pending", "pdf", None, None), ("t", ["packaging_testing"], "blocked", "approved", "markdown", None, None), ("t", ["packaging_testing"], "blocked", "pending", "html", None, None), (" ", None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "title string, domains array<string>, ingestion_policy string, review_status string, content_format string, source_url string, fulltext_url string")
+    assert [r[0] for r in df.select(governance.candidate_error()).collect()] == [None, "policy_invalid", "domains_invalid", "approval_without_rights", "format_invalid", "title_empty"]
+
+
+def test_order_statistics(spark):
+    rnd = random.Random(9)
+    rows = [(g, v) for g, n in (("a", 4001), ("b", 1), ("c", 300)) for v in [float(rnd.randrange(60)) if g == "c" else rnd.random() for _ in range(n)]] + [("d", None), ("b", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {(r["g"], r["q"]): r["value"] for r in evaluation.nearest_rank(df, ["g"], "v", [0.0, 0.5, 0.95, 1.0]).collect()}
+    for g in "abc":
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        assert [got[g, q] for q in (0.0, 0.5, 0.95, 1.0)] == [own[max(0, -int(-q * len(own) // 1) - 1)] for q in (0.0, 0.5, 0.95, 1.0)]
+    assert ("d", 0.5) not in got
+    late = {r["g"]: (r["n"], r["p50"]) for r in evaluation.answer_latency(df, ["g"], "v").collect()}
+    assert late["b"] == (2, None) and late["d"] == (1, None)
+
+
+def test_cosine_of_ragged_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, []), (4, [float("nan"), 1.0]), (5, [2.0, 0.0]), (6, None)], "id long, embedding array<double>")
+    got = dense.cosine_topk(df.filter("id = 1").select(F.col("id").alias("query_id"), "embedding"), df.select(F.col("id").alias("chunk_id"), "embedding"), 9).orderBy("rank").collect()
+    assert [(r["chunk_id"], r["score"]) for r in got] == [(1, 1.0), (5, 1.0), (2, 0.0), (3, 0.0), (4, 0.0)]
+
+
 def test_similar_questions(spark):
-    df = spark.createDataFrame([(1, "How long is the river?"), (2, "how long is the river"), (3, "What is the yield of a wafer?"), (4, None)], "id long, question string")
-    assert [(r["a"], r["b"], r["similarity"]) for r in governance.similar_questions(df).collect()] == [(1, 2, 1.0)]
+    df = spark.createDataFrame([(1, "How long is the river?"), (2, "how long is the river"), (3, "What is the yield of a wafer?"), (4, None), (5, "?")], "id long, question string")
+    assert sorted((r["a"], r["b"], r["similarity"]) for r in governance.similar_questions(df).collect()) == [(1, 2, 1.0), (4, 5, 1.0)]
 
 
 def test_ground_facts(spark):
