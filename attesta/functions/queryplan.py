@@ -79,18 +79,19 @@ GLOSSARY = [
 LIMIT = 6
 
 
-def expansions(question: Column, pairs: list[tuple[str, list[str]]]) -> Column:
-    """Phrases of the glossary terms that a question holds, each once however it is written."""
-    table = F.array(*[F.struct(F.lit(t.lower()).alias("term"), F.array(*map(F.lit, ps)).alias("phrases")) for t, ps in pairs])
-    held = F.filter(table, lambda g: F.contains(F.lower(question), g["term"]))
-    own = F.filter(held, lambda g, i: ~F.exists(F.slice(held, 1, i), lambda before: F.contains(before["term"], g["term"])))
-    return _once(F.flatten(F.transform(own, lambda g: g["phrases"])), lambda p: p)
+def _settled(rows: DataFrame) -> DataFrame:
+    """The same rows; their columns are computed once, where the optimiser would else repeat them in every use."""
+    return rows.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))))
 
 
-def _once(items: Column, name) -> Column:
-    """The first of items with one lower-case name."""
-    names = F.transform(items, lambda x: F.lower(name(x)))
-    return F.filter(items, lambda x, i: F.array_position(names, F.lower(name(x))) == i + 1)
+def with_phrases(rows: DataFrame, question: str, pairs: list[tuple[str, list[str]]] | None = None) -> DataFrame:
+    """Adds ``phrases``: those of the glossary terms that a question holds, each once however it is written."""
+    table = F.array(*[F.struct(F.lit(t.lower()).alias("term"), F.array(*map(F.lit, ps)).alias("phrases")) for t, ps in (GLOSSARY if pairs is None else pairs)])
+    held = rows.withColumn("_low", F.lower(question)).transform(_settled).withColumn("_held", F.filter(table, lambda g: F.contains("_low", g["term"]))).transform(_settled)
+    own = F.filter("_held", lambda g, i: ~F.exists(F.slice("_held", 1, i), lambda before: F.contains(before["term"], g["term"])))
+    every = held.withColumn("_every", F.flatten(F.transform(own, lambda g: g["phrases"]))).transform(_settled)
+    named = every.withColumn("_names", F.transform("_every", F.lower)).transform(_settled)
+    return named.withColumn("phrases", F.filter("_every", lambda p, i: F.array_position("_names", F.lower(p)) == i + 1)).drop("_low", "_held", "_every", "_names")
 
 
 def anchor(question: Column) -> Column:
@@ -108,8 +109,8 @@ def query_plans(questions: DataFrame, limit: int = LIMIT, pairs: list[tuple[str,
     """
     limit = max(1, limit)
     own = questions.select("query_id", F.trim(text.blank(F.col("question"))).alias("q"))
-    own = own.withColumn("phrases", expansions(F.col("q"), GLOSSARY if pairs is None else pairs)).withColumn("n", F.size("phrases"))
-    own = own.withColumn("seats", F.least(F.lit(limit - 1), F.col("n"))).withColumn("anchor", anchor(F.col("q")))
+    own = with_phrases(own, "q", pairs).withColumn("n", F.size("phrases"))
+    own = own.withColumn("seats", F.least(F.lit(limit - 1), F.col("n"))).withColumn("anchor", anchor(F.col("q"))).transform(_settled)
     size, more = F.floor(F.col("n") / F.col("seats")).cast("int"), (F.col("n") % F.col("seats")).cast("int")
 
     def seat(g: Column) -> Column:
@@ -123,8 +124,10 @@ def query_plans(questions: DataFrame, limit: int = LIMIT, pairs: list[tuple[str,
     whole = F.struct(F.concat("q", F.lit(" Technical terms: "), F.array_join("phrases", "; ")).alias("query"), F.col("phrases").alias("focus"))
     rest = F.when(split & (F.col("seats") + 1 < limit), F.array(whole)).otherwise(none)
     first = F.array(F.struct(F.col("q").alias("query"), F.array().cast("array<string>").alias("focus")))
-    named = F.filter(F.concat(first, seats, rest), lambda p: p["query"] != "")
-    plan = own.select("query_id", F.slice(_once(named, lambda p: p["query"]), 1, limit).alias("plan"))
+    named = own.select("query_id", F.filter(F.concat(first, seats, rest), lambda p: p["query"] != "").alias("all")).transform(_settled)
+    named = named.withColumn("names", F.transform("all", lambda p: F.lower(p["query"]))).transform(_settled)
+    once = F.filter("all", lambda p, i: F.array_position("names", F.lower(p["query"])) == i + 1)
+    plan = named.select("query_id", F.slice(once, 1, limit).alias("plan"))
     return plan.select("query_id", F.posexplode("plan").alias("variant", "p")).select("query_id", "variant", "p.query", "p.focus")
 
 

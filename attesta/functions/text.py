@@ -346,3 +346,16 @@ def strip_citations(source: Column, references: Column) -> Column:
     number = lambda m: F.regexp_extract(m, r"\d+", 0).try_cast("long")
     bad = F.filter(marks, lambda m: ~F.coalesce(number(m).between(1, F.coalesce(references, F.lit(0))), F.lit(False)))
     return replace_each(source, bad, lambda m: F.lit(""))
+
+
+def valid_identifier(c: Column) -> Column:
+    return F.coalesce(c.rlike("^[a-zA-Z_][a-zA-Z0-9_]*$"), F.lit(False))
+
+
+# fixed values, in order
+SEARCH_PATTERNS = ["搜索[「\"'【](.+?)[」\"'】]", "查找[「\"'【](.+?)[」\"'】]", "搜索关于(.+?)的", "查询(.+?)的信息", "了解(.+?)的", "获取(.+?)的"]
+
+
+def search_query(thought: Column) -> Column:
+    """What a thought wants to search for, by the first pattern that fits; null: none."""
+    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(blank(thought), p, 1)), F.lit("")) for p in SEARCH_PATTERNS])

@@ -76,3 +76,19 @@ def text_facts(texts: DataFrame) -> DataFrame:
     """(text_id, year, value, percent) that a free text states, the first of each."""
     pick = lambda p: F.nullif(F.regexp_extract("text", p, 1), F.lit(""))
     return texts.select("text_id", pick(r"((?:19|20)\d{2})").cast("int").alias("year"), pick(r"(\d+(?:\.\d+)?)\s*(?:亿|万|元|million|billion)").cast("double").alias("value"), pick(r"(\d+(?:\.\d+)?)\s*%").cast("double").alias("percent"))
+
+
+def text_statistics(texts: DataFrame, words: list[str], top: int = 5) -> DataFrame:
+    """(kind, name, count, mean, least, most) over all texts (text): amounts with a unit, percentages, and the ``top`` most frequent of ``words``."""
+    amounts = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"(\d{1,3}(?:,\d{3})*(?:\.\d+)?|\d+(?:\.\d+)?)\s*(?:元|万|亿|人民币|美元)"), 1)).alias("v")).select(F.lit("number").alias("kind"), F.replace("v", F.lit(","), F.lit("")).cast("double").alias("v"))
+    shares = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"(\d+(?:\.\d+)?)\s*%"), 1)).alias("v")).select(F.lit("percent").alias("kind"), F.col("v").cast("double").alias("v"))
+    numbers = amounts.unionByName(shares).groupBy("kind").agg(F.count("*").alias("count"), F.bround(F.avg("v"), 2).alias("mean"), F.min("v").alias("least"), F.max("v").alias("most"))
+    held = texts.select(F.explode(F.array(*[F.struct(F.lit(w).alias("name"), F.floor((F.length("text") - F.length(F.replace(F.lower("text"), F.lit(w.lower()), F.lit("")))) / len(w)).alias("n")) for w in words])).alias("x"))
+    counts = held.groupBy(F.col("x.name").alias("name")).agg(F.sum("x.n").alias("count")).filter("count > 0").orderBy(F.desc("count"), "name").limit(top)
+    none = F.lit(None).cast("double")
+    return numbers.select("kind", F.lit("").alias("name"), "count", "mean", "least", "most").unionByName(counts.select(F.lit("keyword").alias("kind"), "name", "count", none.alias("mean"), none.alias("least"), none.alias("most")))
+
+
+def samples(df: DataFrame, column: str, order: list, most: int = 5) -> DataFrame:
+    """(value): the first values of a column, in the order given, that are not null."""
+    return df.filter(F.col(column).isNotNull()).orderBy(*order).limit(most).select(F.col(column).cast("string").alias("value"))

@@ -132,3 +132,64 @@ def retrieve_by_tool(questions: DataFrame, sources: DataFrame, limits: dict = LI
     most = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("tool")]
     w = Window.partitionBy("question_id", "tool").orderBy(F.desc("score"), "source_id")
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= most).select("question_id", "tool", "source_id", "score", "rank")
+
+
+# fixed values
+SEARCHABLE = ["missing_source", "incomplete", "outdated"]
+SEVERE = ["critical", "major"]
+INFERENCE = ["分析", "是否", "差距", "趋势", "一致", "反映", "受益"]
+CONFLICT = ["是否一致", "趋势", "支持力度", "估值"]
+RISK = ["股价", "估值"]
+METRICS = [("单台成本", "单台成本"), ("价差百分比", "价差"), ("出货量", "出货量")]
+
+
+def route_review(issues: DataFrame, missing: DataFrame, most: int = 5) -> DataFrame:
+    """(review_id, should_research, search_queries) of reviews with an issue or a missing aspect.
+
+    ``issues``: review_id, n, issue_type, severity, requires_new_search, search_query; ``missing``: review_id, n, aspect. Severe
+    issues that a search can mend and the first three missing aspects give the queries, each once, in their order. It
+    is researched if there is a query and over 30 % of the severe issues can be mended so.
+    """
+    severe = F.col("severity").isin(SEVERE)
+    mends = severe & F.col("issue_type").isin(SEARCHABLE)
+    query = F.when(mends & F.col("requires_new_search") & (F.col("search_query") != ""), F.struct(F.lit(0).alias("k"), "n", F.col("search_query").alias("q")))
+    a = issues.groupBy("review_id").agg(F.count_if(severe).alias("severe"), F.count_if(mends).alias("mends"), F.collect_list(query).alias("asked"))
+    first = missing.withColumn("r", F.row_number().over(Window.partitionBy("review_id").orderBy("n"))).filter("r <= 3")
+    b = first.groupBy("review_id").agg(F.collect_list(F.struct(F.lit(1).alias("k"), "n", F.col("aspect").alias("q"))).alias("lost"))
+    both = a.join(b, "review_id", "full_outer")
+    none = F.array().cast("array<struct<k:int,n:bigint,q:string>>")
+    every = F.concat(F.coalesce(F.col("asked").cast("array<struct<k:int,n:bigint,q:string>>"), none), F.coalesce(F.col("lost").cast("array<struct<k:int,n:bigint,q:string>>"), none))
+    queries = F.slice(F.array_distinct(F.transform(F.array_sort(every), lambda x: x["q"])), 1, most)
+    mended, heavy = F.coalesce("mends", F.lit(0)), F.coalesce("severe", F.lit(0))
+    go = (F.size(queries) > 0) & ((mended > 0) | F.col("lost").isNotNull()) & ((heavy == 0) | (mended / F.greatest(heavy, F.lit(1)) > 0.3))
+    return both.select("review_id", go.alias("should_research"), queries.alias("search_queries"))
+
+
+def graph_nodes(entities: DataFrame) -> DataFrame:
+    """(name, type, n): each named entity (n, name, type, relations) once, as it is first met."""
+    own = entities.filter(text.blank(F.col("name")) != "")
+    return own.withColumn("_r", F.row_number().over(Window.partitionBy("name").orderBy("n"))).filter("_r = 1").drop("_r").select("name", F.coalesce("type", F.lit("unknown")).alias("type"), "n", "relations")
+
+
+def graph_edges(entities: DataFrame) -> DataFrame:
+    """(source, relation) of every node's relations, as it is first met."""
+    return graph_nodes(entities).select(F.col("name").alias("source"), F.explode("relations").alias("relation"))
+
+
+def _asks(question: Column, words: list[str]) -> Column:
+    return text.blank(question).rlike("|".join(words))
+
+
+def answer_labels(questions: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """(question_id, refused, inference, conflict, risk): what an answer has to say of itself.
+
+    ``questions``: question_id, question; ``retrieved``: question_id, content. Refused: nothing was retrieved, or the
+    question asks for a figure of which the contents do not speak. A refusal needs no other label.
+    """
+    corpus = retrieved.groupBy("question_id").agg(F.concat_ws(" ", F.collect_list(text.blank(F.col("content")))).alias("corpus"))
+    lacks = F.lit(False)
+    for asked, wanted in METRICS:
+        lacks = lacks | (F.contains("question", F.lit(asked)) & ~F.contains("corpus", F.lit(wanted)))
+    met = questions.join(corpus, "question_id", "left").withColumn("refused", F.col("corpus").isNull() | lacks)
+    label = lambda words: (~F.col("refused") & _asks(F.col("question"), words))
+    return met.select("question_id", "refused", label(INFERENCE).alias("inference"), label(CONFLICT).alias("conflict"), label(RISK).alias("risk"))

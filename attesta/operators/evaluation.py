@@ -156,3 +156,80 @@ def group_support(cases: DataFrame, documents: DataFrame) -> DataFrame:
     return own.join(supported, ["case_id", "g"], "left").groupBy("case_id").agg(
         F.count("*").alias("groups"), F.count_if("matched").alias("matched"), F.count_if(F.col("matched") & (F.size("marks") > 0)).alias("cited"), F.count_if(F.coalesce("supported", F.lit(False))).alias("supported")
     )
+
+
+GATES = ["no_errors", "retrieval", "coverage", "citation", "citation_support", "gold_retrieved", "gold_cited", "refusal", "no_forbidden"]
+
+
+def answer_verdicts(cases: DataFrame) -> DataFrame:
+    """Adds a boolean for each of ``GATES``, quality_passed (all of them), latency_ok and passed.
+
+    ``cases``: answer, errors, documents (counts), expected_retrieval, must_cite, must_not_cite, must_refuse (null: as
+    retrieval is expected, or not), required_term_groups, min_group_coverage, support_coverage, min_support, gold_retrieved,
+    gold_cited, gold_required, refusal (the text of one), forbidden_terms, latency, max_latency.
+    """
+    expected, low = F.coalesce("expected_retrieval", F.lit(True)), F.lower(text.blank(F.col("answer")))
+    marks = F.transform(F.regexp_extract_all(text.blank(F.col("answer")), F.lit(r"\[\[(\d+)\]\]"), 1), lambda m: m.try_cast("long"))
+    inside = F.forall(marks, lambda m: F.coalesce(m.between(1, F.col("documents")), F.lit(False)))
+    must, never = F.coalesce("must_cite", expected), F.coalesce("must_not_cite", ~expected)
+    support = F.coalesce("min_support", F.when(must, F.coalesce("min_group_coverage", F.lit(1.0))).otherwise(1.0))
+    gates = {
+        "no_errors": F.col("errors") == 0, "retrieval": (F.col("documents") > 0) == expected, "coverage": group_coverage(F.col("required_term_groups"), F.col("answer")) >= F.coalesce("min_group_coverage", F.lit(1.0)),
+        "citation": inside & (~must | (F.size(marks) > 0)) & (~never | (F.size(marks) == 0)), "citation_support": F.col("support_coverage") >= support, "gold_retrieved": F.col("gold_retrieved"),
+        "gold_cited": F.col("gold_cited") | ~F.coalesce("gold_required", F.lit(False)), "refusal": ~F.coalesce("must_refuse", F.lit(False)) | F.contains(text.blank(F.col("answer")), F.col("refusal")),
+        "no_forbidden": ~F.exists("forbidden_terms", lambda t: F.contains(low, F.lower(t))),
+    }
+    out = cases.withColumns({f"{g}_ok": v for g, v in gates.items()})
+    quality = F.forall(F.array(*[F.col(f"{g}_ok") for g in GATES]), lambda x: x)
+    return out.withColumns({"quality_passed": quality, "latency_ok": F.col("latency") <= F.col("max_latency")}).withColumn("passed", F.col("quality_passed") & F.col("latency_ok"))
+
+
+CHECKS = ["tools", "gold_recall", "kinds", "citations", "locators", "refusal", "inference", "conflict"]
+
+
+def joint_checks(runs: DataFrame) -> DataFrame:
+    """Adds a boolean for each of ``CHECKS`` and passed to runs of multi-source cases.
+
+    ``runs``: expected_tools, tools, gold, retrieved, cited, expected_kinds, kinds (arrays), locators (whether every citation has
+    one of its own kind), refused, expected_refusal, inference_labelled, conflict_required, conflict_disclosed. News is met by policy.
+    """
+    within = lambda a, b: F.size(F.array_except(a, b)) == 0
+    kinds = F.forall("expected_kinds", lambda k: F.array_contains("kinds", k) | ((k == "news") & F.array_contains("kinds", "policy")))
+    checks = {
+        "tools": within("expected_tools", "tools") & within("tools", "expected_tools"), "gold_recall": within("gold", "retrieved"), "kinds": kinds, "citations": F.col("refused") | within("gold", "cited"),
+        "locators": F.col("refused") | F.col("locators"), "refusal": F.col("refused") == F.col("expected_refusal"), "inference": F.col("inference_labelled"), "conflict": ~F.col("conflict_required") | F.col("conflict_disclosed"),
+    }
+    out = runs.withColumns({f"{c}_ok": v for c, v in checks.items()})
+    return out.withColumn("passed", F.forall(F.array(*[F.col(f"{c}_ok") for c in CHECKS]), lambda x: x))
+
+
+def joint_report(checked: DataFrame) -> DataFrame:
+    """(check, rate) of joint checks over all runs, and of passing all of them."""
+    rates = F.array(*[F.struct(F.lit(c).alias("check"), F.round(F.avg(F.col(f"{c}_ok" if c != "passed" else c).cast("double")), DIGITS).alias("rate")) for c in [*CHECKS, "passed"]])
+    return checked.agg(rates.alias("r")).select(F.inline("r"))
+
+
+def set_issues(cases: DataFrame, domains: dict[str, str], splits: list[str]) -> DataFrame:
+    """(id, code) of an evaluation set's faults; columns id, domain, knowledge_base, question, split, expected_retrieval, required_term_groups, gold_sources, must_cite, min_group_coverage.
+
+    ``domains``: the knowledge base of each. A repeated id has one row; of equal questions all but the one of the
+    smallest id are named.
+    """
+    base = F.create_map(*[F.lit(x) for kv in domains.items() for x in kv])[F.col("domain")] if domains else F.lit(None).cast("string")
+    own = cases.withColumns({
+        "_copies": F.count("*").over(Window.partitionBy("id")), "_n": F.row_number().over(Window.partitionBy(text.question_key(F.col("question"))).orderBy("id")),
+    })
+    positive, cover = F.coalesce("expected_retrieval", F.lit(False)), F.col("min_group_coverage")
+    no = lambda c: F.coalesce(F.size(c), F.lit(0)) < 1
+    rules = [
+        ("missing_id", text.blank(F.col("id").cast("string")) == ""), ("duplicate_id", F.col("_copies") > 1), ("invalid_domain", base.isNull()), ("knowledge_base_mismatch", ~F.col("knowledge_base").eqNullSafe(base) & base.isNotNull()),
+        ("short_question", F.length(F.trim(text.blank(F.col("question")))) < 8), ("duplicate_question", F.col("_n") > 1), ("invalid_split", F.col("split").isNotNull() & ~F.col("split").isin(splits)),
+        ("missing_expectation", F.col("expected_retrieval").isNull()), ("missing_terms", positive & no("required_term_groups")), ("missing_gold", positive & no("gold_sources")),
+        ("citation_policy", positive & ~F.coalesce("must_cite", F.lit(False))), ("invalid_coverage", positive & ~F.coalesce((cover > 0) & (cover <= 1), F.lit(False))),
+    ]
+    return own.select("id", F.explode(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules]), lambda x: x.isNotNull())).alias("code")).distinct()
+
+
+def keyed_answers(answers: DataFrame, keys: DataFrame) -> DataFrame:
+    """Answers (question_id, …) with the key (question_id, …) of their question; answers to unknown questions have none."""
+    return answers.join(keys.dropDuplicates(["question_id"]), "question_id", "left")

@@ -95,3 +95,19 @@ def provider_faults(attempts: DataFrame, most: int = 3) -> DataFrame:
         .when(~F.col("ok") & F.col("code").isNull(), "failure_without_code").when(F.col("attempts") > most, "too_many_attempts")
     )
     return attempts.withColumn("fault", fault).filter("fault is not null")
+
+
+def filtered(rows: DataFrame, **equal) -> DataFrame:
+    """Rows whose named columns equal the given values; a value of None does not filter."""
+    for name, value in equal.items():
+        if value is not None:
+            rows = rows.filter(F.col(name) == value)
+    return rows
+
+
+def linear_backoff(base: Column, attempt: Column) -> Column:
+    return base * attempt
+
+
+def capped_backoff(attempt: Column, most: float = 4.0) -> Column:
+    return F.least(F.pow(F.lit(2.0), attempt), F.lit(most))

@@ -133,3 +133,46 @@ def per_base(hits: DataFrame, top_k: int, bases: int) -> DataFrame:
     """The first ``max(3, top_k // bases)`` rows of every knowledge base."""
     order = Window.partitionBy("query_id", "kb_id").orderBy(F.desc("score"), "chunk_id")
     return hits.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max(3, top_k // max(1, bases))).drop("n")
+
+
+def candidate_depth(top_k: int, hybrid: bool) -> int:
+    """Candidates that a route is asked for: more where they are fused."""
+    return max(4 * top_k, 20) if hybrid else top_k
+
+
+def merge_variants(hits: DataFrame, k: int = RRF_K) -> DataFrame:
+    """(query_id, chunk_id, score, by_variant, rrf) of a query's variants (query_id, variant, chunk_id, score, rank): the best score, each variant's score, and the sum of reciprocal ranks."""
+    one = hits.groupBy("query_id", "chunk_id", "variant").agg(F.max("score").alias("score"), F.min("rank").alias("rank"))
+    by = F.map_from_entries(F.array_sort(F.collect_list(F.struct("variant", "score"))))
+    return one.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), by.alias("by_variant"), F.round(F.sum(1.0 / (k + F.col("rank"))), DIGITS).alias("rrf"))
+
+
+def dense_only(merged: DataFrame, variants: int) -> DataFrame:
+    """Merged variants as they are ranked where the lexical route is switched off; relevance has a score for each variant, 0 where it did not hit."""
+    relevance = F.transform(F.sequence(F.lit(0), F.lit(variants - 1)), lambda v: F.coalesce(F.try_element_at("by_variant", v), F.lit(0.0)))
+    return merged.select("query_id", "chunk_id", F.col("score").alias("vector"), F.lit(0.0).alias("lexical"), "rrf", F.lit("disabled").alias("lexical_backend"), relevance.alias("relevance"), "score")
+
+
+def merge_score_maps(scores: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, best): for each chunk a map of the best score of every variant, of rows (query_id, chunk_id, variant, score) of any number of routes."""
+    one = scores.groupBy("query_id", "chunk_id", "variant").agg(F.max("score").alias("score"))
+    return one.groupBy("query_id", "chunk_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("variant", "score")))).alias("best"))
+
+
+MODES = {"cloud": ["cloud"], "local": ["local"], "hybrid": ["cloud", "local"]}
+
+
+def by_routes(results: DataFrame, status: DataFrame, mode: str = "hybrid", top_k: int = 5) -> DataFrame:
+    """One ranking of the routes that a mode asks; (query_id, key, score, routes, rank, degraded).
+
+    ``results``: query_id, route, chunk_id, doc_id, idx, score, rank; ``status``: query_id, route, ok. A single route's
+    ranking stays as it is; several are fused, and ``degraded`` names a query's routes that failed.
+    """
+    routes = MODES[mode]
+    own = results.filter(F.col("route").isin(routes))
+    if len(routes) == 1:
+        key = F.coalesce(F.col("chunk_id").cast("string"), F.concat_ws(":", F.col("doc_id").cast("string"), F.col("idx").cast("string")))
+        ranked = own.select("query_id", key.alias("key"), "score", F.array("route").alias("routes"), F.col("rank").cast("long").alias("rank"))
+        return ranked.filter(F.col("rank") <= top_k).withColumn("degraded", F.lit(None).cast("array<string>"))
+    failed = status.filter(F.col("route").isin(routes) & ~F.col("ok")).groupBy("query_id").agg(F.sort_array(F.collect_set("route")).alias("degraded"))
+    return across_routes(own).filter(F.col("rank") <= top_k).join(failed, "query_id", "left").select("query_id", "key", "score", "routes", "rank", "degraded")

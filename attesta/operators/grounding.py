@@ -66,3 +66,14 @@ def hypothesis_status(evidence: DataFrame) -> DataFrame:
     run = evidence.withColumn("s", F.count_if(F.col("vote") == "supports").over(w)).withColumn("r", F.count_if(F.col("vote") == "refutes").over(w))
     hit = F.when(F.col("s") >= 2, "supported").when(F.col("r") >= 2, "refuted")
     return run.groupBy("hypothesis").agg(F.coalesce(F.min_by(hit, F.when(hit.isNotNull(), F.col("n"))), F.lit("open")).alias("status"))
+
+
+def parse_answer(answers: DataFrame) -> DataFrame:
+    """(answer_id, valid, status, n_claims, limitations) of answers (answer_id, json): a known status, claims and limitations as lists; the first five limitations that say something."""
+    v = F.from_json("json", "answer_status string, claims array<string>, limitations array<string>")
+    shape = F.schema_of_variant(F.try_variant_get(F.try_parse_json("json"), "$.claims", "variant"))
+    lists = F.coalesce(shape.startswith("ARRAY"), F.try_parse_json("json").isNotNull())
+    own = answers.select("answer_id", v.alias("v"), lists.alias("lists"))
+    said = F.slice(F.filter(F.transform(F.coalesce("v.limitations", F.array().cast("array<string>")), F.trim), lambda x: x != ""), 1, 5)
+    valid = F.coalesce(F.col("v.answer_status").isin("grounded", "insufficient") & F.col("lists"), F.lit(False))
+    return own.select("answer_id", valid.alias("valid"), F.when(valid, F.col("v.answer_status")).alias("status"), F.when(valid, F.coalesce(F.size("v.claims"), F.lit(0))).alias("n_claims"), F.when(valid, said).alias("limitations"))

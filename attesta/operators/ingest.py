@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
+from . import chunking
 
 # page text
 
@@ -106,7 +107,8 @@ def upload_verdicts(files: DataFrame, most: int = 50 << 20) -> DataFrame:
 def manifest_issues(candidates: DataFrame, least_approved: int = 1) -> DataFrame:
     """(candidate_id, code) of a manifest's faults; the manifest's own has a null id.
 
-    Columns: candidate_id, review_status, license_name, license_url, content_hash, local_path.
+    Columns: candidate_id, review_status, license_name, license_url, content_hash, local_path; optionally ``invalid``, whether
+    the candidate breaks a rule of its own (see governance.candidate_error).
     """
     blank = lambda c: text.blank(F.col(c)) == ""
     approved = F.col("review_status") == "approved"
@@ -121,13 +123,22 @@ def manifest_issues(candidates: DataFrame, least_approved: int = 1) -> DataFrame
         F.when(~approved & ~blank("local_path"), "unapproved_local_file"),
         F.when(approved & (blank("license_name") | blank("license_url")), "missing_license"),
         F.when(approved & ~valid_hash, "invalid_hash"), F.when(approved & valid_hash & (F.col("_n") > 1), "duplicate_content"),
-        F.when(approved & blank("local_path"), "missing_path"),
+        F.when(approved & blank("local_path"), "missing_path"), F.when(F.col("invalid"), "invalid_candidate") if "invalid" in candidates.columns else F.lit(None).cast("string"),
     )
     own = rows.select("candidate_id", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("code")).distinct()
     few = candidates.agg(F.count_if(approved).alias("n")).filter(F.col("n") < least_approved).select(F.lit(None).cast("string").alias("candidate_id"), F.lit("approved_count").alias("code"))
     return own.unionByName(few)
 
 
+def metadata_issues(candidates: DataFrame, files: DataFrame) -> DataFrame:
+    """(candidate_id, code) of approved candidates whose file (path, meta: map of its front matter) is absent, has no front matter, or another id, hash or address than the candidate."""
+    own = candidates.filter((F.col("review_status") == "approved") & (text.blank(F.col("local_path")) != ""))
+    met = own.join(files.select(F.col("path").alias("local_path"), "meta", F.lit(True).alias("found")), "local_path", "left")
+    other = lambda c: ~F.try_element_at("meta", F.lit(c)).eqNullSafe(F.col(c))
+    code = F.when(F.col("found").isNull(), "missing_normalized_file").when(F.coalesce(F.size("meta"), F.lit(0)) < 1, "invalid_frontmatter").when(other("candidate_id") | other("content_hash") | other("source_url") | other("license_url"), "metadata_mismatch")
+    return met.select("candidate_id", code.alias("code")).filter("code is not null")
+
+
 def admissible(candidates: DataFrame, done: DataFrame, force: bool = False) -> DataFrame:
     """Approved candidates with a local file that are not done (candidate_id), or all of them by force."""
     ready = candidates.filter((F.col("review_status") == "approved") & (text.blank(F.col("local_path")) != ""))
@@ -254,3 +265,56 @@ def planned_queries(plans: DataFrame, rounds: int = 3, priority: int = 2) -> Dat
     """Sub-queries (session_id, round, priority, query, additional) to run: urgent ones in round 1, additional ones later."""
     first = (F.col("round") == 1) & (F.col("priority") <= priority)
     return plans.filter(first | ((F.col("round") > 1) & (F.col("round") <= rounds) & F.col("additional")))
+
+
+# per-document ingestion and plans
+
+
+def ingest_documents(docs: DataFrame, embed, how: str = "text", size: int = 500, overlap: int = 50) -> DataFrame:
+    """(id, doc_id, idx, content, content_hash, embedding) of documents (doc_id, filename, text), ready for tables.upsert().
+
+    ``embed``: a function from a table and the name of its text column to the table with ``embedding``, such as
+    with_digest_vectors(). An id follows from file name, place and beginning, so that a second run replaces the first.
+    """
+    cut = chunking.chunks(docs.select("doc_id", "text"), how, size, overlap).join(docs.select("doc_id", "filename"), "doc_id")
+    rows = cut.select(text.chunk_id(F.col("filename"), F.col("idx"), F.col("content")).alias("id"), "doc_id", "idx", "content", F.sha2("content", 256).alias("content_hash"))
+    return embed(rows, "content")
+
+
+def registry_duplicates(sources: DataFrame) -> DataFrame:
+    """(source_id, copies) of source ids that a registry holds more than once."""
+    return sources.groupBy("source_id").agg(F.count("*").alias("copies")).filter("copies > 1")
+
+
+def outline(plans: DataFrame, most: int = 9) -> DataFrame:
+    """(plan_id, section, title, description, query) of flat plans (plan_id, fields: map of strings): the sections before the first without a title."""
+    field = lambda i, name: F.try_element_at("fields", F.lit(f"sec_{i}_{name}"))
+    rows = F.array(*[F.struct(F.lit(i).alias("section"), field(i, "title").alias("title"), text.blank(field(i, "description")).alias("description"), F.coalesce(field(i, "query"), field(i, "title")).alias("query")) for i in range(1, most + 1)])
+    titled = F.filter(rows, lambda r: F.forall(F.slice(rows, 1, r["section"]), lambda x: x["title"].isNotNull()))
+    return plans.select("plan_id", F.inline(titled))
+
+
+def route_observations(observations: DataFrame) -> DataFrame:
+    """(run_id, n, kind) of successful observations (run_id, n, tool, success): searches are data, analyses insights, charts charts; others are of no kind."""
+    kind = F.when(F.col("tool").isin("web_search", "knowledge_search"), "data").when(F.col("tool") == "data_analyzer", "insights").when(F.col("tool") == "chart_generator", "charts")
+    return observations.filter("success").select("run_id", "n", kind.alias("kind")).filter("kind is not null")
+
+
+# memories
+
+
+def memory_rows(summaries: DataFrame) -> DataFrame:
+    """(id, user_id, session_id, memory_type, content) of summaries (memory_id, user_id, session_id, summary, key_insights, topics): the summary, each insight, and the topics in one row."""
+    own = summaries.select("memory_id", "user_id", "session_id", F.array(
+        F.struct(F.lit("_summary").alias("suffix"), F.lit("summary").alias("memory_type"), F.col("summary").alias("content")),
+        F.struct(F.lit("_topics").alias("suffix"), F.lit("topics").alias("memory_type"), F.concat(F.lit("用户关注的主题: "), F.nullif(F.array_join("topics", ", "), F.lit(""))).alias("content")),
+    ).alias("a"), F.transform("key_insights", lambda x, i: F.struct(F.concat(F.lit("_insight_"), i.cast("string")).alias("suffix"), F.lit("insight").alias("memory_type"), x.alias("content"))).alias("b"))
+    rows = own.select("memory_id", "user_id", "session_id", F.inline(F.concat("a", F.coalesce("b", F.slice("a", 1, 0)))))
+    return rows.filter("content != ''").select(F.concat("memory_id", "suffix").alias("id"), "user_id", "session_id", "memory_type", "content")
+
+
+def memory_context(hits: DataFrame) -> DataFrame:
+    """(user_id, context): a user's memories (user_id, rank, memory_type, content) of distinct contents in order of rank, a line each."""
+    line = F.when(F.col("memory_type") == "summary", F.concat(F.lit("- 历史对话摘要: "), "content")).when(F.col("memory_type") == "insight", F.concat(F.lit("- 相关知识点: "), "content")).when(F.col("memory_type") == "topics", F.concat(F.lit("- "), "content"))
+    one = hits.groupBy("user_id", "content").agg(F.min(F.struct("rank", line.alias("line"))).alias("m")).filter("m.line is not null")
+    return one.groupBy("user_id").agg(F.concat(F.lit("[相关历史记忆]\n"), F.array_join(F.transform(F.array_sort(F.collect_list("m")), lambda x: x["line"]), "\n")).alias("context"))

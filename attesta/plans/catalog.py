@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import retrieval_queries, table_queries
+from . import contract_queries, retrieval_queries, table_queries
 
-_MODULES = [retrieval_queries, table_queries]
+_MODULES = [retrieval_queries, table_queries, contract_queries]
 
 
 def queries() -> dict:

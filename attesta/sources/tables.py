@@ -116,3 +116,26 @@ def describe(spark: SparkSession, names: list[str]) -> DataFrame:
 def page(df: DataFrame, by: list, limit: int, offset: int = 0, most: int = 1000) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` in an order that the caller makes total; a limit over the cap is the cap."""
     return df.orderBy(*by).offset(max(0, offset)).limit(min(limit, most))
+
+
+def columns(spark: SparkSession, names: list[str]) -> DataFrame:
+    """(name, place, column, type, nullable) of the session's tables or views."""
+    rows = [F.struct(F.lit(n).alias("name"), F.lit(i).alias("place"), F.lit(c.name).alias("column"), F.lit(c.dataType.simpleString()).alias("type"), F.lit(c.nullable).alias("nullable")) for n in names for i, c in enumerate(spark.table(n).schema)]
+    return spark.range(1).select(F.inline(F.array(*rows)))  # a row for each column of a table
+
+
+def of_file(chunks: DataFrame, name: str) -> DataFrame:
+    """A file's chunks (filename, idx, …) in order."""
+    return chunks.filter(F.col("filename") == name).orderBy("idx")
+
+
+def read_fixture(spark: SparkSession, path: str, kinds: dict[str, str]) -> DataFrame:
+    """(kind, row) of a JSON file that has a list of objects under each key of ``kinds`` (key to kind); row is the object as JSON."""
+    body = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+    parts = F.array(*[F.struct(F.lit(kind).alias("kind"), F.try_variant_get("v", f"$.{key}", "array<variant>").alias("rows")) for key, kind in kinds.items()])
+    return body.select(F.inline(parts)).select("kind", F.explode("rows").alias("row")).select("kind", F.to_json("row").alias("row"))
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines in one order of keys, in as many files as there are partitions."""
+    write_jsonl(rows, path)

@@ -14,7 +14,7 @@ def planned(spark, question):
 
 def test_glossary(spark):
     assert len(queryplan.GLOSSARY) == 66
-    own = lambda q: spark.range(1).select(queryplan.expansions(F.lit(q), queryplan.GLOSSARY)).first()[0]
+    own = lambda q: queryplan.with_phrases(spark.range(1).select(F.lit(q).alias("q")), "q").first()["phrases"]
     assert own("低翘曲怎么办") == ["low warpage"] and own("人才与劳动力") == ["workforce"] and own("none") == []
 
 
