@@ -1,14 +1,14 @@
 """Exact top-k inner products with an impact-ordered, score-at-a-time index.
 
-Components are integers. A block of candidates is indexed as posting segments: for each dimension
-the entries whose size falls into one impact level, levels from large to small. Segments are added
-to the accumulators level by level, for a block of queries at once. What is still to come for a
-candidate is at most the query's unread mass times the largest entry of the levels below, so every
-accumulator has a lower and an upper bound; a query stops only once few candidates' upper bounds
-reach the k-th best lower bound, and those possible members are scored again exactly.
-
-Queries and candidates meet block by block: each block of queries is sent to each block of
-candidates, and the k best of every meeting are merged. Nothing is broadcast.
+Components are integers. The candidates are indexed once, in blocks: a block is a row with its posting lists, one for
+each impact level and dimension, levels from large to small. A posting is a candidate with its entry. Lists are added
+to the accumulators level by level, for a batch of queries at once. What is still to come for a candidate is at most
+the query's unread mass times the largest entry of the levels below, so every accumulator has a lower and an upper
+bound; a query stops only once few candidates' upper bounds reach the k-th best lower bound, and those possible
+members are scored again exactly.
+
+Queries pass over the index in blocks of ``QUERY_BLOCK``, which is what a task is sent at once; neither vectors nor
+index are ever copied for a pass, and the k best of every meeting are merged.
 """
 
 from __future__ import annotations
@@ -18,17 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, read
+from .shared import in_arrow, materialise, read, table_path
 
 K = 5
 QUERY_EVERY = 50
 SCALE = 256
 LEVELS = (64, 32, 16, 8, 4, 1)  # an entry is in the first level that it reaches
-BLOCK = 4096  # rows of a block
-_QUERIES = 256  # queries whose accumulators are held at once
+BLOCK = 4096  # candidates of a block
+QUERY_BLOCK = 8192  # queries of a pass
+_QUERIES = 64  # queries whose accumulators are held at once
 _POSSIBLE = 32  # times k: a query with more possible members reads on
 
 
@@ -42,46 +44,69 @@ def integer_vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 class Index:
-    """Posting segments of a block of candidates."""
+    """Posting lists of a block of candidates: ``lists`` has the level, dimension, and run of postings of each, in order of level."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        size = np.abs(vectors)
-        self.segments, upper = [], None
-        for level in LEVELS:
-            own = (size >= level) & (True if upper is None else size < upper)
-            if own.any():
-                self.segments.append((np.where(own, vectors, 0), own, level))
-            upper = level
-        self.below = [int(size[size < s[2]].max(initial=0)) for s in self.segments]  # largest entry after each segment
+        row, dim = np.nonzero(vectors)
+        size = np.abs(vectors[row, dim])
+        level = np.searchsorted(-np.array(LEVELS), -size)  # of the first level that is reached
+        order = np.lexsort((row, dim, level))
+        self.row, self.value = row[order].astype(np.int32), vectors[row, dim][order]
+        level, dim = level[order], dim[order]
+        begin = np.flatnonzero(np.r_[True, (np.diff(level) != 0) | (np.diff(dim) != 0)]) if len(level) else np.zeros(0, np.int64)
+        self.lists = np.c_[level[begin], dim[begin], begin, np.r_[begin[1:], len(level)]] if len(begin) else np.zeros((0, 4), np.int64)
+        self.below = [int(size[size < x].max(initial=0)) for x in LEVELS]  # largest entry of the levels after each
+
+    def pack(self) -> dict:
+        """The block as a row."""
+        parts = {"ids": self.ids, "vectors": self.vectors, "row": self.row, "value": self.value, "lists": self.lists.astype(np.int64), "below": np.array(self.below)}
+        return {"n": len(self.ids), "width": self.vectors.shape[1]} | {k: v.astype(v.dtype.newbyteorder("<")).tobytes() for k, v in parts.items()}
+
+    @staticmethod
+    def unpack(row: dict) -> Index:
+        out = Index.__new__(Index)
+        of = lambda name, kind="<i8": np.frombuffer(row[name], kind)
+        out.ids, out.vectors = of("ids"), of("vectors").reshape(row["n"], row["width"])
+        out.row, out.value, out.lists, out.below = of("row", "<i4"), of("value"), of("lists").reshape(-1, 4), of("below").tolist()
+        return out
 
     def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, candidates, scores) of each query's k best, ties to the smaller id."""
-        most = float(np.abs(queries).max(initial=0)) * float(np.abs(self.vectors).max(initial=0)) * self.vectors.shape[1]
+        width = max(self.vectors.shape[1], queries.shape[1])
+        most = float(np.abs(queries).max(initial=0)) * float(np.abs(self.value).max(initial=0)) * width
         kind = np.float32 if most < 1 << 24 else np.float64  # sums of integers are exact in either
-        segments = [(v.T.astype(kind), m.T.astype(kind)) for v, m, _ in self.segments]
+        if queries.shape[1] < width:
+            queries = np.c_[queries, np.zeros((len(queries), width - queries.shape[1]), queries.dtype)]
+        n, value = len(self.ids), self.value.astype(kind)
         for at in range(0, len(queries), _QUERIES):
-            q, own = queries[at : at + _QUERIES], query_ids[at : at + _QUERIES, None] == self.ids[None, :]
-            f, size = q.astype(kind), np.abs(q).astype(kind)
-            score = np.zeros((len(q), len(self.ids)), kind)
-            unread = np.repeat(size.sum(axis=1)[:, None], len(self.ids), axis=1)
+            q, asks = queries[at : at + _QUERIES], query_ids[at : at + _QUERIES]
+            f = q.T.astype(kind)
+            size = np.abs(f)
+            own = self.ids[:, None] == asks[None, :]
+            score = np.zeros((n, len(q)), kind)
+            unread = np.repeat(size.sum(axis=0)[None, :], n, axis=0)
             possible = ~own
-            open_ = np.arange(len(q))  # queries that read on
-            for (values, held), below in zip(segments, self.below, strict=True):
-                score[open_] += f[open_] @ values
-                unread[open_] -= size[open_] @ held
-                slack = unread[open_] * below
-                low = np.where(own[open_], -np.inf, score[open_] - slack)
-                if low.shape[1] > k:
-                    reach = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
-                    possible[open_] = ~own[open_] & (score[open_] + slack >= reach[:, None])
-                open_ = open_[possible[open_].sum(axis=1) > _POSSIBLE * k]
-                if not len(open_):
+            open_ = np.arange(len(q))  # queries that read on, and the columns of their accumulators
+            for level in range(len(LEVELS)):
+                for _, dim, begin, end in self.lists[self.lists[:, 0] == level]:
+                    row = self.row[begin:end]  # each once
+                    score[row] += value[begin:end, None] * f[dim, open_]
+                    unread[row] -= size[dim, open_]
+                slack = unread * self.below[level]
+                low = np.where(own[:, open_], -np.inf, score - slack)
+                if n > k:
+                    reach = np.partition(low, n - k, axis=0)[n - k]
+                    possible[:, open_] = ~own[:, open_] & (score + slack >= reach)
+                on = possible[:, open_].sum(axis=0) > _POSSIBLE * k
+                if not on.any():
                     break
-            row, column = np.nonzero(possible)
-            exact = np.einsum("ij,ij->i", q[row], self.vectors[column])
-            order = np.lexsort((self.ids[column], -exact, row))
-            first = np.searchsorted(row[order], np.arange(len(q) + 1))
+                if not on.all():
+                    open_, score, unread = open_[on], score[:, on], unread[:, on]
+            query, column = np.nonzero(possible.T)
+            exact = np.einsum("ij,ij->i", q[query, : self.vectors.shape[1]], self.vectors[column])
+            order = np.lexsort((self.ids[column], -exact, query))
+            first = np.searchsorted(query[order], np.arange(len(q) + 1))
             for i in range(len(q)):
                 some = order[first[i] : min(first[i] + k, first[i + 1])]
                 yield at + i, self.ids[column[some]], exact[some]
@@ -94,36 +119,58 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
+_BLOCK_ROW = "n long, width long, ids binary, vectors binary, row binary, value binary, lists binary, below binary"
+_QUERY_ROW = "qb int, n long, width long, ids binary, vectors binary"
+
+
+def _dealt(vectors: DataFrame, blocks: int) -> DataFrame:
+    return vectors.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v")
+
+
+def build_index(candidates: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The candidates (vec_id, v) as rows of posting lists of about ``block`` of them each."""
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        width = max(map(len, pdf["v"]), default=0)
+        return pd.DataFrame([Index(pdf["vec_id"].to_numpy(np.int64), _matrix(pdf["v"], width)).pack()])
+
+    candidates = candidates.distinct()
+    blocks = max(1, -(-candidates.count() // block))
+    return materialise(_dealt(candidates, blocks).repartition(blocks, "block").groupBy("block").applyInPandas(build, _BLOCK_ROW), "index")
+
+
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, block: int = BLOCK, pass_: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k largest inner products with candidates of another id.
 
     Both inputs are (vec_id, v). Fewer than k candidates give fewer rows, none gives none. Vectors of
     different lengths are compared as if the shorter ended in zeros. Ties go to the smaller vec_id.
     Repeated equal rows count once; rows of one id with different vectors are separate rows.
     """
-    queries, candidates = queries.distinct(), candidates.distinct()
-    n, m = candidates.count(), queries.count()
-    nb, mb = max(1, -(-n // block)), max(1, -(-m // block))
-    deal = lambda b: F.pmod(F.xxhash64("vec_id", "v"), F.lit(b)).cast("int")
-    every = lambda b, name: F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias(name)
-    rows = candidates.select(deal(nb).alias("cb"), every(mb, "qb"), F.lit(False).alias("query"), "vec_id", "v").unionByName(
-        queries.select(deal(mb).alias("qb"), every(nb, "cb"), F.lit(True).alias("query"), "vec_id", "v")
-    )
+    index = build_index(candidates, block).withColumn("meets", F.lit(1))
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    def block_row(pdf: pd.DataFrame) -> pd.DataFrame:
         width = max(map(len, pdf["v"]), default=0)
-        asks, given = pdf[pdf["query"]], pdf[~pdf["query"]]
-        out: list[pd.DataFrame] = []
-        if len(asks) and len(given):
-            index = Index(given["vec_id"].to_numpy(np.int64), _matrix(given["v"], width))
-            ids, vectors = asks["vec_id"].to_numpy(np.int64), _matrix(asks["v"], width)
-            for i, found, scores in index.best(ids, vectors, k):
-                key = zlib.crc32(vectors[i].tobytes().rstrip(b"\0"))  # rows of one id with different vectors
-                out.append(pd.DataFrame({"query_id": ids[i], "key": key, "vec_id": found, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "key", "vec_id", "score")})
-
-    found = rows.groupBy("qb", "cb").applyInPandas(meet, "query_id long, key long, vec_id long, score long")
+        return pd.DataFrame([{"qb": pdf["block"].iloc[0], "n": len(pdf), "width": width, "ids": pdf["vec_id"].to_numpy("<i8").tobytes(), "vectors": _matrix(pdf["v"], width).tobytes()}])
+
+    queries = queries.distinct()
+    passes = max(1, -(-queries.count() // pass_))
+    asked = materialise(_dealt(queries, passes).groupBy("block").applyInPandas(block_row, _QUERY_ROW), "queries")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, vectors = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["q_vectors"], "<i8").reshape(row["q_n"], row["q_width"])
+                out = [(ids[i], zlib.crc32(vectors[i].tobytes().rstrip(b"\0")), c, s) for i, found, scores in Index.unpack(row).best(ids, vectors, k) for c, s in zip(found, scores, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([int(r[c]) for r in out], pa.int64()) for c in range(4)], ["query_id", "key", "vec_id", "score"])
+
+    path = table_path(queries.sparkSession, "meetings")
+    schema = "query_id long, key long, vec_id long, score long"
+    for b in range(passes):
+        own = asked.filter(F.col("qb") == b).select(F.lit(1).alias("meets"), *[F.col(c).alias(f"q_{c}") for c in ("n", "width", "ids", "vectors")])
+        met = index.join(F.broadcast(own), "meets").transform(in_arrow, meet, schema)  # one row of QUERY_BLOCK queries
+        met.write.mode("append").parquet(path)
     order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
+    found = queries.sparkSession.read.schema(schema).parquet(path)
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
