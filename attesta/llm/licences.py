@@ -1,11 +1,12 @@
 """Licence scan with a positional rare-token index, in DataFrame functions only.
 
-Every licence template has a mandatory key phrase. Of a key phrase's words the one that the fewest
-documents hold (the highest IDF) is its index entry: only a document's occurrences of such rare
-words are looked up. A posting at place i proposes the template at i minus the word's place in it;
-the template's words are then intersected with the document's by relative position, and the key
-phrase has to stand there in full. No occurrence of a key phrase can be missed, because each
-contains its rare word. Nothing is shuffled but the word counts of the templates' vocabulary.
+Every licence template is a text with a mandatory key phrase. The index holds the words of key phrases with their
+places. Of the licence words that a file has, those of the highest IDF over all documents are looked up: for each
+template the two rarest words of its key phrase. A posting at place i proposes the template at i minus the word's
+place in it; the proposals of the two words are intersected, which leaves the places where both stand at their
+distance, and there the key phrase has to stand in full and most of the template's other words at their places.
+No occurrence of a key phrase can be missed, because each contains its rare words. Nothing is shuffled but the
+word counts of the key phrases' vocabulary.
 """
 
 from __future__ import annotations
@@ -38,8 +39,40 @@ TEMPLATES = [
     ("isc", False, "permission to use copy modify and or distribute this software", "", "for any purpose with or without fee is hereby granted"),
     ("unlicense", False, "free and unencumbered software released into the public domain", "this is", ""),
     ("cc", False, "creative commons attribution", "", ""),
+    ("cc-by-nc", False, "cc by nc", "", ""),
+    ("cc-by-sa", False, "cc by sa", "", ""),
+    ("cc-by-nd", False, "cc by nd", "", ""),
+    ("cc-by", False, "cc by 4 0", "", ""),
+    ("wtfpl", False, "do what the fuck you want to public license", "", ""),
     ("cc0", False, "cc0 1 0 universal", "", ""),
     ("reserved", False, "all rights reserved", "", ""),
+    # whole texts
+    ("mit", False, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "",
+     "the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+     "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+     "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software "
+     "or the use or other dealings in the software"),
+    ("isc", False, "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "",
+     "provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied "
+     "warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+     "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("bsd", False, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "",
+     "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of "
+     "conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("apache", False, "licensed under the apache license version 2 0 the license", "",
+     "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software "
+     "distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and "
+     "limitations under the license"),
+    ("gpl", False, "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "",
+     "as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without "
+     "even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("mpl", False, "this source code form is subject to the terms of the mozilla public license v 2 0", "", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("zlib", False, "this software is provided as is without any express or implied warranty", "",
+     "in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to "
+     "alter it and redistribute it freely"),
+    ("unlicense", False, "this is free and unencumbered software released into the public domain", "",
+     "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
 ]
 
 _SEPARATORS = "".join(chr(c) for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122))
@@ -65,21 +98,21 @@ def word_weights(tokens: DataFrame) -> dict[str, float]:
     return {w: math.log((most + 1) / (found.get(w, 0) + 1)) for w in vocabulary}
 
 
-def _rarest(key: list[str], weights: dict[str, float]) -> tuple[int, str]:
-    at = max(range(len(key)), key=lambda i: (weights[key[i]], -i))
-    return at, key[at]
+def _rarest(key: list[str], weights: dict[str, float]) -> list[tuple[int, str]]:
+    """Place and word of the two words of a key phrase with the highest IDF; of a word that repeats the first place."""
+    places = sorted({w: i for i, w in reversed(list(enumerate(key)))}.items(), key=lambda x: (-weights[x[0]], x[1]))
+    return [(i, w) for w, i in (places * 2)[:2]]
 
 
 def _index(weights: dict[str, float]) -> list[Column]:
-    """A struct for each template: rare word and its place, key phrase and its place, all words, label, base."""
+    """A struct for each template: its two index words with their places, key phrase and its place, all words, label, base."""
     out = []
     for label, base, key, before, after in TEMPLATES:
         k, b = _split(key), _split(before)
-        full = [*b, *k, *_split(after)]
-        rare, word = _rarest(k, weights)
+        (rare_at, rare), (second_at, second) = _rarest(k, weights)
         out.append(F.struct(
-            F.lit(word).alias("rare"), F.lit(len(b) + rare).alias("at"), F.array(*map(F.lit, k)).alias("key"), F.lit(len(b)).alias("key_at"),
-            F.array(*map(F.lit, full)).alias("words"), F.lit(label).alias("label"), F.lit(base).alias("base"),
+            F.lit(rare).alias("rare"), F.lit(len(b) + rare_at).alias("rare_at"), F.lit(second).alias("second"), F.lit(len(b) + second_at).alias("second_at"),
+            F.array(*map(F.lit, k)).alias("key"), F.lit(len(b)).alias("key_at"), F.array(*map(F.lit, [*b, *k, *_split(after)])).alias("words"), F.lit(label).alias("label"), F.lit(base).alias("base"),
         ))
     return out
 
@@ -96,13 +129,15 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_words", "places", "score")]).alias("row"), words(F.col("text")).alias("words"))
     weights = word_weights(rows)
     templates = F.array(*_index(weights))
-    rare = F.array(*map(F.lit, sorted({_rarest(_split(key), weights)[1] for _, _, key, _, _ in TEMPLATES})))
-    postings = F.filter(
-        F.transform("words", lambda w, i: F.when(F.array_contains(rare, w), F.struct(w.alias("w"), i.alias("i")))), lambda p: p.isNotNull()
-    )
+    rare = F.array(*map(F.lit, sorted({_rarest(_split(key), weights)[0][1] for _, _, key, _, _ in TEMPLATES})))
+
+    def starts(word: Column, at: Column) -> Column:
+        """Where a template stands if this word's postings are at their place in it."""
+        return F.filter(F.transform("words", lambda w, i: F.when(w == word, i - at)), lambda x: x.isNotNull())
 
-    def propose(p: Column) -> Column:
-        return F.transform(F.filter(templates, lambda t: t["rare"] == p["w"]), lambda t: F.struct((p["i"] - t["at"]).alias("from"), t.alias("t")))
+    def proposed(t: Column) -> Column:
+        met = F.array_intersect(starts(t["rare"], t["rare_at"]), starts(t["second"], t["second_at"]))
+        return F.when(F.array_contains("words", t["rare"]) & F.array_contains("words", t["second"]), F.transform(met, lambda x: F.struct(x.alias("from"), t.alias("t"))))
 
     def verified(c: Column) -> Column:
         at = c["from"] + c["t"]["key_at"]
@@ -115,10 +150,11 @@ def scan(docs: DataFrame) -> DataFrame:
             (F.size(there) / F.size(c["t"]["words"])).alias("share"),
         )
 
-    met = rows.select("row", F.size("words").cast("long").alias("n_words"), "words", postings.alias("postings"))
+    met = rows.select("row", F.size("words").cast("long").alias("n_words"), "words")
     none = F.array().cast("array<struct<start:int,label:string,base:boolean,share:double>>")
-    places = F.when(F.size("postings") == 0, none).otherwise(
-        F.array_sort(F.filter(F.transform(F.filter(F.flatten(F.transform("postings", propose)), verified), place), lambda p: p["share"] >= SHARE))
+    proposals = F.flatten(F.filter(F.transform(templates, proposed), lambda x: x.isNotNull()))
+    places = F.when(~F.arrays_overlap("words", rare), none).otherwise(
+        F.array_sort(F.filter(F.transform(F.filter(proposals, verified), place), lambda p: p["share"] >= SHARE))
     )
     return met.select("row", "n_words", places.alias("places")).select(
         "row.*", "n_words", "places",
