@@ -26,6 +26,7 @@ from .worker import release
 WINDOW = 13
 SHINGLE = 3
 BLOCK_WORDS = 500_000  # benchmark words a block: about 30 MB in a task
+STRETCH = 10_000  # windows of an item that stay together
 _STEP = 1 << 20  # candidates compared at once
 _BITS = 20
 
@@ -90,19 +91,23 @@ def _column_words(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
 
 
 def _blocks(benchmark: DataFrame) -> list[Windows]:
-    """The benchmark's windows, block by block; a block has about ``BLOCK_WORDS`` words, or one longer item."""
+    """The benchmark's windows, block by block, of about ``BLOCK_WORDS`` words each: repeated rows count once, long items are cut into stretches."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, w in _column_words(batch.column(1)):
-                lists = [w.hashes[w.first[i] : w.first[i + 1]].tobytes() for i in range(end - row)]
-                n = np.diff(w.first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(lists, pa.binary()), pa.array(n, pa.int64())], ["item_id", "words", "n"])
+                item, parts = [], []
+                for i in range(end - row):
+                    own = w.hashes[w.first[i] : w.first[i + 1]]
+                    for at in range(0, max(len(own) - WINDOW + 1, min(len(own), 1)), STRETCH):  # a long item in stretches that share all but one word of a window
+                        item.append(row + i)
+                        parts.append(own[at : at + STRETCH + WINDOW - 1].tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(item, pa.int64())), pa.array(parts, pa.binary()), pa.array([len(x) // 8 for x in parts], pa.int64())], ["item_id", "words", "n"])
 
     spark = benchmark.sparkSession
     hashed = materialise(
         benchmark.select(F.col("item_id").cast("string"), "text").transform(in_arrow, words, "item_id string, words binary, n long"), "benchmark"
-    ).filter("n > 0")
+    ).filter("n > 0").distinct()
     total = hashed.agg(F.sum("n")).first()[0] or 0
     count = max(1, -(-total // BLOCK_WORDS))
     for b in range(count):
@@ -248,3 +253,16 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         "row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated",
     )
+
+
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, least(len(w), {WINDOW}) AS size, unnest(list_transform(range(1, len(w) - least(len(w), {WINDOW}) + 2), lambda j: array_to_string(w[j:j + least(len(w), {WINDOW}) - 1], ' '))) AS s FROM b WHERE len(w) > 0),
+p AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS pos FROM d, (SELECT DISTINCT size FROM i) WHERE len(w) >= size),
+h AS (SELECT doc_id, pos, i.size, item_id FROM (SELECT doc_id, pos, size, array_to_string(w[pos:pos + size - 1], ' ') AS s FROM p) q JOIN i ON i.s = q.s AND i.size = q.size),
+k AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(pos, pos + size)) AS place FROM h) GROUP BY 1),
+t AS (SELECT doc_id, list_sort(list_distinct(list(item_id::VARCHAR))) AS items FROM h GROUP BY 1),
+c AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(items, []) AS items FROM d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id))
+SELECT doc_id, n_words, n_hit, len(items)::BIGINT AS n_items, sha256(array_to_string(items, ',')) AS items_sha256, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated FROM c
+"""

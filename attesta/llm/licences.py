@@ -172,3 +172,18 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
         joined(base).alias("base_labels"), joined(F.col("places")).alias("labels"), "score",
     )
+
+
+def op3_license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the scan that SQL can state: places of the base phrases."""
+    return op3_license_scans(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+OP3_BASE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, w, list_filter(range(1, len(w)), lambda i: w[i] = 'mit' AND w[i + 1] = 'license') AS m, list_filter(range(1, len(w)), lambda i: w[i] = 'apache' AND w[i + 1] = 'license') AS a,
+             list_filter(range(1, len(w) - 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS g FROM d),
+q AS (SELECT *, list_concat(list_concat(m, a), g) AS every FROM p)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(every)::BIGINT AS n_base, list_min(every)::BIGINT - 1 AS first_word, list_max(every)::BIGINT - 1 AS last_word,
+       concat_ws(',', CASE WHEN len(a) > 0 THEN 'apache' END, CASE WHEN len(g) > 0 THEN 'gpl' END, CASE WHEN len(m) > 0 THEN 'mit' END) AS base_labels FROM q
+"""

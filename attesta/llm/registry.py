@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from .chat_format import OP5_SQL, op5_chat_formatting
-from .decontamination import op7_benchmark_decontamination
-from .jaccard_join import op9_ngram_jaccard_join
-from .licences import op3_license_scans
+from .decontamination import OP7_SQL, op7_benchmark_decontamination
+from .jaccard_join import OP9_SQL, op9_ngram_jaccard_join
+from .licences import OP3_BASE_SQL, op3_license_base, op3_license_scans
 from .line_dedup import OP1_FULL_SQL, OP1_SQL, op1_line_dedup, op1_line_dedup_full
 from .pieces import op2_sentencepiece_encoding
 from .quality import op10_quality_classifier
@@ -25,6 +25,7 @@ QUERIES = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
     "op1_line_dedup_full": op1_line_dedup_full,
+    "op3_license_base": op3_license_base,
 }
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op5_chat_formatting": OP5_SQL, "op8_exact_topk": OP8_SQL, "op1_line_dedup_full": OP1_FULL_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op5_chat_formatting": OP5_SQL, "op8_exact_topk": OP8_SQL, "op1_line_dedup_full": OP1_FULL_SQL, "op3_license_base": OP3_BASE_SQL, "op7_benchmark_decontamination": OP7_SQL, "op9_ngram_jaccard_join": OP9_SQL}
