@@ -1,7 +1,9 @@
 """Lexical retrieval: inverted lists, coverage and BM25 top-k for a table of queries.
 
-Queries are (query_id, question), chunks (chunk_id, content). Only terms that some query has reach
-the join, so the lists that are shuffled are those of the questions' terms.
+Queries are (query_id, question), chunks (chunk_id, content). Chunks are cut into terms once, and only terms that some
+query has are kept. A query does not meet every chunk that shares a frequent term with it: a score of some size needs
+one of the query's rarer terms, so candidates come from the lists of those alone and are then scored in full. Where
+the k-th score shows that they were not enough, the query goes on with more of its terms; results are exact.
 """
 
 from __future__ import annotations
@@ -10,9 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.tables import settle
 
 K1, B = 1.2, 0.75
 SCORE_DIGITS = 9
+VOCABULARY = 500_000  # distinct query terms that are sent to every task, about 10 MB; beyond it both sides are shuffled
+COVERAGE_STEPS = (0.5, 0.25)  # coverage from which a query's best chunks are looked for, until there are k
+BM25_STEPS = (0.5, 0.2)  # share of a query's largest score that the terms not looked up may make up
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -27,37 +33,111 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame, wanted: DataFrame, counts: bool = False) -> DataFrame:
-    """(chunk_id, term[, tf, dl]) of the terms in ``wanted``."""
+    """(chunk_id, term[, tf, dl]) of the terms in ``wanted``, settled."""
     vocabulary = wanted.select("term").distinct()
+    vocabulary = F.broadcast(vocabulary) if vocabulary.count() <= VOCABULARY else vocabulary
     if not counts:
-        return chunks.select("chunk_id", F.explode(text.terms(F.col("content"))).alias("term")).join(vocabulary, "term", "left_semi")
+        return settle(chunks.select("chunk_id", F.explode(text.terms(F.col("content"))).alias("term")).join(vocabulary, "term", "left_semi"), "postings")
     own = chunks.select("chunk_id", F.concat(text.ascii_tokens(F.col("content")), text.cjk_bigrams(F.col("content"))).alias("t"))
     rows = own.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(vocabulary, "term", "left_semi")
-    return rows.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
+    return settle(rows.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf")), "postings")
 
 
-def coverage_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score): share of the query's terms in the chunk, where above 0."""
-    wanted = query_terms(queries)
-    met = postings(chunks, wanted).join(wanted, "term")
-    return met.groupBy("query_id", "chunk_id", "wanted").agg(F.count("*").alias("n")).select("query_id", "chunk_id", F.round(F.col("n") / F.col("wanted"), SCORE_DIGITS).alias("score"))
+def _candidates(held: DataFrame, looked_up: DataFrame) -> DataFrame:
+    """(query_id, chunk_id) of the lists of terms that are looked up (query_id, term)."""
+    return held.select("chunk_id", "term").join(looked_up.select("query_id", "term"), "term").select("query_id", "chunk_id").distinct()
 
 
-def coverage_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, least: float = 0.0) -> DataFrame:
-    return _ranked(coverage_scores(queries, chunks).filter(F.col("score") >= least), k)
+def covered(wanted: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """(query_id, chunk_id, score) of coverages of ``least`` or more, above 0 in any case.
 
+    Of a query's n terms a chunk with m of them has one of the n - m + 1 that the fewest chunks have.
+    """
+    need = F.greatest(F.lit(1), F.ceil(F.lit(least) * F.col("wanted") - 1e-6))
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "term")
+    rare = wanted.join(df, "term", "left").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= F.col("wanted") - need + 1)
+    return pair_scores(_candidates(held, rare), wanted, held).filter(F.col("score") >= least)
 
-def bm25_scores(queries: DataFrame, chunks: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+
+def pair_scores(pairs: DataFrame, wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score): the coverage of each of the pairs (query_id, chunk_id) that share a term."""
+    asked = wanted.groupBy("query_id", "wanted").agg(F.collect_list("term").alias("q"))
+    have = held.groupBy("chunk_id").agg(F.collect_list("term").alias("c"))
+    met = pairs.join(asked, "query_id").join(have, "chunk_id")
+    score = F.round(F.size(F.array_intersect("q", "c")) / F.col("wanted"), SCORE_DIGITS)
+    return met.select("query_id", "chunk_id", score.alias("score")).filter("score > 0")
+
+
+def coverage_scores(queries: DataFrame, chunks: DataFrame, least: float = 0.0) -> DataFrame:
+    """(query_id, chunk_id, score): share of the query's terms in the chunk, where above 0 and ``least`` or more."""
     wanted = query_terms(queries)
+    return covered(wanted, postings(chunks, wanted), least)
+
+
+def coverage_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, least: float = 0.0) -> DataFrame:
+    """The k best chunks of each query by coverage, of ``least`` or more, ties to the smaller id."""
+    wanted = settle(query_terms(queries), "terms")
+    held = postings(chunks, wanted)
+    out = None
+    for step in [*[s for s in COVERAGE_STEPS if s > least], least]:
+        found = settle(_ranked(covered(wanted, held, step), k), "covered")
+        if step > least:
+            full = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("query_id")
+            found, wanted = found.join(full, "query_id", "left_semi"), settle(wanted.join(full, "query_id", "left_anti"), "terms")
+        out = found if out is None else out.unionByName(found)
+        if step > least and not wanted.limit(1).count():
+            break
+    return out
+
+
+def _weighed(chunks: DataFrame, wanted: DataFrame, k1: float, b: float) -> tuple[DataFrame, DataFrame]:
+    """(chunk_id, term, part): what each posting adds to a score, and (query_id, term, most): what a query's term can add at most; both settled."""
     held = postings(chunks, wanted, counts=True)
     lengths = chunks.select(F.size(F.concat(text.ascii_tokens(F.col("content")), text.cjk_bigrams(F.col("content")))).alias("dl"))
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
     df = held.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
-    met = held.join(df, "term").join(F.broadcast(corpus)).join(wanted, "term")  # the corpus is one row
-    return met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(idf * tf), SCORE_DIGITS).alias("score"))
+    idf = df.join(F.broadcast(corpus)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))  # the corpus is one row
+    idf = settle(idf, "idf")
+    part = F.col("idf") * (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean"))))
+    most = idf.select("term", (F.col("idf") * (k1 + 1)).alias("most"))
+    return settle(held.join(idf, "term").select("chunk_id", "term", part.alias("part")), "parts"), settle(wanted.select("query_id", "term").join(most, "term"), "most")
+
+
+def _scored(candidates: DataFrame, parts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score) of candidates (query_id, chunk_id): the sum of the parts of the query's terms."""
+    met = candidates.join(asked.select("query_id", "term"), "query_id").join(parts, ["chunk_id", "term"])
+    return met.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
+
+
+def bm25_scores(queries: DataFrame, chunks: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, chunk_id, score) of all chunks that share a term with a query."""
+    parts, asked = _weighed(chunks, query_terms(queries), k1, b)
+    met = parts.join(asked.select("query_id", "term"), "term")
+    return met.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
 
 
 def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    return _ranked(bm25_scores(queries, chunks), k)
+    """The k best chunks of each query by BM25, ties to the smaller id.
+
+    A query's terms are looked up from the most telling on. A chunk with none of those looked up scores at most what
+    the others can add; a query is done once its k-th score is above that.
+    """
+    parts, asked = _weighed(chunks, query_terms(queries), K1, B)
+    out = None
+    for step in [*BM25_STEPS, None]:
+        after = Window.partitionBy("query_id").orderBy(F.desc("most"), "term").rowsBetween(1, Window.unboundedFollowing)
+        total = F.sum("most").over(Window.partitionBy("query_id"))
+        rest = asked.withColumn("rest", F.coalesce(F.sum("most").over(after), F.lit(0.0))).withColumn("total", total)
+        before = F.lag("rest").over(Window.partitionBy("query_id").orderBy(F.desc("most"), "term"))
+        taken = asked if step is None else rest.withColumn("before", F.coalesce(before, F.col("total"))).filter(F.col("before") > step * F.col("total"))
+        found = settle(_ranked(_scored(_candidates(parts, taken), parts, asked), k), "scored")
+        if step is not None:
+            bound = taken.groupBy("query_id").agg(F.min("rest").alias("bound"))
+            last = found.groupBy("query_id").agg(F.min("score").alias("last"), F.count("*").alias("n")).filter(F.col("n") >= k)
+            full = last.join(bound, "query_id").filter(F.col("last") > F.col("bound") + 1e-6).select("query_id")
+            found, asked = found.join(full, "query_id", "left_semi"), settle(asked.join(full, "query_id", "left_anti"), "most")
+        out = found if out is None else out.unionByName(found)
+        if step is not None and not asked.limit(1).count():
+            break
+    return out

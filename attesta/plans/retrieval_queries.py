@@ -77,12 +77,19 @@ w AS (SELECT doc_id, unnest(range(0, greatest(0, ceil((length(text) - 500) / 450
 win AS (SELECT doc_id, idx, substr(text, idx * 450 + 1, 500) AS content FROM w)"""
 
 
-def _window_hits(spark: SparkSession, d: str) -> DataFrame:
-    win = _windows(spark, d).select((F.col("doc_id") * 1_000_000 + F.col("idx")).alias("chunk_id"), "content")
-    hits = lexical.coverage_scores(_questions(spark, d), win)
+def _numbered_windows(spark: SparkSession, d: str) -> DataFrame:
+    return _windows(spark, d).select((F.col("doc_id") * 1_000_000 + F.col("idx")).alias("chunk_id"), "content")
+
+
+def _placed(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", F.floor(F.col("chunk_id") / 1_000_000).alias("doc_id"), (F.col("chunk_id") % 1_000_000).alias("idx"), F.col("score").alias("lexical"))
 
 
+def _window_hits(spark: SparkSession, d: str, least: float) -> DataFrame:
+    """Windows that cover so much of a question's terms."""
+    return _placed(lexical.coverage_scores(_questions(spark, d), _numbered_windows(spark, d), least))
+
+
 _HITS = f"""
 q AS (SELECT item_id AS query_id, list_distinct({TOKENS.format('text')}) AS t FROM benchmark),
 qt AS (SELECT query_id, len(t) AS wanted, unnest(t) AS term FROM q),{_WINDOWS},
@@ -92,13 +99,18 @@ hits AS (SELECT query_id, doc_id, idx, round(count(*) / wanted, 9) AS lexical FR
 
 def doc_admission(spark: SparkSession, d: str) -> DataFrame:
     """Windows admitted for each question, counted by document, where one window covers 0.6 of the question's terms."""
-    hits = _window_hits(spark, d).withColumns({"vector": F.lit(0.0), "strict": F.lit(None).cast("double")})
+    wanted = lexical.query_terms(_questions(spark, d))
+    held = lexical.postings(_numbered_windows(spark, d), wanted)
+    seeds = _placed(lexical.covered(wanted, held, 0.6)).select("query_id", "doc_id").distinct()
+    every = held.select("chunk_id", F.floor(F.col("chunk_id") / 1_000_000).alias("doc_id")).distinct()
+    hits = _placed(lexical.pair_scores(every.join(seeds, "doc_id").select("query_id", "chunk_id"), wanted, held))
+    hits = hits.withColumns({"vector": F.lit(0.0), "strict": F.lit(None).cast("double")})
     kept = fusion.admit_documents(hits, min_vector=2.0, min_lexical=0.6)
     return kept.groupBy("query_id", "doc_id").agg(F.count("*").alias("windows"), F.max("lexical").alias("best"))
 
 
 def neighbor_expand(spark: SparkSession, d: str) -> DataFrame:
-    seeds = _window_hits(spark, d).filter("lexical >= 0.6").withColumnRenamed("lexical", "score")
+    seeds = _window_hits(spark, d, 0.6).withColumnRenamed("lexical", "score")
     return fusion.add_neighbours(seeds, _windows(spark, d).select("doc_id", F.col("idx").cast("long").alias("idx")))
 
 
@@ -129,7 +141,7 @@ def question_trigram_dup(spark: SparkSession, d: str) -> DataFrame:
 
 def gold_contamination(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold nine tenths of a passage's terms, for each passage."""
-    hits = lexical.coverage_scores(_questions(spark, d), _chunks(spark, d)).filter("score >= 0.9")
+    hits = lexical.coverage_scores(_questions(spark, d), _chunks(spark, d), 0.9)
     return hits.groupBy("query_id").agg(F.count("*").alias("documents"), F.min("chunk_id").alias("first"))
 
 
@@ -141,8 +153,8 @@ def label_prevalence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
-    """Pages' texts for a model's prompt, cut as their SQL says; ``html_full_text`` has them whole."""
-    return table(spark, d, "pages").select("page_id", text.html_to_text(F.col("html"), 12000).alias("content"))
+    """Pages' whole texts."""
+    return table(spark, d, "pages").select("page_id", text.html_to_text(F.col("html")).alias("content"))
 
 
 def html_full_text(spark: SparkSession, d: str) -> DataFrame:
@@ -170,7 +182,7 @@ def memory_trigger(spark: SparkSession, d: str) -> DataFrame:
 
 def context_pack_greedy(spark: SparkSession, d: str) -> DataFrame:
     """For each question the documents that fit its context, in order of coverage."""
-    hits = lexical.coverage_scores(_questions(spark, d), _chunks(spark, d)).filter("score >= 0.3")
+    hits = lexical.coverage_scores(_questions(spark, d), _chunks(spark, d), 0.3)
     sizes = _chunks(spark, d).select("chunk_id", text.token_estimate(F.col("content")).alias("tokens"))
     rows = hits.join(sizes, "chunk_id").select(F.col("query_id").alias("group_id"), F.col("chunk_id").alias("doc_id"), F.col("score").alias("weight"), "tokens")
     return budget.pack(rows)
@@ -178,7 +190,7 @@ def context_pack_greedy(spark: SparkSession, d: str) -> DataFrame:
 
 def facet_selection(spark: SparkSession, d: str) -> DataFrame:
     """Seats for the first and second half of each question's terms among its best windows."""
-    hits = _window_hits(spark, d).filter("lexical >= 0.3")
+    hits = _window_hits(spark, d, 0.3)
     chunk = (F.col("doc_id") * 1_000_000 + F.col("idx")).alias("chunk_id")
     return fusion.facet_seats(hits.select("query_id", chunk, "doc_id", F.col("lexical").alias("score"), F.array(F.col("lexical"), F.col("lexical") * (F.col("idx") % 2)).alias("facets")), 5)
 
@@ -186,7 +198,7 @@ def facet_selection(spark: SparkSession, d: str) -> DataFrame:
 def mrr_ndcg(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of the BM25 ranking, with documents that hold a whole passage as gold."""
     q, c = _questions(spark, d), _chunks(spark, d)
-    gold = lexical.coverage_scores(q, c).filter("score >= 1").select("query_id", F.col("chunk_id").alias("doc_id"))
+    gold = lexical.coverage_scores(q, c, 1.0).select("query_id", F.col("chunk_id").alias("doc_id"))
     return evaluation.ranking_metrics(lexical.coverage_topk(q, c, 10).select("query_id", F.col("chunk_id").alias("doc_id"), "rank"), gold, 5)
 
 
@@ -275,7 +287,7 @@ ORACLES = {
     "label_prevalence": """WITH k AS (SELECT lang, count(*) AS labelled, sum(quality)::BIGINT AS good, sum(toxic)::BIGINT AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY lang),
         u AS (SELECT lang, count(*) AS unlabelled FROM documents ANTI JOIN labels USING (doc_id) GROUP BY lang) SELECT * FROM k FULL JOIN u USING (lang)""",
     "html_to_text": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'gs') AS t FROM pages)
-        SELECT page_id, substr(trim(regexp_replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '), 1, 12000) AS content FROM a""",
+        SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS content FROM a""",
     "html_full_text": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'gs') AS t FROM pages)
         SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS content FROM a""",
     "url_domain_stats": r"""WITH h AS (SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host FROM pages)

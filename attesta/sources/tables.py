@@ -33,6 +33,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back, so that its uses share one run and a lost executor costs no more than it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """path, name, text of every file with a text suffix; bytes that are not UTF-8 become replacement characters."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(TEXT_SUFFIXES) + "}").option("recursiveFileLookup", "true").load(path)
