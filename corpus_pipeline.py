@@ -1,7 +1,12 @@
 """The training-data pipeline: five stages, each by one operator, each over all that the stage before kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as
-the next stage's docs. All stages but the last return the columns of ``documents``.
+the next stage's docs. All stages but the last return the columns of ``documents``, extra columns too.
+
+Null and empty texts: the classifier judges them from what they have; line dedup and decontamination keep them; the
+join keeps them all, as they have no shingles; the last stage gives them no ids. Rows that repeat an id: the
+classifier, line dedup and decontamination treat each row by itself; the join leaves one row of an id. Rows
+without an id are never near duplicates. An empty table of documents gives an empty result in every stage.
 """
 
 from __future__ import annotations
@@ -56,7 +61,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The classifier's scores and the tokeniser cannot be stated in SQL; tests hold run() against a brute-force version.
+#: The classifier's scores and the tokeniser cannot be stated in SQL; tests hold every stage against a brute-force version
+#: on its own input: the lines, pairs and windows against plain Python, the ids against the sentencepiece library.
 ORACLE_SQL = None
 
 QUERIES = {"pipeline": run}
