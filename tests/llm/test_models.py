@@ -5,7 +5,9 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from attesta.llm import quality, toxicity
@@ -117,7 +119,50 @@ def test_pipeline_stages(spark):
     last = fourth.collect()
     assert {r["doc_id"] for r in last} == clean and fourth.columns == docs.columns
     fifth = corpus_pipeline.STAGES[4][1](spark, spark.createDataFrame(last, fourth.schema), SF)
-    assert {r["doc_id"] for r in fifth.collect() if r["n_tokens"] > 0} == {r["doc_id"] for r in last if r["text"]}
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
+    assert {r["doc_id"]: r["ids"] for r in fifth.collect()} == {r["doc_id"]: library.encode(r["text"] or "") for r in last}
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_edges(spark, tmp_path, empty):
+    """Null and empty texts, rows and ids that repeat, null ids, extra columns with the operators' own names; and no documents at all."""
+    said = "a normal sentence with quite a few words that go on for a while and end here"
+    rows = [(i, f"{said} {i}." if i % 2 else "| | | ## " * 5, "en", "s", 10) for i in range(10, 130)]
+    odd = [(1, None, None, None, None), (2, "", "en", None, 0), (3, said, "en", "s", 5), (3, said, "en", "s", 5), (None, f"{said} none", "en", "s", 5), (4, "x" * 300_000, "en", "s", 1)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("own") for c in ("row", "lines", "kept", "n_lines", "hit", "label", "keep", "score", "id")})
+    (docs.limit(0) if empty else docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(10, 130)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("b", "nothing of the kind")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert got == [] if empty else {i for i in got if i is not None and i > 9} <= set(range(11, 130, 2)) and got.count(3) <= 1 and len(got) > 0
+
+
+def test_document_features():
+    """What the scores of documents are made of, against the definition."""
+    rng = np.random.default_rng(1)
+    p, first = rng.random(50) * rng.random(50) ** 4, np.array([0, 0, 7, 8, 50])
+    got = toxicity.document_features(p, first)
+    for i in range(4):
+        own = p[first[i] : first[i + 1]]
+        none = min(float(np.log1p(-own).sum()), -1e-9)
+        want = [np.clip(np.log(-np.expm1(none)) - none, -20, 20), np.log1p(own.sum()), np.log((own.sum() + 0.01) / (len(own) + 20))]
+        assert np.allclose(got[i], want)
+
+
+def test_quality_scores_are_the_model(spark):
+    """Every score is the calibrated combination of both views, document by document."""
+    docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
+    m = quality.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.judge(docs, labels, ["doc_id"]).select("row.doc_id", "score").collect()}
+    assert m is not None
+    for r in docs.limit(25).collect():
+        (_, _, a, b), = quality.features(pa.array([r["text"]]), [r["source"]], [r["lang"]], [float(r["n_chars"])])
+        la, lb = (m["platt"][v].logit(m["models"][v].logit(x)[:, None]) for v, x in ((0, a), (1, b)))
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-m["both"].logit(np.c_[la, lb])[0]))) < 1e-6
 
 
 @pytest.mark.parametrize("name", list(corpus_pipeline.QUERIES))
