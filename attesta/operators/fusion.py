@@ -77,12 +77,29 @@ def add_neighbours(seeds: DataFrame, chunks: DataFrame, window: int = 1, most: i
     return out.unionByName(kept.select("query_id", "doc_id", "idx", F.round("score", DIGITS).alias("score"), F.lit("neighbour").alias("kind")))
 
 
+def _contenders(hits: DataFrame, top_k: int, per_doc: int) -> DataFrame:
+    """The hits that can win a seat.
+
+    Of a document at most ``per_doc`` chunks are seated, so before one of its chunks is passed over by a sub-query at
+    most ``per_doc`` better ones of it are; by score at most twice as many, as sub-queries may have seated others. Before a
+    chunk is reached in an order at most ``top_k`` chunks are seated and the contenders of full documents are passed over.
+    """
+    facets = hits.select("query_id", "chunk_id", "doc_id", "score", F.posexplode("facets").alias("f", "value")).filter("value > 0")
+    scored = hits.select("query_id", "chunk_id", "doc_id", "score", F.lit(-1).alias("f"), F.col("score").alias("value"))
+    order = [F.desc("value"), F.desc("score"), "chunk_id"]
+    own = F.row_number().over(Window.partitionBy("query_id", "f", "doc_id").orderBy(*order))
+    place = F.row_number().over(Window.partitionBy("query_id", "f").orderBy(*order))
+    kept = facets.unionByName(scored).withColumn("own", own).filter(F.col("own") <= 2 * per_doc).withColumn("place", place).filter(F.col("place") <= 4 * top_k + 2 * per_doc)
+    return hits.join(kept.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_semi")
+
+
 def facet_seats(hits: DataFrame, top_k: int, per_doc: int = 3) -> DataFrame:
     """(query_id, chunk_id, seat) of a query's chosen chunks.
 
     ``hits``: query_id, chunk_id, doc_id, score, facets (relevance for each sub-query, equal lengths). Sub-queries
     take turns to seat their best unused chunk with relevance above 0; free seats go by score; a document
-    has ``per_doc`` chunks at most. State runs along the seats, so each query's candidates are one group.
+    has ``per_doc`` chunks at most. State runs along the seats, so a query's contenders, a number that ``top_k`` and the
+    number of sub-queries bound, are one group.
     """
 
     def seat(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -105,7 +122,7 @@ def facet_seats(hits: DataFrame, top_k: int, per_doc: int = 3) -> DataFrame:
                 take(r)
         return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "chunk_id": out, "seat": range(1, len(out) + 1)})
 
-    return hits.groupBy("query_id").applyInPandas(seat, "query_id long, chunk_id long, seat long")
+    return _contenders(hits, top_k, per_doc).groupBy("query_id").applyInPandas(seat, "query_id long, chunk_id long, seat long")
 
 
 def rerank(hits: DataFrame, scores: DataFrame, top: int = 20) -> DataFrame:

@@ -120,9 +120,9 @@ def identifier_questions(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", queryplan.explain_identifier(first).alias("question"))
 
 
-@query("""SELECT doc_id, sha256(array_to_string(['news', n(source), n(text), n(lang), n(doc_id::VARCHAR)], chr(31))) AS news, sha256(array_to_string(['bidding', n(doc_id::VARCHAR), n(source), n(lang), ''], chr(31))) AS bidding,
-    md5('f' || doc_id || '_' || doc_id % 9 || '_' || substr(text, 1, 50)) AS chunk, substr(sha256(lower(trim(source || doc_id, ' '))), 1, 20) AS stable, md5(lower(trim(source || doc_id, ' '))) AS query FROM documents""".replace(
-    "n(source)", "s").replace("n(text)", "t").replace("n(lang)", "lang").replace("n(doc_id::VARCHAR)", "doc_id::VARCHAR").replace("FROM documents", r"FROM (SELECT *, lower(source) AS s, trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS t FROM documents)"))
+@query(r"""SELECT doc_id, sha256(array_to_string(['news', s, t, lang, doc_id::VARCHAR], chr(31))) AS news, sha256(array_to_string(['bidding', doc_id::VARCHAR, s, lang, ''], chr(31))) AS bidding,
+    md5('f' || doc_id || '_' || doc_id % 9 || '_' || substr(text, 1, 50)) AS chunk, substr(sha256(lower(trim(source || doc_id, ' '))), 1, 20) AS stable, md5(lower(trim(source || doc_id, ' '))) AS query
+    FROM (SELECT *, lower(source) AS s, trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS t FROM documents)""")
 def record_keys(spark: SparkSession, d: str) -> DataFrame:
     """Keys of documents as news, notices, chunks, names and queries."""
     i = F.col("doc_id").cast("string")
@@ -614,7 +614,7 @@ def evaluation_set_faults(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.set_issues(rows, {"d": "kb"}, ["test", "hidden"])
 
 
-@query("""WITH k AS (SELECT doc_id, quality FROM labels) SELECT doc_id AS question_id, doc_id % 2 AS answer, quality AS key, coalesce(doc_id % 2 = quality, false) AS right FROM documents LEFT JOIN k USING (doc_id)""".replace("AS right", 'AS "correct"'))
+@query("""WITH k AS (SELECT doc_id, quality FROM labels) SELECT doc_id AS question_id, doc_id % 2 AS answer, quality AS key, coalesce(doc_id % 2 = quality, false) AS correct FROM documents LEFT JOIN k USING (doc_id)""")
 def keyed_answers(spark: SparkSession, d: str) -> DataFrame:
     """Answers made of ids against the labels as their key."""
     a = _docs(spark, d).select(F.col("doc_id").alias("question_id"), (F.col("doc_id") % 2).alias("answer"))
@@ -790,7 +790,8 @@ def column_samples(spark: SparkSession, d: str) -> DataFrame:
     return analyzer.samples(table(spark, d, "orders"), "o_orderkey", ["o_orderkey"])
 
 
-@query("""SELECT 'nation' AS name, place::INTEGER AS place, c AS "column", 0::BIGINT AS rows FROM (SELECT * FROM (VALUES (0, 'n_nationkey'), (1, 'n_name'), (2, 'n_regionkey')) t(place, c)) UNION ALL SELECT 'region', place::INTEGER, c, 0 FROM (SELECT * FROM (VALUES (0, 'r_regionkey'), (1, 'r_name')) t(place, c))""".replace("0::BIGINT AS rows", "(SELECT count(*) FROM nation) AS rows").replace("c, 0 FROM", "c, (SELECT count(*) FROM region) FROM"))
+@query("""SELECT name, place::INTEGER AS place, c AS "column", CASE name WHEN 'nation' THEN (SELECT count(*) FROM nation) ELSE (SELECT count(*) FROM region) END AS rows
+    FROM (VALUES ('nation', 0, 'n_nationkey'), ('nation', 1, 'n_name'), ('nation', 2, 'n_regionkey'), ('region', 0, 'r_regionkey'), ('region', 1, 'r_name')) t(name, place, c)""")
 def table_columns(spark: SparkSession, d: str) -> DataFrame:
     for t in ("nation", "region"):
         table(spark, d, t).createOrReplaceTempView(t)

@@ -304,6 +304,12 @@ ORACLES = {
         SELECT query_id, first AS first_hit, round(coalesce(1 / first, 0), 9) AS rr,
                round(coalesce(dcg / list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 1 / log2(i + 1))), 0), 9) AS ndcg, round(coalesce(hits / n, 0), 9) AS recall
         FROM w LEFT JOIN h USING (query_id)""",
+    "context_pack_greedy": f"""WITH RECURSIVE {_COVER.strip()}, k AS (SELECT doc_id AS chunk_id, ({_TOKENS3})::BIGINT AS tokens FROM documents),
+        c AS (SELECT query_id, chunk_id, tokens, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM cover JOIN k USING (chunk_id) WHERE score >= 0.3 AND tokens <= 6000),
+        f AS (SELECT DISTINCT query_id, 0::BIGINT AS n, 0::BIGINT AS used, 0::BIGINT AS position, NULL::BIGINT AS doc_id FROM c
+              UNION ALL SELECT f.query_id, c.n, used + CASE WHEN position < 10 AND used + tokens <= 6000 THEN tokens ELSE 0 END, position + CASE WHEN position < 10 AND used + tokens <= 6000 THEN 1 ELSE 0 END,
+                     CASE WHEN position < 10 AND used + tokens <= 6000 THEN c.chunk_id END FROM f JOIN c ON c.query_id = f.query_id AND c.n = f.n + 1)
+        SELECT query_id AS group_id, doc_id, position FROM f WHERE doc_id IS NOT NULL""",
     "vector_audit": """SELECT count(*) AS n, count(*) FILTER (WHERE embedding IS NULL OR len(embedding) <> 64) AS bad_dim,
         count(*) FILTER (WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0) AS not_finite,
         count(*) FILTER (WHERE list_sum(list_transform(embedding, lambda x: x * x)) = 0) AS zero_norm FROM embeddings""",

@@ -78,6 +78,23 @@ def test_admission_and_neighbours(spark):
     assert got == {(1, "seed", 1.0), (2, "seed", 0.5), (0, "neighbour", 0.95), (3, "neighbour", 0.475)}
 
 
+def test_facet_seats_of_many_hits(spark):
+    """Against the rule over all hits: few documents with many chunks, then many documents."""
+    rnd = random.Random(8)
+    for docs, top_k in ((3, 5), (40, 7)):
+        rows = [(1, c, rnd.randrange(docs), round(rnd.random(), 2), [round(max(0.0, rnd.random() - 0.5), 2) for _ in range(4)]) for c in range(400)]
+        free, used, of, want = sorted(rows, key=lambda r: (-r[3], r[1])), set(), {}, []
+        for f in [*range(4), *[None] * top_k]:
+            fit = [r for r in free if r[1] not in used and of.get(r[2], 0) < 3 and (f is None or r[4][f] > 0)]
+            if fit and len(want) < top_k:
+                r = fit[0] if f is None else max(fit, key=lambda r: (r[4][f], r[3], -r[1]))
+                used.add(r[1])
+                of[r[2]] = of.get(r[2], 0) + 1
+                want.append(r[1])
+        df = spark.createDataFrame(rows, "query_id long, chunk_id long, doc_id long, score double, facets array<double>")
+        assert [r["chunk_id"] for r in fusion.facet_seats(df, top_k).orderBy("seat").collect()] == want
+
+
 def test_facet_seats(spark):
     rows = [(1, c, c % 2, 1.0 - c / 10, [0.0 if c < 3 else 1.0, 0.5]) for c in range(6)]
     got = [r["chunk_id"] for r in fusion.facet_seats(spark.createDataFrame(rows, "query_id long, chunk_id long, doc_id long, score double, facets array<double>"), 4).orderBy("seat").collect()]
