@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import queryplan, text
-from ..operators import analyzer, budget, critic, dense, evaluation, evidence, feeds, fusion, governance, grounding, ingest
+from ..operators import analyzer, budget, critic, dense, evaluation, evidence, feeds, fusion, governance, grounding, ingest, lexical
 from ..sources import tables
 from ..sources.tables import table
 from ..streaming import events as streams
@@ -557,6 +557,31 @@ def memory_contexts(spark: SparkSession, d: str) -> DataFrame:
     return ingest.memory_context(hits)
 
 
+@query(f"""WITH q AS (SELECT item_id AS query_id, list_distinct({_LOWER.format('text')}) AS t FROM benchmark), qt AS (SELECT query_id, len(t) AS wanted, unnest(t) AS term FROM q), dt AS (SELECT doc_id AS chunk_id, unnest(list_distinct({_LOWER.format('text')})) AS term FROM documents WHERE source = 'src2'),
+c AS (SELECT query_id, chunk_id, round(count(*) / wanted, 9) AS score FROM dt JOIN qt USING (term) GROUP BY query_id, chunk_id, wanted) SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM c QUALIFY rank <= 3""")
+def lexical_topk_of_base(spark: SparkSession, d: str) -> DataFrame:
+    """The best documents of one knowledge base: the filter comes before the scores."""
+    base = feeds.filtered(_docs(spark, d), source="src2").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    asks = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return lexical.coverage_topk(asks, base, 3)
+
+
+@query("SELECT doc_id, lang, md5(text) AS digest FROM documents")
+def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as JSON lines to the shared folder and read again with a schema."""
+    docs, path = _docs(spark, d).select("doc_id", "lang", "text"), tables.scratch(spark, "jsonl")
+    tables.write_report(docs, path)
+    return tables.read_jsonl(spark, path, docs.schema).select("doc_id", "lang", F.md5("text").alias("digest"))
+
+
+@query("SELECT conv_id, count(*) AS turns, row_number() OVER (ORDER BY max(turn) DESC, conv_id) AS place FROM conversations GROUP BY conv_id QUALIFY place <= 25")
+def newest_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """The first page of conversations by their last turn."""
+    own = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.max("turn").alias("last"))
+    page = tables.page(own, [F.desc("last"), "conv_id"], 25)
+    return page.withColumn("place", F.row_number().over(Window.orderBy(F.desc("last"), "conv_id")).cast("long")).drop("last")
+
+
 # evaluation
 
 

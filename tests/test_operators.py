@@ -328,3 +328,25 @@ def test_sources(spark, tmp_path):
     assert [r["id"] for r in tables.delete(old, new, ["id"]).collect()] == [1]
     sse = spark.createDataFrame([(1, "event: a\ndata: x\n\ndata: y\n\n")], "id long, body string")
     assert [(r["event"], r["data"]) for r in tables.sse_events(sse).orderBy("n").collect()] == [("a", "x"), ("", "y")]
+
+
+def test_route_review(spark):
+    issues = [(1, 1, "outdated", "major", True, "q1"), (1, 2, "style", "critical", True, "no"), (1, 3, "outdated", "minor", True, "no"), (2, 1, "style", "major", False, None), (3, 1, "style", "minor", False, None)]
+    df = spark.createDataFrame(issues, "review_id long, n long, issue_type string, severity string, requires_new_search boolean, search_query string")
+    missing = spark.createDataFrame([(1, i, a) for i, a in enumerate(["q1", "b", "c", "d"])] + [(2, 1, "x"), (4, 1, "y")], "review_id long, n long, aspect string")
+    got = {r["review_id"]: (r["should_research"], r["search_queries"]) for r in critic.route_review(df, missing).collect()}
+    assert got == {1: (True, ["q1", "b", "c"]), 2: (False, ["x"]), 3: (False, []), 4: (True, ["y"])}
+
+
+def test_single_route(spark):
+    rows = spark.createDataFrame([(1, "cloud", 5, 1, 0, 0.5, 1), (1, "local", 6, 1, 0, 0.9, 1), (1, "cloud", None, 2, 3, 0.4, 2)], "query_id long, route string, chunk_id long, doc_id long, idx int, score double, rank long")
+    status = spark.createDataFrame([(1, "cloud", True), (1, "local", False)], "query_id long, route string, ok boolean")
+    one = fusion.by_routes(rows, status, "cloud").orderBy("rank").collect()
+    assert [(r["key"], r["score"], r["degraded"]) for r in one] == [("5", 0.5, None), ("2:3", 0.4, None)]
+    assert {r["degraded"][0] for r in fusion.by_routes(rows, status).collect()} == {"local"} and fusion.candidate_depth(3, True) == 20 and fusion.candidate_depth(9, True) == 36 and fusion.candidate_depth(9, False) == 9
+
+
+def test_fixture(spark, tmp_path):
+    (tmp_path / "f.json").write_text('{"news": [{"id": 1}, {"id": 2}], "quotes": [], "other": 3}')
+    got = tables.read_fixture(spark, str(tmp_path / "f.json"), {"news": "news", "quotes": "market_quote", "none": "x"}).collect()
+    assert [(r["kind"], r["row"]) for r in got] == [("news", '{"id":1}'), ("news", '{"id":2}')]
