@@ -173,6 +173,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, levels: np.ndarray) -> DataFr
     noise = _noise(levels)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             packed, prefixes, ls = [], [], []
             for _, s in _sets(batch, 1):
@@ -270,6 +271,7 @@ def _meet(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) that join all linked documents of every two blocks that meet."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         key, rows = None, []
 
         def close() -> pa.RecordBatch:

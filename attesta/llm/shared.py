@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,11 +50,16 @@ BATCH_BYTES = 4 << 20  # of an Arrow batch on its way to a Python worker
 
 def in_arrow(rows: DataFrame, function: Callable, schema: str | T.StructType) -> DataFrame:
     """``rows.mapInArrow``, with the session's bound on a batch's bytes lowered to ``BATCH_BYTES``: a batch of long texts else takes
-    tens of MB on either side of every task."""
+    tens of MB on either side of every task. A worker gives back what Arrow holds when a task is over, as it may stay idle after it."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+
     conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(key) != f"{BATCH_BYTES}b":
         conf.set(key, f"{BATCH_BYTES}b")
-    return rows.mapInArrow(function, schema)
+    return rows.mapInArrow(lean, schema)
 
 
 def slim(docs: DataFrame, *columns: str) -> DataFrame:
