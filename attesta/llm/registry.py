@@ -12,6 +12,7 @@ from .quality import op10_quality_classifier
 from .token_file import op4_token_binary_output
 from .topk import OP8_SQL, op8_exact_topk
 from .toxicity import op6_toxicity
+from .whitening import op13_embedding_whitening
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
+    "op13_embedding_whitening": op13_embedding_whitening,
     "op1_line_dedup_full": op1_line_dedup_full,
     "op3_license_base": op3_license_base,
 }
