@@ -2,8 +2,9 @@
 
 The allowed tables are narrowed to their allowed columns and put, under their own names, into a session of the
 guard's. A statement is parsed, analysed and run there: what the narrowed views do not have does not exist for it,
-whatever its form. The analysed plan must have no other leaves and call no function that reaches beyond its rows.
-The caller's session and its views are never touched.
+whatever its form. The analysed plan may have relational nodes of a fixed list only, so that a statement can neither start
+a program nor call a table function; its leaves are the guard's own temporary views, by their full names, and constants; and no function
+reaches beyond its rows. The caller's session and its views are never touched.
 """
 
 from __future__ import annotations
@@ -22,9 +23,17 @@ FORBIDDEN = [
 #: expressions that reach beyond a row, by class name; besides these only the engine's own are let through
 BEYOND_ROWS = [
     "CallMethodViaReflection", "TryReflect", "InputFileName", "InputFileBlockStart", "InputFileBlockLength", "CurrentUser", "SessionUser", "CurrentDatabase", "CurrentCatalog", "SparkVersion",
+    "ScalaUDF", "PythonUDF", "PythonUDAF", "PythonUDTF", "UnresolvedPolymorphicPythonUDTF", "ScalaUDAF", "ScalaAggregator", "SQLKeywords", "Collations", "SQLFunctionExpression", "SQLScalarFunction",
 ]
+#: nodes of an analysed plan that are let through, by name; what is not here, say a program that rows are sent through, is refused
+RELATIONAL = [
+    "Project", "Filter", "Join", "LateralJoin", "Aggregate", "Window", "Sort", "Distinct", "Deduplicate", "Union", "Expand", "GlobalLimit", "LocalLimit", "Offset", "SubqueryAlias",
+    "Subquery", "WithCTE", "CTERelationDef", "UnionLoop", "ResolvedHint", "RepartitionByExpression", "Sample", "AsOfJoin",
+]
+#: generators that unfold a row's own values
+GENERATORS = ["Explode", "PosExplode", "Inline", "Stack", "JsonTuple", "GeneratorOuter", "VariantExplode"]
 _OWN = ("org.apache.spark.sql.catalyst.", "org.apache.spark.sql.internal.")
-_LEAVES = ["OneRowRelation", "LocalRelation", "CTERelationRef", "Range", "UnionLoopRef"]
+_LEAVES = ["OneRowRelation", "LocalRelation", "CTERelationRef", "UnionLoopRef"]
 _LITERAL = r"'(?:''|[^'])*'|\"(?:\\.|[^\"\\])*\"|`[^`]*`"
 _DML = ("Insert", "Update", "Delete", "Merge", "Truncate")
 _PROCEDURE = ("Call", "Set", "CompoundBody", "ExecuteImmediate")
@@ -110,6 +119,24 @@ def _top_limit(plan) -> int | None:
             return None
 
 
+def _let_through(node, names: set[str]) -> None:
+    """Refuses a node that is no view of the guard's own, no constant and none of the relational ones."""
+    name = node.nodeName()
+    if name == "View":
+        view = node.desc().identifier()
+        if not node.isTempView() or view.database().isDefined() or view.table().lower() not in names:  # a global view has a database
+            raise Refused("TABLE_NOT_ALLOWED", view.unquotedString())
+    elif name == "Generate":
+        generator = node.generator().getClass().getSimpleName()
+        if generator not in GENERATORS:
+            raise Refused("SYSTEM_SCHEMA_DENIED", generator)
+    elif not node.children().size():
+        if name not in _LEAVES:
+            raise Refused("TABLE_NOT_ALLOWED", name)
+    elif name not in RELATIONAL:
+        raise Refused("PROCEDURAL_DENIED", name)
+
+
 def _guarded(spark: SparkSession, sql: str | None, allowed: dict[str, list[str]], cap: int) -> DataFrame:
     """The statement's rows from the guard's session, or Refused."""
     guard = spark.newSession()
@@ -137,12 +164,7 @@ def _guarded(spark: SparkSession, sql: str | None, allowed: dict[str, list[str]]
             raise Refused("COLUMN_NOT_ALLOWED" if "COLUMN" in code else "PARSE_FAIL", code) from None
         names = {n.lower() for n in allowed}
         for node in _nodes(plan, below_views=False):
-            if node.nodeName() == "View":
-                view = node.desc().identifier()
-                if not node.isTempView() or view.table().lower() not in names:
-                    raise Refused("TABLE_NOT_ALLOWED", view.table())
-            elif not node.children().size() and node.nodeName() not in _LEAVES:
-                raise Refused("TABLE_NOT_ALLOWED", node.nodeName())
+            _let_through(node, names)
             for root in _each(node.expressions()):
                 for x in _expressions(root):
                     kind = x.getClass().getName()

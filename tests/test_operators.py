@@ -310,6 +310,30 @@ def test_guard_sees_the_analysed_plan(guarded, sql, code):
     assert sqlguard.check(guarded, sql, ALLOWED)[0] == code
 
 
+@pytest.mark.parametrize("sql, code", [
+    ("SELECT TRANSFORM(x) USING 'sed s/^/ran-/' AS (z) FROM guard_a", "PROCEDURAL_DENIED"), ("SELECT z FROM (SELECT TRANSFORM(x, y) USING 'cat' AS (z, w) FROM guard_a)", "PROCEDURAL_DENIED"),
+    ("WITH t AS (SELECT TRANSFORM(x) USING 'id' AS (z) FROM guard_a) SELECT * FROM t", "PROCEDURAL_DENIED"), ("SELECT x FROM guard_a WHERE x IN (SELECT TRANSFORM(x) USING 'id' AS (z) FROM guard_b)", "PROCEDURAL_DENIED"),
+    ("SELECT x FROM guard_b UNION ALL SELECT TRANSFORM(x) USING 'id' AS (z) FROM guard_a", "PROCEDURAL_DENIED"), ("FROM guard_a MAP x USING 'cat' AS z", "PROCEDURAL_DENIED"),
+    ("SELECT * FROM range(10)", "TABLE_NOT_ALLOWED"), ("SELECT x FROM guard_a, range(3)", "TABLE_NOT_ALLOWED"), ("SELECT * FROM sql_keywords()", "SYSTEM_SCHEMA_DENIED"), ("SELECT * FROM global_temp.guard_a", "TABLE_NOT_ALLOWED"),
+    ("SELECT x FROM guard_b WHERE x = (SELECT max(secret) FROM global_temp.guard_a)", "TABLE_NOT_ALLOWED"), ("SELECT * FROM spark_catalog.default.guard_a", "TABLE_NOT_ALLOWED"),
+    ("SELECT explode(array(x)) AS z FROM guard_a", "OK"), ("SELECT y, z FROM guard_a LATERAL VIEW OUTER explode(array(x, 2)) t AS z", "OK"), ("SELECT x, row_number() OVER (ORDER BY x) AS n FROM guard_a", "OK"),
+    ("SELECT DISTINCT x FROM guard_a WHERE y BETWEEN 'a' AND 'b' ORDER BY x LIMIT 5 OFFSET 1", "OK"), ("SELECT y, sum(x) FROM guard_a GROUP BY ROLLUP (y) HAVING sum(x) > 0", "OK"), ("SELECT * FROM VALUES (1, 'a') AS t(p, q)", "OK"),
+    ("SELECT a.x FROM guard_a a CROSS JOIN guard_b b WHERE EXISTS (SELECT 1 FROM guard_b c WHERE c.x = a.x)", "OK"), ("SELECT CASE WHEN x > 0 THEN 'DROP TABLE' ELSE 'INFORMATION_SCHEMA' END AS z FROM guard_a", "OK"),
+    ("WITH RECURSIVE r AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM r WHERE n < 4) SELECT n FROM r", "OK"), ("SELECT x FROM guard_a ORDER BY secret", "COLUMN_NOT_ALLOWED"), ("DO $$ BEGIN END $$", "PARSE_FAIL"),
+    ("CALL p()", "PROCEDURAL_DENIED"), ("SELECT 1;\nDROP TABLE guard_a", "MULTI_STATEMENT"), ("SELECT x FROM guard_a LIMIT 10; -- more", "COMMENT_DENIED"), ("MERGE INTO guard_a USING guard_b ON guard_a.x = guard_b.x WHEN MATCHED THEN DELETE", "DML_DENIED"),
+])
+def test_guard_lets_relational_nodes_through_alone(guarded, sql, code):
+    guarded.table("guard_a").createOrReplaceGlobalTempView("guard_a")
+    assert sqlguard.check(guarded, sql, ALLOWED)[0] == code
+    if code == "OK":
+        assert sqlguard.query(guarded, sql, ALLOWED).count() >= 0
+
+
+def test_guard_refuses_functions_of_users(guarded):
+    guarded.udf.register("own_udf", lambda x: str(x))
+    assert sqlguard.check(guarded, "SELECT own_udf(x) FROM guard_a", ALLOWED)[0] == "SYSTEM_SCHEMA_DENIED"
+
+
 def test_guard_narrows(guarded):
     before = guarded.table("guard_a").columns
     for sql in ("SELECT * FROM guard_a", "SELECT c.* FROM guard_a c", "SELECT t.* FROM (SELECT * FROM guard_a) t", "WITH w AS (SELECT * FROM guard_a) SELECT * FROM w"):
