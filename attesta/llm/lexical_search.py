@@ -24,20 +24,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytewords import ALNUM, chunks, find_words
-from .shared import in_arrow, materialise, read, slim
+from .shared import in_arrow, materialise, read, slim, table_path
 from .worker import release
 
 K = 10
 BATCH_WORDS = 500_000  # words of the items of a batch
 SHARD = 4096  # documents of a shard
 SEEDS = 16
-SMALL = 16  # a list of so few documents is not blocked: each is scored
+SMALL = 128  # a list of so few documents is not blocked: each is scored
 _SKETCH = 32
 _BITS = 20
 
 
 def _block_size(n: int) -> int:
-    return max(SMALL, 4 * math.isqrt(n))
+    """Documents of a block of a list of ``n``: a summary has most of the terms of a shard once a block has some hundred documents, so few blocks are kept."""
+    return max(SMALL, 16 * math.isqrt(n))
 
 
 class Terms:
@@ -143,7 +144,7 @@ class Shard:
             blocks.append(len(block_first))
         out.block_first, out.blocks = np.array([*block_first, len(out.posting)], np.int64), np.array(blocks, np.int64)
         out.summary_first = np.cumsum([0, *[len(s[0]) for s in summaries]])
-        out.summary_term = np.concatenate([s[0] for s in summaries]) if summaries else np.zeros(0, np.int64)
+        out.summary_term = np.concatenate([s[0] for s in summaries]) if summaries else np.zeros(0, np.uint16)
         out.summary = np.concatenate([s[1] for s in summaries]) if summaries else np.zeros(0, np.int32)
         return out
 
@@ -172,11 +173,14 @@ class Shard:
         return np.arange(length.sum()) + np.repeat(self.first[docs] - begin, length), begin
 
     def _summaries(self, docs: np.ndarray, cuts: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        at, begin = self._entries(docs)
-        block = np.repeat(np.arange(len(cuts) - 1), np.diff(np.r_[begin[cuts[:-1]], len(at)]))
-        table = np.zeros((len(cuts) - 1, width), np.int32)
-        np.maximum.at(table.reshape(-1), block * width + self.term[at], self.impact[at])
-        return [(np.flatnonzero(row), row[row > 0]) for row in table]
+        kind, out = np.uint16 if width <= 1 << 16 else np.int32, []
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            at, _ = self._entries(docs[x:y])
+            row = np.zeros(width, np.int32)
+            np.maximum.at(row, self.term[at], self.impact[at])
+            term = np.flatnonzero(row)
+            out.append((term.astype(kind), row[term]))
+        return out
 
     def pack(self) -> dict:
         wide = len(self.terms) > 1 << 16
@@ -265,7 +269,9 @@ def build_index(held: DataFrame, corpus: Corpus, shard: int = SHARD) -> DataFram
 
     if shards < own.select("n").rdd.getNumPartitions():
         own = own.coalesce(shards)
-    return materialise(own.transform(in_arrow, build, SHARD_ROW), "shards")
+    path = table_path(own.sparkSession, "shards")
+    own.transform(in_arrow, build, SHARD_ROW).write.option("compression", "zstd").parquet(path)  # terms of summaries rise in small steps
+    return own.sparkSession.read.schema(SHARD_ROW).parquet(path)
 
 
 def _search(index: DataFrame, terms: Terms, weight: np.ndarray, k: int, reach: dict[int, int]) -> DataFrame:

@@ -72,7 +72,7 @@ def test_search_in_batches(spark, monkeypatch):
 
 def test_summaries_bound_every_document():
     rng = np.random.default_rng(3)
-    n, width = 900, 60
+    n, width = 3000, 60
     sets = [np.sort(rng.choice(width, rng.integers(1, 30), replace=False)) for _ in range(n)]
     first = np.r_[0, np.cumsum([len(s) for s in sets])]
     term, impact = np.concatenate(sets), rng.integers(1, 1_000_000, first[-1])
