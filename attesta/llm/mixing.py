@@ -27,7 +27,7 @@ SOURCES_TO_BROADCAST = 100_000  # sources, under 100 bytes each; beyond it they
 _WORD = r"[^\x20\x09-\x0D]+"
 _POINTS = 1 << 31
 _GOLDEN = 1327217885  # 2^31 / phi, made odd: its multiples go through all points
-_RUN = 1 << 16  # slots that are ranked together
+_RUN = 1 << 12  # slots that are ranked together
 _RANGE = 2048  # documents of a source that are laid out together, about
 _SALT = 64
 
