@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import BLANK, chunks, find_words, mix, shingles
 from .components import components
-from .shared import in_arrow, materialise, read, slim
+from .shared import in_arrow, materialise, ordered, read, slim
 from .worker import release
 
 WIDTH = 5
@@ -338,19 +338,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(node, row) of the rows with an id, one of those that repeat an id and its text: the first by the JSON of all columns. Nodes are in the order of ids."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.filter("doc_id is not null").select("doc_id", F.md5("text").alias("mark"), row.alias("row"))
+    least = materialise(keyed.groupBy("doc_id", "mark").agg(F.min_by("row", F.to_json("row")).alias("row")), "distinct")
+    node = ordered(least.select("doc_id", "mark"), F.col("doc_id"), F.col("mark")).select(F.col("doc_id").alias("id"), F.col("mark").alias("m"), F.col("place").alias("node"))
+    return materialise(least.join(node, (F.col("doc_id") == F.col("id")) & F.col("mark").eqNullSafe(F.col("m"))).select("node", "row"), "numbered")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without near duplicates of a smaller id; repeated rows of an id count once.
+    """The documents without near duplicates of a smaller id.
 
-    Documents without words or without an id all stay.
+    A row goes only for a link to another text or for an equal row: rows that repeat an id and its text leave one, rows of
+    one id with different texts are documents of their own, which the order of their texts' hashes numbers. Documents
+    without words or without an id all stay. Which row is left never depends on chance.
     """
-    found = materialise(near_duplicates(docs), "components")
-    kept = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id")))
-    total, distinct = kept.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    ids = kept.select("doc_id").distinct()
-    out = docs.join(F.broadcast(ids) if distinct <= IDS_TO_BROADCAST else ids, "doc_id", "left_semi")
-    out = out.dropDuplicates(["doc_id"]) if total != distinct else out
-    unnamed = found.filter("doc_id is null").limit(1).count()
-    return out.unionByName(docs.filter("doc_id is null")) if unnamed else out
+    rows, ids = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    numbered = _numbered(docs) if rows != ids else None
+    found = materialise(near_duplicates(docs if numbered is None else numbered.select(F.col("node").alias("doc_id"), "row.text")), "components")
+    kept = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id")
+    kept = F.broadcast(kept) if kept.count() <= IDS_TO_BROADCAST else kept
+    if numbered is None:
+        named = docs.join(kept, "doc_id", "left_semi")
+    else:
+        named = numbered.join(kept.withColumnRenamed("doc_id", "node"), "node", "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    unnamed = docs.filter("doc_id is null")
+    return named.unionByName(unnamed) if unnamed.limit(1).count() else named
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Line dedup by site-relative frequency, in DataFrame functions only.
 
-Within a host, a line is boilerplate if it stands on more than ``RATIO`` of the host's pages; a host of fewer
-pages counts as one of ``LEAST_HOST``, so that a line that two pages of a small host share is no boilerplate.
+Within a host, a line is boilerplate if it repeats, on two pages at least, and stands on more than ``RATIO`` of the host's
+pages, however many or few these are. A caller who does not trust the ratio of small hosts may count a host as one of
+``least_host`` pages; that is off by default and no query uses it.
 Pages are counted by content: exact copies of a page are one page, so a much-copied page does not turn its
 own lines into boilerplate. Every boilerplate line goes, whatever it leaves of its page. With ``passages``, as
 in the pipeline and ``op1_line_dedup_full``, lines over ``LONG_WORDS`` words, which pages share by copying
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from .shared import materialise, read, slim
 
 RATIO = 5  # percent of a host's pages
-LEAST_HOST = 100  # pages that a host counts as at least, so that a line is on 5 of them at least, more than 5 % of 99
+REPEATED = 2  # pages that a line is on at least; a line of one page repeats nowhere
 LONG_WORDS, LONG_RATIO, LONG_PAGES = 50, 5, 5  # words; in 10,000 of a host's pages; pages
 LINES_TO_BROADCAST = 200_000  # boilerplate lines of all hosts, 12 bytes each; beyond it they are joined
 _BUCKET = 4  # boilerplate lines of a host that share a bucket of its look-up table
@@ -42,19 +43,19 @@ def _host_and_page(docs: DataFrame, host: str) -> DataFrame:
     ).filter("text is not null")
 
 
-def boilerplate(docs: DataFrame, host: str = "source", passages: bool = False) -> DataFrame:
-    """(host, key) of every boilerplate line; with ``passages`` the ratio is lower for long lines."""
+def boilerplate(docs: DataFrame, host: str = "source", passages: bool = False, least_host: int = 0) -> DataFrame:
+    """(host, key) of every boilerplate line; with ``passages`` the ratio is lower for long lines; a host counts as ``least_host`` pages at least."""
     pages = _host_and_page(docs, host)
     long = _long if passages else lambda x: F.lit(False)
     own = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), lambda x: F.struct(_key(x).alias("key"), long(x).alias("long"))))
     holding = (
         pages.select("host", "page", F.explode(own).alias("line")).select("host", "page", "line.key", "line.long").distinct()
-        .groupBy("host", "key", "long").agg(F.count("*").alias("holding")).filter(F.col("holding") >= min(LONG_PAGES, RATIO * (LEAST_HOST - 1) // 100 + 1))
+        .groupBy("host", "key", "long").agg(F.count("*").alias("holding")).filter(F.col("holding") >= REPEATED)
     )
     total = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("total"))
-    short = 100 * F.col("holding") > RATIO * F.greatest("total", F.lit(LEAST_HOST - 1))
+    short = 100 * F.col("holding") > RATIO * F.greatest("total", F.lit(least_host))
     passage = (F.col("holding") >= LONG_PAGES) & (10_000 * F.col("holding") > LONG_RATIO * F.col("total"))
-    return holding.join(total, "host").filter(F.when(F.col("long"), passage).otherwise(short)).select("host", "key")
+    return holding.join(total, "host").filter(short | (F.col("long") & passage)).select("host", "key")
 
 
 def _look_up(lines: DataFrame) -> DataFrame:
@@ -66,9 +67,9 @@ def _look_up(lines: DataFrame) -> DataFrame:
     return full.groupBy("host").agg(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["keys"]).alias("drop"))
 
 
-def _cut(docs: DataFrame, host: str, passages: bool) -> DataFrame:
+def _cut(docs: DataFrame, host: str, passages: bool, least_host: int = 0) -> DataFrame:
     """row (the columns but text), text, lines, kept: the lines of every row and those of them that stay."""
-    lines = materialise(boilerplate(docs, host, passages), "boilerplate")
+    lines = materialise(boilerplate(docs, host, passages, least_host), "boilerplate")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("text"),
         F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")).alias("host"),
@@ -90,8 +91,8 @@ def _text() -> Column:
     return F.when(F.size("kept") == F.size("lines"), F.col("text")).otherwise(F.array_join("kept", "\n"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", passages: bool = False) -> DataFrame:
-    """``docs`` with boilerplate lines out of text; adds n_lines and n_dropped. ``passages``: as in boilerplate().
+def drop_boilerplate(docs: DataFrame, host: str = "source", passages: bool = False, least_host: int = 0) -> DataFrame:
+    """``docs`` with boilerplate lines out of text; adds n_lines and n_dropped. ``passages``, ``least_host``: as in boilerplate().
 
     Only ``text`` and the host column are read. A null text stays null with 0 lines; an empty text is
     one blank line; blank lines are never dropped; a page of boilerplate alone becomes an empty text; rows
@@ -100,7 +101,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", passages: bool = Fal
     n_dropped are replaced.
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    cut = _cut(docs.select(*[F.col(f"`{c}`") for c in keep]), host, passages)
+    cut = _cut(docs.select(*[F.col(f"`{c}`") for c in keep]), host, passages, least_host)
     counts = {"n_lines": F.size("lines"), "n_dropped": F.size("lines") - F.size("kept")}
     return cut.select(
         *[(_text() if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in keep],
@@ -141,7 +142,7 @@ FROM k
 """
 
 
-_SHORT = f"100 * holding > {RATIO} * greatest(total, {LEAST_HOST - 1})"
+_SHORT = f"holding >= {REPEATED} AND 100 * holding > {RATIO} * total"
 _LONG = f"holding >= {LONG_PAGES} AND 10000 * holding > {LONG_RATIO} * total"
 OP1_SQL = _sql(_SHORT)
-OP1_FULL_SQL = _sql(f"CASE WHEN len(regexp_split_to_array(c.line, ' +')) > {LONG_WORDS} THEN {_LONG} ELSE {_SHORT} END")
+OP1_FULL_SQL = _sql(f"({_SHORT}) OR (len(regexp_split_to_array(c.line, ' +')) > {LONG_WORDS} AND {_LONG})")

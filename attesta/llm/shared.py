@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +45,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ordered(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows``, written in a global order, with ``part``, their range of it, and ``place``, from 0; no task has more than a range."""
+    cut = materialise(rows.orderBy(*order).withColumn("at", F.monotonically_increasing_id()), "ordered").withColumn("part", F.shiftright("at", 33))
+    within = cut.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("at")).cast("long") - 1)
+    return carried(within, "place", F.lit(1).cast("long")).drop("at")
+
+
+def carried(rows: DataFrame, column: str, value: Column) -> DataFrame:
+    """``column``, a running figure within each ``part``, with the sums of ``value`` of the parts before added; there are as many parts as partitions."""
+    per = rows.groupBy("part").agg(F.sum(value).alias("sum"))
+    before = per.select("part", F.coalesce(F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(before), "part").withColumn(column, F.col(column) + F.col("before")).drop("before")
+
+
 BATCH_BYTES = 4 << 20  # of an Arrow batch on its way to a Python worker
 
 

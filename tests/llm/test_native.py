@@ -33,7 +33,7 @@ def lines_brute(rows):
         for t in texts:
             for x in {x.strip(" ") for x in t.split("\n")} - {""}:
                 n[x] += 1
-        drop[s] = {x for x, k in n.items() if k >= 5 and 100 * k > 5 * len(texts)}
+        drop[s] = {x for x, k in n.items() if k >= 2 and 100 * k > 5 * len(texts)}
     out = []
     for i, t, s in rows:
         own = t.split("\n") if t is not None else []
@@ -67,6 +67,15 @@ def test_line_dedup_sql(spark, sf, duck):
     assert frame_rows(line_dedup.op1_line_dedup(spark, sf).toPandas()) == frame_rows(duck.execute(line_dedup.OP1_SQL).fetchdf())
 
 
+def test_line_dedup_of_small_hosts(spark, make):
+    """A host of few pages is judged by the same ratio; a line of one page is no boilerplate; the bound on a host's pages is the caller's."""
+    rows = [(i, f"banner\nown {i}", "small") for i in range(4)] + [(9, "alone\nbanner", "one"), (10, "pair x\nsame", "two"), (11, "pair y\nsame", "two")]
+    text = lambda docs, **o: {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(docs, **o).collect()}
+    want = {i: f"own {i}" for i in range(4)} | {9: "alone\nbanner", 10: "pair x", 11: "pair y"}
+    assert text(make(rows)) == want and text(make(rows), passages=True) == want
+    assert text(make(rows), least_host=100) == {r[0]: r[1] for r in rows}
+
+
 @pytest.mark.parametrize("limit", [200_000, -1])
 def test_every_line_over_the_ratio_goes(spark, make, monkeypatch, limit):
     """Also from pages that are mostly frame; a table's own n_lines and n_dropped stay in the pipeline and are replaced by the counts."""

@@ -110,6 +110,18 @@ def test_keep_one(spark, make):
     assert kept.columns == make([(1, "a")]).columns
 
 
+def test_keep_one_loses_no_text(spark, make):
+    """Rows of one id with different texts are judged by their texts; equal rows leave one, always the same."""
+    words = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(1, words("a")), (1, words("b")), (2, words("b") + " more"), (3, words("c")), (3, words("c")), (3, words("c") + " tail"), (4, words("a")), (5, None), (5, None), (5, ""), (None, words("a")), (None, words("a"))]
+    docs = make(rows)
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard_join.keep_one(docs).collect()), key=str)
+    c = {(3, words("c")), (3, words("c") + " tail")} & set(kept)
+    assert len(c) == 1 and kept == sorted([(1, words("a")), (1, words("b")), *c, (5, None), (5, ""), (None, words("a")), (None, words("a"))], key=str)
+    assert kept == sorted(((r["doc_id"], r["text"]) for r in jaccard_join.keep_one(make(rows[::-1])).collect()), key=str)
+    assert jaccard_join.keep_one(docs).columns == docs.columns
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (7, 7), (9, 8), (8, 10), (10, 3), (2, 1)], "a long, b long")
     assert {r["node"]: r["root"] for r in components(edges).collect()} == {1: 1, 2: 1, 3: 1, 8: 1, 9: 1, 10: 1, 4: 4, 5: 4}
