@@ -1,16 +1,17 @@
 """Ranked lexical search over posting lists in geometric blocks.
 
-Documents are vectors of integer impacts, queries vectors of integer weights; a score is their inner product. A shard of the
-index holds some thousand documents and, for each term, the posting list of those that have it. A list is clustered by
+Documents are vectors of integer impacts, queries vectors of integer weights; a score is their inner product. A shard
+holds some thousand documents and, for each term, the posting list of those that have it. A list is clustered by
 the similarity of its documents: each goes to the nearest of a few of the list's documents, by random projections. A
 block of a cluster has a summary, the largest impact of each term in any of its documents, so a query's product
 with the summary bounds the score of every document in it. A query takes its lists by falling impact; it skips a block
 only if the block's bound is below the k-th best score, and stops once the lists that are left cannot reach it together.
 Everything else is scored in full, so results are exact.
 
-A first pass over one shard in ``SEEDS`` gives every query a k-th score that holds for all; the others start from it. Queries are
-worked off in batches of ``BATCH_WORDS`` words, for whose terms alone the documents are indexed: what a task is sent
-has a bound however many queries there are. Documents are never shuffled.
+A first pass over one document in ``SEEDS`` gives every query a k-th score that holds for all; the second pass, over all documents,
+starts from it. Queries are worked off in batches of ``BATCH_WORDS`` words, for whose terms alone the documents are
+indexed: what a task is sent has a bound however many queries there are. The documents' vectors are written once a batch and never
+shuffled; a shard's index is made by the task that searches it, from the vectors it reads, and a lost executor costs its shards.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytewords import ALNUM, chunks, find_words
-from .shared import in_arrow, materialise, read, slim, table_path
+from .shared import in_arrow, materialise, read, slim
 from .worker import release
 
 K = 10
@@ -109,10 +110,6 @@ class Corpus:
         return (1_000_000_000 * counts) // (1000 * counts + 8 * m)
 
 
-_PARTS = {"ids": "<i8", "known": "|b1", "first": "<i8", "term": "<i4", "impact": "<i4", "terms": "<i4", "list_first": "<i8", "posting": "<i4", "most": "<i4", "block_first": "<i8", "blocks": "<i8", "summary_first": "<i8", "summary_term": "<u2", "summary": "<i4"}
-SHARD_ROW = "documents long, width long, " + ", ".join(f"{c} binary" for c in _PARTS)
-
-
 class Shard:
     """An index of some documents.
 
@@ -182,17 +179,6 @@ class Shard:
             out.append((term.astype(kind), row[term]))
         return out
 
-    def pack(self) -> dict:
-        wide = len(self.terms) > 1 << 16
-        return {"documents": len(self.ids), "width": 4 if wide else 2} | {c: getattr(self, c).astype("<i4" if c == "summary_term" and wide else kind).tobytes() for c, kind in _PARTS.items()}
-
-    @staticmethod
-    def unpack(row: dict) -> Shard:
-        out = Shard()
-        for c, kind in _PARTS.items():
-            setattr(out, c, np.frombuffer(row[c], "<i4" if c == "summary_term" and row["width"] == 4 else kind))
-        return out
-
     def best(self, terms: np.ndarray, weights: np.ndarray, k: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best documents of a query with a score of ``reach`` or more, and above 0: documents and scores, ties by id."""
         at = np.searchsorted(self.terms, terms)
@@ -237,62 +223,52 @@ class Shard:
         return docs[order], scores[order]
 
 
-def build_index(held: DataFrame, corpus: Corpus, shard: int = SHARD) -> DataFrame:
-    """The documents of ``vectors`` as shards, a row each: every document that has a term of the batch is in one."""
+def _shards(batches: Iterator[pa.RecordBatch], corpus: Corpus, size: int) -> Iterator[Shard]:
+    """Shards of the documents of ``vectors``, ``size`` each but for a task's last one."""
+    kept: list[pa.RecordBatch] = []
+
+    def build() -> Shard:
+        t = pa.Table.from_batches(kept).combine_chunks()
+        kept.clear()
+        ids, term, counts = (t.column(c).combine_chunks() for c in ("doc_id", "terms", "counts"))
+        first = term.offsets.to_numpy().astype(np.int64)
+        first = first - first[0]
+        impact = corpus.impacts(counts.flatten().to_numpy().astype(np.int64), np.repeat(t.column("n").to_numpy(), np.diff(first)))
+        return Shard.build(ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), first, term.flatten().to_numpy(), impact, corpus.weight)
+
+    for batch in batches:
+        while len(batch):
+            part = batch.slice(0, size - sum(map(len, kept)))
+            kept.append(part)
+            batch = batch.slice(len(part))
+            if sum(map(len, kept)) == size:
+                yield build()
+    if kept:
+        yield build()
+
+
+def _search(held: DataFrame, terms: Terms, corpus: Corpus, k: int, reach: dict[int, int], size: int) -> DataFrame:
+    """(query, doc_id, score, rank): the k best documents of ``held`` for each query, of ``reach`` or more."""
     own = held.filter(F.size("terms") > 0)
-    shards = max(1, -(-own.count() // shard))
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        kept: list[pa.RecordBatch] = []
-
-        def emit() -> pa.RecordBatch:
-            t = pa.Table.from_batches(kept).combine_chunks()
-            ids = t.column("doc_id").combine_chunks()
-            term, counts = t.column("terms").combine_chunks(), t.column("counts").combine_chunks()
-            first = term.offsets.to_numpy().astype(np.int64)
-            first = first - first[0]
-            impact = corpus.impacts(counts.flatten().to_numpy().astype(np.int64), np.repeat(t.column("n").to_numpy(), np.diff(first)))
-            row = Shard.build(ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), first, term.flatten().to_numpy(), impact, corpus.weight).pack()
-            kept.clear()
-            return pa.RecordBatch.from_pylist([row])
-
-        for batch in batches:
-            while len(batch):
-                room = shard - sum(map(len, kept))
-                kept.append(batch.slice(0, room))
-                batch = batch.slice(room)
-                if sum(map(len, kept)) == shard:
-                    yield emit()
-        if kept:
-            yield emit()
-
+    shards = max(1, -(-own.count() // size))
     if shards < own.select("n").rdd.getNumPartitions():
         own = own.coalesce(shards)
-    path = table_path(own.sparkSession, "shards")
-    own.transform(in_arrow, build, SHARD_ROW).write.option("compression", "zstd").parquet(path)  # terms of summaries rise in small steps
-    return own.sparkSession.read.schema(SHARD_ROW).parquet(path)
-
-
-def _search(index: DataFrame, terms: Terms, weight: np.ndarray, k: int, reach: dict[int, int]) -> DataFrame:
-    """(query, doc_id, score): what each shard has to give to each query."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for batch in batches:
-            for i in range(len(batch)):
-                shard = Shard.unpack(batch.slice(i, 1).to_pylist()[0])
-                query, ids, known, scores = [], [], [], []
-                for q, (own, times) in enumerate(terms.queries):
-                    docs, score = shard.best(own, times * weight[own], k, reach.get(q, 0))
-                    query.append(np.full(len(docs), q))
-                    ids.append(shard.ids[docs])
-                    known.append(shard.known[docs])
-                    scores.append(score)
-                if query:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(query)), pa.array(np.concatenate(ids), mask=~np.concatenate(known)), pa.array(np.concatenate(scores))], ["query", "doc_id", "score"])
+        for shard in _shards(batches, corpus, size):
+            query, ids, known, scores = [], [], [], []
+            for q, (own, times) in enumerate(terms.queries):
+                docs, score = shard.best(own, times * corpus.weight[own], k, reach.get(q, 0))
+                query.append(np.full(len(docs), q))
+                ids.append(shard.ids[docs])
+                known.append(shard.known[docs])
+                scores.append(score)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(query)), pa.array(np.concatenate(ids), mask=~np.concatenate(known)), pa.array(np.concatenate(scores))], ["query", "doc_id", "score"])
 
-    return index.transform(in_arrow, search, "query long, doc_id long, score long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
+    found = own.transform(in_arrow, search, "query long, doc_id long, score long")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def _batches(items: DataFrame) -> Iterator[list]:
@@ -328,13 +304,10 @@ def search(items: DataFrame, docs: DataFrame, k: int = K, shard: int = SHARD) ->
         terms = Terms([np.frombuffer(bytes(r[1]), np.uint64) for r in rows])
         held = materialise(vectors(docs, terms), "vectors")
         corpus = Corpus(held, terms)
-        index = build_index(held, corpus, shard).withColumn("seed", F.pmod(F.xxhash64("ids", "known"), F.lit(SEEDS)) == 0)
-        order = Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
-        ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)  # noqa: B023, E731
-        seeds = materialise(ranked(_search(index.filter("seed").drop("seed"), terms, corpus.weight, k, {})), "seeds")
-        reach = {r["query"]: r["score"] for r in seeds.filter(F.col("rank") == k).select("query", "score").collect()}  # one for each query of the batch
-        rest = _search(index.filter(~F.col("seed")).drop("seed"), terms, corpus.weight, k, reach)
-        best = materialise(ranked(rest.unionByName(seeds.select("query", "doc_id", "score"))), "best")
+        seeds = held.filter(F.pmod(F.xxhash64("doc_id", "n", "terms"), F.lit(SEEDS)) == 0)
+        last = _search(seeds, terms, corpus, k, {}, shard).filter(F.col("rank") == k)
+        reach = {r["query"]: r["score"] for r in last.select("query", "score").collect()}  # one for each query of the batch
+        best = materialise(_search(held, terms, corpus, k, reach, shard), "best")
         names = spark.createDataFrame([(q, r[0]) for q, r in enumerate(rows)], "query long, item_id string")
         own = best.join(F.broadcast(names), "query").select("item_id", "rank", "doc_id", "score")  # the batch's items
         out = own if out is None else out.unionByName(own)

@@ -76,7 +76,7 @@ def test_summaries_bound_every_document():
     sets = [np.sort(rng.choice(width, rng.integers(1, 30), replace=False)) for _ in range(n)]
     first = np.r_[0, np.cumsum([len(s) for s in sets])]
     term, impact = np.concatenate(sets), rng.integers(1, 1_000_000, first[-1])
-    shard = lexical_search.Shard.unpack(lexical_search.Shard.build(np.arange(n), np.ones(n, bool), first, term, impact, np.ones(width, np.int64)).pack())
+    shard = lexical_search.Shard.build(np.arange(n), np.ones(n, bool), first, term, impact, np.ones(width, np.int64))
     dense = np.zeros((n, len(shard.terms)), np.int64)
     dense[np.repeat(np.arange(n), np.diff(shard.first)), shard.term] = shard.impact
     for t in range(len(shard.terms)):
