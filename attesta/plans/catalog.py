@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import contract_queries, retrieval_queries, table_queries
+from . import contract_queries, retrieval_queries, store_queries, table_queries
 
-_MODULES = [retrieval_queries, table_queries, contract_queries]
+_MODULES = [retrieval_queries, table_queries, contract_queries, store_queries]
 
 
 def queries() -> dict:
