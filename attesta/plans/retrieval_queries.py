@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import queryplan, text
-from ..operators import budget, chunking, dense, evaluation, fusion, governance, ingest, lexical
-from ..sources.tables import table
+from ..operators import budget, chunking, dense, evaluation, fusion, governance, ingest, lexical, lexical_index
+from ..sources.tables import settle, table
 
 TOKENS = r"regexp_extract_all(lower({}), '[a-z0-9]+(?:[._/-][a-z0-9]+)*')"
 
@@ -38,12 +38,29 @@ def _rank(source: str, k: int) -> str:
     return f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM {source} QUALIFY rank <= {k})"
 
 
+def _index(spark: SparkSession, d: str) -> lexical_index.Index:
+    """The documents' stored index, which the application's first query builds."""
+    return lexical_index.built_once(_chunks(spark, d))
+
+
+def lexical_index_build(spark: SparkSession, d: str) -> DataFrame:
+    """The lexicon of a newly built index: how many documents have each term."""
+    return lexical_index.build(_chunks(spark, d)).lexicon.select("term", "df")
+
+
 def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.coverage_topk(_questions(spark, d), _chunks(spark, d), 5, 0.18)
+    return lexical_index.search(_index(spark, d), _questions(spark, d), 5, "coverage", 0.18)
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25_topk(_questions(spark, d), _chunks(spark, d), 5).withColumn("score", F.round("score", 6))
+    return lexical_index.search(_index(spark, d), _questions(spark, d), 5).withColumn("score", F.round("score", 6))
+
+
+def lexical_backends(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 by the backend that ``auto`` takes where there is an index, and by the one it falls back to."""
+    q, c = _questions(spark, d), _chunks(spark, d)
+    both = lexical_index.candidates(q, c, 3, "auto", _index(spark, d)).unionByName(lexical_index.candidates(q, c, 3, "auto"))
+    return both.withColumn("score", F.round("score", 6))
 
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -54,13 +71,15 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     q, c = _questions(spark, d), _chunks(spark, d)
-    both = lexical.coverage_topk(q, c, 20).unionByName(lexical.bm25_topk(q, c, 20))
+    index = lexical_index.built_once(c)
+    both = lexical_index.search(index, q, 20, "coverage").unionByName(lexical_index.search(index, q, 20))
     return fusion.reciprocal_ranks(both.select("query_id", "chunk_id", "rank"))
 
 
 def fused_score(spark: SparkSession, d: str) -> DataFrame:
     q, c = _questions(spark, d), _chunks(spark, d)
-    cover, bm = lexical.coverage_topk(q, c, 20), lexical.bm25_topk(q, c, 20)
+    index = lexical_index.built_once(c)
+    cover, bm = settle(lexical_index.search(index, q, 20, "coverage"), "cover"), settle(lexical_index.search(index, q, 20), "bm25")
     both = fusion.merge_candidates(cover, bm.withColumn("score", F.round(F.col("score") / (F.col("score") + 10), 6)))
     rrf = fusion.reciprocal_ranks(cover.select("query_id", "chunk_id", "rank").unionByName(bm.select("query_id", "chunk_id", "rank")))
     scored = both.join(rrf, ["query_id", "chunk_id"])
@@ -199,7 +218,7 @@ def mrr_ndcg(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of the BM25 ranking, with documents that hold a whole passage as gold."""
     q, c = _questions(spark, d), _chunks(spark, d)
     gold = lexical.coverage_scores(q, c, 1.0).select("query_id", F.col("chunk_id").alias("doc_id"))
-    return evaluation.ranking_metrics(lexical.coverage_topk(q, c, 10).select("query_id", F.col("chunk_id").alias("doc_id"), "rank"), gold, 5)
+    return evaluation.ranking_metrics(lexical_index.search(_index(spark, d), q, 10).select("query_id", F.col("chunk_id").alias("doc_id"), "rank"), gold, 5)
 
 
 def vector_audit(spark: SparkSession, d: str) -> DataFrame:
@@ -241,7 +260,7 @@ def support_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    lexical_topk, bm25_topk, dense_topk, rrf_fusion, fused_score, doc_admission, neighbor_expand, chunk_fixed, chunk_text, chunk_markdown, content_hash_dedup, normalised_hash,
+    lexical_index_build, lexical_topk, bm25_topk, lexical_backends, dense_topk, rrf_fusion, fused_score, doc_admission, neighbor_expand, chunk_fixed, chunk_text, chunk_markdown, content_hash_dedup, normalised_hash,
     question_trigram_dup, gold_contamination, label_prevalence, html_to_text, html_full_text, url_domain_stats, session_budget, session_last_n, memory_trigger, context_pack_greedy, facet_selection,
     mrr_ndcg, vector_audit, pairwise_cosine, page_markdown, query_plans, digest_vectors, word_jaccard_pairs, support_scores,
 )}
@@ -260,6 +279,9 @@ ORACLES = {
     "support_scores": f"""WITH t AS ({_TURNS}), s AS (SELECT conv_id, turn, {_SUPPORT.format('a')} AS a, {_SUPPORT.format('b')} AS b FROM t)
         SELECT conv_id, turn, round(CASE WHEN len(b) > 0 THEN len(list_intersect(a, b)) / len(b) ELSE 0 END, 9) AS support FROM s""",
     "lexical_topk": f"WITH {_COVER} SELECT query_id, chunk_id, score, rank FROM {_rank('(SELECT * FROM cover WHERE score >= 0.18)', 5)}",
+    "lexical_index_build": f"WITH t AS (SELECT doc_id, unnest(list_distinct({TOKENS.format('text')})) AS term FROM documents) SELECT term, count(*) AS df FROM t GROUP BY term",
+    "lexical_backends": f"""WITH {_COVER}, {_BM25}, r AS (SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM {_rank('bm', 3)})
+        SELECT *, 'index' AS backend, NULL::VARCHAR AS fallback_reason FROM r UNION ALL SELECT *, 'scan', 'index_missing' FROM r""",
     "bm25_topk": f"WITH {_COVER}, {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM {_rank('bm', 5)}",
     "dense_topk": """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS score
         FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0)
@@ -297,8 +319,8 @@ ORACLES = {
         s AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM t) SELECT * FROM s WHERE total <= 300""",
     "session_last_n": "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3",
     "memory_trigger": "SELECT conv_id, sum(length(text) // 3)::BIGINT AS tokens, sum(length(text) // 3) > 1000 AS due FROM conversations GROUP BY conv_id",
-    "mrr_ndcg": f"""WITH {_COVER}, gold AS (SELECT query_id, chunk_id AS doc_id FROM cover WHERE score >= 1),
-        r AS (SELECT query_id, chunk_id AS doc_id, rank FROM {_rank('cover', 10)} WHERE rank <= 5),
+    "mrr_ndcg": f"""WITH {_COVER}, {_BM25}, gold AS (SELECT query_id, chunk_id AS doc_id FROM cover WHERE score >= 1),
+        r AS (SELECT query_id, chunk_id AS doc_id, rank FROM {_rank('bm', 10)} WHERE rank <= 5),
         h AS (SELECT query_id, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg, count(*) AS hits FROM r SEMI JOIN gold USING (query_id, doc_id) GROUP BY query_id),
         w AS (SELECT query_id, count(*) AS n FROM gold GROUP BY query_id)
         SELECT query_id, first AS first_hit, round(coalesce(1 / first, 0), 9) AS rr,
