@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import firstwins
+from ..operators import dense_index, firstwins
 from ..sources.tables import table
 
 
@@ -21,6 +21,13 @@ def first_wins_turns(spark: SparkSession, d: str) -> DataFrame:
     return firstwins.first_wins(turns, 0.5).rows
 
 
+def dense_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest vectors of every hundredth, by the stored index."""
+    v = table(spark, d, "embeddings")
+    index = dense_index.build(v.select(F.col("vec_id").alias("chunk_id"), "embedding"))
+    return dense_index.search(index, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5).rows
+
+
 def _first_wins_sql(source: str, num: int, den: int, id_: str) -> str:
     words = r"list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))"
     return f"""
@@ -34,9 +41,12 @@ SELECT id AS {id_}, NOT list_contains((SELECT arg_max(gone, n) FROM f), id) AS k
 """
 
 
-QUERIES = {f.__name__: f for f in (first_wins_documents, first_wins_turns)}
+QUERIES = {f.__name__: f for f in (first_wins_documents, first_wins_turns, dense_index_topk)}
 
 ORACLES = {
+    "dense_index_topk": """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS score
+        FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0)
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 5""",
     "first_wins_documents": _first_wins_sql("SELECT doc_id AS id, text FROM documents", 4, 5, "doc_id"),
     "first_wins_turns": _first_wins_sql("SELECT conv_id * 1000 + turn AS id, text FROM conversations", 1, 2, "id"),
 }

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from attesta.operators import firstwins
+from attesta.operators import dense, dense_index, firstwins, lexical, lexical_index
 
 
 def first_wins_brute(rows, num, den):
@@ -53,3 +54,70 @@ def test_first_wins_equals_the_fold(spark, least, num, den, short):
 
 def test_first_wins_of_nothing(spark):
     assert _first_wins(spark, [], 0.8, 64)[0] == {}
+
+
+# ---- lexical index
+
+
+def _ranked(df):
+    return sorted((r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in df.collect())
+
+
+def _corpus(spark, n=400):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(200)]
+    text = lambda k: " ".join(words[min(199, int(rng.expovariate(0.03)))] for _ in range(k))
+    chunks = [(i * 7, text(rng.randrange(1, 60))) for i in range(n)] + [(5000 + i, text(10) + " 晶圆良率 low-k") for i in range(20)] + [(9000, None), (9001, ""), (9002, "!!")]
+    queries = [(i, text(rng.randrange(1, 25))) for i in range(12)] + [(50, "晶圆良率 low-k"), (51, None), (52, "nowhere"), (53, chunks[3][1]), (54, "w0 w0 w1")]
+    return spark.createDataFrame(queries, "query_id long, question string"), spark.createDataFrame(chunks, "chunk_id long, content string")
+
+
+@pytest.mark.parametrize("block, seed", [(256, 2000), (16, 5)])
+def test_lexical_index_equals_the_scan(spark, tmp_path, monkeypatch, block, seed):
+    monkeypatch.setattr(lexical_index, "SEED", seed)
+    queries, chunks = _corpus(spark)
+    lexical_index.build(chunks, str(tmp_path / "index"), block=block)
+    index = lexical_index.Index(spark, str(tmp_path / "index"))  # as a later application opens it
+    scores = lexical.bm25_scores(queries, chunks)
+    assert _ranked(lexical_index.search(index, queries, 4)) == _ranked(lexical._ranked(scores, 4))
+    for least in (0.0, 0.4):
+        cover = lexical.coverage_scores(queries, chunks, least)
+        assert _ranked(lexical_index.search(index, queries, 3, "coverage", least)) == _ranked(lexical._ranked(cover, 3))
+
+
+def test_lexical_index_never_reads_texts_and_skips_blocks(spark, tmp_path):
+    queries, chunks = _corpus(spark, 60)
+    index = lexical_index.build(chunks, str(tmp_path / "index"), block=8)
+    plan = lexical_index._met(index, spark.createDataFrame([("w3",)], "term string"), "most")._jdf.queryExecution().toString()
+    assert "postings" not in plan.split("== Physical Plan ==")[1]  # bounds are taken without unfolding or reading lists
+    row = index.lists.selectExpr("most = array_max(transform(postings, p -> p.part)) AS same").distinct().collect()
+    assert [r["same"] for r in row] == [True]
+
+
+def test_lexical_backends(spark, tmp_path):
+    queries, chunks = _corpus(spark, 40)
+    index = lexical_index.build(chunks, str(tmp_path / "index"))
+    named = lambda df: {(r["backend"], r["fallback_reason"]) for r in df.collect()}
+    assert named(lexical_index.candidates(queries, chunks, 2, "auto", index)) == {("index", None)} and named(lexical_index.candidates(queries, chunks, 2)) == {("scan", "index_missing")}
+    assert named(lexical_index.candidates(queries, chunks, 2, "scan", index, "coverage")) == {("scan", None)}
+    for bad in ("index", "other"):
+        with pytest.raises(ValueError):
+            lexical_index.candidates(queries, chunks, 2, bad)
+
+
+# ---- dense index
+
+
+def test_dense_index_equals_the_comparison_with_all(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 16)) * 4
+    rows = [(i, (centres[i % 12] + rng.normal(size=16) * 0.3).tolist()) for i in range(600)] + [(2000 + i, centres[0].tolist()) for i in range(80)]
+    odd = [(900, [0.0] * 16), (901, []), (902, None), (903, [float("nan")] * 16), (904, [1.0, 2.0]), (905, [1.0, 2.0, None]), (1, [-1.0, -2.0])]
+    v = spark.createDataFrame(rows + odd, "chunk_id long, embedding array<double>")
+    asks = spark.createDataFrame([(i, x) for i, x in rows[:20]] + [(500, [3.0, 1.0]), (501, [0.0] * 16), (502, None), (503, [-float(c) for c in centres[3]])], "query_id long, embedding array<double>")
+    found = dense_index.search(dense_index.build(v, row=64), asks, 4)
+    assert _ranked(found.rows) == _ranked(dense.cosine_topk(asks, v, 4))
+    assert found.compared < found.possible * 0.4  # clusters are skipped
+    assert _ranked(dense_index.search(dense_index.build(v, row=64), asks, 4, pass_=7).rows) == _ranked(found.rows)
+    none = spark.createDataFrame([], "chunk_id long, embedding array<double>")
+    assert dense_index.search(dense_index.build(none), asks, 4).rows.count() == 0
