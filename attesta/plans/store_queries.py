@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dense_index, firstwins
-from ..sources.tables import table
+from ..operators import dense_index, firstwins, ingest
+from ..operators.ingestion import Ingestion
+from ..sources.store import KeyedStore
+from ..sources.tables import scratch, table
 
 
 def first_wins_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -28,6 +30,49 @@ def dense_index_topk(spark: SparkSession, d: str) -> DataFrame:
     return dense_index.search(index, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5).rows
 
 
+def stored_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders in a keyed store: those that are not open are replaced by rows with their priority, then those of the lowest priority are deleted."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.lit(None).cast("string").alias("priority"), "o_totalprice")
+    full = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), "o_totalprice")
+    store = KeyedStore(spark, scratch(spark, "orders"), "o_orderkey", o.schema, 16)
+    store.upsert(o, "o_totalprice")
+    store.upsert(full.filter("status <> 'O'"), "o_totalprice")
+    store.delete(full.filter("priority = '5-LOW'").select("o_orderkey"))
+    return store.read().select("o_orderkey", "status", "priority")
+
+
+def latest_checkpoints(spark: SparkSession, d: str) -> DataFrame:
+    """The last turn of each conversation, in a store of one row a session that is written turn by turn, users' turns first."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "role", F.md5("text").alias("state"))
+    store = KeyedStore(spark, scratch(spark, "sessions"), "session_id", c.schema, 8)
+    store.upsert(c.filter("role = 'user'"), "turn")
+    stored = store.read().select("session_id", F.col("turn").alias("known"))
+    newer = c.join(stored, "session_id", "left").filter("known is null or turn > known").drop("known")
+    store.upsert(newer, "turn")
+    return store.read()
+
+
+def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents, and a later state of them: English ones are revised, those of one source are gone."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("filename"), "text", "lang", "source")
+    later = docs.filter("source <> 'src0'").withColumn("text", F.when(F.col("lang") == "en", F.concat(F.lit("revised. "), "text")).otherwise(F.col("text")))
+    return docs.drop("lang", "source"), later.drop("lang", "source")
+
+
+def ingestion_changes(spark: SparkSession, d: str) -> DataFrame:
+    """What a second run over the documents finds, and the chunks that are stored after it."""
+    first, second = _snapshots(spark, d)
+    store = Ingestion(spark, scratch(spark, "ingestion"), lambda rows, column: ingest.with_digest_vectors(rows, column, 16), "fixed", buckets=8)
+    store.run(first, 0, complete=True)
+    counts = store.changes(second, complete=True).select("doc_id", "change")
+    noted = scratch(spark, "changes")
+    counts.write.parquet(noted)
+    store.run(second, 1, complete=True)
+    held = store.chunks.read().groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("characters"), F.min("content_hash").alias("least_hash"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return spark.read.schema("doc_id long, change string").parquet(noted).join(held, "doc_id", "left").select("doc_id", "change", zero("chunks"), zero("characters"), "least_hash")
+
+
 def _first_wins_sql(source: str, num: int, den: int, id_: str) -> str:
     words = r"list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))"
     return f"""
@@ -41,9 +86,17 @@ SELECT id AS {id_}, NOT list_contains((SELECT arg_max(gone, n) FROM f), id) AS k
 """
 
 
-QUERIES = {f.__name__: f for f in (first_wins_documents, first_wins_turns, dense_index_topk)}
+QUERIES = {f.__name__: f for f in (first_wins_documents, first_wins_turns, dense_index_topk, stored_orders, latest_checkpoints, ingestion_changes)}
 
 ORACLES = {
+    "stored_orders": "SELECT o_orderkey, o_orderstatus AS status, CASE WHEN o_orderstatus <> 'O' THEN o_orderpriority END AS priority FROM orders WHERE o_orderpriority <> '5-LOW'",
+    "latest_checkpoints": "SELECT conv_id AS session_id, turn, role, md5(text) AS state FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1",
+    "ingestion_changes": """WITH l AS (SELECT doc_id, CASE WHEN source = 'src0' THEN 'deleted' WHEN lang = 'en' THEN 'changed' ELSE 'unchanged' END AS change,
+          CASE WHEN source = 'src0' THEN NULL WHEN lang = 'en' THEN 'revised. ' || text ELSE text END AS text FROM documents),
+        w AS (SELECT doc_id, text, unnest(range(0, greatest(0, ceil((length(text) - 500) / 450))::BIGINT + 1)) AS idx FROM l WHERE length(text) > 0),
+        c AS (SELECT doc_id, substr(text, idx * 450 + 1, 500) AS content FROM w),
+        k AS (SELECT doc_id, count(*) AS chunks, sum(length(content))::BIGINT AS characters, min(sha256(content)) AS least_hash FROM c GROUP BY doc_id)
+        SELECT doc_id, change, coalesce(chunks, 0) AS chunks, coalesce(characters, 0) AS characters, least_hash FROM l LEFT JOIN k USING (doc_id)""",
     "dense_index_topk": """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS score
         FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0)
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 5""",

@@ -1,11 +1,16 @@
 """Stored structures against plain Python: duplicate filters, indexes, stores, ingestion and streams."""
 
+import os
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from attesta.operators import dense, dense_index, firstwins, lexical, lexical_index
+from attesta.operators import dense, dense_index, firstwins, ingest, lexical, lexical_index
+from attesta.operators.ingestion import Ingestion
+from attesta.sources.store import KeyedStore
 
 
 def first_wins_brute(rows, num, den):
@@ -121,3 +126,96 @@ def test_dense_index_equals_the_comparison_with_all(spark):
     assert _ranked(dense_index.search(dense_index.build(v, row=64), asks, 4, pass_=7).rows) == _ranked(found.rows)
     none = spark.createDataFrame([], "chunk_id long, embedding array<double>")
     assert dense_index.search(dense_index.build(none), asks, 4).rows.count() == 0
+
+
+# ---- keyed store
+
+
+def _files(path):
+    return {str(f): os.stat(f).st_mtime_ns for f in Path(path).rglob("*.parquet")}
+
+
+def test_store_writes_touched_partitions_only(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store = KeyedStore(spark, path, "id", "id long, v string, n long", 8)
+    assert store.read().count() == 0
+    store.upsert(spark.createDataFrame([(i, "a", 1) for i in range(100)], "id long, v string, n long"), "n")
+    before = _files(path)
+    time.sleep(0.01)
+    new = spark.createDataFrame([(3, "b", 2), (3, "c", 3), (1000, "d", 1), (None, "x", 1)], "id long, v string, n long")
+    touched = store.upsert(new, "n")
+    after = _files(path)
+    assert touched <= 2 and sum(after.get(f) == t for f, t in before.items()) == len(before) - touched
+    want = {i: ("a", 1) for i in range(100)} | {3: ("c", 3), 1000: ("d", 1)}
+    read = lambda s: {r["id"]: (r["v"], r["n"]) for r in s.read().collect()}
+    assert read(store) == want
+    store.upsert(new, "n")  # again, as after a failure
+    assert read(store) == want
+    store.delete(spark.createDataFrame([(i,) for i in range(50)] + [(None,), (77777,)], "id long"))
+    assert read(KeyedStore(spark, path, "id", "id long, v string, n long", 8)) == {i: v for i, v in want.items() if i >= 50}
+    store.delete(store.read().select("id"))
+    assert read(store) == {}  # partitions that lose all rows are written too
+
+
+def test_store_reads_the_partitions_of_its_keys(spark, tmp_path):
+    store = KeyedStore(spark, str(tmp_path / "s"), "id", "id string, v long", 16)
+    store.replace(spark.createDataFrame([(f"k{i}", i) for i in range(200)], "id string, v long"))
+    found = store.of("k7", "k9")
+    assert sorted(tuple(r) for r in found.collect()) == [("k7", 7), ("k9", 9)] and store.of().count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+# ---- ingestion
+
+
+def _ingestion(spark, path):
+    return Ingestion(spark, str(path), lambda rows, column: ingest.with_digest_vectors(rows, column, 8), "fixed", 20, 5, buckets=4)
+
+
+def _held(store):
+    return sorted((r["doc_id"], r["idx"], r["content"]) for r in store.chunks.read().collect())
+
+
+def _cut(spark, docs):
+    from attesta.operators import chunking
+
+    return sorted((r["doc_id"], r["idx"], r["content"]) for r in chunking.chunks(spark.createDataFrame([(i, t) for i, _, t in docs if t and i is not None], "doc_id long, text string"), "fixed", 20, 5).collect())
+
+
+def test_second_run_over_equal_documents_embeds_nothing(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, filename string, text string")
+    store = _ingestion(spark, tmp_path)
+    docs = [(1, "a", "x" * 70), (2, "b", "y" * 10), (3, "c", "z" * 45), (4, "d", ""), (5, "e", None), (None, "f", "lost")]
+    assert store.run(make(docs), 0, complete=True) == {"added": 4, "changed": 0, "unchanged": 0, "deleted": 0, "embedded": len(_cut(spark, docs))}
+    assert store.run(make(docs), 1, complete=True) == {"added": 0, "changed": 0, "unchanged": 4, "deleted": 0, "embedded": 0}
+    later = [(1, "a", "x" * 15), (2, "b", "y" * 10), (6, "g", "w" * 30)]  # 1 is shorter, 3 and 4 are gone
+    assert store.run(make(later), 2, complete=True) == {"added": 1, "changed": 1, "unchanged": 1, "deleted": 2, "embedded": 1 + len(_cut(spark, later[2:]))}
+    assert _held(store) == _cut(spark, later)  # no chunk of the longer text is left
+    assert store.run(make(docs), 2, complete=True) is None and _held(store) == _cut(spark, later)  # a batch id counts once
+    assert store.run(make([(2, "b", None), (9, "n", "new text")]), 3) == {"added": 1, "changed": 0, "unchanged": 0, "deleted": 1, "embedded": 1}
+    assert {r["doc_id"]: r["chunks"] for r in store.state.read().collect()} == {1: 1, 6: 2, 9: 1}
+    assert store.run(make([(1, "renamed", "x" * 15)]), 4)["changed"] == 1
+
+
+def test_a_run_that_failed_is_repeated(spark, tmp_path, monkeypatch):
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, filename string, text string")
+    store = _ingestion(spark, tmp_path)
+    store.run(make([(1, "a", "x" * 50), (2, "b", "y" * 50)]), 0)
+    monkeypatch.setattr(store.state, "replace", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    batch = make([(1, "a", "x" * 10), (3, "c", "z" * 30)])
+    with pytest.raises(RuntimeError):
+        store.run(batch, 1)
+    monkeypatch.undo()
+    assert store.run(batch, 1)["changed"] == 1
+    assert _held(store) == _cut(spark, [(1, "a", "x" * 10), (2, "b", "y" * 50), (3, "c", "z" * 30)])
+
+
+def test_ingestion_of_a_stream(spark, tmp_path):
+    schema = "doc_id long, filename string, text string"
+    store = _ingestion(spark, tmp_path / "store")
+    for rows in ([(1, "a", "x" * 50), (2, "b", "y" * 20)], [(1, "a", "x" * 8), (2, "b", "y" * 20)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        store.stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "check")).awaitTermination()
+    assert _held(store) == _cut(spark, [(1, "a", "x" * 8), (2, "b", "y" * 20)])
+    assert {r["batch_id"] for r in store.batches.read().collect()} == {0, 1}
