@@ -9,6 +9,7 @@ from ..operators import dense_index, firstwins, ingest
 from ..operators.ingestion import Ingestion
 from ..sources.store import KeyedStore
 from ..sources.tables import scratch, table
+from ..streaming import tasks
 
 
 def first_wins_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -73,6 +74,41 @@ def ingestion_changes(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("doc_id long, change string").parquet(noted).join(held, "doc_id", "left").select("doc_id", "change", zero("chunks"), zero("characters"), "least_hash")
 
 
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def task_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """Users' events as the lives of tasks: a signup is another start, a purchase a success, an error a failure, a click a cancellation once its value is over 90."""
+    e = _events(spark, d)
+    event = F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "error", "failure").when((F.col("event_type") == "click") & (F.col("value") > 90), "cancel").otherwise("start")
+    rows = e.select(F.concat_ws("-", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("task_id"), "ts", event.alias("event"))
+    return tasks.transitions(rows, 1, 3600.0, 7200.0).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+def lease_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks as claims of their user's rows, purchases as acknowledgements within twelve hours, those under 10 not ok."""
+    e = _events(spark, d)
+    claims = e.filter("event_type = 'click'").select(F.col("user_id").alias("id"), F.col("ts").alias("claimed_at"))
+    acks = e.filter("event_type = 'purchase'").select(F.col("user_id").alias("id"), F.col("ts").alias("acked_at"), (F.col("value") >= 10).alias("ok"))
+    found = tasks.lease_outcomes(claims, acks, "12 hours")
+    return found.groupBy("id", "outcome").agg(F.count("*").alias("n"), F.min("claimed_at").cast("timestamp_ntz").alias("first"))
+
+
+def rate_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The independent runs of each user's events, at windows of six hours."""
+    own = _events(spark, d).select("event_id", F.col("user_id").alias("key"), "ts")
+    return tasks.runs(own, 21600.0).select("event_id", "key", "run")
+
+
+def rate_limit_hour(spark: SparkSession, d: str) -> DataFrame:
+    """One accepted event of a user in any hour."""
+    from ..streaming import events as streams
+
+    own = _events(spark, d).select("event_id", F.col("user_id").alias("key"), "ts")
+    return streams.rate_limit(own, 1, 3600.0).select("event_id", "key", "accepted")
+
+
 def _first_wins_sql(source: str, num: int, den: int, id_: str) -> str:
     words = r"list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))"
     return f"""
@@ -86,9 +122,19 @@ SELECT id AS {id_}, NOT list_contains((SELECT arg_max(gone, n) FROM f), id) AS k
 """
 
 
-QUERIES = {f.__name__: f for f in (first_wins_documents, first_wins_turns, dense_index_topk, stored_orders, latest_checkpoints, ingestion_changes)}
+QUERIES = {f.__name__: f for f in (first_wins_documents, first_wins_turns, dense_index_topk, stored_orders, latest_checkpoints, ingestion_changes, task_transitions, lease_outcomes, rate_runs, rate_limit_hour)}
 
 ORACLES = {
+    "lease_outcomes": """WITH c AS (SELECT user_id AS id, ts AS claimed_at FROM events WHERE event_type = 'click'), a AS (SELECT user_id AS id, ts AS acked_at, value >= 10 AS ok FROM events WHERE event_type = 'purchase'),
+        m AS (SELECT c.id, claimed_at, CASE WHEN a.id IS NULL THEN 'expired' WHEN ok THEN 'published' ELSE 'retry' END AS outcome
+              FROM c LEFT JOIN a ON c.id = a.id AND acked_at BETWEEN claimed_at AND claimed_at + INTERVAL 12 HOUR)
+        SELECT id, outcome, count(*) AS n, min(claimed_at) AS first FROM m GROUP BY id, outcome""",
+    "rate_runs": """WITH g AS (SELECT event_id, user_id AS key, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 6 HOUR, false)::INTEGER AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+        SELECT event_id, key, sum(new) OVER (PARTITION BY key ORDER BY ts, event_id)::BIGINT AS run FROM g""",
+    "rate_limit_hour": """WITH RECURSIVE o AS (SELECT event_id, user_id AS key, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+        f AS (SELECT event_id, key, n, true AS accepted, ts AS last FROM o WHERE n = 1 UNION ALL
+              SELECT o.event_id, o.key, o.n, f.last <= o.ts - INTERVAL 1 HOUR, CASE WHEN f.last <= o.ts - INTERVAL 1 HOUR THEN o.ts ELSE f.last END FROM f JOIN o ON o.key = f.key AND o.n = f.n + 1)
+        SELECT event_id, key, accepted FROM f""",
     "stored_orders": "SELECT o_orderkey, o_orderstatus AS status, CASE WHEN o_orderstatus <> 'O' THEN o_orderpriority END AS priority FROM orders WHERE o_orderpriority <> '5-LOW'",
     "latest_checkpoints": "SELECT conv_id AS session_id, turn, role, md5(text) AS state FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1",
     "ingestion_changes": """WITH l AS (SELECT doc_id, CASE WHEN source = 'src0' THEN 'deleted' WHEN lang = 'en' THEN 'changed' ELSE 'unchanged' END AS change,

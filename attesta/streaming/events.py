@@ -66,7 +66,8 @@ def rate_limit(events: DataFrame, limit: int, seconds: float) -> DataFrame:
     """(event_id, key, ts, accepted, retry_after): at most ``limit`` accepted events of a key in any window.
 
     Rejected events do not enter the window, so the decision is a fold in order of time. On a stream the
-    state is a key's accepted times, ``limit`` at most; a table is folded key by key.
+    state is a key's accepted times, ``limit`` at most. A table is folded run by run: a key's events between gaps of a whole
+    window are independent of what is before them, so a hot key is spread over as many tasks as it has runs.
     """
     rows = events.select("event_id", "key", "ts")
 
@@ -76,7 +77,9 @@ def rate_limit(events: DataFrame, limit: int, seconds: float) -> DataFrame:
         return pdf.assign(accepted=[g[0] for g in got], retry_after=[g[1] for g in got])
 
     if not events.isStreaming:
-        return rows.groupBy("key").applyInPandas(lambda pdf: decide(pdf, []), _LIMITED)
+        from .tasks import runs
+
+        return runs(rows, seconds).groupBy("key", "run").applyInPandas(lambda pdf: decide(pdf.drop(columns="run"), []), _LIMITED)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         accepted = list(state.get[0]) if state.exists else []
