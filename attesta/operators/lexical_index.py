@@ -2,32 +2,33 @@
 
 The index is written once: a row for each term and block of ``BLOCK`` consecutive chunk ids, with the block's postings and its largest BM25
 part, in files that are sorted by term, so that a batch of queries reads the row groups of its terms. A second table has a row a term
-with its number of chunks and largest part. A search never cuts chunks into terms. It runs for a batch of queries at once:
-
-1. A query's rarest terms, up to ``SEED`` postings, give partial scores; the k-th of them is a bound that the k-th best score reaches.
-2. Blocks whose maxima, added over the query's terms, stay below the bound are skipped, their postings never unfolded.
-3. Terms whose largest parts cannot reach the bound together are looked up last, only for chunks that could still get there with them.
-
-Every bound is one on true scores, so results are exact.
+with its number of chunks. A search never cuts chunks into terms. It takes queries in batches; the lists of a batch's terms are read once and
+meet in groups of ``GROUP`` neighbouring blocks. There each block's maxima, added over a query's terms, bound the scores in it;
+blocks are taken from the largest bound on, and one that cannot reach a query's k-th best score is skipped for it, its
+postings never added up. Results are exact.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources.tables import scratch, settle
-from .lexical import B, K1, SCORE_DIGITS, VOCABULARY, coverage_topk, query_terms
+from .lexical import B, K1, SCORE_DIGITS, coverage_topk, query_terms
 from .lexical import bm25_topk as bm25_scan
 
 BLOCK = 256  # chunk ids of a block
-SEED = 2000  # postings of a query's rarest terms that the first bound is taken from
+GROUP = 4  # blocks that a task adds up together
+QUERIES = 1024  # queries of a batch
 _SLACK = 1e-6
+_CELLS = 1 << 22  # parts that are added up at once
 
 
 class Index:
-    """``lists``: term, block, most, postings (array of chunk and part); ``lexicon``: term, df, most; parts are without the inverse document frequency."""
+    """``lists``: term, block, most, chunks, parts (arrays of equal lengths); ``lexicon``: term, df; parts are without the inverse document frequency."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.path = path
@@ -48,11 +49,11 @@ def build(chunks: DataFrame, path: str | None = None, k1: float = K1, b: float =
     raw = settle(counted.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "dl"))).alias("p"), F.sum("tf").alias("tokens")), "postings")  # of a block
     n, tokens = chunks.count(), raw.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     mean = tokens / n if n else 0.0
-    part = lambda p: F.struct(p["chunk_id"].alias("chunk_id"), (p["tf"] * (k1 + 1) / (p["tf"] + k1 * (1 - b + b * p["dl"] / F.lit(mean)))).alias("part"))
-    parts = raw.select("term", "block", F.transform("p", part).alias("postings")).withColumn("most", F.array_max(F.transform("postings", lambda x: x["part"])))
+    part = lambda p: p["tf"] * (k1 + 1) / (p["tf"] + k1 * (1 - b + b * p["dl"] / F.lit(mean)))
+    parts = raw.select("term", "block", F.col("p.chunk_id").alias("chunks"), F.transform("p", part).alias("parts")).withColumn("most", F.array_max("parts"))
     parts.repartitionByRange(F.col("term"), F.col("block")).sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/lists")
     lists = spark.read.parquet(f"{path}/lists")
-    lists.groupBy("term").agg(F.sum(F.size("postings")).alias("df"), F.max("most").alias("most")).write.mode("overwrite").parquet(f"{path}/lexicon")
+    lists.groupBy("term").agg(F.sum(F.size("chunks")).alias("df")).write.mode("overwrite").parquet(f"{path}/lexicon")
     spark.createDataFrame([(n, float(k1), float(b))], "chunks long, k1 double, b double").coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
     return Index(spark, path)
 
@@ -68,72 +69,98 @@ def built_once(chunks: DataFrame) -> Index:
     return _known[key]
 
 
-def _asked(index: Index, queries: DataFrame, bm25: bool) -> DataFrame:
-    """(query_id, term, wanted, df, weight, most): a query's terms that the index has, and what each adds to a score at most."""
-    wanted = query_terms(queries)
-    lexicon = index.lexicon
-    if not bm25:
-        return wanted.join(lexicon.select("term", "df"), "term").withColumns({"weight": F.lit(1.0), "most": F.lit(1.0)})
-    idf = F.log((F.lit(index.chunks) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    return wanted.join(lexicon, "term").withColumn("weight", idf).withColumn("most", F.col("weight") * F.col("most"))
-
-
-def _met(index: Index, terms: DataFrame, *columns: str) -> DataFrame:
-    """The rows of the index for the terms of queries; few terms go to every task, so that lists are not shuffled."""
-    return index.lists.select("term", "block", *columns).join(terms, "term")
-
-
-def _parts(met: DataFrame, bm25: bool) -> DataFrame:
-    added = F.col("weight") * F.col("p.part") if bm25 else F.col("weight")
-    return met.select("query_id", "block", "weight", F.explode("postings").alias("p")).select("query_id", "block", F.col("p.chunk_id").alias("chunk_id"), added.alias("part"))
-
-
-def _kth(scores: DataFrame, k: int) -> DataFrame:
-    """(query_id, reach) of queries with k scores or more."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("part"))
-    best = scores.select("query_id", "part").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k)
-    return best.groupBy("query_id").agg(F.min("part").alias("reach"), F.count("*").alias("n")).filter(F.col("n") >= k).select("query_id", "reach")
-
-
-def search(index: Index, queries: DataFrame, k: int = 5, by: str = "bm25", least: float = 0.0) -> DataFrame:
+class _Batch:
+    """The terms of a batch of queries, by name, and for each the queries that have it with their weights."""
+
+    def __init__(self, rows: list, bm25: bool, chunks: int):
+        self.ids = sorted({r["query_id"] for r in rows})
+        self.terms = sorted({r["term"] for r in rows})
+        term, query = {t: i for i, t in enumerate(self.terms)}, {q: i for i, q in enumerate(self.ids)}
+        rows = sorted(rows, key=lambda r: term[r["term"]])
+        self.first = np.searchsorted([term[r["term"]] for r in rows], np.arange(len(self.terms) + 1))
+        self.query = np.array([query[r["query_id"]] for r in rows], np.int64)
+        self.weight = np.array([np.log((chunks - r["df"] + 0.5) / (r["df"] + 0.5) + 1) if bm25 else 1.0 for r in rows])
+        self.wanted = np.ones(len(self.ids))
+        if not bm25:
+            for r in rows:
+                self.wanted[query[r["query_id"]]] = r["wanted"]
+
+    def spread(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of rows with a term each: row, query and weight of every query that has the row's term."""
+        count = self.first[term + 1] - self.first[term]
+        row = np.repeat(np.arange(len(term)), count)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[term], count)
+        return row, self.query[at], self.weight[at]
+
+
+def _best(table: pa.Table, batch: _Batch, k: int, bm25: bool, least: float) -> pa.Table:
+    """(query_id, chunk_id, score) of the k best chunks of a group of blocks for each query of the batch."""
+    number = {t: i for i, t in enumerate(batch.terms)}
+    term = np.array([number[t] for t in table.column("term").to_pylist()], np.int64)
+    block, chunks, parts = table.column("block").to_numpy(), table.column("chunks").combine_chunks(), table.column("parts").combine_chunks()
+    begin = chunks.offsets.to_numpy().astype(np.int64)
+    begin, ids = begin - begin[0], chunks.flatten().to_numpy()
+    values = parts.flatten().to_numpy() if bm25 else np.ones(len(ids))
+    most = table.column("most").to_numpy() if bm25 else np.ones(len(term))
+    names, at = np.unique(block, return_inverse=True)
+    row, query, weight = batch.spread(term)
+    bounds = np.bincount(at[row] * len(batch.ids) + query, weight * most[row], len(names) * len(batch.ids)).reshape(len(names), -1)
+    reach = np.maximum(least * batch.wanted, 0.0 if bm25 else 1.0)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for b in np.argsort(-bounds.max(axis=1), kind="stable"):
+        alive = bounds[b] >= np.maximum(reach - _SLACK, 1e-12)
+        own = np.flatnonzero(at == b)
+        if not alive.any():
+            break  # the blocks that are left have no larger bounds
+        place = np.concatenate([np.arange(begin[i], begin[i + 1]) for i in own])
+        doc_ids, doc = np.unique(ids[place], return_inverse=True)
+        of = np.repeat(term[own], begin[own + 1] - begin[own])
+        score = np.zeros(len(doc_ids) * len(batch.ids))
+        step = max(1, _CELLS // max(1, len(batch.ids)))
+        for x in range(0, len(place), step):  # a term is in every query at most
+            posting, query, weight = batch.spread(of[x : x + step])
+            score += np.bincount(doc[x : x + step][posting] * len(batch.ids) + query, weight * values[place[x : x + step]][posting], len(score))
+        score = np.round(score.reshape(len(doc_ids), -1) / batch.wanted, SCORE_DIGITS)
+        docs, query = np.nonzero((score > 0) & (score >= np.round(least, SCORE_DIGITS)) & alive)
+        q, c, s = (np.concatenate(x) for x in zip(found[0], (query, doc_ids[docs], score[docs, query]), strict=True))
+        order = np.lexsort((c, -s, q))
+        q, c, s = q[order], c[order], s[order]
+        first = np.searchsorted(q, np.arange(len(batch.ids) + 1))
+        kept = np.arange(len(q)) - first[q] < k
+        full = np.flatnonzero(np.diff(first) >= k)
+        reach[full] = np.maximum(reach[full], s[first[full] + k - 1] * batch.wanted[full])
+        found = [(q[kept], c[kept], s[kept])]
+    q, c, s = found[0]
+    return pa.table({"query_id": pa.array(np.array(batch.ids, np.int64)[q]), "chunk_id": pa.array(c.astype(np.int64)), "score": pa.array(s)})
+
+
+def _meeting(batch: _Batch, k: int, bm25: bool, least: float):
+    return lambda table: _best(table, batch, k, bm25, least)
+
+
+def search(index: Index, queries: DataFrame, k: int = 5, by: str = "bm25", least: float = 0.0, batch_size: int = QUERIES) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k best chunks of each query (query_id, question), ties to the smaller id.
 
     ``by``: ``bm25``, or ``coverage``, the share of a query's terms that a chunk has, of ``least`` or more.
     """
-    bm25 = by == "bm25"
-    asked = settle(_asked(index, queries, bm25), "asked")
-    few = asked.count() <= VOCABULARY
-    small = F.broadcast if few else (lambda df: df)
-    rare = Window.partitionBy("query_id").orderBy("df", "term")
-    seeds = asked.withColumn("postings_before", F.sum("df").over(rare) - F.col("df")).filter(F.col("postings_before") < SEED)
-    first = _parts(_met(index, small(seeds.select("query_id", "term", "weight")), "postings"), bm25).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("part"))
-    floor = F.lit(0.0) if bm25 else F.greatest(F.lit(1.0), F.ceil(F.lit(least) * F.col("wanted") - _SLACK).cast("double"))
-    known = asked.select("query_id", "wanted").distinct().join(_kth(first, k), "query_id", "left")
-    reach = settle(known.select("query_id", F.greatest(F.coalesce("reach", F.lit(0.0)), floor).alias("reach")), "reach")
-
-    cheap = Window.partitionBy("query_id").orderBy("most", F.desc("df"), "term")
-    terms = settle(asked.join(reach, "query_id").withColumn("last", F.sum("most").over(cheap) < F.col("reach") - _SLACK), "terms")
-    most = F.col("weight") * F.col("most") if bm25 else F.col("weight")
-    bounds = _met(index, small(terms.select("query_id", "term", "weight", "reach")), "most").groupBy("query_id", "block", "reach").agg(F.sum(most).alias("bound"))
-    alive = settle(bounds.filter(F.col("bound") >= F.col("reach") - _SLACK).select("query_id", "block"), "alive")
-    alive = F.broadcast(alive) if alive.count() <= VOCABULARY else alive
-
-    led = _met(index, small(terms.filter(~F.col("last")).select("query_id", "term", "weight")), "postings").join(alive, ["query_id", "block"])
-    partial = settle(_parts(led, bm25).groupBy("query_id", "block", "chunk_id").agg(F.sum("part").alias("part")), "partial")
-    rest = terms.groupBy("query_id").agg(F.max("reach").alias("floor"), F.coalesce(F.sum(F.when(F.col("last"), F.col("most"))), F.lit(0.0)).alias("rest"))
-    bound = rest.join(_kth(partial, k), "query_id", "left").select("query_id", "rest", F.greatest("floor", F.coalesce("reach", F.lit(0.0))).alias("reach"))
-    open_ = settle(partial.join(bound, "query_id").filter(F.col("part") + F.col("rest") >= F.col("reach") - _SLACK).select("query_id", "block", "chunk_id", "part"), "open")
-
-    groups = open_.groupBy("query_id", "block").agg(F.collect_set("chunk_id").alias("open"))  # of a block
-    late = _met(index, small(terms.filter("last").select("query_id", "term", "weight")), "postings").join(groups, ["query_id", "block"])
-    held = late.withColumn("postings", F.filter("postings", lambda p: F.array_contains(F.col("open"), p["chunk_id"])))
-    every = open_.select("query_id", "chunk_id", "part").unionByName(_parts(held, bm25).drop("block"))
-    scored = every.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("sum"))
-    if not bm25:
-        scored = scored.join(asked.select("query_id", "wanted").distinct(), "query_id").withColumn("sum", F.col("sum") / F.col("wanted"))
-    scored = scored.select("query_id", "chunk_id", F.round("sum", SCORE_DIGITS).alias("score")).filter((F.col("score") > 0) & (F.col("score") >= least))
+    bm25, spark = by == "bm25", queries.sparkSession
+    asked = settle(query_terms(queries).join(index.lexicon, "term"), "asked")
+    batches = max(1, -(-asked.select("query_id").distinct().count() // batch_size))
+    out = None
+    for n in range(batches):
+        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == n).collect()  # the terms of a batch
+        if not rows:
+            continue
+        batch = _Batch(rows, bm25, index.chunks)
+        named = spark.createDataFrame(pa.table({"term": pa.array(batch.terms, pa.string())}))
+        lists = index.lists.join(F.broadcast(named), "term").withColumn("group", F.floor(F.col("block") / GROUP))  # the terms of a batch
+
+        found = lists.groupBy("group").applyInArrow(_meeting(batch, k, bm25, least), "query_id long, chunk_id long, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], "query_id long, chunk_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
 
 
 def candidates(queries: DataFrame, chunks: DataFrame, k: int, backend: str = "auto", index: Index | None = None, by: str = "bm25", least: float = 0.0) -> DataFrame:

@@ -44,8 +44,8 @@ def _index(spark: SparkSession, d: str) -> lexical_index.Index:
 
 
 def lexical_index_build(spark: SparkSession, d: str) -> DataFrame:
-    """The lexicon of a newly built index: how many documents have each term."""
-    return lexical_index.build(_chunks(spark, d)).lexicon.select("term", "df")
+    """The lexicon of the documents' index: how many documents have each term."""
+    return _index(spark, d).lexicon.select("term", "df")
 
 
 def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
