@@ -8,12 +8,13 @@ bound; a query stops only once few candidates' upper bounds reach the k-th best
 members are scored again exactly.
 
 Queries pass over the index in blocks of ``QUERY_BLOCK``, which is what a task is sent at once; neither vectors nor
-index are ever copied for a pass, and the k best of every meeting are merged.
+index are ever copied for a pass, and the k best of every meeting are merged. Blocks of candidates and of queries
+are smaller where vectors are wide: their bytes have a bound, not their rows alone. A query is known by a number
+of its own from end to end.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,7 @@ SCALE = 256
 LEVELS = (64, 32, 16, 8, 4, 1)  # an entry is in the first level that it reaches
 BLOCK = 4096  # candidates of a block
 QUERY_BLOCK = 8192  # queries of a pass
+BLOCK_BYTES = 4 << 20  # of the vectors of a block of either kind
 _QUERIES = 64  # queries whose accumulators are held at once
 _POSSIBLE = 32  # times k: a query with more possible members reads on
 
@@ -120,11 +122,17 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
 
 
 _BLOCK_ROW = "n long, width long, ids binary, vectors binary, row binary, value binary, lists binary, below binary"
-_QUERY_ROW = "qb int, n long, width long, ids binary, vectors binary"
+_QUERY_ROW = "qb int, n long, width long, numbers binary, ids binary, vectors binary"
 
 
-def _dealt(vectors: DataFrame, blocks: int) -> DataFrame:
-    return vectors.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v")
+def _blocks(vectors: DataFrame, rows: int) -> int:
+    """The number of blocks of at most about ``rows`` rows and ``BLOCK_BYTES`` bytes."""
+    n, width = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    return max(1, -(-n // max(1, min(rows, BLOCK_BYTES // (8 * max(1, width))))))
+
+
+def _dealt(vectors: DataFrame, blocks: int, *more: str) -> DataFrame:
+    return vectors.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v", *more)
 
 
 def build_index(candidates: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -135,7 +143,7 @@ def build_index(candidates: DataFrame, block: int = BLOCK) -> DataFrame:
         return pd.DataFrame([Index(pdf["vec_id"].to_numpy(np.int64), _matrix(pdf["v"], width)).pack()])
 
     candidates = candidates.distinct()
-    blocks = max(1, -(-candidates.count() // block))
+    blocks = _blocks(candidates, block)
     return materialise(_dealt(candidates, blocks).repartition(blocks, "block").groupBy("block").applyInPandas(build, _BLOCK_ROW), "index")
 
 
@@ -150,26 +158,28 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, block: int = BL
 
     def block_row(pdf: pd.DataFrame) -> pd.DataFrame:
         width = max(map(len, pdf["v"]), default=0)
-        return pd.DataFrame([{"qb": pdf["block"].iloc[0], "n": len(pdf), "width": width, "ids": pdf["vec_id"].to_numpy("<i8").tobytes(), "vectors": _matrix(pdf["v"], width).tobytes()}])
+        parts = {c: pdf[c].to_numpy("<i8").tobytes() for c in ("number", "vec_id")}
+        return pd.DataFrame([{"qb": pdf["block"].iloc[0], "n": len(pdf), "width": width, "numbers": parts["number"], "ids": parts["vec_id"], "vectors": _matrix(pdf["v"], width).tobytes()}])
 
-    queries = queries.distinct()
-    passes = max(1, -(-queries.count() // pass_))
-    asked = materialise(_dealt(queries, passes).groupBy("block").applyInPandas(block_row, _QUERY_ROW), "queries")
+    queries = materialise(queries.distinct().withColumn("number", F.monotonically_increasing_id()), "numbered")
+    passes = _blocks(queries, pass_)
+    asked = materialise(_dealt(queries, passes, "number").groupBy("block").applyInPandas(block_row, _QUERY_ROW), "queries")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, vectors = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["q_vectors"], "<i8").reshape(row["q_n"], row["q_width"])
-                out = [(ids[i], zlib.crc32(vectors[i].tobytes().rstrip(b"\0")), c, s) for i, found, scores in Index.unpack(row).best(ids, vectors, k) for c, s in zip(found, scores, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([int(r[c]) for r in out], pa.int64()) for c in range(4)], ["query_id", "key", "vec_id", "score"])
+                numbers, ids = np.frombuffer(row["q_numbers"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
+                vectors = np.frombuffer(row["q_vectors"], "<i8").reshape(row["q_n"], row["q_width"])
+                out = [(ids[i], numbers[i], c, s) for i, found, scores in Index.unpack(row).best(ids, vectors, k) for c, s in zip(found, scores, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([int(r[c]) for r in out], pa.int64()) for c in range(4)], ["query_id", "number", "vec_id", "score"])
 
     path = table_path(queries.sparkSession, "meetings")
-    schema = "query_id long, key long, vec_id long, score long"
+    schema = "query_id long, number long, vec_id long, score long"
     for b in range(passes):
-        own = asked.filter(F.col("qb") == b).select(F.lit(1).alias("meets"), *[F.col(c).alias(f"q_{c}") for c in ("n", "width", "ids", "vectors")])
-        met = index.join(F.broadcast(own), "meets").transform(in_arrow, meet, schema)  # one row of QUERY_BLOCK queries
+        own = asked.filter(F.col("qb") == b).select(F.lit(1).alias("meets"), *[F.col(c).alias(f"q_{c}") for c in ("n", "width", "numbers", "ids", "vectors")])
+        met = index.join(F.broadcast(own), "meets").transform(in_arrow, meet, schema)  # one row of BLOCK_BYTES
         met.write.mode("append").parquet(path)
-    order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
     found = queries.sparkSession.read.schema(schema).parquet(path)
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -135,6 +135,19 @@ def test_topk_repeats_and_empty(spark):
     assert topk.top_k(v.limit(0), v).count() == 0 and topk.top_k(v, v.limit(0)).count() == 0
 
 
+def test_topk_of_padded_and_wide_vectors(spark, monkeypatch):
+    """Rows of one id are queries of their own even where one is the other with zeros after it; wide vectors make smaller blocks, not other results."""
+    rows = [(50, [1]), (50, [1, 0]), (1, [3, 1]), (2, [2]), (3, [-1, 5])]
+    v = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = sorted(tuple(r) for r in topk.top_k(v.filter("vec_id = 50"), v, 2).collect())
+    assert got == [(50, 1, 1, 3), (50, 1, 1, 3), (50, 2, 2, 2), (50, 2, 2, 2)]
+    rng = np.random.default_rng(4)
+    wide = spark.createDataFrame([(i, rng.integers(-50, 50, 3000).tolist()) for i in range(120)], "vec_id long, v array<long>")
+    whole = sorted(tuple(r) for r in topk.top_k(wide.filter("vec_id % 40 = 0"), wide).collect())
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 8 * 3000 * 7)
+    assert topk._blocks(wide, 4096) == 18 and sorted(tuple(r) for r in topk.top_k(wide.filter("vec_id % 40 = 0"), wide).collect()) == whole
+
+
 def test_topk_sql(spark, sf, duck):
     want = [tuple(r) for r in duck.execute(topk.OP8_SQL).fetchall()]
     assert sorted(tuple(r) for r in topk.op8_exact_topk(spark, sf).collect()) == sorted(want)
