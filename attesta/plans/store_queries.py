@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dense_index, firstwins, ingest
+from ..operators import chunking, dense_index, firstwins, ingest, lexical_index
 from ..operators.ingestion import Ingestion
+from ..sources.chunks import ChunkTable
 from ..sources.store import KeyedStore
 from ..sources.tables import scratch, table
 from ..streaming import tasks
@@ -109,6 +110,21 @@ def rate_limit_hour(spark: SparkSession, d: str) -> DataFrame:
     return streams.rate_limit(own, 1, 3600.0).select("event_id", "key", "accepted")
 
 
+def chunk_table_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """For each passage the English document that covers most of it, its first window, and the windows next to that, from a table of all windows by language."""
+    docs = table(spark, d, "documents")
+    chunks = chunking.chunks(docs.select("doc_id", "text"), "fixed").join(docs.select("doc_id", F.col("lang").alias("kb_id")), "doc_id").withColumn("idx", F.col("idx").cast("long"))
+    windows = ChunkTable(spark, "attesta_chunks", 8).write(chunks)
+    english = docs.filter("lang = 'en'").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    asks = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    best = lexical_index.search(lexical_index.build(english), asks, 1, "coverage")
+    first = windows.at(best.select("query_id", F.lit("en").alias("kb_id"), F.col("chunk_id").alias("doc_id"), F.lit(0).cast("long").alias("idx"), "score")).select("query_id", "kb_id", "doc_id", "idx", "score")
+    return windows.neighbours(first).select("query_id", "doc_id", "idx", F.round("score", 6).alias("score"), "kind")
+
+
+_TOKENS = r"regexp_extract_all(lower({}), '[a-z0-9]+(?:[._/-][a-z0-9]+)*')"
+
+
 def _first_wins_sql(source: str, num: int, den: int, id_: str) -> str:
     words = r"list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))"
     return f"""
@@ -122,9 +138,14 @@ SELECT id AS {id_}, NOT list_contains((SELECT arg_max(gone, n) FROM f), id) AS k
 """
 
 
-QUERIES = {f.__name__: f for f in (first_wins_documents, first_wins_turns, dense_index_topk, stored_orders, latest_checkpoints, ingestion_changes, task_transitions, lease_outcomes, rate_runs, rate_limit_hour)}
+QUERIES = {f.__name__: f for f in (first_wins_documents, first_wins_turns, dense_index_topk, stored_orders, latest_checkpoints, ingestion_changes, task_transitions, lease_outcomes, rate_runs, rate_limit_hour, chunk_table_neighbours)}
 
 ORACLES = {
+    "chunk_table_neighbours": f"""WITH q AS (SELECT item_id AS query_id, list_distinct({_TOKENS.format('text')}) AS t FROM benchmark), qt AS (SELECT query_id, len(t) AS wanted, unnest(t) AS term FROM q),
+        dt AS (SELECT doc_id, unnest(list_distinct({_TOKENS.format('text')})) AS term FROM documents WHERE lang = 'en'),
+        s AS (SELECT query_id, doc_id, round(count(*) / wanted, 9) AS score FROM dt JOIN qt USING (term) GROUP BY query_id, doc_id, wanted QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) = 1)
+        SELECT query_id, doc_id, 0::BIGINT AS idx, round(score, 6) AS score, 'seed' AS kind FROM s
+        UNION ALL SELECT query_id, doc_id, 1, round(score * 0.95, 6), 'neighbour' FROM s JOIN documents USING (doc_id) WHERE length(text) > 500""",
     "lease_outcomes": """WITH c AS (SELECT user_id AS id, ts AS claimed_at FROM events WHERE event_type = 'click'), a AS (SELECT user_id AS id, ts AS acked_at, value >= 10 AS ok FROM events WHERE event_type = 'purchase'),
         m AS (SELECT c.id, claimed_at, CASE WHEN a.id IS NULL THEN 'expired' WHEN ok THEN 'published' ELSE 'retry' END AS outcome
               FROM c LEFT JOIN a ON c.id = a.id AND acked_at BETWEEN claimed_at AND claimed_at + INTERVAL 12 HOUR)

@@ -7,9 +7,11 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from attesta.operators import dense, dense_index, firstwins, ingest, lexical, lexical_index
 from attesta.operators.ingestion import Ingestion
+from attesta.sources.chunks import ChunkTable
 from attesta.sources.store import KeyedStore
 
 
@@ -217,3 +219,47 @@ def test_ingestion_of_a_stream(spark, tmp_path):
         store.stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "check")).awaitTermination()
     assert _held(store) == _cut(spark, [(1, "a", "x" * 8), (2, "b", "y" * 20)])
     assert {r["batch_id"] for r in store.batches.read().collect()} == {0, 1}
+
+
+# ---- chunk table
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def windows(spark):
+    rows = [(f"kb{d % 3}", d, i, f"text {d} {i}") for d in range(60) for i in range(4)]
+    table = ChunkTable(spark, "chunks_of_test", 4).write(spark.createDataFrame(rows, "kb_id string, doc_id long, idx long, content string"))
+    yield table
+    spark.sql("DROP TABLE chunks_of_test")
+
+
+def test_chunk_table_prunes_bases(spark, windows):
+    own = windows.read("kb1")
+    assert own.count() == 80 and windows.read().count() == 240
+    assert "kb_id" in _plan(own).split("PartitionFilters: [")[1].split("]")[0]
+    bases = spark.createDataFrame([("kb2", "x")], "kb_id string, name string").filter("name = 'x'")
+    assert windows.read().join(F.broadcast(bases), "kb_id").count() == 80
+
+
+def test_chunk_table_looks_up_without_moving_chunks(spark, windows):
+    places = spark.createDataFrame([("kb1", 1, 2, "a"), ("kb1", 2, 2, "wrong base"), ("kb2", 2, 9, "no such place")], "kb_id string, doc_id long, idx long, note string")
+    found = windows.at(places)
+    assert [(r["doc_id"], r["idx"], r["content"], r["note"]) for r in found.collect()] == [(1, 2, "text 1 2", "a")]
+    for df in (found, windows.of_documents(places.select("kb_id", "doc_id"))):
+        plan = df._jdf.queryExecution().sparkPlan().toString()  # before exchanges that joins ask for
+        assert plan.count("Bucketed: true") == 1
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            again = windows.at(places) if df is found else windows.of_documents(places.select("kb_id", "doc_id"))
+            assert _plan(again).count("Exchange ") == 1  # only the places move
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_chunk_table_neighbours(spark, windows):
+    seeds = spark.createDataFrame([(1, "kb0", 0, 0, 0.5), (1, "kb0", 0, 1, 0.9), (1, "kb1", 4, 3, 1.0), (2, "kb2", 5, 2, 0.4)], "query_id long, kb_id string, doc_id long, idx long, score double")
+    got = {(r["query_id"], r["doc_id"], r["idx"], round(r["score"], 6), r["kind"]) for r in windows.neighbours(seeds, 1, 2).collect()}
+    assert got == {(q, d, i, s, "seed") for q, _, d, i, s in [tuple(r) for r in seeds.collect()]} | {(1, 4, 2, 0.95, "neighbour"), (1, 0, 2, 0.855, "neighbour"), (2, 5, 1, 0.38, "neighbour"), (2, 5, 3, 0.38, "neighbour")}
