@@ -19,8 +19,9 @@ def order_statistics(df: DataFrame, by: list[str], value: str, wanted: dict[str,
 
     ``wanted`` has the share of the group where a value lies and its place from 1, a Column of ``n``, the number of
     the group's values. A quantile sketch brackets each place; values below a bracket are counted and only those
-    within it are put in order, so that a large group, or a table that is one group, is never sorted in one task.
-    A bracket that misses its place, as that of a value repeated many times cannot, is widened to the whole group.
+    within it are put in order, each distinct value once with its count, so that neither a large group, or a table that is one
+    group, nor a value that most rows repeat is sorted in one task. A bracket that misses its place is widened to the
+    whole group's distinct values.
     """
     names = list(wanted)
     rows = df.select(*by, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
@@ -37,7 +38,9 @@ def order_statistics(df: DataFrame, by: list[str], value: str, wanted: dict[str,
     held = rows.join(facts, by) if by else rows.join(F.broadcast(facts))
     hits = F.array(*[F.when(F.col(f"_{i}").isNull() | F.col("_v").between(F.col(f"_{i}.a"), F.col(f"_{i}.b")), F.struct(F.lit(i).alias("i"), F.col(f"_p{i}").alias("p"))) for i in range(len(names))])
     few = held.select(*by, "n", "_v", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("x")).select(*by, "n", "_v", "x.i", "x.p")
-    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy(*by, "i").orderBy("_v"))).filter("r = p")
+    counted = few.groupBy(*by, "n", "i", "p", "_v").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*by, "i").orderBy("_v"))
+    ranked = counted.withColumn("r", upto).filter((F.col("r") - F.col("c") < F.col("p")) & (F.col("p") <= F.col("r")))
     return ranked.groupBy(*by, "n").agg(*[F.max(F.when(F.col("i") == i, F.col("_v"))).alias(name) for i, name in enumerate(names)])
 
 

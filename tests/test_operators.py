@@ -374,3 +374,11 @@ def test_fixture(spark, tmp_path):
     (tmp_path / "f.json").write_text('{"news": [{"id": 1}, {"id": 2}], "quotes": [], "other": 3}')
     got = tables.read_fixture(spark, str(tmp_path / "f.json"), {"news": "news", "quotes": "market_quote", "none": "x"}).collect()
     assert [(r["kind"], r["row"]) for r in got] == [("news", '{"id":1}'), ("news", '{"id":2}')]
+
+
+def test_order_statistics_of_repeated_values(spark):
+    """A value that most rows repeat is one row of what is put in order."""
+    rows = [("a", 0.0)] * 900 + [("a", float(i)) for i in range(1, 101)] + [("b", 5.0)] * 7 + [("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {(r["g"], r["q"]): r["value"] for r in evaluation.nearest_rank(df, ["g"], "v", [0.0, 0.5, 0.9, 0.901, 0.95, 1.0]).collect()}
+    assert got == {("a", 0.0): 0.0, ("a", 0.5): 0.0, ("a", 0.9): 0.0, ("a", 0.901): 1.0, ("a", 0.95): 50.0, ("a", 1.0): 100.0} | {("b", q): 5.0 for q in (0.0, 0.5, 0.9, 0.901, 0.95, 1.0)}
