@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, read, slim
+from .shared import carried, materialise, ordered, read, slim
 
 WEIGHTS = (3.0, 1.0, 2.0)  # of the sources by code point, repeating
 SHARE = 1.5  # of all words: the mix
@@ -37,20 +37,6 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
 
 
-def _ordered(rows: DataFrame, *order: Column) -> DataFrame:
-    """``rows``, written in a global order, with ``part``, their range of it, and ``place``, from 0."""
-    cut = materialise(rows.orderBy(*order).withColumn("at", F.monotonically_increasing_id()), "ordered").withColumn("part", F.shiftright("at", 33))
-    within = cut.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("at")).cast("long") - 1)
-    return _carried(within, "place", F.lit(1).cast("long")).drop("at")
-
-
-def _carried(rows: DataFrame, column: str, value: Column) -> DataFrame:
-    """``column``, a running figure within each ``part``, with the sums of ``value`` of the parts before added; there are as many parts as partitions."""
-    per = rows.groupBy("part").agg(F.sum(value).alias("sum"))
-    before = per.select("part", F.coalesce(F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return rows.join(F.broadcast(before), "part").withColumn(column, F.col(column) + F.col("before")).drop("before")
-
-
 def _to_source(rows: DataFrame, sources: DataFrame, count: int) -> DataFrame:
     """``rows`` (source, ...) with the columns of their source."""
     of = sources.withColumnRenamed("source", "of")
@@ -67,7 +53,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     further source is full; a round is one sum over the sources. low and high bound a source's points.
     """
     by_place = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
-    held = materialise(_ordered(sizes, F.col("source").asc_nulls_last()).withColumn("weight", by_place).withColumn("most", F.col("source_size") * F.lit(float(repeats))), "sources")
+    held = materialise(ordered(sizes, F.col("source").asc_nulls_last()).withColumn("weight", by_place).withColumn("most", F.col("source_size") * F.lit(float(repeats))), "sources")
     whole = (held.agg(F.sum("source_size")).first()[0] or 0) * share
     level, full = 0.0, -1
     while True:
@@ -79,7 +65,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     target = F.least("most", F.lit(level) * F.col("weight"))
     order = Window.partitionBy("part").orderBy("place")
     cut = held.withColumn("target", target).withColumn("end", F.sum("target").over(order))
-    cut = _carried(cut, "end", F.col("target"))
+    cut = carried(cut, "end", F.col("target"))
     total = cut.agg(F.sum("target")).first()[0] or 1.0
     point = lambda c: F.least(F.lit(_POINTS), F.floor(c / total * _POINTS)).cast("long")
     last = F.col("end") >= total * (1 - 1e-12)
