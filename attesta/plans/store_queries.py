@@ -128,10 +128,11 @@ _TOKENS = r"regexp_extract_all(lower({}), '[a-z0-9]+(?:[._/-][a-z0-9]+)*')"
 def _first_wins_sql(source: str, num: int, den: int, id_: str) -> str:
     words = r"list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))"
     return f"""
-WITH RECURSIVE w AS (SELECT id, {words} AS w, len({words}) AS n FROM ({source})),
-e AS (SELECT b.id, list(a.id) AS before FROM w a JOIN w b ON a.id < b.id AND {den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n) AND a.n > 0 AND b.n > 0
-      AND {den} * len(list_intersect(a.w, b.w)) >= {num} * (a.n + b.n - len(list_intersect(a.w, b.w))) GROUP BY b.id),
-o AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM e),
+WITH RECURSIVE w AS MATERIALIZED (SELECT id, {words} AS w, len({words}) AS n FROM ({source})),
+u AS (SELECT id, n, unnest(w) AS word FROM w),
+x AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM u a JOIN u b ON a.word = b.word AND a.id < b.id AND {den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n) GROUP BY ALL),
+e AS (SELECT b AS id, list(a) AS before FROM x WHERE {den} * shared >= {num} * (na + nb - shared) GROUP BY b),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY id) AS n FROM e),
 f AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS gone UNION ALL
       SELECT o.n, CASE WHEN len(list_filter(before, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, o.id) ELSE gone END FROM f JOIN o ON o.n = f.n + 1)
 SELECT id AS {id_}, NOT list_contains((SELECT arg_max(gone, n) FROM f), id) AS kept FROM w
