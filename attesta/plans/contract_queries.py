@@ -265,20 +265,20 @@ def notice_parties(spark: SparkSession, d: str) -> DataFrame:
     return own.select("doc_id", "p.buyer", "p.supplier", governance.party_key(F.col("p.buyer")).alias("buyer_key"), governance.party_key(F.col("p.supplier")).alias("supplier_key"), "title")
 
 
-@query("""WITH n AS (SELECT DISTINCT split_part(lower(text), ' ', 3) AS name FROM benchmark), t AS (SELECT doc_id, lower(split_part(text, chr(10), 1)) AS t FROM documents),
+@query("""WITH n AS (SELECT DISTINCT split_part(lower(text), ' ', 3) AS name FROM benchmark), t AS (SELECT doc_id, lower(text) AS t FROM documents),
 h AS (SELECT doc_id, name FROM t JOIN n ON contains(t, name) WHERE name <> ''), g AS (SELECT doc_id, count(*) AS candidates, first(name ORDER BY length(name) DESC, name) AS entity FROM h GROUP BY 1)
 SELECT doc_id AS text_id, entity, CASE WHEN entity IS NOT NULL THEN 'sh' || length(entity) END AS stock_code, entity IS NOT NULL AS matched, coalesce(candidates, 0)::BIGINT AS candidates FROM t LEFT JOIN g USING (doc_id)""")
 def entity_audit(spark: SparkSession, d: str) -> DataFrame:
-    """For every document's first line the longest of the benchmark's third words in it, and how many occur."""
+    """For every document the longest of the benchmark's third words in it, and how many occur."""
     names = table(spark, d, "benchmark").select(F.split_part(F.lower("text"), F.lit(" "), F.lit(3)).alias("name")).distinct()
-    texts = _docs(spark, d).select(F.col("doc_id").alias("text_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("text"))
+    texts = _docs(spark, d).select(F.col("doc_id").alias("text_id"), "text")
     return governance.resolve_entities(texts, names.withColumn("stock_code", F.concat(F.lit("sh"), F.length("name").cast("string"))), F.lower)
 
 
-@query("""WITH n AS (SELECT DISTINCT split_part(lower(text), ' ', 3) AS name FROM benchmark) SELECT name AS entity, count(*) AS texts FROM documents JOIN n ON contains(lower(split_part(text, chr(10), 1)), name) WHERE name <> '' GROUP BY 1""")
+@query("""WITH n AS (SELECT DISTINCT split_part(lower(text), ' ', 3) AS name FROM benchmark) SELECT name AS entity, count(*) AS texts FROM documents JOIN n ON contains(lower(text), name) WHERE name <> '' GROUP BY 1""")
 def entities_found(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "benchmark").select(F.split_part(F.lower("text"), F.lit(" "), F.lit(3)).alias("name")).distinct()
-    texts = _docs(spark, d).select(F.col("doc_id").alias("text_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("text"))
+    texts = _docs(spark, d).select(F.col("doc_id").alias("text_id"), "text")
     return governance.entity_hits(texts, names, F.lower).groupBy("entity").agg(F.count("*").alias("texts"))
 
 

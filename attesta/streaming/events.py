@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,12 +64,27 @@ def _limit(times: list[float], accepted: list[float], limit: int, seconds: float
 _LIMITED = "event_id long, key long, ts timestamp, accepted boolean, retry_after double"
 
 
+def _fold_runs(batches: Iterator[pa.RecordBatch], limit: int, seconds: float) -> Iterator[pa.RecordBatch]:
+    """Decisions on rows (event_id, key, ts, run, at in microseconds) that come run by run, each run in order of time."""
+    now, accepted = None, []
+    for batch in batches:
+        got = []
+        for run, at in zip(zip(*(batch.column(c).to_pylist() for c in ("key", "run")), strict=True), batch.column("at").to_pylist(), strict=True):
+            if run != now:
+                now, accepted = run, []
+            got += _limit([at / 1e6], accepted, limit, seconds)
+        kept = [batch.column(c) for c in ("event_id", "key", "ts")]
+        decided = [pa.array([g[0] for g in got], pa.bool_()), pa.array([g[1] for g in got], pa.float64())]
+        yield pa.RecordBatch.from_arrays(kept + decided, ["event_id", "key", "ts", "accepted", "retry_after"])
+
+
 def rate_limit(events: DataFrame, limit: int, seconds: float) -> DataFrame:
     """(event_id, key, ts, accepted, retry_after): at most ``limit`` accepted events of a key in any window.
 
     Rejected events do not enter the window, so the decision is a fold in order of time. On a stream the
     state is a key's accepted times, ``limit`` at most. A table is folded run by run: a key's events between gaps of a whole
-    window are independent of what is before them, so a hot key is spread over as many tasks as it has runs.
+    window are independent of what is before them, so a hot key is spread over as many tasks as it has runs. A task passes
+    over its runs in order and holds the accepted times of one.
     """
     rows = events.select("event_id", "key", "ts")
 
@@ -79,7 +96,9 @@ def rate_limit(events: DataFrame, limit: int, seconds: float) -> DataFrame:
     if not events.isStreaming:
         from .tasks import runs
 
-        return runs(rows, seconds).groupBy("key", "run").applyInPandas(lambda pdf: decide(pdf.drop(columns="run"), []), _LIMITED)
+        own = runs(rows, seconds).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+        ordered = own.repartition("key", "run").sortWithinPartitions("key", "run", "ts", "event_id")
+        return ordered.mapInArrow(functools.partial(_fold_runs, limit=limit, seconds=seconds), _LIMITED)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         accepted = list(state.get[0]) if state.exists else []

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.operators import analyzer, budget, chunking, critic, dense, evaluation, evidence, feeds, fusion, governance, grounding
+from attesta.operators import analyzer, automaton, budget, chunking, critic, dense, evaluation, evidence, feeds, fusion, governance, grounding
 from attesta.plans import sqlguard
 from attesta.sources import tables
 from attesta.streaming import events
@@ -137,6 +137,34 @@ def test_entities_in_texts_without_spaces(spark, monkeypatch, limit):
     assert {r["entity"] for r in governance.entity_hits(texts, registry).collect()} == {"长电", "长电科技", "a.b."}
 
 
+def test_automaton_equals_plain_search(monkeypatch):
+    """Names inside each other, overlaps, lanes shorter than names, texts longer than a stream, characters beyond the basic plane."""
+    monkeypatch.setattr(automaton, "STREAM", 64)
+    rng = random.Random(5)
+    for lanes in (1, 3, 4096):
+        monkeypatch.setattr(automaton, "LANES", lanes)
+        for letters in ("ab", "abc\U0001f600长 "):
+            names = {"".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(40)}
+            texts = ["".join(rng.choices(letters + "x", k=rng.choice([0, 1, 5, 40, 300]))) for _ in range(60)] + [None, ""]
+            got = automaton.Automaton(list(names)).in_texts(texts)
+            assert got == [sorted(n for n in names if t and n in t) for t in texts]
+    assert automaton.Automaton([]).in_texts(["a", None]) == [[], []]
+
+
+def test_entity_paths_agree(spark, monkeypatch):
+    """The automaton, the join of runs, and names too long for the automaton give the same rows; copies of rows change nothing."""
+    texts = spark.createDataFrame([(i, "x" * i + "Red Fox" + "y" * (40 - i)) for i in range(20)] * 2 + [(99, None), (100, "")], "text_id long, text string")
+    names = spark.createDataFrame([("red fox",), ("RED FOX",), ("fox" + "y" * 30,), ("nowhere",), (None,), ("",)] * 2, "name string")
+    rows = lambda: sorted(map(tuple, governance.entity_hits(texts, names).collect()))
+    want = rows()
+    assert len(want) == 2 * 20 + 11
+    monkeypatch.setattr(governance, "LONGEST", 7)
+    assert rows() == want
+    monkeypatch.setattr(governance, "NAMES_TO_BROADCAST", -1)
+    assert rows() == want
+    assert governance.entity_hits(texts, names.filter("false")).count() == 0
+
+
 def test_parties(spark):
     blob = "采购人: （某）甲乙 公司，中标人：乙，供应商:丙丁有限公司；"
     assert tuple(spark.range(1).select(governance.parties(F.lit(blob)).alias("p")).first()[0]) == ("甲乙", "丙丁有限公司")
