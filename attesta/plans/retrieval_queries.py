@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import queryplan, text
-from ..operators import budget, chunking, dense, evaluation, fusion, governance, ingest, lexical, lexical_index
+from ..operators import budget, chunking, dense, evaluation, fusion, governance, ingest, lexical, lexical_index, pages
 from ..sources.tables import settle, table
 
 TOKENS = r"regexp_extract_all(lower({}), '[a-z0-9]+(?:[._/-][a-z0-9]+)*')"
@@ -176,6 +176,11 @@ def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.html_to_text(F.col("html")).alias("content"))
 
 
+def page_content(spark: SparkSession, d: str) -> DataFrame:
+    """Pages' main content and what gave it."""
+    return pages.main_content(table(spark, d, "pages").select("page_id", "html"))
+
+
 def html_full_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.html_to_text(F.col("html")).alias("content"))
 
@@ -261,7 +266,7 @@ def support_scores(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     lexical_index_build, lexical_topk, bm25_topk, lexical_backends, dense_topk, rrf_fusion, fused_score, doc_admission, neighbor_expand, chunk_fixed, chunk_text, chunk_markdown, content_hash_dedup, normalised_hash,
-    question_trigram_dup, gold_contamination, label_prevalence, html_to_text, html_full_text, url_domain_stats, session_budget, session_last_n, memory_trigger, context_pack_greedy, facet_selection,
+    question_trigram_dup, gold_contamination, label_prevalence, html_to_text, page_content, html_full_text, url_domain_stats, session_budget, session_last_n, memory_trigger, context_pack_greedy, facet_selection,
     mrr_ndcg, vector_audit, pairwise_cosine, page_markdown, query_plans, digest_vectors, word_jaccard_pairs, support_scores,
 )}
 
@@ -312,6 +317,11 @@ ORACLES = {
         SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS content FROM a""",
     "html_full_text": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'gs') AS t FROM pages)
         SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS content FROM a""",
+    "page_content": r"""WITH a AS (SELECT page_id, html, regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS a FROM pages),
+        b AS (SELECT page_id, html, list_transform(string_split(regexp_replace(a, '</?(p|br|h1|div|ul|li)[^>]*>', chr(1), 'g'), chr(1)), lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]+>', '', 'g'), '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS b FROM a),
+        c AS (SELECT page_id, array_to_string(list_filter(b, lambda x: x <> ''), chr(10)) AS c, regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'gs') AS t FROM b)
+        SELECT page_id, CASE WHEN length(c) > 200 THEN 'region' ELSE 'pattern' END AS tier, CASE WHEN length(c) > 200 THEN c
+          ELSE trim(regexp_replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') END AS content FROM c""",
     "url_domain_stats": r"""WITH h AS (SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host FROM pages)
         SELECT array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS site, count(*) AS pages, count(DISTINCT host) AS hosts,
                count(*) FILTER (WHERE host = 'example.com' OR host LIKE '%.example.com') AS allowed FROM h GROUP BY 1""",
