@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -212,6 +214,44 @@ def joint_report(checked: DataFrame) -> DataFrame:
     return checked.agg(rates.alias("r")).select(F.inline("r"))
 
 
+def case_availability(cases: DataFrame, gold: DataFrame, held: DataFrame) -> DataFrame:
+    """(case_id, missing, available) of every case: how many of its gold rows (case_id, source, id) the tables (source, id) do not hold."""
+    absent = gold.select("case_id", "source", "id").distinct().join(held.select("source", "id").distinct(), ["source", "id"], "left_anti").groupBy("case_id").agg(F.count("*").alias("missing"))
+    out = cases.select("case_id").distinct().join(absent, "case_id", "left").withColumn("missing", F.coalesce("missing", F.lit(0)))
+    return out.withColumn("available", F.col("missing") == 0)
+
+
+REPORT_GATES = ["adapter_conversion", "contract_validation", "eval_structure", "case_availability", "end_to_end_execution"]
+
+
+def joint_gates(conversions: DataFrame, evidence: DataFrame, cases: DataFrame, available: DataFrame, checked: DataFrame, required: dict[str, int], least: int) -> DataFrame:
+    """(gate, met, n, passed) of each of ``REPORT_GATES`` and overall: how many of n met it.
+
+    ``conversions``: source, input, converted, all of which must be converted and some be there; ``evidence``: valid, all of them;
+    ``cases``: case_id, category, as many of each category as ``required`` and ``least`` in all; ``available`` of ``case_availability``, all and
+    ``least`` of them; ``checked``: passed, exactly ``least`` and all of them. A null flag is not met.
+    """
+    flag = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False)))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+
+    def gate(name: str, counts: DataFrame, passed) -> DataFrame:
+        return counts.select(F.lit(name).alias("gate"), F.col("met").cast("long").alias("met"), F.col("n").cast("long").alias("n"), passed.alias("passed"))
+
+    met, n = F.col("met"), F.col("n")
+    per = [F.count_if(F.col("category") == c) == w for c, w in required.items()]
+    structure = cases.agg(F.count("*").alias("n"), sum((p.cast("int") for p in per), F.lit(0)).alias("met"))
+    rows = [
+        gate("adapter_conversion", conversions.agg(total("converted").alias("met"), total("input").alias("n")), (met >= n) & (n > 0)),
+        gate("contract_validation", evidence.agg(flag("valid").alias("met"), F.count("*").alias("n")), (met == n) & (n > 0)),
+        gate("eval_structure", structure, (met == len(required)) & (n >= least)),
+        gate("case_availability", available.agg(flag("available").alias("met"), F.count("*").alias("n")), (met == n) & (met >= least)),
+        gate("end_to_end_execution", checked.agg(flag("passed").alias("met"), F.count("*").alias("n")), (met == n) & (n == least)),
+    ]
+    five = functools.reduce(DataFrame.unionByName, rows)
+    whole = five.agg(F.count_if("passed").alias("met"), F.count("*").alias("n"))
+    return five.unionByName(gate("overall", whole, met == n))
+
+
 def set_issues(cases: DataFrame, domains: dict[str, str], splits: list[str]) -> DataFrame:
     """(id, code) of an evaluation set's faults; columns id, domain, knowledge_base, question, split, expected_retrieval, required_term_groups, gold_sources, must_cite, min_group_coverage.
 

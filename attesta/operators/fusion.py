@@ -193,3 +193,31 @@ def by_routes(results: DataFrame, status: DataFrame, mode: str = "hybrid", top_k
         return ranked.filter(F.col("rank") <= top_k).withColumn("degraded", F.lit(None).cast("array<string>"))
     failed = status.filter(F.col("route").isin(routes) & ~F.col("ok")).groupBy("query_id").agg(F.sort_array(F.collect_set("route")).alias("degraded"))
     return across_routes(own).filter(F.col("rank") <= top_k).join(failed, "query_id", "left").select("query_id", "key", "score", "routes", "rank", "degraded")
+
+
+def hybrid(results: DataFrame, status: DataFrame, scores: DataFrame, variants: int = 1, top_k: int = 5, limit: int = 20, per_doc: int = 3, k: int = RRF_K) -> DataFrame:
+    """(query_id, seat, key, doc_id, score, rrf, routes, route_scores, degraded): routes fused, reranked and seated in one plan.
+
+    ``results``: query_id, route, chunk_id, doc_id, idx, score, rank, relevance (for each of the query's ``variants``; shorter or null: 0);
+    ``status``: query_id, route, ok; ``scores``: query_id, key, rerank_score, for some or all. The first ``limit`` by reciprocal ranks
+    (``top_k`` at least) take their rerank score, or else the sum of reciprocal ranks; each variant of several seats its best, the rest goes by score.
+    A document has ``per_doc`` seats, or as many as there are variants. Equal scores keep the order of the fusion, which is by key in turn.
+    """
+    key = F.coalesce(F.col("chunk_id").cast("string"), F.concat_ws(":", F.col("doc_id").cast("string"), F.col("idx").cast("string")))
+    zeros = F.array_repeat(F.lit(0.0), variants)
+    wide = F.slice(F.zip_with(F.coalesce("relevance", zeros), zeros, lambda x, y: F.coalesce(x, y)), 1, variants)
+    one = results.withColumn("key", key).withColumn("wide", wide).groupBy("query_id", "key", "route").agg(
+        F.min("rank").alias("rank"), F.max("score").alias("score"), F.min("doc_id").alias("doc_id"), *[F.max(F.element_at("wide", i + 1)).alias(f"v{i}") for i in range(variants)]
+    )
+    fused = one.groupBy("query_id", "key").agg(
+        F.round(F.sum(1.0 / (k + F.col("rank"))), DIGITS).alias("rrf"), F.min("doc_id").alias("doc_id"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("route", "score")))).alias("route_scores"),
+        F.array(*[F.max(f"v{i}") for i in range(variants)]).alias("facets"),
+    )
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf"), "key")).cast("long")
+    first = fused.withColumn("place", place).filter(F.col("place") <= max(limit, top_k))
+    judged = first.join(scores.select("query_id", "key", "rerank_score").dropDuplicates(["query_id", "key"]), ["query_id", "key"], "left").withColumn("score", F.coalesce("rerank_score", "rrf"))
+    facets = F.col("facets") if variants > 1 else F.array().cast("array<double>")
+    seats = facet_seats(judged.select("query_id", F.col("place").alias("chunk_id"), "doc_id", "score", facets.alias("facets")), top_k, max(min(variants, top_k), per_doc))
+    failed = status.filter(~F.col("ok")).groupBy("query_id").agg(F.sort_array(F.collect_set("route")).alias("degraded"))
+    out = judged.join(seats.withColumnRenamed("chunk_id", "place"), ["query_id", "place"]).join(failed, "query_id", "left")
+    return out.select("query_id", "seat", "key", "doc_id", "score", "rrf", F.map_keys("route_scores").alias("routes"), "route_scores", "degraded")

@@ -626,6 +626,28 @@ def joint_report(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.joint_report(_joint(spark, d))
 
 
+@query("""WITH k AS (SELECT n_nationkey AS case_id, r_name AS category FROM nation JOIN region ON n_regionkey = r_regionkey),
+v AS (SELECT c_nationkey AS case_id, count(DISTINCT c_custkey) FILTER (WHERE o_custkey IS NULL) AS missing FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1),
+a AS (SELECT case_id, coalesce(missing, 0) = 0 AS ok FROM k LEFT JOIN v USING (case_id)), x AS (SELECT case_id, count(s_suppkey) > 0 AS ok FROM k LEFT JOIN supplier ON s_nationkey = case_id GROUP BY 1),
+g AS (SELECT 'adapter_conversion' AS gate, count(*) FILTER (WHERE length(trim(text, ' ')) > 0) AS met, count(*) AS n, met >= n AND n > 0 AS passed FROM documents
+  UNION ALL SELECT 'contract_validation', count(*) FILTER (WHERE l_extendedprice > 0 AND l_discount < 0.1), count(*), count(*) FILTER (WHERE l_extendedprice > 0 AND l_discount < 0.1) = count(*) FROM lineitem
+  UNION ALL SELECT 'eval_structure', (SELECT count(*) FROM (SELECT category FROM k GROUP BY 1 HAVING count(*) = 5)), 25, (SELECT count(*) FROM (SELECT category FROM k GROUP BY 1 HAVING count(*) = 5)) = 5
+  UNION ALL SELECT 'case_availability', count(*) FILTER (WHERE ok), count(*), count(*) FILTER (WHERE ok) = 25 FROM a
+  UNION ALL SELECT 'end_to_end_execution', count(*) FILTER (WHERE ok), count(*), count(*) FILTER (WHERE ok) = 25 FROM x)
+SELECT * FROM g UNION ALL SELECT 'overall', count(*) FILTER (WHERE passed), count(*), bool_and(passed) FROM g""")
+def joint_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as cases of their regions, whose gold is their customers among those that ordered, and which pass where they have a supplier; documents as conversions, line items as evidence."""
+    t = lambda n: table(spark, d, n)
+    cases = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("case_id"), F.col("r_name").alias("category"))
+    gold = t("customer").select(F.col("c_nationkey").alias("case_id"), F.lit("customer").alias("source"), F.col("c_custkey").alias("id"))
+    held = t("orders").select(F.lit("customer").alias("source"), F.col("o_custkey").alias("id"))
+    suppliers = t("supplier").groupBy(F.col("s_nationkey").alias("case_id")).agg(F.lit(True).alias("passed"))
+    conversions = t("documents").groupBy("source").agg(F.count("*").alias("input"), F.count_if(F.length(F.trim("text")) > 0).alias("converted"))
+    evidence = t("lineitem").select(((F.col("l_extendedprice") > 0) & (F.col("l_discount") < 0.1)).alias("valid"))
+    regions = {r: 5 for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")}
+    return evaluation.joint_gates(conversions, evidence, cases, evaluation.case_availability(cases, gold, held), cases.join(suppliers, "case_id", "left"), regions, 25)
+
+
 @query(r"""WITH c AS (SELECT item_id, text, length(trim(text, ' ')) AS n, row_number() OVER (PARTITION BY regexp_replace(lower(text), '[^\pL\pM\pN_]+', '', 'g') ORDER BY item_id) AS r, row_number() OVER () AS k FROM benchmark)
 SELECT item_id AS id, unnest(list_filter([CASE WHEN length(text) % 3 = 0 THEN 'invalid_domain' END, CASE WHEN length(text) % 3 = 1 THEN 'knowledge_base_mismatch' END, CASE WHEN n < 8 THEN 'short_question' END, CASE WHEN r > 1 THEN 'duplicate_question' END, CASE WHEN length(text) % 5 = 0 THEN 'invalid_split' END, CASE WHEN length(text) % 7 = 0 THEN 'missing_expectation' END,
     CASE WHEN length(text) % 7 > 0 THEN 'missing_gold' END, CASE WHEN length(text) % 7 > 0 AND length(text) % 2 = 0 THEN 'citation_policy' END, CASE WHEN length(text) % 7 > 0 AND length(text) % 11 = 0 THEN 'invalid_coverage' END], lambda x: x IS NOT NULL)) AS code FROM c""")

@@ -76,6 +76,24 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     return fusion.reciprocal_ranks(both.select("query_id", "chunk_id", "rank"))
 
 
+def hybrid_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage and BM25 as routes, fused, reranked by the share of words that passage and document have in common, with seats for both halves of a passage's terms."""
+    q, c = _questions(spark, d), _chunks(spark, d)
+    index = lexical_index.built_once(c)
+    both = lexical_index.search(index, q, 20, "coverage").withColumn("route", F.lit("coverage")).unionByName(lexical_index.search(index, q, 20).withColumn("route", F.lit("bm25")))
+    wanted = q.select("query_id", F.sort_array(text.terms(F.col("question"))).alias("t"))
+    half = F.ceil(F.size("t") / 2).cast("int")
+    halves = [F.slice("t", F.lit(1), half), F.slice("t", half + 1, F.size("t"))]
+    held = c.select("chunk_id", text.terms(F.col("content")).alias("held"))
+    met = settle(both.select("query_id", "chunk_id", "route", "score", "rank").join(wanted, "query_id").join(held, "chunk_id").select(
+        "query_id", "route", "chunk_id", F.col("chunk_id").alias("doc_id"), F.lit(0).alias("idx"), "score", "rank",
+        F.array(*[F.round(text.coverage(h, F.col("held")), 9) for h in halves]).alias("relevance"), F.round(text.jaccard(F.col("t"), F.col("held")), 9).alias("rerank_score")), "hybrid")
+    scores = met.select("query_id", F.col("chunk_id").cast("string").alias("key"), "rerank_score").distinct()
+    asked = q.select("query_id", F.explode(F.array(F.lit("coverage"), F.lit("bm25"))).alias("route"))
+    status = asked.join(met.select("query_id", "route").distinct().withColumn("ok", F.lit(True)), ["query_id", "route"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    return fusion.hybrid(met, status, scores, 2).select("query_id", "seat", "key", "score", "rrf", F.array_join("routes", ",").alias("routes"), F.coalesce(F.array_join("degraded", ","), F.lit("")).alias("degraded"))
+
+
 def fused_score(spark: SparkSession, d: str) -> DataFrame:
     q, c = _questions(spark, d), _chunks(spark, d)
     index = lexical_index.built_once(c)
@@ -265,7 +283,7 @@ def support_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    lexical_index_build, lexical_topk, bm25_topk, lexical_backends, dense_topk, rrf_fusion, fused_score, doc_admission, neighbor_expand, chunk_fixed, chunk_text, chunk_markdown, content_hash_dedup, normalised_hash,
+    lexical_index_build, lexical_topk, bm25_topk, lexical_backends, dense_topk, rrf_fusion, hybrid_retrieval, fused_score, doc_admission, neighbor_expand, chunk_fixed, chunk_text, chunk_markdown, content_hash_dedup, normalised_hash,
     question_trigram_dup, gold_contamination, label_prevalence, html_to_text, page_content, html_full_text, url_domain_stats, session_budget, session_last_n, memory_trigger, context_pack_greedy, facet_selection,
     mrr_ndcg, vector_audit, pairwise_cosine, page_markdown, query_plans, digest_vectors, word_jaccard_pairs, support_scores,
 )}
@@ -293,6 +311,19 @@ ORACLES = {
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 5""",
     "rrf_fusion": f"""WITH {_COVER}, {_BM25}, r AS (SELECT query_id, chunk_id, rank FROM {_rank('cover', 20)} UNION ALL SELECT query_id, chunk_id, rank FROM {_rank('bm', 20)})
         SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS rrf, count(*) AS routes FROM r GROUP BY query_id, chunk_id""",
+    "hybrid_retrieval": f"""WITH {_COVER}, {_BM25}, r AS (SELECT query_id, chunk_id, rank, 'coverage' AS route FROM {_rank('cover', 20)} UNION ALL SELECT query_id, chunk_id, rank, 'bm25' FROM {_rank('bm', 20)}),
+        f AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS rrf, string_agg(route, ',' ORDER BY route) AS routes FROM r GROUP BY query_id, chunk_id),
+        p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id::VARCHAR) AS place FROM f QUALIFY place <= 20),
+        s AS (SELECT query_id, list_sort(t) AS t, (len(t) + 1) // 2 AS half FROM q), h AS (SELECT doc_id AS chunk_id, list_distinct({TOKENS.format('text')}) AS h FROM documents),
+        m AS (SELECT query_id, chunk_id, rrf, routes, place, round(len(list_intersect(t, h)) / len(list_distinct(list_concat(t, h))), 9) AS score,
+                coalesce(round(len(list_intersect(t[1:half], h)) / nullif(len(t[1:half]), 0), 9), 0) AS a, coalesce(round(len(list_intersect(t[half + 1:], h)) / nullif(len(t[half + 1:]), 0), 9), 0) AS b
+              FROM p JOIN s USING (query_id) JOIN h USING (chunk_id)),
+        one AS (SELECT *, 1 AS seat FROM m WHERE a > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY a DESC, score DESC, place) = 1),
+        two AS (SELECT m.*, 2 AS seat FROM m ANTI JOIN one USING (query_id, chunk_id) WHERE b > 0 QUALIFY row_number() OVER (PARTITION BY m.query_id ORDER BY b DESC, score DESC, place) = 1),
+        u AS (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT m.*, 3 FROM m ANTI JOIN one USING (query_id, chunk_id) ANTI JOIN two USING (query_id, chunk_id)),
+        o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seat, score DESC, place) AS n FROM u QUALIFY n <= 5),
+        g AS (SELECT item_id AS query_id, concat_ws(',', CASE WHEN item_id NOT IN (SELECT query_id FROM r WHERE route = 'bm25') THEN 'bm25' END, CASE WHEN item_id NOT IN (SELECT query_id FROM r WHERE route = 'coverage') THEN 'coverage' END) AS degraded FROM benchmark)
+        SELECT query_id, n AS seat, chunk_id::VARCHAR AS key, score, rrf, routes, degraded FROM o JOIN g USING (query_id)""",
     "fused_score": f"""WITH {_COVER}, {_BM25}, c AS (SELECT * FROM {_rank('cover', 20)}), b AS (SELECT query_id, chunk_id, rank, round(score / (score + 10), 6) AS score FROM {_rank('bm', 20)})
         SELECT query_id, chunk_id, round(round(0.65 * (0.75 * coalesce(c.score, 0) + 0.25 * coalesce(b.score, 0))
                + 0.35 * round(coalesce(1.0 / (60 + c.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 9) / (2.0 / 61), 9), 6) AS score

@@ -101,6 +101,66 @@ def test_facet_seats(spark):
     assert got == [3, 0, 1, 2]
 
 
+def test_hybrid_equals_the_rule(spark):
+    """Fusion, rerank and seats against plain Python: two and three variants, missing relevance and scores, ids by document and place, a failed route."""
+    rnd = random.Random(4)
+    for variants in (1, 3):
+        rows, given = [], {}
+        for q in (1, 2):
+            for route in ("cloud", "local"):
+                for rank, c in enumerate(rnd.sample(range(30), 15), 1):
+                    by_place = c % 7 == 0
+                    relevance = None if c % 5 == 0 else [round(max(0.0, rnd.random() - 0.4), 2) for _ in range(rnd.choice([variants, 1]))]
+                    rows.append((q, route, None if by_place else c, c % 4, c, round(rnd.random(), 3), rank, relevance))
+                    if c % 3:
+                        given[q, f"{c % 4}:{c}" if by_place else str(c)] = round(rnd.random(), 1)
+        want = []
+        for q in (1, 2):
+            merged = {}
+            for r in [r for r in rows if r[0] == q]:
+                key = str(r[2]) if r[2] is not None else f"{r[3]}:{r[4]}"
+                m = merged.setdefault(key, {"rrf": 0.0, "doc": r[3], "routes": {}, "rel": [0.0] * variants})
+                m["rrf"] += 1 / (60 + r[6])
+                m["routes"][r[1]] = r[5]
+                m["rel"] = [max(a, b) for a, b in zip(m["rel"], [*(r[7] or []), *[0.0] * variants], strict=False)]
+            first = sorted(merged, key=lambda k: (-round(merged[k]["rrf"], 9), k))[:10]
+            score = {k: given.get((q, k), round(merged[k]["rrf"], 9)) for k in first}
+            first.sort(key=lambda k: -score[k])
+            seats, of = [], {}
+            for f in [*(range(variants) if variants > 1 else ()), *[None] * 5]:
+                fit = [k for k in first if k not in seats and of.get(merged[k]["doc"], 0) < 3 and (f is None or merged[k]["rel"][f] > 0)]
+                if fit and len(seats) < 5:
+                    k = fit[0] if f is None else max(fit, key=lambda k: merged[k]["rel"][f])
+                    seats.append(k)
+                    of[merged[k]["doc"]] = of.get(merged[k]["doc"], 0) + 1
+            want += [(q, i, k, score[k], merged[k]["routes"], ["local"] if q == 2 else None) for i, k in enumerate(seats, 1)]
+        results = spark.createDataFrame(rows, "query_id long, route string, chunk_id long, doc_id long, idx int, score double, rank long, relevance array<double>")
+        status = spark.createDataFrame([(1, "cloud", True), (1, "local", True), (2, "cloud", True), (2, "local", False)], "query_id long, route string, ok boolean")
+        scores = spark.createDataFrame([(q, k, v) for (q, k), v in given.items()] * 2, "query_id long, key string, rerank_score double")
+        got = [(r["query_id"], r["seat"], r["key"], r["score"], r["route_scores"], r["degraded"]) for r in fusion.hybrid(results, status, scores, variants, 5, 10).orderBy("query_id", "seat").collect()]
+        assert got == want
+        assert fusion.hybrid(results.filter("false"), status, scores, variants).count() == 0
+
+
+def test_joint_gates(spark):
+    """Every gate met, then each failed by one row; empty tables meet none."""
+    def frames(bad=None):
+        conversions = [("a", 2, 2), ("b", 1, 0 if bad == "adapter_conversion" else 1)]
+        evidence = [(True,), (None if bad == "contract_validation" else True,)]
+        cases = [(1, "x"), (2, "x"), (3, "x" if bad == "eval_structure" else "y")]
+        held = [("d", i) for i in range(1, 3 if bad == "case_availability" else 4)]
+        checked = [(True,)] * (2 if bad == "end_to_end_execution" else 3)
+        c = spark.createDataFrame(cases, "case_id long, category string")
+        available = evaluation.case_availability(c, spark.createDataFrame([(i, "d", i) for i in (1, 2, 3, 3)], "case_id long, source string, id long"), spark.createDataFrame(held, "source string, id long"))
+        return spark.createDataFrame(conversions, "source string, input long, converted long"), spark.createDataFrame(evidence, "valid boolean"), c, available, spark.createDataFrame(checked, "passed boolean")
+
+    for bad in [None, *evaluation.REPORT_GATES]:
+        got = {r["gate"]: r["passed"] for r in evaluation.joint_gates(*frames(bad), {"x": 2, "y": 1}, 3).collect()}
+        assert got == {g: g != bad for g in evaluation.REPORT_GATES} | {"overall": bad is None}
+    empty = [f.filter("false") for f in frames()]
+    assert not any(r["passed"] for r in evaluation.joint_gates(*empty, {"x": 2, "y": 1}, 3).collect())
+
+
 def test_reciprocal_ranks(spark):
     df = spark.createDataFrame([(1, 5, 1), (1, 5, 2), (1, 6, 1)], "query_id long, chunk_id long, rank long")
     got = {r["chunk_id"]: r["rrf"] for r in fusion.reciprocal_ranks(df).collect()}
