@@ -168,6 +168,18 @@ def nfkc(c: pd.Series) -> pd.Series:
     return c.fillna("").map(lambda x: unicodedata.normalize("NFKC", x))
 
 
+@F.pandas_udf(T.StringType())
+def normalise_evidence(c: pd.Series) -> pd.Series:
+    """Case folding, white space collapsed and trimmed, no NFKC; null is empty."""
+    return c.fillna("").map(lambda x: " ".join(x.casefold().split()))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def normalise_quotes(c: pd.Series) -> pd.Series:
+    """The same for each of an array's texts."""
+    return c.map(lambda texts: [" ".join((x or "").casefold().split()) for x in texts])
+
+
 @F.pandas_udf(T.StringType())
 def normalise_text(c: pd.Series) -> pd.Series:
     """NFKC, case folding, white space collapsed and trimmed; null is empty."""

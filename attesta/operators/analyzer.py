@@ -13,9 +13,9 @@ MOMENT_DIGITS = 4
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """(column, non_null, distinct_values, least, most, mean, deviation) of every column; moments of numeric ones only. One pass.
+    """(column, non_null, distinct_values, least, most, total, mean, deviation) of every column; moments of numeric ones only. One pass.
 
-    Mean and deviation have ``MOMENT_DIGITS`` places: sums of doubles depend on the order of rows in their last digits.
+    Total, mean and deviation have ``MOMENT_DIGITS`` places: sums of doubles depend on the order of rows in their last digits.
     """
     own, names = [], []
     for c in df.schema:
@@ -24,7 +24,7 @@ def profile(df: DataFrame) -> DataFrame:
         number = x.cast("double") if names[-1][1] else F.lit(None).cast("double")
         own.append(F.struct(
             F.lit(c.name).alias("column"), F.count(x).alias("non_null"), F.count_distinct(x.cast("string")).alias("distinct_values"),
-            F.min(number).alias("least"), F.max(number).alias("most"), F.round(F.avg(number), MOMENT_DIGITS).alias("mean"), F.round(F.stddev_samp(number), MOMENT_DIGITS).alias("deviation"),
+            F.min(number).alias("least"), F.max(number).alias("most"), F.round(F.sum(number), MOMENT_DIGITS).alias("total"), F.round(F.avg(number), MOMENT_DIGITS).alias("mean"), F.round(F.stddev_samp(number), MOMENT_DIGITS).alias("deviation"),
         ))
     return df.agg(F.array(*own).alias("p")).select(F.inline("p"))
 

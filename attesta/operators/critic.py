@@ -85,8 +85,17 @@ def report(findings: DataFrame) -> DataFrame:
     return findings.groupBy("check_name", "severity").agg(F.count("*").alias("n")).withColumn("ordinal", place)
 
 
-def should_refuse(findings: DataFrame) -> DataFrame:
-    return findings.agg(F.count_if(F.col("severity") == "block").alias("blocks"), F.count_if(F.col("severity") == "warn").alias("warns")).withColumn("should_refuse", F.col("blocks") > 0)
+def should_refuse(findings: DataFrame, required: tuple[str, ...] = (), sources: DataFrame | None = None) -> DataFrame:
+    """(blocks, warns, infos, missing, should_refuse): one row; ``missing`` are the required kinds that no row of ``sources`` (source_kind) has."""
+    n = lambda severity: F.count_if(F.col("severity") == severity)
+    counts = findings.agg(n("block").alias("blocks"), n("warn").alias("warns"), n("info").alias("infos"))
+    wanted = F.array(*map(F.lit, required)).cast("array<string>")
+    if sources is None:
+        out = counts.withColumn("missing", wanted)
+    else:
+        held = sources.filter(F.col("source_kind").isin(*required)).agg(F.collect_set("source_kind").alias("held"))
+        out = counts.join(F.broadcast(held)).withColumn("missing", F.array_except(wanted, F.col("held"))).drop("held")  # one row each
+    return out.withColumn("should_refuse", (F.col("blocks") > 0) | (F.size("missing") > 0))
 
 
 def normalise_review(reviews: DataFrame) -> DataFrame:

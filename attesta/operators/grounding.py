@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -10,10 +10,6 @@ from ..functions import text
 LEAST_SUPPORT, MOST_CLAIMS, LEAST_QUOTE, MOST_TEXT = 0.12, 12, 8, 1200
 
 
-def _squeezed(c: Column) -> Column:
-    return text.normalise_lower(c)
-
-
 def validate_claims(claims: DataFrame, references: DataFrame, least: float = LEAST_SUPPORT, most: int = MOST_CLAIMS) -> DataFrame:
     """(answer_id, claim, accepted, reason, citations, provenance_only) of an answer's first ``most`` claims.
 
@@ -35,7 +31,9 @@ def validate_claims(claims: DataFrame, references: DataFrame, least: float = LEA
     cited = own.filter("reason is null").select("answer_id", "claim", "text", "quotes", F.explode(F.array_distinct("citation_ids")).alias("citation_id"))
     met = cited.join(references, ["answer_id", "citation_id"])
     ids = F.size(F.array_except(text.required_identifiers(F.col("text")), text.ascii_tokens(F.col("content")))) == 0
-    quoted = F.exists(F.coalesce("quotes", F.array().cast("array<struct<citation_id:int,quote:string>>")), lambda q: (q["citation_id"] == F.col("citation_id")) & (F.length(F.trim(q["quote"])) >= LEAST_QUOTE) & F.contains(_squeezed(F.col("content")), _squeezed(q["quote"])))
+    own_quotes = F.filter(F.coalesce("quotes", F.array().cast("array<struct<citation_id:int,quote:string>>")), lambda q: (q["citation_id"] == F.col("citation_id")) & (F.length(F.trim(q["quote"])) >= LEAST_QUOTE))
+    met = met.withColumn("said", text.normalise_quotes(F.transform(own_quotes, lambda q: q["quote"]))).withColumn("folded", text.normalise_evidence(F.col("content")))
+    quoted = F.exists("said", lambda q: F.contains(F.col("folded"), q))
     enough = text.lexical_support(F.col("text"), F.col("content")) >= least
     good = met.withColumn("basis", F.when(ids & enough, "lexical_support").when(ids & quoted, "verbatim_quote_provenance")).filter("basis is not null")
     kept = good.groupBy("answer_id", "claim").agg(F.sort_array(F.collect_set("citation_id")).alias("citations"), F.bool_or(F.col("basis") == "verbatim_quote_provenance").alias("provenance_only"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import queryplan, text
-from ..operators import analyzer, budget, critic, dense, evaluation, evidence, feeds, fusion, governance, grounding, ingest, lexical
+from ..operators import analyzer, budget, critic, dense, entailment, evaluation, evidence, feeds, fusion, governance, grounding, ingest, lexical
 from ..sources import tables
 from ..sources.tables import table
 from ..streaming import events as streams
@@ -430,6 +430,52 @@ def entailed_claims(spark: SparkSession, d: str) -> DataFrame:
     return grounding.apply_verdicts(own, given).select("answer_id", "claim", "verdict", "entailed")
 
 
+@query("""WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE role = 'assistant'), u AS (SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE role = 'system') AS s FROM conversations GROUP BY 1),
+v AS (SELECT conv_id, turn, i, CASE WHEN length(text) > 120 THEN 'entailed' WHEN contains(text, ',') THEN 'not_entailed' ELSE 'uncertain' END AS verdict, CASE WHEN s > 0 THEN 'not_json' WHEN n > 6 THEN 'incomplete' END AS error FROM t JOIN u USING (conv_id))
+SELECT conv_id AS answer_id, turn AS claim, CASE WHEN error IS NULL THEN verdict END AS verdict, error IS NULL AND verdict = 'entailed' AS accepted, CASE WHEN error IS NOT NULL THEN 'semantic_verifier_error' WHEN verdict <> 'entailed' THEN 'semantic_' || verdict END AS reason, error FROM v""")
+def judged_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Assistants' turns as claims, long ones entailed, those with a comma not; the response about a conversation with a system turn is cut short, that about one of over six turns lacks its first claim."""
+    c = table(spark, d, "conversations")
+    claims = c.filter("role = 'assistant'").select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("claim"), "text")
+    turns = c.groupBy(F.col("conv_id").alias("answer_id")).agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "system").alias("systems"))
+    place = F.row_number().over(Window.partitionBy("answer_id").orderBy("claim")) - 1
+    verdict = F.when(F.length("text") > 120, "Entailed ").when(F.contains("text", F.lit(",")), "not_entailed").otherwise("uncertain")
+    given = claims.withColumn("claim_index", place).join(turns, "answer_id").filter((F.col("turns") <= 6) | (F.col("claim_index") > 0) | (F.col("systems") > 0))
+    listed = given.groupBy("answer_id", "systems").agg(F.to_json(F.struct(F.collect_list(F.struct("claim_index", verdict.alias("verdict"), F.lit("read").alias("reason"))).alias("judgments"))).alias("raw"))
+    fenced = F.concat(F.lit("```json\n"), "raw", F.lit("\n```"))
+    none = turns.filter("turns > 6 and systems = 0").select("answer_id", F.lit('{"judgments": []}').alias("raw")).join(listed, "answer_id", "left_anti")
+    raw = listed.select("answer_id", F.when(F.col("systems") > 0, F.expr("substring(raw, 1, length(raw) - 2)")).otherwise(fenced).alias("raw"))
+    return entailment.judge(claims, raw.unionByName(none))
+
+
+@query("""WITH q AS (SELECT c.conv_id, c.turn, c.text, q.text AS quote, q.turn AS place FROM conversations c LEFT JOIN conversations q ON q.conv_id = c.conv_id AND q.turn = c.turn - 1 AND q.role <> 'system' WHERE c.role = 'assistant')
+SELECT conv_id AS answer_id, turn AS claim, CASE WHEN quote IS NOT NULL THEN 1 ELSE 0 END + 1 AS items, sha256(coalesce(substr(quote, 1, 200) || '|', '') || substr(text, 1, 200)) AS evidence FROM q""")
+def entailment_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Assistants' turns as claims that cite the user's turn before, quoted, and themselves, and a turn that is none."""
+    c = table(spark, d, "conversations")
+    claims = c.filter("role = 'assistant'").select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("claim"), "text", F.array(F.col("turn") - 1, F.col("turn"), F.lit(-5)).alias("citations"))
+    users = c.filter("role = 'user'").select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("citation_id"), "text")
+    quotes = users.select("answer_id", (F.col("citation_id") + 1).alias("claim"), "citation_id", F.lit(0).alias("place"), F.col("text").alias("quote"))
+    references = users.select("answer_id", "citation_id", F.lit("unquoted").alias("content")).unionByName(claims.select("answer_id", F.col("claim").alias("citation_id"), F.col("text").alias("content")))
+    found = entailment.cases(claims, quotes, references, 200)
+    return found.select("answer_id", "claim", F.size("evidence").cast("long").alias("items"), F.sha2(F.array_join(F.transform("evidence", lambda e: e["evidence"]), "|"), 256).alias("evidence"))
+
+
+@query("""SELECT (SELECT count(*) FROM events WHERE event_type = 'error' AND value > 95) AS blocks, (SELECT count(*) FROM events WHERE event_type = 'error' AND value <= 95) AS warns, (SELECT count(*) FROM events WHERE event_type <> 'error') AS infos,
+CASE WHEN (SELECT count(*) FROM documents WHERE source = 'src1') = 0 THEN 'src1,' ELSE '' END || 'registry' AS missing, true AS should_refuse""")
+def refusal_of_missing_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Events as findings, errors of a high value blocking ones; documents' sources as kinds, and a required one that no document has."""
+    high = F.when(F.col("event_type") != "error", "info").when(F.col("value") > 95, "block").otherwise("warn")
+    found = critic.should_refuse(table(spark, d, "events").select(high.alias("severity")), ("src1", "registry"), _docs(spark, d).select(F.col("source").alias("source_kind")))
+    return found.withColumn("missing", F.array_join("missing", ","))
+
+
+@query(r"""SELECT doc_id, sha256(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[ \t\n\x0B\f\r\x{85}\x{A0}]+', ' ', 'g'))) AS folded FROM documents""")
+def folded_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' texts as evidence is compared: case folding turns the German sharp s into two."""
+    return _docs(spark, d).select("doc_id", F.sha2(text.normalise_evidence(F.col("text")), 256).alias("folded"))
+
+
 @query("""SELECT conv_id AS answer_id, string_agg(rtrim(split_part(text, chr(10), 1), '。.!? ') || CASE WHEN turn % 2 = 1 THEN ' (limited)' ELSE '' END || '[[' || (turn + 1) || ']]', chr(10) ORDER BY turn) AS answer FROM conversations GROUP BY 1""")
 def rendered_answers(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")

@@ -292,7 +292,7 @@ ORACLES = {
     "messages_per_session": "SELECT conv_id, count(*) FILTER (WHERE role = 'system') AS n FROM conversations GROUP BY conv_id",
     "latest_order": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "profile_columns": " UNION ALL ".join(
-        f"SELECT '{c}' AS column, count({c}) AS non_null, count(DISTINCT {c}) AS distinct_values, min({v})::DOUBLE AS least, max({v})::DOUBLE AS most, round(avg({v}), 4) AS mean, round(stddev_samp({v}), 4) AS deviation FROM lineitem"
+        f"SELECT '{c}' AS column, count({c}) AS non_null, count(DISTINCT {c}) AS distinct_values, min({v})::DOUBLE AS least, max({v})::DOUBLE AS most, round(sum({v}), 4)::DOUBLE AS total, round(avg({v}), 4) AS mean, round(stddev_samp({v}), 4) AS deviation FROM lineitem"
         for c, v in (("l_quantity", "l_quantity"), ("l_discount", "l_discount"), ("l_returnflag", "NULL::DOUBLE"), ("l_linenumber", "l_linenumber"))
     ),
     "trend": """WITH m AS (SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS month, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2),

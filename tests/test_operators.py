@@ -225,6 +225,12 @@ def test_entity_paths_agree(spark, monkeypatch):
     assert governance.entity_hits(texts, names.filter("false")).count() == 0
 
 
+def test_quotes_are_compared_case_folded(spark):
+    claims = spark.createDataFrame([(1, 0, "zzz", [1], [(1, "DIE STRASSE\n ist lang")], None), (1, 1, "zzz", [1], [(1, "ｄie straße ist")], None)], "answer_id long, claim int, text string, citation_ids array<int>, quotes array<struct<citation_id:int,quote:string>>, uncertainty string")
+    references = spark.createDataFrame([(1, 1, "Die  Straße ist lang.")], "answer_id long, citation_id int, content string")
+    assert {r["claim"]: (r["accepted"], r["provenance_only"]) for r in grounding.validate_claims(claims, references).collect()} == {0: (True, True), 1: (False, False)}
+
+
 def test_parties(spark):
     blob = "采购人: （某）甲乙 公司，中标人：乙，供应商:丙丁有限公司；"
     assert tuple(spark.range(1).select(governance.parties(F.lit(blob)).alias("p")).first()[0]) == ("甲乙", "丙丁有限公司")
