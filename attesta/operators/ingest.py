@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
-from . import chunking
+from . import chunking, dense
 
 # page text
 
@@ -104,12 +104,15 @@ def upload_verdicts(files: DataFrame, most: int = 50 << 20) -> DataFrame:
 # manifests
 
 
-def manifest_issues(candidates: DataFrame, least_approved: int = 1) -> DataFrame:
+def manifest_issues(candidates: DataFrame, least_approved: int = 1, require_raw: bool = False) -> DataFrame:
     """(candidate_id, code) of a manifest's faults; the manifest's own has a null id.
 
-    Columns: candidate_id, review_status, license_name, license_url, content_hash, local_path; optionally ``invalid``, whether
-    the candidate breaks a rule of its own (see governance.candidate_error).
+    Columns: candidate_id, review_status, license_name, license_url, content_hash, local_path; optionally ``local_raw_path``, held to the
+    same rules and asked for by ``require_raw``, and ``invalid``, whether the candidate breaks a rule of its own (see governance.candidate_error).
     """
+    raw = F.col("local_raw_path") if "local_raw_path" in candidates.columns else F.lit(None).cast("string")
+    paths = [F.col("local_path"), raw]
+    either = lambda test: test(text.blank(paths[0])) | test(text.blank(paths[1]))
     blank = lambda c: text.blank(F.col(c)) == ""
     approved = F.col("review_status") == "approved"
     valid_hash = text.blank(F.col("content_hash")).rlike("^[0-9a-f]{64}$")
@@ -118,12 +121,13 @@ def manifest_issues(candidates: DataFrame, least_approved: int = 1) -> DataFrame
     })
     rules = F.array(
         F.when(F.col("_copies") > 1, "duplicate_candidate"),
-        F.when(text.blank(F.col("local_path")).startswith("/"), "absolute_path"),
-        F.when(text.blank(F.col("local_path")).rlike(r"(^|/)\.\.(/|$)"), "path_escape"),
-        F.when(~approved & ~blank("local_path"), "unapproved_local_file"),
+        F.when(either(lambda p: p.startswith("/")), "absolute_path"),
+        F.when(either(lambda p: p.rlike(r"(^|/)\.\.(/|$)")), "path_escape"),
+        F.when(~approved & either(lambda p: p != ""), "unapproved_local_file"),
         F.when(approved & (blank("license_name") | blank("license_url")), "missing_license"),
         F.when(approved & ~valid_hash, "invalid_hash"), F.when(approved & valid_hash & (F.col("_n") > 1), "duplicate_content"),
-        F.when(approved & blank("local_path"), "missing_path"), F.when(F.col("invalid"), "invalid_candidate") if "invalid" in candidates.columns else F.lit(None).cast("string"),
+        F.when(approved & blank("local_path"), "missing_path"), F.when(approved & ~blank("local_path") & (text.blank(raw) == "") & F.lit(require_raw), "missing_raw_path"),
+        F.when(F.col("invalid"), "invalid_candidate") if "invalid" in candidates.columns else F.lit(None).cast("string"),
     )
     own = rows.select("candidate_id", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("code")).distinct()
     few = candidates.agg(F.count_if(approved).alias("n")).filter(F.col("n") < least_approved).select(F.lit(None).cast("string").alias("candidate_id"), F.lit("approved_count").alias("code"))
@@ -131,14 +135,21 @@ def manifest_issues(candidates: DataFrame, least_approved: int = 1) -> DataFrame
 
 
 def metadata_issues(candidates: DataFrame, files: DataFrame) -> DataFrame:
-    """(candidate_id, code) of approved candidates whose file (path, meta: map of its front matter) is absent, has no front matter, or another id, hash or address than the candidate."""
+    """(candidate_id, code) of approved candidates whose file (path, meta: map of its front matter) is absent, has no front matter, or another id, hash or address than the candidate, or says that it is synthetic or not whether it is."""
     own = candidates.filter((F.col("review_status") == "approved") & (text.blank(F.col("local_path")) != ""))
     met = own.join(files.select(F.col("path").alias("local_path"), "meta", F.lit(True).alias("found")), "local_path", "left")
     other = lambda c: ~F.try_element_at("meta", F.lit(c)).eqNullSafe(F.col(c))
-    code = F.when(F.col("found").isNull(), "missing_normalized_file").when(F.coalesce(F.size("meta"), F.lit(0)) < 1, "invalid_frontmatter").when(other("candidate_id") | other("content_hash") | other("source_url") | other("license_url"), "metadata_mismatch")
+    code = F.when(F.col("found").isNull(), "missing_normalized_file").when(F.coalesce(F.size("meta"), F.lit(0)) < 1, "invalid_frontmatter").when(other("candidate_id") | other("content_hash") | other("source_url") | other("license_url") | ~F.lower(F.try_element_at("meta", F.lit("is_synthetic"))).eqNullSafe(F.lit("false")), "metadata_mismatch")
     return met.select("candidate_id", code.alias("code")).filter("code is not null")
 
 
+def raw_file_issues(candidates: DataFrame, paths: DataFrame) -> DataFrame:
+    """(candidate_id, code) of approved candidates with a document whose raw file is not among ``paths`` (path)."""
+    own = candidates.filter((F.col("review_status") == "approved") & (text.blank(F.col("local_path")) != "") & (text.blank(F.col("local_raw_path")) != ""))
+    absent = own.join(paths.select(F.col("path").alias("local_raw_path")).distinct(), "local_raw_path", "left_anti")
+    return absent.select("candidate_id", F.lit("missing_raw_file").alias("code")).distinct()
+
+
 def admissible(candidates: DataFrame, done: DataFrame, force: bool = False) -> DataFrame:
     """Approved candidates with a local file that are not done (candidate_id), or all of them by force."""
     ready = candidates.filter((F.col("review_status") == "approved") & (text.blank(F.col("local_path")) != ""))
@@ -313,6 +324,19 @@ def memory_rows(summaries: DataFrame) -> DataFrame:
     return rows.filter("content != ''").select(F.concat("memory_id", "suffix").alias("id"), "user_id", "session_id", "memory_type", "content")
 
 
+def search_memories(queries: DataFrame, memories: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, user_id, rank, score) and the columns of ``memories`` (id, user_id, embedding, …) of each query's k most similar ones of its own user.
+
+    ``queries``: query_id, user_id, embedding. Only rows of one user meet; ties go to the smaller id; a query without a user or
+    a vector finds nothing, a memory without a vector is not found. Each task keeps k rows of a query before they are brought together.
+    """
+    asks = queries.select("query_id", "user_id", F.col("embedding").alias("_asked")).filter("_asked is not null")
+    met = asks.join(memories.filter("embedding is not null"), "user_id").withColumn("score", F.round(dense.cosine(F.col("_asked"), F.col("embedding")), dense.SCORE_DIGITS))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    best = met.drop("_asked", "embedding").withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
+    return best.select("query_id", "user_id", "rank", "score", *[c for c in memories.columns if c not in ("query_id", "user_id", "rank", "score", "embedding")])
+
+
 def memory_context(hits: DataFrame) -> DataFrame:
     """(user_id, context): a user's memories (user_id, rank, memory_type, content) of distinct contents in order of rank, a line each."""
     line = F.when(F.col("memory_type") == "summary", F.concat(F.lit("- 历史对话摘要: "), "content")).when(F.col("memory_type") == "insight", F.concat(F.lit("- 相关知识点: "), "content")).when(F.col("memory_type") == "topics", F.concat(F.lit("- "), "content"))

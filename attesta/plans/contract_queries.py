@@ -286,12 +286,35 @@ _MANIFEST = """m AS (SELECT (doc_id // 2)::VARCHAR AS candidate_id, doc_id, CASE
 c AS (SELECT *, count(*) OVER (PARTITION BY candidate_id) AS copies, row_number() OVER (PARTITION BY st, h ORDER BY candidate_id, doc_id) AS n FROM m)"""
 
 
-@query(f"""WITH {_MANIFEST}, r AS (SELECT candidate_id, unnest([CASE WHEN copies > 1 THEN 'duplicate_candidate' END, CASE WHEN p LIKE '/%' THEN 'absolute_path' END, CASE WHEN p = 'a/../b' THEN 'path_escape' END, CASE WHEN st <> 'approved' AND p <> '' THEN 'unapproved_local_file' END,
-    CASE WHEN st = 'approved' AND nolic THEN 'missing_license' END, CASE WHEN st = 'approved' AND p = '' THEN 'missing_path' END]) AS code FROM c)
+@query(f"""WITH {_MANIFEST}, w AS (SELECT *, row_number() OVER (PARTITION BY st, h ORDER BY candidate_id) AS k FROM c), r AS (SELECT candidate_id, unnest([CASE WHEN copies > 1 THEN 'duplicate_candidate' END, CASE WHEN p LIKE '/%' THEN 'absolute_path' END, CASE WHEN p = 'a/../b' THEN 'path_escape' END, CASE WHEN st <> 'approved' AND p <> '' THEN 'unapproved_local_file' END,
+    CASE WHEN st = 'approved' AND nolic THEN 'missing_license' END, CASE WHEN st = 'approved' AND p = '' THEN 'missing_path' END, CASE WHEN st = 'approved' AND k > 1 THEN 'duplicate_content' END]) AS code FROM w)
 SELECT DISTINCT candidate_id, code FROM r WHERE code IS NOT NULL""")
 def manifest_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Faults of a manifest of documents, two to a candidate; repeated contents are counted in manifest_copies."""
-    return ingest.manifest_issues(_manifest(spark, d), 1).filter("code != 'duplicate_content'")
+    """Faults of a manifest of documents, two to a candidate."""
+    return ingest.manifest_issues(_manifest(spark, d), 1)
+
+
+@query("""SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, c.vec_id) AS rank
+FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 100 = 0 QUALIFY rank <= 5""")
+def memory_search(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as memories of the user of their label; every hundredth asks."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("user_id"), "embedding")
+    return ingest.search_memories(v.filter("id % 100 = 0").withColumnRenamed("id", "query_id"), v).select("query_id", "id", "score", "rank")
+
+
+@query("""WITH b AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, c.vec_id) AS rank
+  FROM embeddings q JOIN embeddings c ON q.label = c.label JOIN documents ON doc_id = c.vec_id WHERE q.vec_id % 100 = 0 QUALIFY rank <= 3),
+l AS (SELECT query_id, rank, text, CASE WHEN lang = 'en' THEN '- 历史对话摘要: ' WHEN lang = 'de' THEN '- 相关知识点: ' ELSE '- ' END || text AS line FROM b JOIN documents ON doc_id = id),
+o AS (SELECT query_id, min(rank) AS rank, arg_min(line, rank) AS line FROM l GROUP BY query_id, text)
+SELECT query_id, sha256('[相关历史记忆]' || chr(10) || string_agg(line, chr(10) ORDER BY rank)) AS context FROM o GROUP BY query_id""")
+def memory_answers(spark: SparkSession, d: str) -> DataFrame:
+    """The context of the three nearest memories: documents' texts with the vector of their id, English ones summaries, German ones insights."""
+    kind = F.when(F.col("lang") == "en", "summary").when(F.col("lang") == "de", "insight").otherwise("topics")
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("user_id"), "embedding")
+    held = v.join(_docs(spark, d).select(F.col("doc_id").alias("id"), kind.alias("memory_type"), F.col("text").alias("content")), "id")
+    found = ingest.search_memories(v.filter("id % 100 = 0").withColumnRenamed("id", "query_id"), held, 3)
+    context = ingest.memory_context(found.select(F.col("query_id").alias("user_id"), "rank", "memory_type", "content"))
+    return context.select(F.col("user_id").alias("query_id"), F.sha2("context", 256).alias("context"))
 
 
 def _manifest(spark: SparkSession, d: str) -> DataFrame:
@@ -324,9 +347,9 @@ def candidate_counts(spark: SparkSession, d: str) -> DataFrame:
 SELECT DISTINCT candidate_id, CASE WHEN f.id IS NULL THEN 'missing_normalized_file' ELSE 'metadata_mismatch' END AS code FROM m LEFT JOIN f ON 'p' || m.candidate_id = 'p' || f.id AND candidate_id::BIGINT % 3 = 0 WHERE st = 'approved' AND (f.id IS NULL OR candidate_id::BIGINT % 2 = 1)""")
 def manifest_files(spark: SparkSession, d: str) -> DataFrame:
     """Approved candidates whose file is absent or says something else than the manifest."""
-    own = _manifest(spark, d).filter("review_status = 'approved'").withColumn("local_path", F.concat(F.lit("p"), "candidate_id"))
+    own = _manifest(spark, d).filter("review_status = 'approved'").withColumn("local_path", F.concat(F.lit("p"), "candidate_id")).withColumn("is_synthetic", F.lit("false"))
     whose = F.col("candidate_id").cast("long")
-    meta = F.map_from_entries(F.array(*[F.struct(F.lit(c).alias("k"), F.when((whose % 2 == 1) & (F.lit(c) == "source_url"), "other").otherwise(F.col(c)).alias("v")) for c in ("candidate_id", "content_hash", "source_url", "license_url")]))
+    meta = F.map_from_entries(F.array(*[F.struct(F.lit(c).alias("k"), F.when((whose % 2 == 1) & (F.lit(c) == "source_url"), "other").otherwise(F.col(c)).alias("v")) for c in ("candidate_id", "content_hash", "source_url", "license_url", "is_synthetic")]))
     files = own.filter(whose % 3 == 0).withColumn("content_hash", F.col("content_hash")).select(F.col("local_path").alias("path"), meta.alias("meta")).dropDuplicates(["path"])
     return ingest.metadata_issues(own.dropDuplicates(["candidate_id"]), files).distinct()
 

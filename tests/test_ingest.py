@@ -61,6 +61,32 @@ def test_manifest(spark):
     assert [r["candidate_id"] for r in ingest.admissible(df, done).collect()] == ["2"]
 
 
+def test_manifest_of_raw_files(spark):
+    """Raw paths are held to the rules of the others and asked for on request; a file that calls itself synthetic, or says nothing of it, is a mismatch."""
+    h = "a" * 64
+    rows = [("1", "approved", "d/1.md", "r/1"), ("2", "approved", "d/2.md", None), ("3", "approved", "d/3.md", "../r"), ("4", "pending", None, "/r"), ("5", "approved", None, None)]
+    df = spark.createDataFrame([(i, s, "l", "u", h[:-1] + i, p, r, "s") for i, s, p, r in rows], "candidate_id string, review_status string, license_name string, license_url string, content_hash string, local_path string, local_raw_path string, source_url string")
+    want = {("3", "path_escape"), ("4", "absolute_path"), ("4", "unapproved_local_file"), ("5", "missing_path")}
+    assert {tuple(r) for r in ingest.manifest_issues(df).collect()} == want
+    assert {tuple(r) for r in ingest.manifest_issues(df, require_raw=True).collect()} == want | {("2", "missing_raw_path")}
+    assert {tuple(r) for r in ingest.raw_file_issues(df, spark.createDataFrame([("r/1",), ("r/1",)], "path string")).collect()} == {("3", "missing_raw_file")}
+    meta = lambda i, **more: {"candidate_id": i, "content_hash": h[:-1] + i, "source_url": "s", "license_url": "u"} | more
+    files = spark.createDataFrame([("d/1.md", meta("1", is_synthetic="False")), ("d/2.md", meta("2")), ("d/3.md", meta("3", is_synthetic="true"))], "path string, meta map<string,string>")
+    assert {tuple(r) for r in ingest.metadata_issues(df, files).collect()} == {("2", "metadata_mismatch"), ("3", "metadata_mismatch")}
+
+
+def test_memory_search(spark):
+    """A user's own memories alone, ties by id; no user or no vector finds and is nothing; equal contents are one line."""
+    memories = spark.createDataFrame([
+        (1, 7, [1.0, 0.0], "summary", "a"), (2, 7, [1.0, 0.0], "insight", "a"), (3, 7, [0.0, 1.0], "topics", "b"), (4, 8, [1.0, 0.0], "topics", "c"), (5, None, [1.0, 0.0], "topics", "d"), (6, 7, None, "topics", "e"), (8, 7, [0.0, 0.0], "odd", "f"),
+    ], "id long, user_id long, embedding array<double>, memory_type string, content string")
+    queries = spark.createDataFrame([(1, 7, [1.0, 0.1]), (2, None, [1.0, 0.0]), (3, 8, None), (4, 9, [1.0])], "query_id long, user_id long, embedding array<double>")
+    found = ingest.search_memories(queries, memories, 4)
+    assert [(r["query_id"], r["rank"], r["id"]) for r in found.orderBy("query_id", "rank").collect()] == [(1, 1, 1), (1, 2, 2), (1, 3, 3), (1, 4, 8)]
+    assert [r["context"] for r in ingest.memory_context(found).collect()] == ["[相关历史记忆]\n- 历史对话摘要: a\n- b"]
+    assert ingest.search_memories(queries.filter("false"), memories).count() == 0
+
+
 @pytest.mark.parametrize("source, want", [
     ('{"a": 1}', {"a": 1}), ('x ```json\n{"a": [1, 2,],}\n``` y', {"a": [1, 2]}), ('say {a: 1, // no\n "u": "http://x//y"} ok', {"a": 1, "u": "http://x//y"}),
     ('{"a": "\\[x"}', {"a": "[x"}), ("none", None), (None, None), ('{"a": "b: c, d: e"}', {"a": "b: c, d: e"}),
