@@ -94,11 +94,11 @@ def passes_strict(score: Column) -> Column:
     return score.isNull() | (score > 0)
 
 
-def focus_coverage(focus: Column, content: Column) -> Column:
-    """Share of the phrases that occur in the content after white space is collapsed."""
+def focus_coverage(focus: Column, content: Column, as_given: bool = False) -> Column:
+    """Share of the phrases that occur in the content after white space is collapsed, in the phrases too unless they are taken ``as_given``."""
     squeeze = lambda c: F.lower(F.regexp_replace(c, r"\s+", " "))
     text = squeeze(blank(content))
-    return F.when(F.size(focus) > 0, F.size(F.filter(focus, lambda t: F.contains(text, squeeze(t)))) / F.size(focus)).otherwise(0.0)
+    return F.when(F.size(focus) > 0, F.size(F.filter(focus, lambda t: F.contains(text, F.lower(t) if as_given else squeeze(t)))) / F.size(focus)).otherwise(0.0)
 
 
 def support_tokens(c: Column) -> Column:

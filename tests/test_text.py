@@ -100,3 +100,9 @@ def test_html_whole_text(one, spark, tmp_path):
 def test_citations(one):
     assert one(text.strip_citations(C("t"), C("n")), t="a [[1]] b [[9]]", n=2) == "a [[1]] b "
     assert one(text.citation_markers(C("t")), t="a [[E1]] b [E2]") == ["E1", "E2"]
+
+
+def test_focus_phrases_as_given(one):
+    focus, content = F.array(F.lit("Le\nun"), F.lit("DE")), C("v")
+    assert one(text.focus_coverage(focus, content), v="de  le un") == 1.0
+    assert one(text.focus_coverage(focus, content, as_given=True), v="de  le un") == 0.5
