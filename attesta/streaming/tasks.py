@@ -7,13 +7,17 @@ without an event of its own: a retry comes back to the queue when its wait is ov
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .folds import in_order
+
 TERMINAL = ("succeeded", "failed", "cancelled")
 TRANSITIONS = "task_id string, at timestamp, event string, state string, attempt long"
 
@@ -62,13 +66,16 @@ class Machine:
             return False
         return True
 
+    def step(self, t: float, event: str) -> list[tuple[float, str, str, int]]:
+        """Transitions (time, event, state, attempt) of the deadlines up to an event, and of the event."""
+        out = [(at, name, self.state, self.attempt) for at, name in self.due(t)]
+        return [*out, (t, event, self.state, self.attempt)] if self.take(t, event) else out
+
     def run(self, events: list[tuple[float, str]], until: float | None = None) -> list[tuple[float, str, str, int]]:
         """Transitions (time, event, state, attempt) of events in order, and of deadlines up to ``until``."""
         out = []
         for t, event in sorted(events):
-            out += [(at, name, self.state, self.attempt) for at, name in self.due(t)]
-            if self.take(t, event):
-                out.append((t, event, self.state, self.attempt))
+            out += self.step(t, event)
         if until is not None:
             out += [(at, name, self.state, self.attempt) for at, name in self.due(until)]
         return out
@@ -82,6 +89,23 @@ def _rows(task: str, found: list[tuple[float, str, str, int]]) -> pd.DataFrame:
     })
 
 
+class _OnTable:
+    """A task whose events come in order of time, in microseconds."""
+
+    def __init__(self, retries: int, base: float, visible: float, until: float | None):
+        self.machine, self.until = Machine(retries, base, visible), until
+
+    def take(self, at: int | None, event: str) -> list[tuple]:
+        return self._micros(self.machine.step(float("nan") if at is None else at / 1e6, event))
+
+    def end(self) -> list[tuple]:
+        return [] if self.until is None else self._micros([(at, name, self.machine.state, self.machine.attempt) for at, name in self.machine.due(self.until)])
+
+    @staticmethod
+    def _micros(found: list[tuple[float, str, str, int]]) -> list[tuple]:
+        return [(None if at != at else round(at * 1e6), *rest) for at, *rest in found]
+
+
 class _OnStream(StatefulProcessor):
     def __init__(self, retries: int, base: float, visible: float):
         self.options = (retries, base, visible)
@@ -136,11 +160,10 @@ def transitions(events: DataFrame, retries: int = 2, base: float = 1.0, visible:
         stateful = rows.withWatermark("ts", late).groupBy("task_id").transformWithStateInPandas(_OnStream(retries, base, visible), TRANSITIONS, "Append", "EventTime")
         return stateful
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = [(t.timestamp(), e) for t, e in zip(pdf["ts"], pdf["event"], strict=True)]
-        return _rows(pdf["task_id"].iloc[0], Machine(retries, base, visible).run(own, until))
-
-    return rows.groupBy("task_id").applyInPandas(fold, TRANSITIONS)
+    timed = rows.select(F.col("task_id").cast("string").alias("task_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event")
+    out = pa.schema([("task_id", pa.string()), ("at", pa.int64()), ("event", pa.string()), ("state", pa.string()), ("attempt", pa.int64())])
+    moved = in_order(timed, ["at", "event"], functools.partial(_OnTable, retries, base, visible, until), out, "task_id string, at long, event string, state string, attempt long")
+    return moved.withColumn("at", F.timestamp_micros("at"))
 
 
 # deliveries
