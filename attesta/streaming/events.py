@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .folds import in_order
+
 STATES = ["queued", "running", "retrying", "succeeded", "failed", "cancelled"]
 TERMINAL = ["succeeded", "failed", "cancelled"]
 
@@ -129,50 +131,69 @@ def _advance(row: dict, event: str, t: float, most: int, base: float) -> dict:
     return row
 
 
+class _Task:
+    """One task's state after its events so far."""
+
+    def __init__(self, most: int, base: float, visible: float):
+        self.options, self.visible = (most, base), visible
+        self.row = {"state": "queued", "attempt": 0, "due": 0.0, "since": 0.0}
+
+    def take(self, at: int | None, event: str) -> list[tuple]:
+        t = float("nan") if at is None else at / 1e6
+        if self.row["state"] == "running" and t - self.row["since"] > self.visible:
+            self.row = _advance(self.row, "timeout", self.row["since"] + self.visible, *self.options)
+        self.row = _advance(self.row, event, t, *self.options)
+        return []
+
+    def end(self) -> list[tuple]:
+        return [(self.row["state"], self.row["attempt"], self.row["due"])]
+
+
 def task_states(events: DataFrame, most: int = 3, base: float = 1.0, visible: float = 960.0) -> DataFrame:
     """(task_id, state, attempt, due): each task after its events (task_id, ts, event) in order of time.
 
     Events: start, success, failure, timeout, cancel. A task that runs longer than ``visible`` seconds when its
     next event comes has timed out before it. A failed attempt waits ``base * 2 ** (attempt - 1)`` seconds.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = {"state": "queued", "attempt": 0, "due": 0.0, "since": 0.0}
-        for e, ts in pdf.sort_values(["ts", "event"])[["event", "ts"]].itertuples(index=False):
-            t = ts.timestamp()
-            if row["state"] == "running" and t - row["since"] > visible:
-                row = _advance(row, "timeout", row["since"] + visible, most, base)
-            row = _advance(row, e, t, most, base)
-        return pd.DataFrame([{"task_id": pdf["task_id"].iloc[0], "state": row["state"], "attempt": row["attempt"], "due": row["due"]}])
-
-    return events.groupBy("task_id").applyInPandas(fold, "task_id string, state string, attempt long, due double")
+    rows = events.select(F.col("task_id").cast("string").alias("task_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event")
+    out = pa.schema([("task_id", pa.string()), ("state", pa.string()), ("attempt", pa.int64()), ("due", pa.float64())])
+    return in_order(rows, ["at", "event"], functools.partial(_Task, most, base, visible), out, "task_id string, state string, attempt long, due double")
 
 
 # research phases, fixed order
 PHASES = ["init", "planning", "researching", "analyzing", "writing", "reviewing", "completed"]
 
 
+class _Session:
+    """One session's phase after its events so far."""
+
+    def __init__(self, iterations: int):
+        self.iterations, self.phase, self.turns = iterations, "init", 0
+
+    def take(self, n: int, event: str) -> list[tuple]:
+        if self.phase in ("completed", "cancelled"):
+            return []
+        if event == "cancel":
+            self.phase = "cancelled"
+        elif event in ("revise", "research") and self.phase == "reviewing":
+            self.turns += 1
+            self.phase = "completed" if self.turns >= self.iterations else {"revise": "writing", "research": "researching"}[event]
+        elif event == "next":
+            self.phase = PHASES[PHASES.index(self.phase) + 1]
+        return []
+
+    def end(self) -> list[tuple]:
+        return [(self.phase, self.turns)]
+
+
 def phase_machine(events: DataFrame, iterations: int = 3) -> DataFrame:
     """(session_id, phase, iteration): sessions after their events (session_id, n, event: next, revise, research, cancel).
 
     revise and research go back from reviewing to writing or researching, ``iterations`` times at most.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        phase, turns = "init", 0
-        for e in pdf.sort_values("n")["event"]:
-            if phase in ("completed", "cancelled"):
-                break
-            if e == "cancel":
-                phase = "cancelled"
-            elif e in ("revise", "research") and phase == "reviewing":
-                turns += 1
-                phase = "completed" if turns >= iterations else {"revise": "writing", "research": "researching"}[e]
-            elif e == "next":
-                phase = PHASES[PHASES.index(phase) + 1]
-        return pd.DataFrame([{"session_id": pdf["session_id"].iloc[0], "phase": phase, "iteration": turns}])
-
-    return events.groupBy("session_id").applyInPandas(fold, "session_id long, phase string, iteration long")
+    rows = events.select(F.col("session_id").cast("long").alias("session_id"), "n", "event")
+    out = pa.schema([("session_id", pa.int64()), ("phase", pa.string()), ("iteration", pa.int64())])
+    return in_order(rows, ["n"], functools.partial(_Session, iterations), out, "session_id long, phase string, iteration long")
 
 
 def into_table(stream: DataFrame, key: list[str], path: str, checkpoint: str, late: str = "1 day", time: str = "ts"):

@@ -88,3 +88,18 @@ def test_split_rate_limit_equals_the_fold(spark, limit):
     assert {r["event_id"]: r["accepted"] for r in events.rate_limit(df, limit, 60.0).collect()} == want
     sizes = [r["count"] for r in tasks.runs(df, 60.0).groupBy("key", "run").count().collect()]
     assert max(sizes) < 60 and len(sizes) > 50  # the hot key alone has 280 events
+
+
+@pytest.mark.parametrize("fold", [lambda e: tasks.transitions(e, 1, 5.0, 60.0), lambda e: events.task_states(e, 2, 5.0, 60.0)])
+def test_tasks_are_folded_in_one_pass(spark, fold):
+    rng = random.Random(11)
+    base = datetime(2024, 1, 1)
+    rows = [(f"t{rng.randrange(60)}" if i % 40 else None, base + timedelta(seconds=rng.randrange(600)), rng.choice(["start", "start", "failure", "success", "cancel"])) for i in range(400)]
+    rows += [("hot", base + timedelta(seconds=i), rng.choice(["start", "failure"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "task_id string, ts timestamp, event string")
+    got = fold(df)
+    assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()  # a Python call for each task took over an hour for six million events
+    alone = [sorted(map(str, fold(df.filter(F.col("task_id").eqNullSafe(F.lit(t)))).collect())) for t in ("t1", "t2", "hot", None)]
+    all_rows = [r for r in got.collect()]
+    assert alone == [sorted(str(r) for r in all_rows if r["task_id"] == t) for t in ("t1", "t2", "hot", None)]
+    assert {r["task_id"] for r in fold(df).collect()} <= {r[0] for r in rows}
