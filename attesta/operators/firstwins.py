@@ -9,8 +9,12 @@ Every text has a prefix of its rarest words, so long that two similar texts shar
   is kept; each word leads to one such text at most, so the texts it meets are as many as there are postings. A group of any number of
   near copies goes in one round, without a pair of copies being formed.
 * *edge rounds*: once no word has more than ``SHORT_LIST`` undecided holders, or leading rounds settle little, the similar pairs of those that
-  are left are found by length and position bounds and checked, and texts without an undecided neighbour before them are kept,
-  round by round. The number of rounds is that of the longest chain in which a text waits for the one before.
+  are left are found and checked, and texts without an undecided neighbour before them are kept, round by round. The number of
+  rounds is that of the longest chain in which a text waits for the one before.
+
+Pairs are never formed from the list of a frequent word. Prefixes are one word longer than one common word asks for, so that similar texts that
+need two common words at least share two there: one with at most ``RARE`` holders, on whose list they meet, or two frequent
+ones, on whose joint list they do. Length, position and a 256-bit mark of the words drop most pairs before their words are compared.
 
 Results are exact and do not depend on how many rounds of which kind there are.
 """
@@ -27,6 +31,8 @@ from ..sources.tables import settle
 
 LEAST = 0.8
 SHORT_LIST = 256  # undecided holders of a word up to which pairs are formed
+RARE = 32  # undecided holders of a word up to which its list alone forms pairs
+MARKS = 4  # longs of a text's mark
 SLOW = 20  # leading rounds end when one settles less than one in so many
 
 
@@ -36,33 +42,80 @@ def _similar(a, b, least: Fraction):
     return (shared > 0) & (least.denominator * shared >= least.numerator * (F.size(a) + F.size(b) - shared))
 
 
+def _marks() -> list:
+    """m0, m1, ...: a bit for each word of ``s``."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))
+    part = lambda i: F.filter("s", lambda x: F.pmod(F.shiftright(x, 6), F.lit(MARKS)) == i)
+    return [F.aggregate(part(i), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(bit(x))).alias(f"m{i}") for i in range(MARKS)]
+
+
 def _prefixes(sets: DataFrame, least: Fraction) -> DataFrame:
-    """(id, n, token, place): the rarest words of each set, from place 0; two similar sets share one of them."""
+    """(id, n, token, place, core): the rarest words of each set, from place 0; two similar sets share one of the ``core`` ones, and one more of all if they need two."""
     held = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("token"))
     df = held.groupBy("token").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "token")) - 1
     length = F.col("n") - F.ceil(F.lit(least.numerator) * F.col("n") / F.lit(least.denominator) - 1e-9) + 1
-    return held.join(df, "token").withColumn("place", place).filter(F.col("place") < length).select("id", "n", "token", "place")
+    return held.join(df, "token").withColumn("place", place).filter(F.col("place") <= length).select("id", "n", "token", "place", (F.col("place") < length).alias("core"))
 
 
 def _sized(a: str, b: str, least: Fraction):
     return F.least(a, b) * least.denominator >= F.greatest(a, b) * least.numerator
 
 
-def _edges(prefix: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+def _needed(least: Fraction):
+    """How many words similar sets of ``na`` and ``nb`` have in common at least."""
+    return F.ceil(F.lit(least.numerator) * (F.col("na") + F.col("nb")) / F.lit(least.numerator + least.denominator) - 1e-9)
+
+
+def _room(shared: int):
+    """How many words two sets can have in common, of which ``shared`` come before the places ``pa`` and ``pb``."""
+    return shared + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+
+
+def _marked():
+    """How many words two sets can have in common by their marks."""
+    lost = lambda x, y: sum(F.bit_count(F.col(f"m{i}{x}").bitwiseAND(F.bitwise_not(F.col(f"m{i}{y}")))) for i in range(MARKS))
+    return F.least(F.col("na") - lost("a", "b"), F.col("nb") - lost("b", "a"))
+
+
+def _sides(rows: DataFrame) -> list[DataFrame]:
+    """``rows`` with columns named for the first and for the second set of a pair, but for ``token``."""
+    own = {"id": "", "n": "n", "place": "p"} | {f"m{i}": f"m{i}" for i in range(MARKS)}
+    return [rows.select(*[F.col(c).alias(f"{own[c]}{x}" if c in own else c) for c in rows.columns]) for x in "ab"]
+
+
+def _edges(prefix: DataFrame, sets: DataFrame, least: Fraction, rare: int = RARE) -> DataFrame:
     """(a, b), a < b, of similar sets."""
-    x, y = (prefix.select("token", F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("place").alias(f"p{i}")) for i in "ab")
-    met = x.join(y, "token").filter((F.col("a") < F.col("b")) & _sized("na", "nb", least))
-    first = met.groupBy("a", "b", "na", "nb").agg(F.min("pa").alias("pa"), F.min("pb").alias("pb"))
-    room = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    need = F.lit(least.numerator) * (F.col("na") + F.col("nb")) / F.lit(least.numerator + least.denominator)
-    pairs = first.filter(room >= need - 1e-9).select("a", "b")
+    need, before = _needed(least), F.col("a") < F.col("b")
+    often = settle(prefix.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > rare).select("token"), "often")
+    marks = settle(sets.select("id", *_marks()), "marks")
+    seldom = prefix.join(often, "token", "left_anti").select("id", "n", "token", "place").join(marks, "id")
+    x, y = _sides(seldom)
+    alone = x.hint("merge").join(y, "token").filter(before & _sized("na", "nb", least) & (_room(1) >= need) & (_marked() >= need)).select("a", "b")
+
+    frequent = settle(prefix.join(often, "token", "left_semi"), "frequent")
+    two = frequent.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("t"))
+    first = two.select("id", "n", "t", F.posexplode("t").alias("i", "one"))
+    second = first.select("id", "n", "one", F.explode(F.slice("t", F.col("i") + 2, F.greatest(F.size("t") - F.col("i") - 1, F.lit(0)))).alias("other"))
+    x, y = _sides(second.select("id", "n", F.xxhash64("one.token", "other.token").alias("token"), F.col("other.place").alias("place")))
+    # exploded rows are many more than the size of the files tells, so neither side is broadcast
+    joint = x.hint("merge").join(y, "token").filter(before & _sized("na", "nb", least) & (_room(1) >= need)).select("a", "b", "na", "nb").distinct()
+    x, y = _sides(marks)
+    joint = joint.hint("merge").join(x, "a").join(y, "b").filter(_marked() >= need).select("a", "b")
+
+    # sets so small that one common word makes them similar: the smaller one has at most half of the words that such two have
+    most = (least.numerator + least.denominator) // least.numerator
+    small = frequent.filter(F.col("n") < most).select("id", "n", "token", "place")
+    x, y = _sides(small)
+    few = x.filter(F.col("na") <= most // 2).join(y, "token").filter((F.col("a") != F.col("b")) & (F.col("na") + F.col("nb") <= most) & _sized("na", "nb", least))
+    pairs = alone.unionByName(joint).unionByName(few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     return both.filter(_similar(F.col("sa"), F.col("sb"), least)).select("a", "b")
 
 
 def _leading_round(prefix: DataFrame, sets: DataFrame, least: Fraction) -> tuple[DataFrame, DataFrame]:
     """(id) of texts that are kept, and of those that these drop."""
+    prefix = prefix.filter("core")
     first = prefix.groupBy("token").agg(F.min("id").alias("first"))
     led = prefix.join(first, "token")
     free = led.groupBy("id").agg(F.max(F.col("first") != F.col("id")).alias("waits")).filter(~F.col("waits")).select("id")
@@ -80,7 +133,7 @@ class Filtered:
         self.rows, self.leading, self.edge = rows, leading, edge
 
 
-def first_wins(texts: DataFrame, least: float = LEAST, short: int = SHORT_LIST) -> Filtered:
+def first_wins(texts: DataFrame, least: float = LEAST, short: int = SHORT_LIST, rare: int = RARE) -> Filtered:
     """The texts (id, text) with ``kept``: no kept text of a smaller id has a similarity of ``least`` or more.
 
     A null or blank text is similar to none and kept. Rows that repeat an id and its words count once; an id with
@@ -98,7 +151,7 @@ def first_wins(texts: DataFrame, least: float = LEAST, short: int = SHORT_LIST)
     kept, gone, leading, edge = [], [], 0, 0
 
     left = prefix.select("id").distinct().count()
-    while left and (prefix.groupBy("token").count().agg(F.max("count")).first()[0] or 0) > short:
+    while left and (prefix.filter("core").groupBy("token").count().agg(F.max("count")).first()[0] or 0) > short:
         free, dropped = _leading_round(prefix, sets, share)
         leading += 1
         kept, gone = [*kept, free], [*gone, dropped]
@@ -107,7 +160,7 @@ def first_wins(texts: DataFrame, least: float = LEAST, short: int = SHORT_LIST)
         if (before - left) * SLOW < before:
             break
 
-    edges = settle(_edges(prefix, sets, share), "edges")
+    edges = settle(_edges(prefix, sets, share, rare), "edges")
     waiting = settle(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "waiting")
     kept.append(prefix.select("id").distinct().join(waiting, "id", "left_anti"))  # without a neighbour
     while waiting.limit(1).count():

@@ -59,6 +59,17 @@ def test_first_wins_equals_the_fold(spark, least, num, den, short):
     assert got == first_wins_brute(rows, num, den)
 
 
+@pytest.mark.parametrize("least, num, den", [(0.8, 4, 5), (0.5, 1, 2), (0.25, 1, 4)])
+@pytest.mark.parametrize("rare", [0, 3])
+def test_first_wins_meets_on_joint_lists(spark, least, num, den, rare):
+    rng = random.Random(den)
+    vocabulary = [f"v{i}" for i in range(20)]
+    rows = [(i, " ".join(rng.sample(vocabulary[: rng.choice([4, 8, 20])], rng.randrange(0, 5)))) for i in range(120)]
+    rows += [(200 + i, " ".join(rng.sample(vocabulary, 14))) for i in range(30)]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    assert {r["id"]: r["kept"] for r in firstwins.first_wins(texts, least, 10_000, rare).rows.collect()} == first_wins_brute(rows, num, den)
+
+
 def test_first_wins_of_nothing(spark):
     assert _first_wins(spark, [], 0.8, 64)[0] == {}
 
