@@ -2,10 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attesta.functions import queryplan
-from attesta.operators import evaluation, ingest
+from attesta.operators import dense, evaluation, ingest
 
 def planned(spark, question):
     rows = queryplan.query_plans(spark.createDataFrame([(1, question)], "query_id long, question string")).orderBy("variant").collect()
@@ -87,6 +88,24 @@ def test_memory_search(spark):
     assert ingest.search_memories(queries.filter("false"), memories).count() == 0
 
 
+@pytest.mark.parametrize("block", [3, 8192])
+def test_memory_search_moves_vectors_alone(spark, block):
+    """Blocks of large users find what all pairs do, for odd vectors too, and what a memory says is looked up after its vector is found."""
+    rng = np.random.default_rng(3)
+    rows = [(f"m{i}", f"u{i % 4 if i < 40 else 9}", rng.integers(-3, 4, 4).astype(float).tolist(), f"text {i}") for i in range(60)]
+    odd = [("n1", "u0", [1.0, None, 0.0, 0.0], "null"), ("n2", "u0", [], "empty"), ("n3", "u0", [float("nan")] * 4, "nan"), ("n4", "u0", [1.0, 1.0], "short"), ("m4", "u0", rows[4][2], "copy")]
+    memories = spark.createDataFrame(rows + odd, "id string, user_id string, embedding array<double>, content string")
+    queries = spark.createDataFrame([(i, u, rng.integers(-3, 4, 4).astype(float).tolist()) for i, u in enumerate(["u0"] * 7 + ["u1", "u9", "u8"])] + [(20, "u0", [0.0] * 4), (21, "u0", [2.0, 1.0])], "query_id long, user_id string, embedding array<double>")
+    met = queries.withColumnRenamed("embedding", "_asked").join(memories, "user_id").withColumn("score", F.round(dense.cosine(F.col("_asked"), F.col("embedding")), 9))
+    want = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter("rank <= 6")
+    found = ingest.search_memories(queries, memories, 6, block)
+    rows_of = lambda df: sorted((r["query_id"], r["rank"], r["id"], str(r["score"])) for r in df.collect())
+    assert rows_of(found) == rows_of(want) and found.count() == want.count()
+    assert {(r["id"], r["content"]) for r in found.collect()} <= {(r[0], r[3]) for r in rows + odd}
+    plan = dense.cosine_topk_of_users(queries, memories, 6, block)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in plan if "content" in line and "LogicalRDD" not in line]
+
+
 @pytest.mark.parametrize("source, want", [
     ('{"a": 1}', {"a": 1}), ('x ```json\n{"a": [1, 2,],}\n``` y', {"a": [1, 2]}), ('say {a: 1, // no\n "u": "http://x//y"} ok', {"a": 1, "u": "http://x//y"}),
     ('{"a": "\\[x"}', {"a": "[x"}), ("none", None), (None, None), ('{"a": "b: c, d: e"}', {"a": "b: c, d: e"}),
