@@ -10,8 +10,12 @@ postings never added up. Results are exact.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +29,9 @@ GROUP = 4  # blocks that a task adds up together
 QUERIES = 1024  # queries of a batch
 _SLACK = 1e-6
 _CELLS = 1 << 22  # parts that are added up at once
+_TOKENS = 1 << 20  # tokens that are counted at once
+_COUNTED = "term string, block long, tokens long, chunks array<long>, tf array<int>, dl array<int>"
+_LISTS = "term string, block long, chunks array<long>, parts array<double>, most double"
 
 
 class Index:
@@ -36,22 +43,88 @@ class Index:
         self.chunks, self.k1, self.b = spark.read.parquet(f"{path}/corpus").select("chunks", "k1", "b").first()
 
 
+def _lists(values: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    """The values in lists that begin at the places ``first``."""
+    return pa.ListArray.from_arrays(pa.array(np.append(first, len(values)), pa.int32()), pa.array(values))
+
+
+def _counted(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_COUNTED`` of rows (chunk_id, t): the postings of each term and block, of some rows at a time."""
+    for batch in batches:
+        every, lists = batch.column("chunk_id").to_numpy(), batch.column("t")
+        size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        before = np.cumsum(size)
+        begin = 0
+        while begin < len(size):
+            end = max(begin + 1, int(np.searchsorted(before, before[begin] - size[begin] + _TOKENS, side="right")))
+            coded = lists.slice(begin, end - begin).flatten().dictionary_encode()
+            order = np.argsort(every[begin:end], kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            ids, dl = every[begin:end][order], size[begin:end][order]
+            begin, n = end, len(order)
+            key, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.repeat(place, size[end - n : end]), return_counts=True)
+            if not len(key):
+                continue
+            term, chunk = key // n, key % n
+            of = ids[chunk] // block
+            first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (of[1:] != of[:-1])))
+            yield pa.RecordBatch.from_arrays(
+                [coded.dictionary.take(pa.array(term[first])), pa.array(of[first]), pa.array(np.add.reduceat(tf, first)), _lists(ids[chunk], first), _lists(tf.astype(np.int32), first), _lists(dl[chunk].astype(np.int32), first)],
+                ["term", "block", "tokens", "chunks", "tf", "dl"],
+            )
+
+
+def _whole(table: pa.Table, mean: float, k1: float, b: float) -> pa.RecordBatch:
+    """Rows of ``_LISTS`` of rows of ``_COUNTED`` in order of term and block."""
+    t = table.combine_chunks()
+    term, block = t.column("term").combine_chunks(), t.column("block").to_numpy()
+    new = np.append(True, pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)).to_numpy(zero_copy_only=False) | (block[1:] != block[:-1]))
+    size = pc.list_value_length(t.column("chunks").combine_chunks()).to_numpy().astype(np.int64)
+    of = np.repeat(np.cumsum(new) - 1, size)
+    ids, tf, dl = (t.column(c).combine_chunks().flatten().to_numpy() for c in ("chunks", "tf", "dl"))
+    if ((of[1:] == of[:-1]) & (ids[1:] <= ids[:-1])).any():
+        order = np.lexsort((dl, ids, of))
+        of, ids, tf, dl = of[order], ids[order], tf[order], dl[order]
+        one = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (ids[1:] != ids[:-1]) | (dl[1:] != dl[:-1])))
+        of, ids, tf, dl = of[one], ids[one], np.add.reduceat(tf, one), dl[one]
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    parts = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
+    at = pa.array(np.flatnonzero(new))
+    return pa.RecordBatch.from_arrays([term.take(at), pa.array(block).take(at), _lists(ids, first), _lists(parts, first), pa.array(np.maximum.reduceat(parts, first))], ["term", "block", "chunks", "parts", "most"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch], mean: float, k1: float, b: float) -> Iterator[pa.RecordBatch]:
+    """The same of a task's rows; those of the last term and block wait for the next ones."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        term, block = rows.column("term"), rows.column("block")
+        last = pc.and_(pc.equal(term, term[-1]), pc.equal(block, block[-1])).to_numpy().argmax()
+        if last:
+            yield _whole(rows.slice(0, last), mean, k1, b)
+        held = rows.slice(last)
+    if held is not None:
+        yield _whole(held, mean, k1, b)
+
+
 def build(chunks: DataFrame, path: str | None = None, k1: float = K1, b: float = B, block: int = BLOCK) -> Index:
     """Writes the index of (chunk_id, content) to ``path``, by default to a new folder that the cluster shares.
 
-    Null and empty contents have no terms but count as chunks. One shuffle brings the postings of a term and block together, one more
-    sorts them; a frequent term is as many rows as it has blocks. Rows that repeat a chunk_id with one length count as one chunk's text.
+    Null and empty contents have no terms but count as chunks; ids are whole numbers and not null. Tokens are counted in the task that cuts them, and
+    one shuffle brings the counts of a term and block together and sorts them; a frequent term is as many rows as it has blocks. Rows that repeat a
+    chunk_id with one length count as one chunk's text.
     """
     spark, path = chunks.sparkSession, path or scratch(chunks.sparkSession, "lexical-index")
-    own = chunks.select("chunk_id", F.concat(text.ascii_tokens(F.col("content")), text.cjk_bigrams(F.col("content"))).alias("t"))
-    rows = own.select("chunk_id", F.floor(F.col("chunk_id") / block).alias("block"), F.size("t").alias("dl"), F.explode("t").alias("term")).repartition("term", "block")
-    counted = rows.groupBy("term", "block", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    raw = settle(counted.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "dl"))).alias("p"), F.sum("tf").alias("tokens")), "postings")  # of a block
+    own = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.concat(text.ascii_tokens(F.col("content")), text.cjk_bigrams(F.col("content"))).alias("t"))
+    raw = settle(own.mapInArrow(functools.partial(_counted, block=block), _COUNTED), "postings")
     n, tokens = chunks.count(), raw.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     mean = tokens / n if n else 0.0
-    part = lambda p: p["tf"] * (k1 + 1) / (p["tf"] + k1 * (1 - b + b * p["dl"] / F.lit(mean)))
-    parts = raw.select("term", "block", F.col("p.chunk_id").alias("chunks"), F.transform("p", part).alias("parts")).withColumn("most", F.array_max("parts"))
-    parts.repartitionByRange(F.col("term"), F.col("block")).sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/lists")
+    dealt = raw.drop("tokens").repartitionByRange(F.col("term"), F.col("block")).sortWithinPartitions("term", "block")
+    dealt.mapInArrow(functools.partial(_merged, mean=mean, k1=k1, b=b), _LISTS).write.mode("overwrite").parquet(f"{path}/lists")
     lists = spark.read.parquet(f"{path}/lists")
     lists.groupBy("term").agg(F.sum(F.size("chunks")).alias("df")).write.mode("overwrite").parquet(f"{path}/lexicon")
     spark.createDataFrame([(n, float(k1), float(b))], "chunks long, k1 double, b double").coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")

@@ -1,7 +1,9 @@
 """Stored structures against plain Python: duplicate filters, indexes, stores, ingestion and streams."""
 
+import collections
 import os
 import random
+import re
 import time
 from pathlib import Path
 
@@ -122,6 +124,33 @@ def test_lexical_index_keeps_block_maxima(spark, tmp_path):
     assert "Exchange" not in index.lists.filter("term = 'w3'")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_lexical_index_counts_where_tokens_are_cut(spark, tmp_path, monkeypatch):
+    """No row for each token is dealt out, and postings of a term and block that several tasks hold become one row in order."""
+    seen, settle = [], lexical_index.settle
+    monkeypatch.setattr(lexical_index, "settle", lambda df, name: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or settle(df, name))
+    monkeypatch.setattr(lexical_index, "_TOKENS", 5)
+    rows = [(i * 7 % 90, f"a {'b ' * (i % 4)}w{i % 5}") for i in range(90)] + [(3, None), (200, ""), (5, "a a x"), (5, "x x a"), (-1, "a 中文字")]
+    index = lexical_index.build(spark.createDataFrame(rows, "chunk_id long, content string").repartition(5), str(tmp_path / "index"), block=16)
+    assert "Generate" not in "".join(seen)
+    tokens = [(i, re.findall("[a-z0-9]+", t or "") + (["中文", "文字"] if "中" in (t or "") else [])) for i, t in rows]
+    counts = collections.Counter((t, i, len(ts)) for i, ts in tokens for t in ts)
+    mean = sum(counts.values()) / len(rows)
+    want = {}
+    for (t, i, dl), tf in sorted(counts.items()):
+        want.setdefault((t, i // 16), []).append((i, round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)), 9)))
+    got = index.lists.collect()
+    assert {(r["term"], r["block"]): list(zip(r["chunks"], [round(x, 9) for x in r["parts"]], strict=True)) for r in got} == want and len(got) == len(want)
+
+
+def test_hybrid_retrieval_cuts_found_documents_alone(spark, sf, monkeypatch):
+    from attesta.plans import retrieval_queries as queries
+
+    seen, settle = {}, queries.settle
+    monkeypatch.setattr(queries, "settle", lambda df, name: seen.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or settle(df, name))
+    assert queries.hybrid_retrieval(spark, sf).count()
+    assert "LeftSemi" in seen["hybrid"]
+
+
 def test_lexical_backends(spark, tmp_path):
     queries, chunks = _corpus(spark, 40)
     index = lexical_index.build(chunks, str(tmp_path / "index"))
@@ -221,6 +250,25 @@ def test_second_run_over_equal_documents_embeds_nothing(spark, tmp_path):
     assert store.run(make([(1, "renamed", "x" * 15)]), 4)["changed"] == 1
 
 
+def test_ingestion_writes_chunks_twice_at_most(spark, tmp_path, monkeypatch):
+    """Once as they are cut, once in the store; texts are neither sorted nor joined to their own names."""
+    from attesta.operators import ingestion
+    from attesta.sources import store as stored
+
+    seen, settle = [], stored.settle
+    for module in (ingestion, stored):
+        monkeypatch.setattr(module, "settle", lambda df, name: seen.append((name, "content" in df.columns, df._jdf.queryExecution().optimizedPlan().toString())) or settle(df, name))
+    store = _ingestion(spark, tmp_path)
+    docs = [(i, f"f{i}", "x" * (i * 9)) for i in range(1, 9)]
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, filename string, text string")
+    store.run(make(docs), 0, complete=True)
+    assert [name for name, content, _ in seen if content] == ["chunks"]
+    assert [plan.count("Join") for name, _, plan in seen if name == "chunks"] == [0] and "Aggregate" not in next(plan for name, _, plan in seen if name == "changes")
+    later = [(i, f, t[:-4] + "y" if i % 2 else t) for i, f, t in docs]
+    store.run(make([*later, (3, "a", "earlier name")]), 1, complete=True)
+    assert _held(store) == _cut(spark, later)
+
+
 def test_a_run_that_failed_is_repeated(spark, tmp_path, monkeypatch):
     make = lambda rows: spark.createDataFrame(rows, "doc_id long, filename string, text string")
     store = _ingestion(spark, tmp_path)
