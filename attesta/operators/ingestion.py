@@ -36,8 +36,10 @@ class Ingestion:
         change: added, changed (another text or file name), unchanged, or deleted: a null text in ``docs``, or, where ``docs``
         is ``complete``, a stored document that it lacks. Of several rows of a doc_id the largest (filename, text) counts; rows without one are left out.
         """
-        one = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("filename", "text")).alias("d"))
-        new = one.select("doc_id", "d.filename", "d.text", F.sha2("d.text", 256).alias("content_hash"))
+        one = docs.filter("doc_id is not null").select("doc_id", "filename", "text")
+        if one.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # texts are sorted only where ids are repeated
+            one = one.groupBy("doc_id").agg(F.max(F.struct("filename", "text")).alias("d")).select("doc_id", "d.filename", "d.text")
+        new = one.withColumn("content_hash", F.sha2("text", 256))
         old = self.state.read().select("doc_id", F.col("filename").alias("old_name"), F.col("content_hash").alias("old"))
         both = new.withColumn("given", F.lit(True)).join(old, "doc_id", "full_outer" if complete else "left")
         gone = F.col("content_hash").isNull() & F.col("old").isNotNull()
@@ -52,11 +54,11 @@ class Ingestion:
             return None
         found = settle(self.changes(docs, complete), "changes")
         fresh = found.filter(F.col("change").isin("added", "changed"))
-        pieces = chunking.chunks(fresh.select("doc_id", "text"), *self.cut).join(fresh.select("doc_id", "filename"), "doc_id")
+        pieces = chunking.chunks(fresh.select(F.struct("doc_id", "filename").alias("doc_id"), "text"), *self.cut).select("doc_id.*", "idx", "content")
         rows = pieces.select("doc_id", text.chunk_id(F.col("filename"), F.col("idx"), F.col("content")).alias("id"), F.col("idx").cast("long").alias("idx"), "content", F.sha2("content", 256).alias("content_hash"))
         rows = settle(self.embed(rows, "content"), "chunks")
         touched = found.filter("change != 'unchanged'").select("doc_id")
-        self.chunks.replace(rows, touched)
+        self.chunks.replace(rows, touched, settled=True)
         counts = rows.groupBy("doc_id").agg(F.count("*").alias("chunks"))
         self.state.replace(fresh.join(counts, "doc_id", "left").select("doc_id", "filename", "content_hash", F.coalesce("chunks", F.lit(0)).alias("chunks")), touched)
         if batch_id is not None:

@@ -42,9 +42,13 @@ class KeyedStore:
             own = one if own is None else own | one
         return self._stored().filter(own if own is not None else F.lit(False)).drop("bucket")
 
-    def replace(self, rows: DataFrame, gone: DataFrame | None = None) -> int:
-        """Puts ``rows`` in place of all rows of their keys and of the keys ``gone`` (key); gives the number of partitions that were written."""
-        new = settle(rows.select(*[F.col(c).cast(f.dataType).alias(c) for c, f in ((f.name, f) for f in self.schema)]).filter(F.col(self.key).isNotNull()).withColumn("bucket", self.bucket(F.col(self.key))), "new")
+    def replace(self, rows: DataFrame, gone: DataFrame | None = None, settled: bool = False) -> int:
+        """Puts ``rows`` in place of all rows of their keys and of the keys ``gone`` (key); gives the number of partitions that were written.
+
+        ``settled``: the caller has written ``rows``, and they are not written a second time.
+        """
+        new = rows.select(*[F.col(c).cast(f.dataType).alias(c) for c, f in ((f.name, f) for f in self.schema)]).filter(F.col(self.key).isNotNull()).withColumn("bucket", self.bucket(F.col(self.key)))
+        new = new if settled else settle(new, "new")
         keys = new.select(self.key, "bucket")
         if gone is not None:
             kind = self.schema[self.key].dataType
@@ -56,8 +60,9 @@ class KeyedStore:
         kept = self._stored().filter(F.col("bucket").isin(touched) & F.col(self.key).isNotNull()).join(keys.select(self.key), self.key, "left_anti")
         # a row without a key stands in every touched partition, so that one that loses all its rows is written too
         marks = self.spark.createDataFrame([(b,) for b in touched], "bucket int").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema], "bucket")
-        merged = settle(kept.select(*self.schema.names, "bucket").unionByName(new).unionByName(marks), "merged")
-        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        merged = kept.select(*self.schema.names, "bucket").unionByName(new).unionByName(marks)
+        # old files are read until all new ones are staged; a partition that is large for one task is dealt to several
+        merged.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
         return len(touched)
 
     def upsert(self, rows: DataFrame, order: str) -> int:
