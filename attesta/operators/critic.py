@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.tables import settle
 
 # fixed values
 SCALES = {"万": 1, "万元": 1, "百万元": 3, "千万元": 3, "亿元": 5, "千亿元": 7, "万亿元": 9, "%": 0, "个百分点": 0, "个": 0, "件": 0, "人": 0, "台": 0, "套": 0, "元": 0}
@@ -52,9 +53,8 @@ def time_anchor(e: DataFrame, days: int = ANCHOR_DAYS) -> DataFrame:
     """Rows of a metric more than ``days`` whole days before the metric's latest row."""
     at = F.coalesce(text.parse_iso(F.coalesce(F.nullif("as_of", F.lit("")), F.col("published_at"))))
     rows = e.withColumn("t", at).filter("t is not null").select("evidence_id", "t", F.explode(text.metric_tokens(F.col("content"))).alias("metric"))
-    w = Window.partitionBy("metric")
-    last = F.max(F.struct("t", "evidence_id")).over(w)
-    met = rows.withColumn("last", last).withColumn("gap", F.floor((F.unix_timestamp("last.t") - F.unix_timestamp("t")) / 86400)).filter(F.col("gap") > days)
+    last = settle(rows.groupBy("metric").agg(F.max(F.struct("t", "evidence_id")).alias("last")), "newest")
+    met = rows.join(last, "metric").withColumn("gap", F.floor((F.unix_timestamp("last.t") - F.unix_timestamp("t")) / 86400)).filter(F.col("gap") > days)
     return _finding(met, "time_anchor", "warn", F.col("metric"), F.sort_array(F.array_distinct(F.array("last.evidence_id", "evidence_id"))), F.col("gap"))
 
 
