@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import small_batches
+
 LANES = 4096
 STREAM = 1 << 20  # characters of a stream
 
@@ -157,4 +159,4 @@ def names_in(texts: DataFrame, names: list[str]) -> DataFrame:
     def hits(column: pd.Series) -> pd.Series:
         return pd.Series(machine.value.in_texts(column.tolist()), dtype=object)
 
-    return texts.select("text_id", F.explode(hits("folded")).alias("name"))
+    return small_batches(texts).select("text_id", F.explode(hits("folded")).alias("name"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import small_batches
+
 SIZE, OVERLAP = 500, 50
 SEPARATORS = ["。", "！", "？", ".", "!", "?", "\n"]  # fixed order: an earlier one wins wherever it stands
 RESTARTS = "。！？\n；;，,"
@@ -94,5 +96,5 @@ def chunks(docs: DataFrame, how: str = "text", size: int = SIZE, overlap: int =
         def cut(t: pd.Series) -> pd.Series:
             return t.map(lambda x: split(x, size, overlap))
 
-        parts = cut(F.col("text"))
+        parts, docs = cut(F.col("text")), small_batches(docs)
     return docs.select("doc_id", F.posexplode(parts).alias("idx", "content"))

@@ -6,7 +6,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.operators import analyzer, automaton, budget, chunking, critic, dense, evaluation, evidence, feeds, fusion, governance, grounding
+from attesta.functions import text
+from attesta.operators import analyzer, automaton, budget, chunking, critic, dense, evaluation, evidence, feeds, fusion, governance, grounding, ingest
 from attesta.plans import sqlguard
 from attesta.sources import tables
 from attesta.streaming import events
@@ -181,6 +182,51 @@ def test_parties_and_clusters(spark):
     assert keys[1] == keys[2] and len(set(keys.values())) == 4
 
 
+@pytest.mark.parametrize("beginning", [1024, 200])
+def test_long_titles_fold_as_whole_ones(spark, monkeypatch, beginning):
+    """The beginning of a long title gives what the whole does, at marks, types and sigmas near the cut and where it has no ASCII character too."""
+    monkeypatch.setattr(governance, "BEGINNING", beginning)
+    heads = ["", "采购公告" * 300, "e\u0301Ａ " * 60, " \t" * 600 + "ab", "ΑΣ" + "'" * 1100 + "a", "x" * 70 + "\u0301" * 1200, "标题" * 700, "a招标", "y" * 198 + "中标公", "é" * 500]
+    titles = [h + t for h in heads for t in ("", "告 end", "\u0301z", " Σ" + "plain words " * 150, "中标公告" * 400)]
+    df = spark.createDataFrame(list(enumerate(titles)) + [(-1, None)], "id long, t string")
+    bare = F.regexp_replace(F.lower(text.nfkc(F.col("t"))), "|".join(governance.NOTICE_TYPES), " ")
+    whole = F.substring(F.trim(F.regexp_replace(bare, r"\s+", " ")), 1, 80)
+    assert df.select("id", governance.notice_title(F.col("t")).alias("a"), whole.alias("b")).filter("NOT a <=> b").collect() == []
+
+
+def test_time_anchor_ranks_no_metric_in_one_task(spark):
+    rows = [(str(i), f"alpha revenue {i}元", f"2024-{i % 12 + 1:02d}-01") for i in range(48)]
+    e = spark.createDataFrame(rows, "evidence_id string, content string, published_at string").withColumn("as_of", F.col("published_at"))
+    found = critic.time_anchor(e)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["evidence_ids"][0] == "47" or r["evidence_ids"][1] == "47" for r in found.collect()} == {True} and found.filter("subject = 'revenue'").count() == 36
+
+
+def test_workers_take_small_batches(spark, monkeypatch):
+    """Chunks, names and digests: Arrow functions are handed 4 MB at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(1, "a. b")], "doc_id long, text string")
+    names = spark.createDataFrame([("b",)], "name string")
+    for use in (lambda: chunking.chunks(docs), lambda: ingest.with_digest_vectors(docs, "text"), lambda: governance.longest_entity(docs.withColumnRenamed("doc_id", "text_id"), names)):
+        spark.conf.unset(key)
+        use()
+        assert spark.conf.get(key) == f"{4 << 20}b"
+
+
+def test_heads_of_notices_are_folded_many_a_pass(spark):
+    items = spark.createDataFrame([(i, f"head {i % 7}", ["ab", "abc", "xyz", "bc", "x", "zz"][i * 5 % 6]) for i in range(60)], "bid_id long, title string, buyer string")
+    found = governance.lifecycle_clusters(items)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want, keys = {}, {}
+    for i, title, buyer in items.collect():
+        groups = want.setdefault(title, [])
+        at = next((g for g in groups if g in buyer or buyer in g), buyer) if len(buyer) > 1 else buyer
+        groups += [at] if len(buyer) > 1 and at not in groups else []
+        keys[i] = (title, at)
+    got = {r["bid_id"]: r["project_key"] for r in found.collect()}
+    assert len(set(zip(got.values(), (keys[i] for i in got), strict=True))) == len(set(got.values())) == len(set(keys.values()))
+
+
 def test_longest_entity(spark):
     texts = spark.createDataFrame([(1, "The Big Red Fox ran"), (2, "nothing"), (3, None)], "text_id long, text string")
     names = spark.createDataFrame([("red fox",), ("big red fox",), ("ran",)], "name string")
