@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunking, dense_index, firstwins, ingest, lexical_index
+from ..operators import chunking, dense_index, firstwins, ingest, lexical
 from ..operators.ingestion import Ingestion
 from ..sources.chunks import ChunkTable
 from ..sources.store import KeyedStore
-from ..sources.tables import scratch, table
+from ..sources.tables import scratch, settle, table
 from ..streaming import tasks
 
 
@@ -113,11 +113,11 @@ def rate_limit_hour(spark: SparkSession, d: str) -> DataFrame:
 def chunk_table_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """For each passage the English document that covers most of it, its first window, and the windows next to that, from a table of all windows by language."""
     docs = table(spark, d, "documents")
-    chunks = chunking.chunks(docs.select("doc_id", "text"), "fixed").join(docs.select("doc_id", F.col("lang").alias("kb_id")), "doc_id").withColumn("idx", F.col("idx").cast("long"))
+    chunks = docs.select("doc_id", F.col("lang").alias("kb_id"), F.posexplode(chunking.fixed_windows(F.col("text"))).alias("idx", "content")).withColumn("idx", F.col("idx").cast("long"))
     windows = ChunkTable(spark, "attesta_chunks", 8).write(chunks)
     english = docs.filter("lang = 'en'").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     asks = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    best = lexical_index.search(lexical_index.build(english), asks, 1, "coverage")
+    best = settle(lexical.coverage_topk(asks, english, 1), "best")
     first = windows.at(best.select("query_id", F.lit("en").alias("kb_id"), F.col("chunk_id").alias("doc_id"), F.lit(0).cast("long").alias("idx"), "score")).select("query_id", "kb_id", "doc_id", "idx", "score")
     return windows.neighbours(first).select("query_id", "doc_id", "idx", F.round("score", 6).alias("score"), "kind")
 

@@ -21,8 +21,10 @@ class ChunkTable:
         self.spark, self.name, self.buckets = spark, name, buckets
 
     def write(self, chunks: DataFrame) -> ChunkTable:
-        """Replaces the table, in a new folder that the cluster shares; one task writes a bucket, so that a base has as many files as buckets."""
-        dealt = chunks.repartition(self.buckets, "doc_id").sortWithinPartitions("kb_id", "doc_id", "idx")
+        """Replaces the table, in a new folder that the cluster shares. One task writes a bucket, so that a base has as many files as buckets;
+        a bucket that is large for one task is dealt to several. The writer sorts each file."""
+        bucket = F.pmod(F.hash("doc_id"), F.lit(self.buckets))
+        dealt = chunks.withColumn("_bucket", bucket).hint("rebalance", "_bucket").drop("_bucket")
         dealt.write.mode("overwrite").partitionBy("kb_id").bucketBy(self.buckets, "doc_id").sortBy("doc_id", "idx").format("parquet").option("path", scratch(self.spark, self.name)).saveAsTable(self.name)
         return self
 

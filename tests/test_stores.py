@@ -357,3 +357,21 @@ def test_scans_add_up_where_the_chunks_are(spark, monkeypatch):
     monkeypatch.setattr(lexical, "VOCABULARY", 3)
     assert scans() == want and "postings" in names
     assert lexical.bm25_topk(queries.filter("query_id = 51"), chunks).count() == 0
+
+
+def test_chunk_table_deals_a_large_bucket_to_several_tasks(spark):
+    from attesta.plans import store_queries
+
+    rows = spark.range(4000).selectExpr("concat('kb', id % 2) AS kb_id", "id AS doc_id", "0L AS idx", "repeat(sha2(cast(id AS string), 512), 4) AS content").repartition(8)
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64k")
+    try:
+        table = ChunkTable(spark, "large_chunks_of_test", 2).write(rows)
+        assert len(table.read("kb0").inputFiles()) > 4 and table.read().count() == 4000
+        places = rows.filter("doc_id % 100 = 7").select("kb_id", "doc_id", "idx", F.lit(1).alias("n"))
+        assert sorted(r["doc_id"] for r in table.at(places).collect()) == list(range(7, 4000, 100))
+    finally:
+        spark.conf.set(key, before)
+        spark.sql("DROP TABLE IF EXISTS large_chunks_of_test")
+    assert not hasattr(store_queries, "lexical_index")  # the query scans once and builds no index for its own documents
