@@ -44,6 +44,21 @@ def test_pages(spark):
     assert got[3] == "## A. ONE TWO THREE\n\n## CHAPTER 1\n\n## FOUR FIVE SIX SEVEN\n\nself-made in-line remade\n\n1) x\n\nnext page"
 
 
+def test_pages_deal_out_their_lines_once(spark):
+    page = lambda n: "\n".join(["Head  1", "Sub", "", *[f"text {n} {i}." for i in range(n % 4 + 2)], "", "tail 7", f"{n}"])
+    rows = spark.createDataFrame([(1, "\f".join(map(page, range(6)))), (2, "\f \f" + page(3)), (3, None)], "doc_id long, text string")
+    lines = [r.asDict() for r in ingest.running_lines(ingest.page_lines(rows)).collect()]
+    assert {(r["doc_id"], r["pages"]) for r in lines} == {(1, 6), (2, 1)} and {r["line"] for r in lines if r["often"]} == {"Head 1", "Sub", "tail 7", *map(str, range(6))}
+    filled = {}
+    for r in sorted(lines, key=lambda r: (r["doc_id"], r["page"], r["at"])):
+        filled.setdefault((r["doc_id"], r["page"]), []).append(r) if r["line"] else None
+    edges = {(k, r["at"]) for k, own in filled.items() if len(own) >= ingest.FULL_PAGE for r in own[:2] + own[-2:]}
+    assert {((r["doc_id"], r["page"]), r["at"]) for r in lines if r["edge"]} == edges and edges
+    plan = ingest.pages_to_markdown(rows)._jdf.queryExecution().executedPlan().toString()
+    moved = [x.split("hashpartitioning(")[1].split(", ENSURE")[0] for x in plan.splitlines() if "Exchange hashpartitioning(" in x]
+    assert sum("page#" in x or "shape#" in x for x in moved) <= 2  # of margins alone; all lines once, by document
+
+
 def test_uploads(spark):
     df = spark.createDataFrame([("a", 4, bytearray(b"text")), ("b", 0, bytearray()), ("c", 4, bytearray(b"\x01\x02\x03x")), ("d", 99 << 20, bytearray(b"x"))], "path string, length long, content binary")
     assert {r["path"]: r["verdict"] for r in ingest.upload_verdicts(df).collect()} == {"a": "PASS", "b": "EMPTY", "c": "HIGH_CTRL_CHARS", "d": "TOO_LARGE"}
