@@ -393,3 +393,9 @@ def test_chunk_table_deals_a_large_bucket_to_several_tasks(spark):
         spark.conf.set(key, before)
         spark.sql("DROP TABLE IF EXISTS large_chunks_of_test")
     assert not hasattr(store_queries, "lexical_index")  # the query scans once and builds no index for its own documents
+
+
+def test_scan_backend_writes_no_postings(spark, monkeypatch):
+    queries, chunks = _corpus(spark, 40)
+    monkeypatch.setattr(lexical, "postings", None)
+    assert {r["fallback_reason"] for r in lexical_index.candidates(queries, chunks, 2).collect()} == {"index_missing"}
