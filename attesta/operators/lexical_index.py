@@ -19,9 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..sources.tables import scratch, settle
-from .lexical import B, K1, SCORE_DIGITS, coverage_topk, query_terms
+from ..sources.tables import scratch, settle, small_batches
+from .lexical import B, K1, SCORE_DIGITS, coverage_topk, lowered, query_terms, tokens
 from .lexical import bm25_topk as bm25_scan
 
 BLOCK = 256  # chunk ids of a block
@@ -29,8 +28,10 @@ GROUP = 4  # blocks that a task adds up together
 QUERIES = 1024  # queries of a batch
 _SLACK = 1e-6
 _CELLS = 1 << 22  # parts that are added up at once
-_TOKENS = 1 << 20  # tokens that are counted at once
-_COUNTED = "term string, block long, tokens long, chunks array<long>, tf array<int>, dl array<int>"
+_TOKENS = 1 << 21  # tokens that are counted at once
+_SPAN = 64  # blocks whose counts a term's row may have; a frequent term is as many rows as it has spans
+_COUNTED = "term string, span long, first long, tokens long, postings binary"
+_POSTING = np.dtype([("chunk", "<i8"), ("tf", "<i4"), ("dl", "<i4")])  # packed, as Spark hands on arrays value by value
 _LISTS = "term string, block long, chunks array<long>, parts array<double>, most double"
 
 
@@ -48,83 +49,93 @@ def _lists(values: np.ndarray, first: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(first, len(values)), pa.int32()), pa.array(values))
 
 
-def _counted(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """Rows of ``_COUNTED`` of rows (chunk_id, t): the postings of each term and block, of some rows at a time."""
+def _counted(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_COUNTED`` of rows (chunk_id, text): the postings of each term and ``span`` chunk ids, of some batches' tokens at a time."""
+    held, size = [], 0
     for batch in batches:
-        every, lists = batch.column("chunk_id").to_numpy(), batch.column("t")
-        size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        before = np.cumsum(size)
-        begin = 0
-        while begin < len(size):
-            end = max(begin + 1, int(np.searchsorted(before, before[begin] - size[begin] + _TOKENS, side="right")))
-            coded = lists.slice(begin, end - begin).flatten().dictionary_encode()
-            order = np.argsort(every[begin:end], kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            ids, dl = every[begin:end][order], size[begin:end][order]
-            begin, n = end, len(order)
-            key, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.repeat(place, size[end - n : end]), return_counts=True)
-            if not len(key):
-                continue
-            term, chunk = key // n, key % n
-            of = ids[chunk] // block
-            first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (of[1:] != of[:-1])))
-            yield pa.RecordBatch.from_arrays(
-                [coded.dictionary.take(pa.array(term[first])), pa.array(of[first]), pa.array(np.add.reduceat(tf, first)), _lists(ids[chunk], first), _lists(tf.astype(np.int32), first), _lists(dl[chunk].astype(np.int32), first)],
-                ["term", "block", "tokens", "chunks", "tf", "dl"],
-            )
-
-
-def _whole(table: pa.Table, mean: float, k1: float, b: float) -> pa.RecordBatch:
-    """Rows of ``_LISTS`` of rows of ``_COUNTED`` in order of term and block."""
+        held.append((batch.column("chunk_id").to_numpy(), *tokens(batch.column("text"))))
+        size += len(held[-1][2])
+        if size >= _TOKENS:
+            yield from _spans(held, span)
+            held, size = [], 0
+    yield from _spans(held, span)
+
+
+def _spans(held: list[tuple[np.ndarray, pa.Array, np.ndarray]], span: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_COUNTED`` of batches' chunk ids, tokens and the tokens' rows."""
+    if not sum(len(row) for *_, row in held):
+        return
+    ids, coded = np.concatenate([x for x, *_ in held]), pa.concat_arrays([x for _, x, _ in held]).dictionary_encode()
+    before = np.cumsum([0, *(len(x) for x, *_ in held)])
+    row = np.concatenate([x + n for (*_, x), n in zip(held, before[:-1], strict=True)])
+    order, n = np.argsort(ids, kind="stable"), len(ids)
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    ids, dl = ids[order], np.bincount(row, minlength=n)[order]
+    key, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + place[row], return_counts=True)
+    term, chunk = key // n, key % n
+    of = ids[chunk] // span
+    first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (of[1:] != of[:-1])))
+    postings = np.empty(len(key), _POSTING)
+    postings["chunk"], postings["tf"], postings["dl"] = ids[chunk], tf, dl[chunk]
+    at = np.append(first, len(key)) * _POSTING.itemsize
+    packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(postings.view(np.uint8))])
+    yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(term[first])), pa.array(of[first]), pa.array(ids[chunk[first]]), pa.array(np.add.reduceat(tf, first)), packed], ["term", "span", "first", "tokens", "postings"])
+
+
+def _whole(table: pa.Table, mean: float, k1: float, b: float, block: int) -> pa.RecordBatch:
+    """Rows of ``_LISTS`` of rows of ``_COUNTED`` in order of term and span."""
     t = table.combine_chunks()
-    term, block = t.column("term").combine_chunks(), t.column("block").to_numpy()
-    new = np.append(True, pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)).to_numpy(zero_copy_only=False) | (block[1:] != block[:-1]))
-    size = pc.list_value_length(t.column("chunks").combine_chunks()).to_numpy().astype(np.int64)
-    of = np.repeat(np.cumsum(new) - 1, size)
-    ids, tf, dl = (t.column(c).combine_chunks().flatten().to_numpy() for c in ("chunks", "tf", "dl"))
+    term = t.column("term").combine_chunks()
+    new = np.append(True, pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)).to_numpy(zero_copy_only=False))
+    packed = pc.cast(t.column("postings").combine_chunks(), pa.large_binary())
+    at = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1]
+    of = np.repeat(np.cumsum(new) - 1, np.diff(at) // _POSTING.itemsize)
+    postings = np.frombuffer(packed.buffers()[2], np.uint8)[at[0] : at[-1]].view(_POSTING)
+    ids, tf, dl = (np.ascontiguousarray(postings[c]) for c in ("chunk", "tf", "dl"))
     if ((of[1:] == of[:-1]) & (ids[1:] <= ids[:-1])).any():
         order = np.lexsort((dl, ids, of))
         of, ids, tf, dl = of[order], ids[order], tf[order], dl[order]
         one = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (ids[1:] != ids[:-1]) | (dl[1:] != dl[:-1])))
         of, ids, tf, dl = of[one], ids[one], np.add.reduceat(tf, one), dl[one]
-    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    blocks = ids // block
+    first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (blocks[1:] != blocks[:-1])))
     parts = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
-    at = pa.array(np.flatnonzero(new))
-    return pa.RecordBatch.from_arrays([term.take(at), pa.array(block).take(at), _lists(ids, first), _lists(parts, first), pa.array(np.maximum.reduceat(parts, first))], ["term", "block", "chunks", "parts", "most"])
+    names = term.take(pa.array(np.flatnonzero(new)[of[first]]))
+    return pa.RecordBatch.from_arrays([names, pa.array(blocks[first]), _lists(ids, first), _lists(parts, first), pa.array(np.maximum.reduceat(parts, first))], ["term", "block", "chunks", "parts", "most"])
 
 
-def _merged(batches: Iterator[pa.RecordBatch], mean: float, k1: float, b: float) -> Iterator[pa.RecordBatch]:
-    """The same of a task's rows; those of the last term and block wait for the next ones."""
+def _merged(batches: Iterator[pa.RecordBatch], mean: float, k1: float, b: float, block: int) -> Iterator[pa.RecordBatch]:
+    """The same of a task's rows; those of the last term and span wait for the next ones."""
     held = None
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = pa.Table.from_batches([batch])
         rows = rows if held is None else pa.concat_tables([held, rows])
-        term, block = rows.column("term"), rows.column("block")
-        last = pc.and_(pc.equal(term, term[-1]), pc.equal(block, block[-1])).to_numpy().argmax()
+        term, span = rows.column("term"), rows.column("span")
+        last = pc.and_(pc.equal(term, term[-1]), pc.equal(span, span[-1])).to_numpy().argmax()
         if last:
-            yield _whole(rows.slice(0, last), mean, k1, b)
+            yield _whole(rows.slice(0, last), mean, k1, b, block)
         held = rows.slice(last)
     if held is not None:
-        yield _whole(held, mean, k1, b)
+        yield _whole(held, mean, k1, b, block)
 
 
 def build(chunks: DataFrame, path: str | None = None, k1: float = K1, b: float = B, block: int = BLOCK) -> Index:
     """Writes the index of (chunk_id, content) to ``path``, by default to a new folder that the cluster shares.
 
     Null and empty contents have no terms but count as chunks; ids are whole numbers and not null. Tokens are counted in the task that cuts them, and
-    one shuffle brings the counts of a term and block together and sorts them; a frequent term is as many rows as it has blocks. Rows that repeat a
+    one shuffle brings the counts of a term and ``_SPAN`` blocks together and sorts them; blocks are told apart after it. Rows that repeat a
     chunk_id with one length count as one chunk's text.
     """
     spark, path = chunks.sparkSession, path or scratch(chunks.sparkSession, "lexical-index")
-    own = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.concat(text.ascii_tokens(F.col("content")), text.cjk_bigrams(F.col("content"))).alias("t"))
-    raw = settle(own.mapInArrow(functools.partial(_counted, block=block), _COUNTED), "postings")
-    n, tokens = chunks.count(), raw.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    mean = tokens / n if n else 0.0
-    dealt = raw.drop("tokens").repartitionByRange(F.col("term"), F.col("block")).sortWithinPartitions("term", "block")
-    dealt.mapInArrow(functools.partial(_merged, mean=mean, k1=k1, b=b), _LISTS).write.mode("overwrite").parquet(f"{path}/lists")
+    own = lowered(chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "content"))
+    raw = settle(own.mapInArrow(functools.partial(_counted, span=block * _SPAN), _COUNTED), "postings")
+    n, total = chunks.count(), raw.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    mean = total / n if n else 0.0
+    dealt = small_batches(raw.drop("tokens").repartition("term", "span").sortWithinPartitions("term", "first"))
+    dealt.drop("first").mapInArrow(functools.partial(_merged, mean=mean, k1=k1, b=b, block=block), _LISTS).write.mode("overwrite").parquet(f"{path}/lists")
     lists = spark.read.parquet(f"{path}/lists")
     lists.groupBy("term").agg(F.sum(F.size("chunks")).alias("df")).write.mode("overwrite").parquet(f"{path}/lexicon")
     spark.createDataFrame([(n, float(k1), float(b))], "chunks long, k1 double, b double").coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")

@@ -142,6 +142,35 @@ def test_lexical_index_counts_where_tokens_are_cut(spark, tmp_path, monkeypatch)
     assert {(r["term"], r["block"]): list(zip(r["chunks"], [round(x, 9) for x in r["parts"]], strict=True)) for r in got} == want and len(got) == len(want)
 
 
+def test_tokens_of_a_batch_are_those_of_the_patterns(spark):
+    """Joints at the ends of texts and of runs, letters of two and three bytes, runs of ideographs that end with a text, slices of a batch."""
+    rng = random.Random(7)
+    odd = ["", "a", ".", "a.", ".b", "a.b", "a..b", "a._b", "a/b-c_d.e", "-a-", "K\u212a\u0130ſ", "é.a", "a.é", "ABC-12", "中", "中文", "中文字a", "a中", "中.文", "\u4dff\u4e00\u9fff\ua000", "文" * 5, "low-k 晶圆 热", "\u0000a\nb", "😀a"]
+    odd += ["".join(rng.choice("aZ9._/- é中文\u4dff😀") for _ in range(rng.randrange(12))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate([*odd, None])), "chunk_id long, content string")
+    own = lexical.F.concat(lexical.text.ascii_tokens(lexical.F.col("content")), lexical.text.cjk_bigrams(lexical.F.col("content")))
+    want = [sorted(r["t"]) for r in rows.select("chunk_id", own.alias("t")).orderBy("chunk_id").collect()]
+    texts = lexical.lowered(rows).orderBy("chunk_id").toArrow().column("text").combine_chunks()
+    for begin, size in ((0, len(texts)), (3, 50), (20, 1), (len(texts), 0), (0, 1)):
+        found, row = lexical.tokens(texts.slice(begin, size))
+        got = [[] for _ in range(size)]
+        for t, i in zip(found.to_pylist(), row.tolist(), strict=True):
+            got[i].append(t)
+        assert [sorted(t) for t in got] == want[begin : begin + size]
+
+
+def test_lexical_index_counts_a_term_once_for_many_blocks(spark, tmp_path, monkeypatch):
+    """A row for a term and each of its blocks is made after the shuffle; texts reach the tasks whole, not as lists of tokens."""
+    seen, settle = {}, lexical_index.settle
+    monkeypatch.setattr(lexical_index, "settle", lambda df, name: seen.update({name: (df._jdf.queryExecution().optimizedPlan().toString(), settle(df, name))}) or seen[name][1])
+    chunks = spark.createDataFrame([(i - 40, f"a {'b ' * (i % 3)}w{i}") for i in range(640)], "chunk_id long, content string").coalesce(1)
+    index = lexical_index.build(chunks, str(tmp_path / "index"), block=4)
+    plan, raw = seen["postings"]
+    assert "regexp_extract_all" not in plan and raw.filter("term = 'a'").count() == 4  # spans of 256 ids from -256 on
+    assert index.lists.filter("term = 'a'").count() == 160 and index.lexicon.filter("term = 'a'").first()["df"] == 640
+    assert [r["chunks"] for r in index.lists.filter("term = 'a'").orderBy("block").collect()] == [list(range(i, i + 4)) for i in range(-40, 600, 4)]
+
+
 def test_hybrid_retrieval_cuts_found_documents_alone(spark, sf, monkeypatch):
     from attesta.plans import retrieval_queries as queries
 
