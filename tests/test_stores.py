@@ -5,9 +5,12 @@ import os
 import random
 import re
 import time
+import types
+from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +75,54 @@ def test_first_wins_meets_on_joint_lists(spark, least, num, den, rare):
     assert {r["id"]: r["kept"] for r in firstwins.first_wins(texts, least, 10_000, rare).rows.collect()} == first_wins_brute(rows, num, den)
 
 
+@pytest.mark.parametrize("least, num, den, short", [(0.8, 4, 5, 10_000), (0.5, 1, 2, 10_000), (0.8, 4, 5, 12)])
+def test_first_wins_of_large_sets(spark, least, num, den, short):
+    """Sets of which similar ones share several lists, on both sides of the threshold, by pairs and by leaders."""
+    rng = random.Random(num * short)
+    words = [f"v{i}" for i in range(3000)]
+    bases = [rng.sample(words, n) for n in (70, 140, 300, 600)]
+    rows = []
+    for i in range(120):
+        base = bases[i % 4]
+        away = rng.sample(base, round(len(base) * rng.choice([0.02, 0.1, 0.11, 0.12, 0.3, 0.34, 0.5])))
+        rows.append((i, " ".join([w for w in base if w not in set(away)] + [f"own{i}x{k}" for k in range(rng.choice([0, len(away) // 2, len(away)]))])))
+    got, found = _first_wins(spark, rows, least, short)
+    assert got == first_wins_brute(rows, num, den) and 10 < sum(got.values()) < 110 and (found.leading > 0) == (short == 12)
+
+
+def test_first_wins_writes_the_sets_of_compared_texts_alone(spark, monkeypatch):
+    """What lies on disk: no set of a text that nothing is like, and no pair of texts that merely share frequent words."""
+    rng = random.Random(9)
+    rows = [(i, " ".join([*rng.sample([f"often{k}" for k in range(20)], 12), *[f"own{i}x{k}" for k in range(12)]])) for i in range(300)]
+    rows += [(300 + i, rows[i][1] + " more") for i in range(5)]
+    written = collections.Counter()
+
+    def settle(df, name, plain=firstwins.settle):
+        out = plain(df, name)
+        written[name] += out.count()
+        return out
+
+    monkeypatch.setattr(firstwins, "settle", settle)
+    got, _ = _first_wins(spark, rows, 0.8, 10_000)
+    assert got == {i: i < 300 for i in range(305)} and written["words"] == 0 and written["sets"] == 10
+
+
+def test_first_wins_deals_long_lists_out():
+    """Every pair of a list is found once, whether the list is one or several."""
+    rng, rule = np.random.default_rng(2), firstwins._Rule(Fraction(1, 2))
+    sets = [rng.choice(1000, 12, replace=False).tolist() if i % 3 else [*range(11), 2000 + i] for i in range(90)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(90), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+    found = []
+    for level in (40, 4 * (firstwins.LONG + 3)):
+        held = types.SimpleNamespace(value=np.full(firstwins.CELLS, level, np.uint8))
+        posted = pa.Table.from_batches(firstwins._posted(firstwins._ordered(iter([batch]), held, rule), held, rule, True)).sort_by("token")
+        pairs = collections.Counter()
+        for r in pa.Table.from_batches(firstwins._met(iter(posted.to_batches(64)), rule, 50)).to_pylist():
+            pairs[r["a"], r["b"]] += r["shared"]
+        found.append((posted.num_rows, pairs))
+    assert found[0][1] == found[1][1] and len(found[0][1]) >= 30 * 29 // 2 and found[1][0] == 8 * found[0][0]
+
+
 def test_first_wins_of_nothing(spark):
     assert _first_wins(spark, [], 0.8, 64)[0] == {}
 
