@@ -35,7 +35,7 @@ from ..functions import text
 from ..sources.tables import settle, small_batches
 
 LEAST = 0.8
-SHORT_LIST = 4096  # undecided holders of a word up to which pairs are formed
+SHORT_LIST = 512  # undecided holders of a word up to which pairs are formed
 PAIRS = 1 << 19  # pairs that a task holds at once
 ROWS = 1 << 15  # pairs of a bucket, about
 HOOD = 1 << 23  # pairs of a hood that are dealt out
@@ -286,7 +286,7 @@ def _led(batches: Iterator[pa.RecordBatch], held, rule: _Rule, leaders, most: in
             y = np.arange(len(x)) - np.repeat(np.cumsum(count) - count - low[begin:end], count)
             left = h.close(x, lead, y)
             if len(left):
-                yield _counted([(h.id[x[left]], lead.id[y[left]], np.ones(len(left), np.int64))])
+                yield _counted([(h.id[x[left]], lead.id[y[left]], 1 + rule.more(np.minimum(h.n[x[left]], lead.n[y[left]])))])
             begin = end
 
 
@@ -294,6 +294,11 @@ def _schema() -> pa.Schema:
     return pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("leads", pa.bool_()), ("mark", pa.binary())])
 
 
+def _sharing(counted: DataFrame) -> DataFrame:
+    """The pairs that share as many lists as similar sets do."""
+    return counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).filter("shared >= least").select("a", "b")
+
+
 def _ids(pairs: DataFrame) -> DataFrame:
     return settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
 
@@ -370,7 +375,7 @@ def first_wins(texts: DataFrame, least: float = LEAST, short: int = SHORT_LIST,
         if not leaders.limit(1).count():
             break
         sent = _sent(_picked(prefix, leaders))
-        met = settle(prefix.mapInArrow(functools.partial(_led, held=held, rule=rule, leaders=spark.sparkContext.broadcast(sent), most=most), _COUNTED).select("a", "b").distinct(), "met")
+        met = settle(prefix.mapInArrow(functools.partial(_led, held=held, rule=rule, leaders=spark.sparkContext.broadcast(sent), most=most), _COUNTED).transform(_sharing), "met")
         found = settle(_compared(met, settle(_picked(own, _ids(met)), "sets"), rule), "found")
         free = settle(leaders.join(found.select(F.col("b").alias("id")).distinct(), "id", "left_anti"), "kept")
         dropped = settle(found.join(free.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "dropped")
@@ -382,8 +387,7 @@ def first_wins(texts: DataFrame, least: float = LEAST, short: int = SHORT_LIST,
             break
 
     lists = prefix.mapInArrow(functools.partial(_posted, held=held, rule=rule, dealt=True), _POSTING).repartition("token").sortWithinPartitions("token")
-    counted = lists.mapInArrow(functools.partial(_met, rule=rule, most=most), _COUNTED).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"))
-    pairs = settle(counted.filter("shared >= least").select("a", "b"), "pairs")
+    pairs = settle(lists.mapInArrow(functools.partial(_met, rule=rule, most=most), _COUNTED).transform(_sharing), "pairs")
     waiting = _ids(pairs)
     sets = settle(_picked(own, waiting), "sets")
     kept.append(prefix.select("id").join(waiting, "id", "left_anti"))  # without a partner
